@@ -172,7 +172,11 @@ def build_nodes(nodes: DataFrame) -> DataFrame:
             lambda x: x["sel_part"]), " > ")).alias("class_chain"),
         F.when(is_el, F.slice(ctx_all, F.greatest(F.size(ctx_all) - (L.CONTEXT_ANCESTORS - 1), F.lit(1)),
                               L.CONTEXT_ANCESTORS)).alias("context"),
+        F.transform(chain, lambda x: x["pos"]).alias("anc_pos"),
+        F.when(is_el, F.element_at(proper, -1)["tag"]).otherwise(F.element_at(chain, -1)["tag"]).alias("parent_tag"),
     )
+    w = Window.partitionBy("page_id", "kind").orderBy("pos")
+    n = n.withColumn("el_ord", F.when(is_el, F.row_number().over(w) - 1).cast("long"))
     n = n.withColumn("selector", F.when(F.col("id") != "", F.concat(F.lit("#"), css_escape("id")))
                      .otherwise(F.col("class_chain")))
     return n.drop("chain")

@@ -174,8 +174,11 @@ def _sweep(nodes: DataFrame) -> DataFrame:
     ))
     e = nodes.select("*", F.inline(ev))
     w = Window.partitionBy("page_id").orderBy("ev_pos", "ord", F.desc("pos")).rowsBetween(UNB, CUR)
+    is_open_ev = F.col("role0") == "open"
     e = e.select("*", F.sum("delta").over(w).alias("cnt"), F.sum("nbytes").over(w).alias("tb"),
-                 F.sum("sdelta").over(w).alias("svgc"))
+                 F.sum("sdelta").over(w).alias("svgc"),
+                 F.sum(F.when(is_open_ev, 1).otherwise(0)).over(w).alias("ec"),
+                 F.sum(F.when(F.col("role0") == "text", 1).otherwise(0)).over(w).alias("tc"))
     role0 = F.col("role0")
     roles = (
         F.when(role0 == "open", F.array(
@@ -199,6 +202,8 @@ def _sweep(nodes: DataFrame) -> DataFrame:
         F.max(F.when(child, F.col("tb") - F.col("nbytes"))).alias("text_start"),
         F.max(F.when(F.col("role") == "end", F.col("tb"))).alias("text_end"),
         F.max(F.when(child, F.col("svgc") > 0)).alias("in_svg"),
+        (F.max(F.when(F.col("role") == "end", F.col("ec"))) - F.max(F.when(child, F.col("ec")))).alias("n_desc"),
+        (F.max(F.when(F.col("role") == "end", F.col("tc"))) - F.max(F.when(child, F.col("tc")))).alias("n_text_desc"),
     )
     return g
 

@@ -225,3 +225,57 @@ elx AS (
   FROM (SELECT *, list_filter(class_tokens, lambda c, i: list_position(class_tokens, c) = i) AS list_distinct_ordered
         FROM elx0))
 """
+
+
+def derived_ctes() -> str:
+    """More CTEs on top of ``base_ctes``: tc (textContent), anc (ancestor-or-
+    self pairs by range join), elp (elements + paths, context, previews and
+    suppression columns), txs (text nodes + suppression columns)."""
+    sel_part = (f"tag || CASE WHEN len(classes) > 0 THEN '.' || array_to_string(list_transform(classes[1:2], "
+                f"lambda c: {css_escape_sql('c')}), '.') ELSE '' END")
+    css_part = ("CASE WHEN depth = 0 AND tag = 'html' THEN 'html' ELSE tag || CASE WHEN parent_pos IS NOT NULL "
+                "AND n_same_tag > 1 THEN ':nth-of-type(' || nth_of_type || ')' ELSE '' END END")
+    xpath_part = ("CASE WHEN depth = 0 AND tag = 'html' THEN '/html' ELSE tag || CASE WHEN parent_pos IS NOT NULL "
+                  "AND n_same_tag > 1 THEN '[' || nth_of_type || ']' ELSE '' END END")
+    return f""",
+tc AS (
+  SELECT e.page_id, e.pos, coalesce(string_agg(t.text, '' ORDER BY t.pos), '') AS text
+  FROM el e LEFT JOIN txt t ON t.page_id = e.page_id AND t.pos > e.pos AND t.pos < e.end_pos
+  GROUP BY e.page_id, e.pos),
+elq AS (
+  SELECT *, {sel_part} AS sel_part, {css_part} AS css_part, {xpath_part} AS xpath_part FROM elx),
+anc AS (
+  SELECT e.page_id, e.pos, a.pos AS apos, a.depth AS adepth, a.tag AS atag, a.hidden AS ahidden, a.skip AS askip,
+    a.summary AS asummary, a.sel_part, a.css_part, a.xpath_part, e.depth AS edepth
+  FROM elq e JOIN elq a ON a.page_id = e.page_id AND a.pos <= e.pos AND a.end_pos > e.pos),
+ancg AS (
+  SELECT page_id, pos,
+    max(CASE WHEN ahidden THEN apos END) AS sup_hidden,
+    max(CASE WHEN ahidden OR askip THEN apos END) AS sup_skip,
+    max(CASE WHEN ahidden OR (askip AND atag <> 'svg') THEN apos END) AS sup_skip_nosvg,
+    max(CASE WHEN (ahidden OR askip) AND apos < pos THEN apos END) AS anc_skip,
+    string_agg(css_part, ' > ' ORDER BY adepth) AS css_path,
+    string_agg(xpath_part, '/' ORDER BY adepth) AS xpath_absolute,
+    string_agg(CASE WHEN adepth >= edepth - 4 THEN sel_part END, ' > ' ORDER BY adepth) AS class_chain,
+    coalesce(string_agg(CASE WHEN apos < pos AND NOT (adepth = 0 AND atag = 'html') AND adepth >= edepth - 6
+                          AND (adepth >= edepth - 6) THEN asummary END, ' > ' ORDER BY adepth), '') AS ctx6
+  FROM anc GROUP BY page_id, pos),
+elp AS (
+  SELECT e.*, g.sup_hidden, g.sup_skip, g.sup_skip_nosvg, g.anc_skip, g.css_path, g.xpath_absolute,
+    CASE WHEN e.id <> '' THEN '#' || {css_escape_sql('e.id')} ELSE g.class_chain END AS selector,
+    tc.text, substr({clean_sql('tc.text')}, 1, {L.PREVIEW_CHARS}) AS preview
+  FROM elq e JOIN ancg g USING (page_id, pos) JOIN tc USING (page_id, pos)),
+txs AS (
+  SELECT t.*,
+    (SELECT max(h.pos) FROM elx h WHERE h.page_id = t.page_id AND h.hidden AND h.pos < t.pos AND h.end_pos > t.pos)
+      AS sup_hidden,
+    (SELECT max(h.pos) FROM elx h WHERE h.page_id = t.page_id AND (h.hidden OR h.skip) AND h.pos < t.pos
+       AND h.end_pos > t.pos) AS sup_skip,
+    (SELECT max(h.pos) FROM elx h WHERE h.page_id = t.page_id AND (h.hidden OR (h.skip AND h.tag <> 'svg'))
+       AND h.pos < t.pos AND h.end_pos > t.pos) AS sup_skip_nosvg
+  FROM txt t)
+"""
+
+
+def with_base(select: str, rich: bool = True, derived: bool = True) -> str:
+    return "WITH " + base_ctes(rich) + (derived_ctes() if derived else "") + "\n" + select
