@@ -279,3 +279,42 @@ txs AS (
 
 def with_base(select: str, rich: bool = True, derived: bool = True) -> str:
     return "WITH " + base_ctes(rich) + (derived_ctes() if derived else "") + "\n" + select
+
+
+NOISE_RX = "^(?:" + "|".join(p.replace("-", "\\-") for p in L.NOISE_PREFIXES) + ")"
+REGION_TAGS = ["body", "header", "nav", "main", "article", "section", "aside", "footer", "form"]
+
+
+def truncate_sql(x: str, n: int = L.DEFAULTS["truncationThreshold"]) -> str:
+    parts = f"string_split({x}, chr(10))"
+    return (f"CASE WHEN len({parts}) <= {n} THEN {x} ELSE array_to_string({parts}[1:{n}], chr(10)) || chr(10) "
+            f"|| '... [truncated ' || (len({parts}) - {n}) || ' more lines]' END")
+
+
+def finalize_sql(x: str, ctx: str) -> str:
+    y = f"CASE WHEN coalesce({ctx}, '') <> '' THEN 'CONTEXT: ' || {ctx} || chr(10) || chr(10) || {x} ELSE {x} END"
+    return truncate_sql(y)
+
+
+def render_ctes() -> str:
+    """Roots (page regions), kept-attribute open tags, and (root, node) pairs."""
+    keep = f"(name IN {qlist(L.KEEP_ATTRS)} OR name = 'data-testid' OR NOT regexp_matches(name, {q(NOISE_RX)}))"
+    return f""",
+kept AS (
+  SELECT page_id, pos, string_agg(name || '="' || {escape_html_sql('value')} || '"', ' ' ORDER BY i) AS kattrs
+  FROM atr WHERE {keep} GROUP BY page_id, pos),
+roots AS (SELECT e.*, g.ctx6 AS root_ctx FROM elp e JOIN ancg g USING (page_id, pos)
+          WHERE e.tag IN {qlist(REGION_TAGS)}),
+nd AS (
+  SELECT e.page_id, e.pos, 'open' AS kind, e.tag, e.depth, e.end_pos, e.hidden, e.sup_skip, e.sup_skip_nosvg,
+    e.sup_hidden, e.anc_skip, e.preview, NULL AS ntext, e.summary,
+    '<' || e.tag || CASE WHEN coalesce(k.kattrs, '') <> '' THEN ' ' || k.kattrs ELSE '' END || '>' AS otag
+  FROM elp e LEFT JOIN kept k USING (page_id, pos)
+  UNION ALL
+  SELECT page_id, pos, 'text', NULL, depth, NULL, NULL, sup_skip, sup_skip_nosvg, sup_hidden, NULL, NULL, text,
+    NULL, NULL
+  FROM txs),
+rp AS (
+  SELECT r.page_id, r.pos AS root_pos, n.*, n.depth - r.depth AS rd
+  FROM roots r JOIN nd n ON n.page_id = r.page_id AND n.pos >= r.pos AND n.pos < r.end_pos)
+"""

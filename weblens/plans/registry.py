@@ -230,3 +230,123 @@ def q_capturable_pages(spark, sf):
                              derived=False))
 def q_capturable_roots(spark, sf):
     return C.elements(spark, sf).filter(~F.col("tag").isin(L.UNSELECTABLE_TAGS)).select("page_id", "pos", "tag")
+
+
+# ---------------------------------------------------------------------------
+# steps 3-4: cleaning, structure, accessibility
+# ---------------------------------------------------------------------------
+from weblens.operators import render as R  # noqa: E402
+from weblens.operators.a11y import a11y_findings  # noqa: E402
+
+
+def RW(select: str) -> str:  # noqa: N802
+    return O.with_base("", rich=True, derived=True).rstrip() + O.render_ctes() + "\n" + select
+
+
+def nodes_text(spark, sf):
+    return C.elements_with_text(spark, sf).unionByName(C.texts(spark, sf), allowMissingColumns=True)
+
+
+def roots(spark, sf):
+    return R.region_roots(C.elements_with_text(spark, sf))
+
+
+CLEAN_FRAGS = f"""
+SELECT page_id, root_pos, pos AS k1, 1 AS k2, 0 AS k3,
+  CASE WHEN kind = 'text' THEN {O.escape_html_sql(O.clean_sql('ntext'))}
+       WHEN NOT (sup_skip IS NULL OR sup_skip < root_pos) THEN '<svg aria-label="vector graphic"></svg>'
+       ELSE otag END AS frag
+FROM rp
+WHERE (kind = 'text' AND (sup_skip IS NULL OR sup_skip < root_pos) AND {O.clean_sql('ntext')} <> '')
+   OR (kind = 'open' AND (sup_skip IS NULL OR sup_skip < root_pos))
+   OR (kind = 'open' AND tag = 'svg' AND NOT hidden AND (anc_skip IS NULL OR anc_skip < root_pos))
+UNION ALL
+SELECT page_id, root_pos, end_pos, 0, -depth, '</' || tag || '>'
+FROM rp WHERE kind = 'open' AND (sup_skip IS NULL OR sup_skip < root_pos) AND tag NOT IN {O.qlist(L.VOID_TAGS)}"""
+
+
+def render_select(frags: str, sep: str, fmt: str) -> str:
+    out = f"coalesce(o.raw_output, '')"
+    return f"""
+SELECT r.page_id, r.pos, '{fmt}' AS format, {O.finalize_sql(out, 'r.root_ctx')} AS output
+FROM roots r LEFT JOIN (
+  SELECT page_id, root_pos, string_agg(frag, {sep} ORDER BY k1, k2, k3) AS raw_output FROM ({frags})
+  GROUP BY page_id, root_pos) o ON o.page_id = r.page_id AND o.root_pos = r.pos"""
+
+
+@query("clean_html", RW(render_select(CLEAN_FRAGS, "''", "clean-html")))
+def q_clean_html(spark, sf):
+    return R.clean_html(nodes_text(spark, sf), roots(spark, sf))
+
+
+def structure_frags(depth: int | None = None) -> str:
+    cut = "" if depth is None else f" AND rd <= {depth}"
+    return (f"SELECT page_id, root_pos, pos AS k1, 0 AS k2, 0 AS k3, repeat('  ', rd::INTEGER) || summary || "
+            f"CASE WHEN preview <> '' THEN ' \"' || preview || '\"' ELSE '' END AS frag FROM rp "
+            f"WHERE kind = 'open' AND (sup_skip_nosvg IS NULL OR sup_skip_nosvg < root_pos){cut}")
+
+
+@query("structure", RW(render_select(structure_frags(), "chr(10)", "structure")))
+def q_structure(spark, sf):
+    return R.structure(C.elements_with_text(spark, sf), roots(spark, sf))
+
+
+@query("structure_depth1", RW(render_select(structure_frags(1), "chr(10)", "structure")))
+def q_structure_depth1(spark, sf):
+    return R.structure(C.elements_with_text(spark, sf), roots(spark, sf), R.Options(depth=1))
+
+
+A11Y_LINE = f"""
+  '[' || e.tag || CASE WHEN len(list_filter([
+      CASE WHEN coalesce(e.a_role, '') <> '' THEN 'role="' || e.a_role || '"' END,
+      CASE WHEN e.a_aria_label IS NOT NULL THEN 'aria-label="' || e.a_aria_label || '"' END,
+      CASE WHEN e.a_aria_labelledby IS NOT NULL THEN 'aria-labelledby="' || e.a_aria_labelledby || '"' END,
+      CASE WHEN e.a_alt IS NOT NULL THEN 'alt="' || e.a_alt || '"' END], lambda x: x IS NOT NULL)) > 0
+    THEN ' ' || array_to_string(list_filter([
+      CASE WHEN coalesce(e.a_role, '') <> '' THEN 'role="' || e.a_role || '"' END,
+      CASE WHEN e.a_aria_label IS NOT NULL THEN 'aria-label="' || e.a_aria_label || '"' END,
+      CASE WHEN e.a_aria_labelledby IS NOT NULL THEN 'aria-labelledby="' || e.a_aria_labelledby || '"' END,
+      CASE WHEN e.a_alt IS NOT NULL THEN 'alt="' || e.a_alt || '"' END], lambda x: x IS NOT NULL), ' ')
+    ELSE '' END || ']'
+  || CASE WHEN coalesce(nullif(e.a_aria_label, ''), e.preview) <> ''
+          THEN ' ' || {O.json_quote_sql("coalesce(nullif(e.a_aria_label, ''), e.preview)")} ELSE '' END
+  || CASE WHEN e.warns <> '' THEN ' WARNING(' || e.warns || ')' ELSE '' END"""
+
+A11Y_WARNS = """
+  array_to_string(list_filter([
+    CASE WHEN tag = 'img' AND coalesce(a_alt, '') = '' THEN 'missing-alt' END,
+    CASE WHEN (tag = 'button' OR coalesce(a_role, '') = 'button')
+              AND coalesce(nullif(a_aria_label, ''), preview) = '' THEN 'unnamed-button' END],
+    lambda x: x IS NOT NULL), ', ')"""
+
+
+def a11y_frags() -> str:
+    return (f"SELECT p.page_id, p.root_pos, p.pos AS k1, 0 AS k2, 0 AS k3, repeat('  ', p.rd::INTEGER) || "
+            f"{A11Y_LINE} AS frag FROM rp p JOIN (SELECT *, {A11Y_WARNS} AS warns FROM elp) e "
+            f"ON e.page_id = p.page_id AND e.pos = p.pos "
+            f"WHERE p.kind = 'open' AND (p.sup_hidden IS NULL OR p.sup_hidden < p.root_pos)")
+
+
+@query("a11y_outline", RW(render_select(a11y_frags(), "chr(10)", "accessibility")))
+def q_a11y_outline(spark, sf):
+    return R.a11y_outline(C.elements_with_text(spark, sf), roots(spark, sf))
+
+
+@query("a11y_findings", W(f"""
+SELECT page_id, pos, unnest(list_filter([
+    CASE WHEN tag = 'img' AND coalesce(a_alt, '') = '' THEN 'missing-alt' END,
+    CASE WHEN (tag = 'button' OR coalesce(a_role, '') = 'button')
+              AND coalesce(nullif(a_aria_label, ''), preview) = '' THEN 'unnamed-button' END],
+    lambda x: x IS NOT NULL)) AS warning
+FROM elp"""))
+def q_a11y_findings(spark, sf):
+    return a11y_findings(C.elements_with_text(spark, sf))
+
+
+@query("kept_attributes", W(f"""
+SELECT page_id, pos, row_number() OVER (PARTITION BY page_id, pos ORDER BY i) AS ordinal, name, value FROM atr
+WHERE name IN {O.qlist(L.KEEP_ATTRS)} OR name = 'data-testid' OR NOT regexp_matches(name, {O.q(O.NOISE_RX)})""",
+                            derived=False))
+def q_kept_attributes(spark, sf):
+    e = C.elements(spark, sf).select("page_id", "pos", F.posexplode(R.kept_attrs()).alias("i", "a"))
+    return e.select("page_id", "pos", (F.col("i") + 1).cast("long").alias("ordinal"), "a.name", "a.value")
