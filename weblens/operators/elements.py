@@ -107,7 +107,7 @@ def _parts(els: DataFrame) -> DataFrame:
     )
 
 
-INFO_FIELDS = ["pos", "depth", "tag", "hidden", "summary", "css_part", "xpath_part", "sel_part"]
+INFO_FIELDS = ["pos", "depth", "tag", "hidden", "summary", "css_part", "xpath_part", "sel_part", "id", "classes"]
 
 
 def _with_ancestors(n: DataFrame) -> DataFrame:
@@ -173,7 +173,9 @@ def build_nodes(nodes: DataFrame) -> DataFrame:
         F.when(is_el, F.slice(ctx_all, F.greatest(F.size(ctx_all) - (L.CONTEXT_ANCESTORS - 1), F.lit(1)),
                               L.CONTEXT_ANCESTORS)).alias("context"),
         F.transform(chain, lambda x: x["pos"]).alias("anc_pos"),
-        F.when(is_el, F.element_at(proper, -1)["tag"]).otherwise(F.element_at(chain, -1)["tag"]).alias("parent_tag"),
+        F.when(is_el, F.try_element_at(proper, F.lit(-1))["tag"]).otherwise(F.try_element_at(chain, F.lit(-1))["tag"]).alias("parent_tag"),
+        F.when(is_el, F.try_element_at(proper, F.lit(-1))["id"]).alias("parent_id"),
+        F.when(is_el, F.try_element_at(proper, F.lit(-1))["classes"]).alias("parent_classes"),
     )
     w = Window.partitionBy("page_id", "kind").orderBy("pos")
     n = n.withColumn("el_ord", F.when(is_el, F.row_number().over(w) - 1).cast("long"))

@@ -350,3 +350,75 @@ WHERE name IN {O.qlist(L.KEEP_ATTRS)} OR name = 'data-testid' OR NOT regexp_matc
 def q_kept_attributes(spark, sf):
     e = C.elements(spark, sf).select("page_id", "pos", F.posexplode(R.kept_attrs()).alias("i", "a"))
     return e.select("page_id", "pos", (F.col("i") + 1).cast("long").alias("ordinal"), "a.name", "a.value")
+
+
+# ---------------------------------------------------------------------------
+# step 5: selectors, locators, verification, fingerprint
+# ---------------------------------------------------------------------------
+from weblens.operators import locators as LC  # noqa: E402
+from weblens.operators.text_ops import direct_text as _direct, first_text as _first  # noqa: E402
+from weblens.plans import oracle_locators as OL  # noqa: E402
+
+
+def LW(select: str) -> str:  # noqa: N802
+    return O.with_base("", rich=True, derived=True).rstrip() + OL.ctes() + "\n" + select
+
+
+def _scope(df):
+    return df.filter(~F.col("tag").isin(L.UNSELECTABLE_TAGS))
+
+
+def _in_scope(spark, sf, df):
+    s = _scope(C.elements(spark, sf)).select("page_id", "pos")
+    return df.join(s, ["page_id", "pos"], "left_semi")
+
+
+def els_src(spark, sf):
+    return LC.text_source(C.elements_with_text(spark, sf), _direct(C.texts(spark, sf)))
+
+
+@query("ranked_selectors", LW(OL.ranked_sql()))
+def q_ranked_selectors(spark, sf):
+    return LC.ranked_selectors(_scope(C.elements_with_text(spark, sf)))
+
+
+@query("best_selector", LW(OL.best_sql()))
+def q_best_selector(spark, sf):
+    return LC.best_selector(_scope(C.elements_with_text(spark, sf)))
+
+
+@query("shortest_unique", LW(OL.shortest_unique_sql()))
+def q_shortest_unique(spark, sf):
+    return _in_scope(spark, sf, LC.shortest_unique(C.elements(spark, sf)))
+
+
+@query("xpath_relative", LW(OL.xpath_relative_sql()))
+def q_xpath_relative(spark, sf):
+    return _in_scope(spark, sf, LC.xpath_relative(C.elements(spark, sf)))
+
+
+@query("xpath_text", LW(OL.xpath_text_sql()))
+def q_xpath_text(spark, sf):
+    src = els_src(spark, sf)
+    first = _first(C.texts(spark, sf))
+    return _in_scope(spark, sf, LC.xpath_text(src, first))
+
+
+def _locators(spark, sf):
+    loc = LC.locator_matches(els_src(spark, sf), _first(C.texts(spark, sf)))
+    return _in_scope(spark, sf, loc)
+
+
+@query("locator_matches", LW(OL.locator_matches_sql()))
+def q_locator_matches(spark, sf):
+    return _locators(spark, sf).select("page_id", "pos", "strategy", "value", "tier", "matches")
+
+
+@query("locator_tiers", LW(OL.locator_tiers_sql()))
+def q_locator_tiers(spark, sf):
+    return LC.locator_tiers(_locators(spark, sf))
+
+
+@query("fingerprint")
+def q_fingerprint(spark, sf):
+    return LC.fingerprint(_locators(spark, sf))
