@@ -73,10 +73,14 @@ def _within(rd, opts: Options):
     return F.lit(True) if opts.depth is None else (rd <= opts.depth)
 
 
-def _assemble(frags: DataFrame, roots_info: DataFrame, sep: str, opts: Options, fmt: str) -> DataFrame:
+def _assemble(frags: DataFrame, roots_info: DataFrame, sep: str, opts: Options, fmt: str,
+              finalize: bool = True) -> DataFrame:
     out = frags.groupBy("page_id", "root_pos").agg(
         F.expr(f"listagg(frag, '{sep}') WITHIN GROUP (ORDER BY k1, k2, k3)").alias("raw_output"))
     j = roots_info.join(out, ["page_id", "root_pos"], "left")
+    if not finalize:
+        return j.select("page_id", F.col("root_pos").alias("pos"), F.coalesce("raw_output", F.lit("")).alias("raw"),
+                        "root_context")
     return j.select(
         "page_id", F.col("root_pos").alias("pos"), F.lit(fmt).alias("format"),
         finalize_output(F.coalesce("raw_output", F.lit("")), F.col("root_context"), opts.include_context,
@@ -87,7 +91,7 @@ def _root_info(roots: DataFrame) -> DataFrame:
     return roots.select("page_id", F.col("pos").alias("root_pos"), F.col("context").alias("root_context"))
 
 
-def clean_html(nodes_text: DataFrame, roots: DataFrame, opts: Options = Options()) -> DataFrame:
+def clean_html(nodes_text: DataFrame, roots: DataFrame, opts: Options = Options(), finalize: bool = True) -> DataFrame:
     """Cleaned markup per root: noise attributes dropped, hidden and skipped
     subtrees removed, text nodes trimmed, svg summarised."""
     p = pairs(nodes_text, roots)
@@ -117,7 +121,7 @@ def clean_html(nodes_text: DataFrame, roots: DataFrame, opts: Options = Options(
     tx_frags = F.when(free & (text != ""), F.array(frag(F.col("pos"), 1, F.lit(0), text))).otherwise(empty)
     f = p.filter(_within(rd, opts)).select(
         "page_id", "root_pos", F.inline(F.when(is_el, el_frags).otherwise(tx_frags)))
-    return _assemble(f, _root_info(roots), "", opts, "clean-html")
+    return _assemble(f, _root_info(roots), "", opts, "clean-html", finalize)
 
 
 def structure(els_text: DataFrame, roots: DataFrame, opts: Options = Options()) -> DataFrame:
@@ -165,3 +169,56 @@ def a11y_outline(els_text: DataFrame, roots: DataFrame, opts: Options = Options(
         "page_id", "root_pos", F.col("pos").alias("k1"), F.lit(0).alias("k2"), F.lit(0).alias("k3"),
         line.alias("frag"))
     return _assemble(f, _root_info(roots), "\\n", opts, "accessibility")
+
+
+def style_lines():
+    """Reported style lines of an element from its inline ``style``: the
+    allow-listed properties in list order, last declaration wins, values
+    without information dropped."""
+    decls = F.transform(
+        F.filter(F.split(F.coalesce(F.col("attr")["style"], F.lit("")), ";"), lambda d: F.instr(d, ":") > 0),
+        lambda d: F.struct(
+            F.lower(F.trim(F.substring_index(d, ":", 1))).alias("prop"),
+            F.trim(F.regexp_replace(F.substring(d, F.instr(d, ":") + 1, 1 << 30), r"(?i)\s*!\s*important\s*$", ""))
+            .alias("value")))
+    rev = F.reverse(decls)
+    last = F.filter(rev, lambda x, i: ~F.exists(F.slice(rev, 1, i), lambda y: y["prop"] == x["prop"]))
+    m = F.map_from_entries(last)
+    props = F.array(*[F.lit(p) for p in L.STYLE_PROPERTIES])
+    return F.array_compact(F.transform(props, lambda p: F.when(
+        (F.coalesce(m[p], F.lit("")) != "") & ~F.trim(m[p]).isin(L.EMPTY_STYLE_VALUES),
+        F.concat(p, F.lit(": "), m[p], F.lit(";")))))
+
+
+def rule_selector():
+    s = F.regexp_replace(F.col("summary"), r"\s+", "")
+    return F.when(F.instr(s, "#") > 0, s).otherwise(F.col("selector"))
+
+
+def declared_styles(els_text: DataFrame, roots: DataFrame, opts: Options = Options(), finalize: bool = True
+                    ) -> DataFrame:
+    """Style blocks ``selector {\n  prop: value;\n}`` per root (declared inline
+    styles of visible elements in the subtree, tree order)."""
+    p = pairs(els_text.filter(F.col("attr")["style"].isNotNull()), roots)
+    rp, rd = F.col("root_pos"), F.col("rd")
+    free = F.col("sup_hidden").isNull() | (F.col("sup_hidden") < rp)
+    lines = style_lines()
+    block = F.concat(rule_selector(), F.lit(" {\n  "), F.array_join(lines, "\n  "), F.lit("\n}"))
+    f = p.filter(free & _within(rd, opts) & (F.size(lines) > 0)).select(
+        "page_id", "root_pos", F.col("pos").alias("k1"), F.lit(0).alias("k2"), F.lit(0).alias("k3"),
+        block.alias("frag"))
+    return _assemble(f, _root_info(roots), "\\n\\n", opts, "css", finalize)
+
+
+def html_css(nodes_text: DataFrame, els_text: DataFrame, roots: DataFrame, opts: Options = Options(),
+             include_css: bool = True) -> DataFrame:
+    """Cleaned markup followed by a ``<style>`` block of the subtree's rules."""
+    h = clean_html(nodes_text, roots, opts, finalize=False)
+    if include_css:
+        st = declared_styles(els_text, roots, opts, finalize=False).select("page_id", "pos", F.col("raw").alias("css"))
+        h = h.join(st, ["page_id", "pos"], "left")
+        raw = F.concat(F.col("raw"), F.lit("\n\n<style>\n"), F.coalesce("css", F.lit("")), F.lit("\n</style>"))
+    else:
+        raw = F.col("raw")
+    return h.select("page_id", "pos", F.lit("html-css").alias("format"),
+                    finalize_output(raw, F.col("root_context"), opts.include_context, opts.truncation).alias("output"))

@@ -65,24 +65,19 @@ def page_title(pages: DataFrame, els_text: DataFrame) -> DataFrame:
     return pages.select("page_id", "url").join(t, "page_id", "left").select("page_id", "url", title.alias("title"))
 
 
-def page_snapshot(pages: DataFrame, els: DataFrame, els_text: DataFrame, target_tag: str = "body") -> DataFrame:
-    """Snapshot text per page (target = first ``body``, else the root)."""
+def page_parts(pages: DataFrame, els: DataFrame, els_text: DataFrame) -> DataFrame:
+    """Per page: url, title, counts, landmark and heading lines."""
     counts = page_counts(els)
     lm = landmarks(els).groupBy("page_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "summary"))).alias("lm"))
     hd = headings(els_text).groupBy("page_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", F.concat("tag", F.lit(' "'), "text", F.lit('"')).alias("line"))))
         .alias("hd"))
-    tgt = els.groupBy("page_id").agg(
-        F.coalesce(F.min_by(F.when(F.col("tag") == target_tag, F.col("summary")),
-                            F.when(F.col("tag") == target_tag, F.col("pos"))),
-                   F.min_by("summary", "pos")).alias("current"),
-        F.coalesce(F.min_by(F.when(F.col("tag") == target_tag, F.col("context")),
-                            F.when(F.col("tag") == target_tag, F.col("pos"))),
-                   F.min_by("context", "pos")).alias("chain"))
     t = page_title(pages, els_text)
-    j = t.join(counts, "page_id", "left").join(lm, "page_id", "left").join(hd, "page_id", "left") \
-        .join(tgt, "page_id", "left")
+    return t.join(counts, "page_id", "left").join(lm, "page_id", "left").join(hd, "page_id", "left")
+
+
+def snapshot_text(current) -> F.Column:
     indent = lambda arr, f: F.transform(F.coalesce(arr, F.array()), lambda x: F.concat(F.lit("  "), x[f]))
     lines = F.concat(
         F.array(
@@ -97,8 +92,28 @@ def page_snapshot(pages: DataFrame, els: DataFrame, els_text: DataFrame, target_
         indent(F.col("lm"), "summary"),
         F.array(F.lit(""), F.lit("HEADINGS:")),
         indent(F.col("hd"), "line"),
-        F.array(F.lit(""), F.concat(F.lit("CURRENT_SELECTION: "), F.coalesce("current", F.lit("")))),
+        F.array(F.lit(""), F.concat(F.lit("CURRENT_SELECTION: "), F.coalesce(current, F.lit("")))),
     )
-    text = F.array_join(lines, "\n")
+    return F.array_join(lines, "\n")
+
+
+def snapshot_for_roots(parts: DataFrame, roots: DataFrame) -> DataFrame:
+    """Snapshot output (finalized) for each root element: ``(page_id, pos, output)``."""
+    r = roots.select("page_id", "pos", F.col("summary").alias("current"), F.col("context").alias("chain"))
+    j = r.join(parts, "page_id", "left")
+    return j.select("page_id", "pos", F.lit("page-snapshot").alias("format"),
+                    finalize_output(snapshot_text(F.col("current")), F.col("chain")).alias("output"))
+
+
+def page_snapshot(pages: DataFrame, els: DataFrame, els_text: DataFrame, target_tag: str = "body") -> DataFrame:
+    """Snapshot text per page (target = first ``body``, else the root)."""
+    tgt = els.groupBy("page_id").agg(
+        F.coalesce(F.min_by(F.when(F.col("tag") == target_tag, F.col("summary")),
+                            F.when(F.col("tag") == target_tag, F.col("pos"))),
+                   F.min_by("summary", "pos")).alias("current"),
+        F.coalesce(F.min_by(F.when(F.col("tag") == target_tag, F.col("context")),
+                            F.when(F.col("tag") == target_tag, F.col("pos"))),
+                   F.min_by("context", "pos")).alias("chain"))
+    j = page_parts(pages, els, els_text).join(tgt, "page_id", "left")
     chain = F.coalesce(F.col("chain"), F.array().cast("array<string>"))
-    return j.select("page_id", finalize_output(text, chain).alias("snapshot"))
+    return j.select("page_id", finalize_output(snapshot_text(F.col("current")), chain).alias("snapshot"))

@@ -318,3 +318,23 @@ rp AS (
   SELECT r.page_id, r.pos AS root_pos, n.*, n.depth - r.depth AS rd
   FROM roots r JOIN nd n ON n.page_id = r.page_id AND n.pos >= r.pos AND n.pos < r.end_pos)
 """
+
+
+def log_ctes() -> str:
+    fmts = "[" + ", ".join(q(f) for f in L.FORMATS) + "]"
+    return f"""
+lg AS (
+  SELECT user_id AS tab, ts, event_id,
+    CASE event_type WHEN 'click' THEN 'toggle' WHEN 'error' THEN 'clear' WHEN 'signup' THEN 'inspector'
+      WHEN 'purchase' THEN 'set_format' ELSE 'ignore' END AS type,
+    CAST(json_extract_string(props, '$.k') AS BIGINT) AS element
+  FROM events),
+sel AS (
+  SELECT tab, element, count(*) AS toggles, max((ts, event_id)) AS last FROM lg t
+  WHERE type = 'toggle' AND element IS NOT NULL
+    AND NOT EXISTS (SELECT 1 FROM lg c WHERE c.tab = t.tab AND c.type = 'clear' AND (c.ts, c.event_id) > (t.ts, t.event_id))
+  GROUP BY tab, element HAVING count(*) % 2 = 1),
+selr AS (SELECT tab, element, toggles, row_number() OVER (PARTITION BY tab ORDER BY last) AS sel_order FROM sel),
+stg AS (
+  SELECT tab, 'format' AS key, arg_max({fmts}[(element % 6 + 6) % 6 + 1], (ts, event_id)) AS value
+  FROM lg WHERE type = 'set_format' GROUP BY tab)"""

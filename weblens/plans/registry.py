@@ -422,3 +422,97 @@ def q_locator_tiers(spark, sf):
 @query("fingerprint")
 def q_fingerprint(spark, sf):
     return LC.fingerprint(_locators(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# step 8: replay, captures, traversal
+# ---------------------------------------------------------------------------
+from weblens.operators import captures as CP  # noqa: E402
+from weblens.operators import replay as RP  # noqa: E402
+from weblens.sources.log import read_log  # noqa: E402
+
+
+def GW(select: str) -> str:  # noqa: N802
+    return "WITH " + O.log_ctes() + "\n" + select
+
+
+@query("selection_replay", GW("SELECT tab, element, toggles, sel_order FROM selr"))
+def q_selection_replay(spark, sf):
+    return RP.selection_replay(read_log(spark, sf)).select("tab", "element", "toggles", "sel_order")
+
+
+@query("settings_replay", GW("SELECT tab, key, value FROM stg"))
+def q_settings_replay(spark, sf):
+    return RP.settings_replay(read_log(spark, sf)).select("tab", "key", "value")
+
+
+@query("inspector_state", GW("""
+SELECT tab, count(*) AS toggles, count(*) % 2 = 1 AS enabled FROM lg WHERE type = 'inspector' GROUP BY tab"""))
+def q_inspector_state(spark, sf):
+    return RP.inspector_state(read_log(spark, sf))
+
+
+_DEFAULTS_SQL = ", ".join(f"({O.q(k)}, {O.q(v)})" for k, v in RP.DEFAULT_ROWS)
+
+
+@query("effective_settings", GW(f"""
+SELECT t.tab, d.key, coalesce(s.value, d.dv) AS value, CASE WHEN s.value IS NOT NULL THEN 'stored' ELSE 'default' END
+  AS source
+FROM (SELECT DISTINCT tab FROM lg) t CROSS JOIN (VALUES {_DEFAULTS_SQL}) d(key, dv)
+LEFT JOIN stg s ON s.tab = t.tab AND s.key = d.key"""))
+def q_effective_settings(spark, sf):
+    return RP.effective_settings(read_log(spark, sf))
+
+
+def live(spark, sf):
+    sel = RP.selection_replay(read_log(spark, sf))
+    return CP.live_captures(sel, C.elements_with_text(spark, sf))
+
+
+def live_sql_ctes() -> str:
+    return f""",
+elo AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS el_ord FROM elp),
+live AS (
+  SELECT s.tab, row_number() OVER (PARTITION BY s.tab ORDER BY s.sel_order) AS sel_order, e.*
+  FROM selr s JOIN elo e ON e.page_id = s.tab AND e.el_ord = s.element
+  WHERE e.tag NOT IN {O.qlist(L.UNSELECTABLE_TAGS)}),
+lastsel AS (SELECT * FROM live l WHERE sel_order = (SELECT max(sel_order) FROM live m WHERE m.tab = l.tab))"""
+
+
+def LVW(select: str, render: bool = False) -> str:  # noqa: N802
+    base = O.with_base("", rich=True, derived=True).rstrip() + "," + O.log_ctes() + live_sql_ctes()
+    if render:
+        base += O.render_ctes().replace(
+            f"roots AS (SELECT e.*, g.ctx6 AS root_ctx FROM elp e JOIN ancg g USING (page_id, pos)\n"
+            f"          WHERE e.tag IN {O.qlist(O.REGION_TAGS)}),",
+            "roots AS (SELECT DISTINCT e.*, g.ctx6 AS root_ctx FROM elp e JOIN ancg g USING (page_id, pos)\n"
+            "          JOIN live l ON l.page_id = e.page_id AND l.pos = e.pos),")
+    return base + "\n" + select
+
+
+@query("live_captures", LVW("SELECT tab, sel_order, page_id, pos, tag FROM live"))
+def q_live_captures(spark, sf):
+    return live(spark, sf).select("tab", "sel_order", "page_id", "pos", "tag")
+
+
+@query("capture_rows", LVW("""
+SELECT tab, sel_order, page_id || '-' || pos AS selection_id, summary, selector, tag AS tag_name FROM live"""))
+def q_capture_rows(spark, sf):
+    return CP.capture_rows(live(spark, sf))
+
+
+@query("traverse_parent", LVW("""
+SELECT l.tab, l.page_id, l.pos AS pos_before,
+  CASE WHEN l.parent_pos IS NOT NULL AND NOT (p.depth = 0 AND p.tag = 'html') THEN l.parent_pos ELSE l.pos END
+    AS pos_after
+FROM lastsel l LEFT JOIN el p ON p.page_id = l.page_id AND p.pos = l.parent_pos"""))
+def q_traverse_parent(spark, sf):
+    return CP.traverse_parent(live(spark, sf))
+
+
+@query("traverse_child", LVW("""
+SELECT l.tab, l.page_id, l.pos AS pos_before,
+  coalesce((SELECT min(c.pos) FROM el c WHERE c.page_id = l.page_id AND c.parent_pos = l.pos), l.pos) AS pos_after
+FROM lastsel l"""))
+def q_traverse_child(spark, sf):
+    return CP.traverse_child(live(spark, sf), C.elements(spark, sf))
