@@ -338,3 +338,19 @@ selr AS (SELECT tab, element, toggles, row_number() OVER (PARTITION BY tab ORDER
 stg AS (
   SELECT tab, 'format' AS key, arg_max({fmts}[(element % 6 + 6) % 6 + 1], (ts, event_id)) AS value
   FROM lg WHERE type = 'set_format' GROUP BY tab)"""
+
+
+def styles_cte() -> str:
+    decls = ("list_transform(list_filter(string_split(a_style, ';'), lambda d: strpos(d, ':') > 0), lambda d: "
+             "{'prop': lower(trim(split_part(d, ':', 1), ' ')), "
+             "'value': trim(regexp_replace(substr(d, strpos(d, ':') + 1), '(?i)\\s*!\\s*important\\s*$', ''), ' ')})")
+    items = []
+    for p in L.STYLE_PROPERTIES:
+        v = f"list_filter(decls, lambda x: x.prop = {q(p)})[-1].value"
+        items.append(f"CASE WHEN coalesce({v}, '') <> '' AND trim({v}, ' ') NOT IN {qlist(L.EMPTY_STYLE_VALUES)} "
+                     f"THEN {q(p + ': ')} || {v} || ';' END")
+    lst = ",\n      ".join(items)
+    return f""",
+stl0 AS (SELECT page_id, pos, {decls} AS decls FROM elp WHERE a_style IS NOT NULL),
+stl AS (SELECT page_id, pos, list_filter([
+      {lst}], lambda x: x IS NOT NULL) AS lines FROM stl0)"""

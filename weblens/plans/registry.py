@@ -516,3 +516,151 @@ SELECT l.tab, l.page_id, l.pos AS pos_before,
 FROM lastsel l"""))
 def q_traverse_child(spark, sf):
     return CP.traverse_child(live(spark, sf), C.elements(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# steps 6-7: styles, html+css, token costs, capture outputs, prompts
+# ---------------------------------------------------------------------------
+from weblens.operators import prompt as PR  # noqa: E402
+
+STYLE_FRAGS = """
+SELECT p.page_id, p.root_pos, p.pos AS k1, 0 AS k2, 0 AS k3,
+  CASE WHEN strpos(regexp_replace(e.summary, '\\s+', '', 'g'), '#') > 0 THEN regexp_replace(e.summary, '\\s+', '', 'g')
+       ELSE e.selector END || ' {' || chr(10) || '  ' || array_to_string(s.lines, chr(10) || '  ') || chr(10) || '}'
+    AS frag
+FROM rp p JOIN stl s ON s.page_id = p.page_id AND s.pos = p.pos JOIN elp e ON e.page_id = p.page_id AND e.pos = p.pos
+WHERE p.kind = 'open' AND (p.sup_hidden IS NULL OR p.sup_hidden < p.root_pos) AND len(s.lines) > 0"""
+
+
+def raw_select(frags: str, sep: str) -> str:
+    return f"""
+SELECT r.page_id, r.pos, r.root_ctx, coalesce(o.raw_output, '') AS raw
+FROM roots r LEFT JOIN (
+  SELECT page_id, root_pos, string_agg(frag, {sep} ORDER BY k1, k2, k3) AS raw_output FROM ({frags})
+  GROUP BY page_id, root_pos) o ON o.page_id = r.page_id AND o.root_pos = r.pos"""
+
+
+def html_css_select() -> str:
+    return f"""
+SELECT h.page_id, h.pos, 'html-css' AS format,
+  {O.finalize_sql("h.raw || chr(10) || chr(10) || '<style>' || chr(10) || s.raw || chr(10) || '</style>'", 'h.root_ctx')}
+    AS output
+FROM ({raw_select(CLEAN_FRAGS, "''")}) h JOIN ({raw_select(STYLE_FRAGS, "chr(10) || chr(10)")}) s USING (page_id, pos)"""
+
+
+def SW(select: str) -> str:  # noqa: N802
+    return O.with_base("", rich=True, derived=True).rstrip() + O.render_ctes().rstrip() + O.styles_cte() + "\n" + select
+
+
+@query("declared_styles", SW(f"SELECT page_id, pos, raw AS styles FROM ({raw_select(STYLE_FRAGS, 'chr(10) || chr(10)')})"))
+def q_declared_styles(spark, sf):
+    d = R.declared_styles(C.elements_with_text(spark, sf), roots(spark, sf), finalize=False)
+    return d.select("page_id", "pos", F.col("raw").alias("styles"))
+
+
+@query("html_css", SW(html_css_select()))
+def q_html_css(spark, sf):
+    return R.html_css(nodes_text(spark, sf), C.elements_with_text(spark, sf), roots(spark, sf))
+
+
+def region_outputs(spark, sf):
+    e = C.elements_with_text(spark, sf)
+    r = roots(spark, sf)
+    return R.clean_html(nodes_text(spark, sf), r).unionByName(R.structure(e, r)).unionByName(R.a11y_outline(e, r))
+
+
+def _formats_union_sql() -> str:
+    return (f"{render_select(CLEAN_FRAGS, chr(39) * 2, 'clean-html')} UNION ALL "
+            f"{render_select(structure_frags(), 'chr(10)', 'structure')} UNION ALL "
+            f"{render_select(a11y_frags(), 'chr(10)', 'accessibility')}")
+
+
+TOKENS_SELECT = f"""
+SELECT page_id, pos, format, length(output) AS chars, CAST(ceil(length(output) / 4) AS BIGINT) AS tokens,
+  ceil(length(output) / 4) > {L.DEFAULTS['maxTokenWarning']} AS over_budget
+FROM ({_formats_union_sql()})"""
+
+
+@query("token_costs", RW(TOKENS_SELECT))
+def q_token_costs(spark, sf):
+    return PR.token_costs(region_outputs(spark, sf)).select("page_id", "pos", "format", "chars", "tokens",
+                                                             "over_budget")
+
+
+@query("over_budget", RW(f"SELECT page_id, pos, format, tokens FROM ({TOKENS_SELECT}) WHERE over_budget"))
+def q_over_budget(spark, sf):
+    return PR.token_costs(region_outputs(spark, sf)).filter("over_budget").select("page_id", "pos", "format",
+                                                                                    "tokens")
+
+
+TEXT_FORMATS = ["clean-html", "structure", "accessibility", "html-css", "page-snapshot"]
+
+
+def capture_outputs(spark, sf):
+    """Outputs of every live capture in the five text formats:
+    ``(tab, sel_order, page_id, pos, format, output)``."""
+    lv = live(spark, sf)
+    r = lv.select(*[c for c in lv.columns if c not in ("tab", "sel_order")]).dropDuplicates(["page_id", "pos"])
+    e = C.elements_with_text(spark, sf)
+    nt = nodes_text(spark, sf)
+    parts = S.page_parts(C.pages(spark, sf), C.elements(spark, sf), e)
+    outs = (R.clean_html(nt, r).unionByName(R.structure(e, r)).unionByName(R.a11y_outline(e, r))
+            .unionByName(R.html_css(nt, e, r)).unionByName(S.snapshot_for_roots(parts, r)))
+    return lv.select("tab", "sel_order", "page_id", "pos").join(outs, ["page_id", "pos"])
+
+
+def capture_outputs_sql() -> str:
+    snap = f"""
+SELECT r.page_id, r.pos, 'page-snapshot' AS format, {O.finalize_sql("sp.body || r.summary", "r.root_ctx")} AS output
+FROM roots r JOIN (SELECT t.page_id, replace(s.snapshot, 'CURRENT_SELECTION: ' || s.cur, 'CURRENT_SELECTION: ') AS body
+  FROM ttl t JOIN ({snapshot_sql().replace("AS snapshot", "AS snapshot, (SELECT arg_min(summary, pos) FROM elx x WHERE x.page_id = t.page_id AND x.tag = 'body') AS cur")}) s
+  USING (page_id)) sp USING (page_id)"""
+    return (f"SELECT l.tab, l.sel_order, o.page_id, o.pos, o.format, o.output FROM live l JOIN ("
+            f"{_formats_union_sql()} UNION ALL {html_css_select()} UNION ALL {snap}) o "
+            f"ON o.page_id = l.page_id AND o.pos = l.pos")
+
+
+def CW(select: str) -> str:  # noqa: N802
+    base = LVW("", render=True).rstrip() + O.styles_cte() + "," + TITLE_SQL
+    return base + "\n" + select
+
+
+COMBINED_SQL = f"""
+SELECT tab, format, string_agg(output, chr(10) || chr(10) ORDER BY sel_order) AS output, count(*) AS items
+FROM ({capture_outputs_sql()}) WHERE output <> '' GROUP BY tab, format"""
+
+
+@query("combined_output", CW(COMBINED_SQL))
+def q_combined_output(spark, sf):
+    return PR.combined_output(capture_outputs(spark, sf))
+
+
+def prompt_sql() -> str:
+    def tmpl(lines):
+        parts = []
+        for line in lines:
+            s = O.q(line)
+            for f, e in (("{title}", "t.title"), ("{url}", "t.url"), ("{count}", "CAST(n.cnt AS VARCHAR)"),
+                         ("{output}", "coalesce(c.output, '')"), ("{format}", "f.format")):
+                s = s.replace(f, "' || " + e + " || '")
+            parts.append(s)
+        return " || chr(10) || ".join(parts)
+    cases = " ".join(f"WHEN f.format = {O.q(k)} THEN {tmpl(v)}" for k, v in PR.PROMPT_TEMPLATES.items())
+    fmts = ", ".join(f"({O.q(x)})" for x in TEXT_FORMATS)
+    return f"""
+SELECT n.tab, f.format, CASE {cases} ELSE {tmpl(PR.FALLBACK_TEMPLATE)} END AS prompt
+FROM (SELECT tab, count(*) AS cnt FROM live GROUP BY tab) n CROSS JOIN (VALUES {fmts}) f(format)
+JOIN ttl t ON t.page_id = n.tab
+LEFT JOIN ({COMBINED_SQL}) c ON c.tab = n.tab AND c.format = f.format"""
+
+
+@query("prompt_text", CW(prompt_sql()))
+def q_prompt_text(spark, sf):
+    lv = live(spark, sf)
+    n = lv.groupBy("tab").agg(F.count("*").alias("cnt"))
+    f = n.select("tab", "cnt", F.explode(F.array(*[F.lit(x) for x in TEXT_FORMATS])).alias("format"))
+    comb = PR.combined_output(capture_outputs(spark, sf)).select("tab", "format", "output")
+    t = S.page_title(C.pages(spark, sf), C.elements_with_text(spark, sf))
+    j = f.join(comb, ["tab", "format"], "left").join(t, F.col("tab") == F.col("page_id"), "left")
+    return j.select("tab", "format", PR.build_prompt(F.col("format"), F.col("title"), F.col("url"), F.col("cnt"),
+                                                     F.coalesce("output", F.lit(""))).alias("prompt"))
