@@ -664,3 +664,53 @@ def q_prompt_text(spark, sf):
     j = f.join(comb, ["tab", "format"], "left").join(t, F.col("tab") == F.col("page_id"), "left")
     return j.select("tab", "format", PR.build_prompt(F.col("format"), F.col("title"), F.col("url"), F.col("cnt"),
                                                      F.coalesce("output", F.lit(""))).alias("prompt"))
+
+
+# ---------------------------------------------------------------------------
+# nested outputs (rows-only checks) and the stream
+# ---------------------------------------------------------------------------
+from weblens.operators import payload as PL  # noqa: E402
+
+
+def _payloads(spark, sf):
+    e = _scope(C.elements_with_text(spark, sf))
+    return PL.selector_payload(e, _locators(spark, sf))
+
+
+@query("selector_payload")
+def q_selector_payload(spark, sf):
+    return _payloads(spark, sf).select("page_id", "pos", F.to_json("payload").alias("payload"))
+
+
+def _selector_docs(spark, sf, roots_df):
+    t = S.page_title(C.pages(spark, sf), C.elements_with_text(spark, sf))
+    e = C.elements_with_text(spark, sf)
+    pay = PL.selector_payload(e.join(roots_df.select("page_id", "pos"), ["page_id", "pos"], "left_semi"),
+                              _locators(spark, sf))
+    return PL.selector_document(pay, t, roots_df)
+
+
+@query("selector_document")
+def q_selector_document(spark, sf):
+    lv = live(spark, sf)
+    r = lv.select("page_id", "pos", "context").dropDuplicates(["page_id", "pos"])
+    return _selector_docs(spark, sf, r)
+
+
+@query("all_formats")
+def q_all_formats(spark, sf):
+    lv = live(spark, sf)
+    r = lv.select("page_id", "pos", "context").dropDuplicates(["page_id", "pos"])
+    sel = lv.select("tab", "sel_order", "page_id", "pos").join(_selector_docs(spark, sf, r), ["page_id", "pos"])
+    outs = capture_outputs(spark, sf).unionByName(sel.select(*capture_outputs(spark, sf).columns))
+    return outs.groupBy("tab", "sel_order", "page_id", "pos").agg(
+        F.map_from_entries(F.collect_list(F.struct("format", "output"))).alias("formats"))
+
+
+@query("stream_snapshot")
+def q_stream_snapshot(spark, sf):
+    from weblens.streaming.page_feed import stream_snapshot
+    return stream_snapshot(spark, sf)
+
+
+ORACLE["stream_snapshot"] = ORACLE["page_snapshot"]
