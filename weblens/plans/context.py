@@ -71,3 +71,27 @@ def clear() -> None:
         except Exception:  # noqa: BLE001
             pass
     _CACHE.clear()
+
+
+class Tables:
+    """Tree tables of an arbitrary ``pages(page_id, url, html)`` DataFrame."""
+
+    def __init__(self, pages_df: DataFrame, num_partitions: int = 2):
+        from weblens.functions import lists as L
+        from weblens.functions.text import clean_text
+
+        self.pages = pages_df
+        self.nodes = E.build_nodes(tree.build(tree.partition_pages(pages_df, num_partitions))).cache()
+        self.elements = self.nodes.filter(F.col("kind") == "open").drop("text")
+        self.texts = self.nodes.filter(F.col("kind") == "text")
+        self.elements_text = E.with_text(self.elements, self.texts).withColumn(
+            "preview", F.substring(clean_text("text"), 1, L.PREVIEW_CHARS)).cache()
+        self.nodes_text = self.elements_text.unionByName(self.texts, allowMissingColumns=True)
+
+    def element(self, page_id: int, tag: str, nth: int = 1):
+        rows = self.elements_text.filter((F.col("page_id") == page_id) & (F.col("tag") == tag)).orderBy("pos").collect()
+        return rows[nth - 1]
+
+    def roots(self, page_id: int, tag: str, nth: int = 1) -> DataFrame:
+        pos = self.element(page_id, tag, nth)["pos"]
+        return self.elements_text.filter((F.col("page_id") == page_id) & (F.col("pos") == pos))

@@ -714,3 +714,12 @@ def q_stream_snapshot(spark, sf):
 
 
 ORACLE["stream_snapshot"] = ORACLE["page_snapshot"]
+
+
+@query("selection_replay_stream")
+def q_selection_replay_stream(spark, sf):
+    from weblens.streaming.selection_stream import run_selection_stream
+    return run_selection_stream(spark, sf)
+
+
+ORACLE["selection_replay_stream"] = ORACLE["selection_replay"]
