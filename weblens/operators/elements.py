@@ -143,7 +143,9 @@ def _with_ancestors(n: DataFrame) -> DataFrame:
     g = r.groupBy("page_id", "node").agg(
         F.first("self", ignorenulls=True).alias("self"),
         F.array_sort(F.collect_list(F.when(F.col("anc").isNotNull(), F.struct("level", "anc")))).alias("chain0"))
-    return g.select("self.*", F.transform("chain0", lambda x: x["anc"]).alias("chain"))
+    # keep the grouping key itself (not self.page_id) so the page partitioning is still known downstream
+    return g.select("page_id", *[F.col("self")[c].alias(c) for c in cols if c != "page_id"],
+                    F.transform("chain0", lambda x: x["anc"]).alias("chain"))
 
 
 def build_nodes(nodes: DataFrame) -> DataFrame:
@@ -177,7 +179,7 @@ def build_nodes(nodes: DataFrame) -> DataFrame:
         F.when(is_el, F.try_element_at(proper, F.lit(-1))["id"]).alias("parent_id"),
         F.when(is_el, F.try_element_at(proper, F.lit(-1))["classes"]).alias("parent_classes"),
     )
-    w = Window.partitionBy("page_id", "kind").orderBy("pos")
+    w = Window.partitionBy("page_id").orderBy(F.col("kind") != "open", "pos")
     n = n.withColumn("el_ord", F.when(is_el, F.row_number().over(w) - 1).cast("long"))
     n = n.withColumn("selector", F.when(F.col("id") != "", F.concat(F.lit("#"), css_escape("id")))
                      .otherwise(F.col("class_chain")))

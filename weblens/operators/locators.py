@@ -6,7 +6,8 @@ elements keyed by ``(page_id, shape key)`` and an equi-join from the
 candidates to those counts. Match-side keys are generated separately from
 candidate keys where they differ (all class pairs, every qualifier the
 parent satisfies). The ``contains(normalize-space(text()), s)`` form joins on
-the 40-character windows of each same-tag element's normalized first text.
+hashes of the 40-character windows of each same-tag element's normalized
+first text and verifies every hit with ``instr``.
 All joins are keyed by ``page_id`` first, so they stay within the page
 partitioning of the element table.
 """
@@ -167,14 +168,19 @@ def xpath_relative(els: DataFrame) -> DataFrame:
     ).select("page_id", "pos", F.col("b.value").alias("xpath_relative"), F.col("b.m").alias("matches"))
 
 
-def text_source(els_text: DataFrame, direct: DataFrame) -> DataFrame:
-    """Adds ``xt_source``: own (direct) text, else the trimmed textContent."""
+def text_source(els_text: DataFrame, direct: DataFrame, first: DataFrame | None = None) -> DataFrame:
+    """Adds ``xt_source`` (own text, else the trimmed textContent) and, when
+    ``first`` is given, ``nt`` (normalized first text node)."""
     j = els_text.join(direct, ["page_id", "pos"], "left")
     src = F.when(F.coalesce(F.col("direct_text"), F.lit("")) != "", F.col("direct_text")).otherwise(js_trim("text"))
-    return j.withColumn("xt_source", src)
+    j = j.withColumn("xt_source", src)
+    if first is not None:
+        j = j.join(first, ["page_id", "pos"], "left").withColumn(
+            "nt", xpath_ws(F.coalesce(F.col("first_text"), F.lit("")))).drop("first_text")
+    return j
 
 
-def xpath_text(els_src: DataFrame, first: DataFrame) -> DataFrame:
+def xpath_text(els_src: DataFrame, first: DataFrame | None = None) -> DataFrame:
     """Text XPath and its match count: ``(page_id, pos, text_selector, matches)``.
     Exact form compares the normalized *first* text node; the contains form
     looks for the first 40 characters inside it."""
@@ -192,21 +198,31 @@ def xpath_text(els_src: DataFrame, first: DataFrame) -> DataFrame:
         F.when(exact, F.col("src")).otherwise(snippet).alias("needle"),
     )
     # match side: normalized first text node of every element of the page
-    ft = els_src.select("page_id", "pos", "tag").join(first, ["page_id", "pos"], "left").select(
-        "page_id", "pos", "tag", xpath_ws(F.coalesce(F.col("first_text"), F.lit(""))).alias("nt"))
+    if "nt" in els_src.columns:
+        ft = els_src.select("page_id", "pos", "tag", "nt")
+    else:
+        ft = els_src.select("page_id", "pos", "tag").join(first, ["page_id", "pos"], "left").select(
+            "page_id", "pos", "tag", xpath_ws(F.coalesce(F.col("first_text"), F.lit(""))).alias("nt"))
     eq = ft.groupBy("page_id", "tag", "nt").agg(F.count("*").alias("n_eq"))
     ce = c.filter("exact").join(eq, (c.page_id == eq.page_id) & (c.tag == eq.tag) & (c.needle == eq.nt), "left") \
         .select(c.page_id, c.pos, c.text_selector, F.coalesce(eq.n_eq, F.lit(0)).alias("matches"))
-    # contains form: 40-char windows of same-tag texts on pages that need them
-    need = c.filter(~F.col("exact")).select("page_id", "tag").distinct()
-    win = ft.join(need, ["page_id", "tag"], "left_semi").filter(F.length("nt") >= L.TEXT_XPATH_EXACT).select(
-        "page_id", "tag", "pos", F.explode(F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.length("nt") - (L.TEXT_XPATH_EXACT - 1)),
-            lambda i: F.substring(F.col("nt"), i, L.TEXT_XPATH_EXACT)))).alias("w"))
-    wc = win.groupBy("page_id", "tag", "w").agg(F.count("*").alias("n_in"))
-    cc = c.filter(~F.col("exact"))
-    cc = cc.join(wc, (cc.page_id == wc.page_id) & (cc.tag == wc.tag) & (cc.needle == wc.w), "left") \
-        .select(cc.page_id, cc.pos, cc.text_selector, F.coalesce(wc.n_in, F.lit(0)).alias("matches"))
+    # contains form: hashed 40-char windows of same-tag texts on pages that need
+    # them (8 bytes per text position), then an exact instr() check of every hit
+    n = L.TEXT_XPATH_EXACT
+    cc = c.filter(~F.col("exact")).select("page_id", "pos", "tag", "text_selector", "needle",
+                                          F.xxhash64("needle").alias("h"))
+    need = cc.select("page_id", "tag").distinct()
+    cand = ft.join(need, ["page_id", "tag"], "left_semi").filter(F.length("nt") >= n)
+    # every n-character window in one linear regex pass (zero-width lookahead)
+    windows = F.regexp_extract_all("nt", F.lit("(?s)(?=(.{%d}))" % n), 1)
+    win = cand.select("page_id", "tag", F.col("pos").alias("opos"), F.explode(F.array_distinct(F.transform(
+        windows, lambda w: F.xxhash64(w)))).alias("h"))
+    hits = cc.join(win, ["page_id", "tag", "h"]).join(
+        cand.select("page_id", F.col("pos").alias("opos"), "nt"), ["page_id", "opos"])
+    hits = hits.filter(F.instr("nt", F.col("needle")) > 0).groupBy("page_id", "pos").agg(
+        F.countDistinct("opos").alias("n_in"))
+    cc = cc.join(hits, ["page_id", "pos"], "left").select(
+        "page_id", "pos", "text_selector", F.coalesce("n_in", F.lit(0)).alias("matches"))
     return ce.unionByName(cc)
 
 
@@ -264,7 +280,7 @@ def path_matches(els: DataFrame) -> DataFrame:
         .join(cp, ["page_id", "css_path"], "left").join(xp, ["page_id", "xpath_absolute"], "left")
 
 
-def locator_matches(els_src: DataFrame, first: DataFrame) -> DataFrame:
+def locator_matches(els_src: DataFrame, first: DataFrame | None = None) -> DataFrame:
     """The five fingerprint locators with match counts and tier:
     ``(page_id, pos, strategy, value, tier, matches, unique)``."""
     su = shortest_unique(els_src).select("page_id", "pos", F.lit("shortest-unique").alias("strategy"),

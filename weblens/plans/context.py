@@ -95,3 +95,13 @@ class Tables:
     def roots(self, page_id: int, tag: str, nth: int = 1) -> DataFrame:
         pos = self.element(page_id, tag, nth)["pos"]
         return self.elements_text.filter((F.col("page_id") == page_id) & (F.col("pos") == pos))
+
+
+def memo(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """Build once per (session, input, name) and keep it (MEMORY_AND_DISK):
+    shared intermediates used by several queries or several branches of one
+    plan are not recomputed."""
+    key = (id(spark), sf_dir, name)
+    if key not in _CACHE:
+        _CACHE[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
+    return _CACHE[key]

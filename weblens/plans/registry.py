@@ -374,7 +374,12 @@ def _in_scope(spark, sf, df):
 
 
 def els_src(spark, sf):
-    return LC.text_source(C.elements_with_text(spark, sf), _direct(C.texts(spark, sf)))
+    return C.memo(spark, sf, "els_src", lambda: LC.text_source(
+        C.elements_with_text(spark, sf), _direct(C.texts(spark, sf)), _first(C.texts(spark, sf))))
+
+
+def first_texts(spark, sf):
+    return C.memo(spark, sf, "first_text", lambda: _first(C.texts(spark, sf)))
 
 
 @query("ranked_selectors", LW(OL.ranked_sql()))
@@ -399,14 +404,12 @@ def q_xpath_relative(spark, sf):
 
 @query("xpath_text", LW(OL.xpath_text_sql()))
 def q_xpath_text(spark, sf):
-    src = els_src(spark, sf)
-    first = _first(C.texts(spark, sf))
-    return _in_scope(spark, sf, LC.xpath_text(src, first))
+    return _in_scope(spark, sf, LC.xpath_text(els_src(spark, sf), first_texts(spark, sf)))
 
 
 def _locators(spark, sf):
-    loc = LC.locator_matches(els_src(spark, sf), _first(C.texts(spark, sf)))
-    return _in_scope(spark, sf, loc)
+    return C.memo(spark, sf, "locators", lambda: _in_scope(
+        spark, sf, LC.locator_matches(els_src(spark, sf), first_texts(spark, sf))))
 
 
 @query("locator_matches", LW(OL.locator_matches_sql()))
