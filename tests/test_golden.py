@@ -140,3 +140,12 @@ def test_malformed_tree(spark):
     assert b["parent_pos"] == p1["pos"] and b["end_pos"] == p1["end_pos"]
     ul = els[("ul", 1)]
     assert els[("li", 1)]["parent_pos"] == ul["pos"] and els[("li", 2)]["parent_pos"] == ul["pos"]
+
+
+def test_include_hidden(spark):
+    t = tables(spark)
+    got = out(R.clean_html(t.nodes_text, t.roots(1, "main"), R.Options(include_context=False, include_hidden=True)))
+    assert got.endswith('<svg aria-label="vector graphic"></svg><p hidden="">secret</p></main>')
+    a11y = out(R.a11y_outline(t.elements_text, t.roots(1, "main"), R.Options(include_context=False,
+                                                                             include_hidden=True)))
+    assert a11y.split("\n")[-1] == '  [p] "secret"'

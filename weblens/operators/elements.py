@@ -167,6 +167,10 @@ def build_nodes(nodes: DataFrame) -> DataFrame:
         sup(chain, lambda x: x["hidden"] | skip(x)).alias("sup_skip"),
         sup(chain, lambda x: x["hidden"] | (skip(x) & (x["tag"] != "svg"))).alias("sup_skip_nosvg"),
         F.when(is_el, sup(proper, lambda x: x["hidden"] | skip(x))).alias("anc_skip"),
+        # variants that ignore hidden state (includeHidden)
+        sup(chain, lambda x: skip(x)).alias("sup_skip_only"),
+        sup(chain, lambda x: skip(x) & (x["tag"] != "svg")).alias("sup_skip_only_nosvg"),
+        F.when(is_el, sup(proper, lambda x: skip(x))).alias("anc_skip_only"),
         F.when(is_el, F.array_join(F.transform(chain, lambda x: x["css_part"]), " > ")).alias("css_path"),
         F.when(is_el, F.array_join(F.transform(chain, lambda x: x["xpath_part"]), "/")).alias("xpath_absolute"),
         F.when(is_el, F.array_join(F.transform(

@@ -33,6 +33,15 @@ class Options:
     keep_test_ids: bool = True
     include_context: bool = True
     truncation: int = L.DEFAULTS["truncationThreshold"]
+    include_hidden: bool = False
+
+
+def _sup(name: str, opts: Options) -> F.Column:
+    """Innermost suppressing ancestor-or-self; with include_hidden only skip tags count."""
+    if not opts.include_hidden:
+        return F.col(name)
+    return {"sup_skip": F.col("sup_skip_only"), "sup_skip_nosvg": F.col("sup_skip_only_nosvg"),
+            "anc_skip": F.col("anc_skip_only"), "sup_hidden": F.lit(None).cast("long")}[name]
 
 
 def keep_attribute(name, strip_noise: bool = True, keep_test_ids: bool = True):
@@ -96,8 +105,9 @@ def clean_html(nodes_text: DataFrame, roots: DataFrame, opts: Options = Options(
     subtrees removed, text nodes trimmed, svg summarised."""
     p = pairs(nodes_text, roots)
     kind, rd, rp = F.col("kind"), F.col("rd"), F.col("root_pos")
-    free = F.col("sup_skip").isNull() | (F.col("sup_skip") < rp)
-    svg_ok = (F.col("tag") == "svg") & ~F.col("hidden") & (F.col("anc_skip").isNull() | (F.col("anc_skip") < rp))
+    free = _sup("sup_skip", opts).isNull() | (_sup("sup_skip", opts) < rp)
+    hidden = F.lit(False) if opts.include_hidden else F.col("hidden")
+    svg_ok = (F.col("tag") == "svg") & ~hidden & (_sup("anc_skip", opts).isNull() | (_sup("anc_skip", opts) < rp))
     is_el = kind == "open"
     cut = F.lit(False) if opts.depth is None else (rd == opts.depth)
     void = F.col("tag").isin(L.VOID_TAGS)
@@ -128,7 +138,7 @@ def structure(els_text: DataFrame, roots: DataFrame, opts: Options = Options())
     """Indented outline ``tag#id.classes "preview"`` per root."""
     p = pairs(els_text, roots)
     rp, rd = F.col("root_pos"), F.col("rd")
-    free = F.col("sup_skip_nosvg").isNull() | (F.col("sup_skip_nosvg") < rp)
+    free = _sup("sup_skip_nosvg", opts).isNull() | (_sup("sup_skip_nosvg", opts) < rp)
     line = F.concat(F.repeat(F.lit("  "), rd.cast("int")), F.col("summary"),
                     F.when(F.col("preview") != "", F.concat(F.lit(' "'), F.col("preview"), F.lit('"')))
                     .otherwise(F.lit("")))
@@ -163,7 +173,7 @@ def a11y_outline(els_text: DataFrame, roots: DataFrame, opts: Options = Options(
     """Accessibility lines ``[tag role aria-*  alt] "name" WARNING(..)`` per root."""
     p = pairs(els_text, roots)
     rp, rd = F.col("root_pos"), F.col("rd")
-    free = F.col("sup_hidden").isNull() | (F.col("sup_hidden") < rp)
+    free = _sup("sup_hidden", opts).isNull() | (_sup("sup_hidden", opts) < rp)
     line = F.concat(F.repeat(F.lit("  "), rd.cast("int")), a11y_line())
     f = p.filter(free & _within(rd, opts)).select(
         "page_id", "root_pos", F.col("pos").alias("k1"), F.lit(0).alias("k2"), F.lit(0).alias("k3"),
@@ -201,7 +211,7 @@ def declared_styles(els_text: DataFrame, roots: DataFrame, opts: Options = Optio
     styles of visible elements in the subtree, tree order)."""
     p = pairs(els_text.filter(F.col("attr")["style"].isNotNull()), roots)
     rp, rd = F.col("root_pos"), F.col("rd")
-    free = F.col("sup_hidden").isNull() | (F.col("sup_hidden") < rp)
+    free = _sup("sup_hidden", opts).isNull() | (_sup("sup_hidden", opts) < rp)
     lines = style_lines()
     block = F.concat(rule_selector(), F.lit(" {\n  "), F.array_join(lines, "\n  "), F.lit("\n}"))
     f = p.filter(free & _within(rd, opts) & (F.size(lines) > 0)).select(
