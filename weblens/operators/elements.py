@@ -199,10 +199,13 @@ def page_text(texts: DataFrame) -> DataFrame:
 
 def with_text(els: DataFrame, texts: DataFrame, name: str = "text") -> DataFrame:
     """Adds ``textContent`` for the given elements (byte-range substring of the
-    page text; O(length) per element, no per-element scan of the page)."""
-    pt = page_text(texts.join(els.select("page_id").distinct(), "page_id", "left_semi"))
+    page text; O(length) per element, no per-element scan of the page).
+    Text-node rows in ``els`` keep their own text."""
+    pt = page_text(texts)
     j = els.join(pt, "page_id", "left")
     n = F.col("text_end") - F.col("text_start")
     txt = F.when(n > 0, F.decode(F.substring(F.col("page_bin"), F.col("text_start") + 1, n), "UTF-8")) \
         .otherwise(F.lit(""))
+    if "kind" in els.columns and "text" in els.columns:
+        txt = F.when(F.col("kind") == "text", F.col("text")).otherwise(txt)
     return j.withColumn(name, F.coalesce(txt, F.lit(""))).drop("page_bin")

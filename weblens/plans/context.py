@@ -48,20 +48,36 @@ def texts(spark: SparkSession, sf_dir: str, rich: bool = True) -> DataFrame:
     return nodes(spark, sf_dir, rich).filter(F.col("kind") == "text")
 
 
-def elements_with_text(spark: SparkSession, sf_dir: str, rich: bool = True) -> DataFrame:
+def nodes_with_text(spark: SparkSession, sf_dir: str, rich: bool = True) -> DataFrame:
+    """All nodes; elements get ``text`` (textContent) and ``preview``. One
+    cached table, so (root, node) pairs over elements and texts need no union
+    (a union would drop the page partitioning and force a shuffle)."""
     key = (id(spark), sf_dir, rich, "text")
     if key not in _CACHE:
-        from weblens.functions.text import clean_text
         from weblens.functions import lists as L
+        from weblens.functions.text import clean_text
 
-        els = E.with_text(elements(spark, sf_dir, rich), texts(spark, sf_dir, rich), "text")
-        els = els.withColumn("preview", F.substring(clean_text("text"), 1, L.PREVIEW_CHARS))
-        _CACHE[key] = els.persist(StorageLevel.MEMORY_AND_DISK)
+        n = nodes(spark, sf_dir, rich)
+        nt = E.with_text(n, texts(spark, sf_dir, rich), "text")
+        nt = nt.withColumn("preview", F.when(F.col("kind") == "open",
+                                             F.substring(clean_text("text"), 1, L.PREVIEW_CHARS)))
+        _CACHE[key] = nt.persist(StorageLevel.MEMORY_AND_DISK)
     return _CACHE[key]
 
 
+def elements_with_text(spark: SparkSession, sf_dir: str, rich: bool = True) -> DataFrame:
+    return nodes_with_text(spark, sf_dir, rich).filter(F.col("kind") == "open")
+
+
 def pages(spark: SparkSession, sf_dir: str, rich: bool = True) -> DataFrame:
-    return (read_pages_rich if rich else read_pages)(spark, sf_dir)
+    """``(page_id, url)``, hash-partitioned by page_id like the node table, so
+    joining page-level results to it needs no further shuffle."""
+    key = (id(spark), sf_dir, rich, "pages")
+    if key not in _CACHE:
+        configure(spark)
+        p = read_pages(spark, sf_dir).select("page_id", "url")
+        _CACHE[key] = tree.partition_pages(p, num_partitions(spark)).persist(StorageLevel.MEMORY_AND_DISK)
+    return _CACHE[key]
 
 
 def clear() -> None:
@@ -84,9 +100,9 @@ class Tables:
         self.nodes = E.build_nodes(tree.build(tree.partition_pages(pages_df, num_partitions))).cache()
         self.elements = self.nodes.filter(F.col("kind") == "open").drop("text")
         self.texts = self.nodes.filter(F.col("kind") == "text")
-        self.elements_text = E.with_text(self.elements, self.texts).withColumn(
-            "preview", F.substring(clean_text("text"), 1, L.PREVIEW_CHARS)).cache()
-        self.nodes_text = self.elements_text.unionByName(self.texts, allowMissingColumns=True)
+        self.nodes_text = E.with_text(self.nodes, self.texts).withColumn(
+            "preview", F.when(F.col("kind") == "open", F.substring(clean_text("text"), 1, L.PREVIEW_CHARS))).cache()
+        self.elements_text = self.nodes_text.filter(F.col("kind") == "open")
 
     def element(self, page_id: int, tag: str, nth: int = 1):
         rows = self.elements_text.filter((F.col("page_id") == page_id) & (F.col("tag") == tag)).orderBy("pos").collect()

@@ -244,7 +244,7 @@ def RW(select: str) -> str:  # noqa: N802
 
 
 def nodes_text(spark, sf):
-    return C.elements_with_text(spark, sf).unionByName(C.texts(spark, sf), allowMissingColumns=True)
+    return C.nodes_with_text(spark, sf)
 
 
 def roots(spark, sf):

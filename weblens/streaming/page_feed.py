@@ -30,6 +30,7 @@ def snapshot_batch(pages: DataFrame, num_partitions: int, rich: bool = True) ->
     els = n.filter(F.col("kind") == "open").drop("text")
     txt = n.filter(F.col("kind") == "text")
     et = E.with_text(els, txt).withColumn("preview", F.substring(clean_text("text"), 1, L.PREVIEW_CHARS))
+    # (els has no text column, so every row is an element here)
     return S.page_snapshot(pages, els, et)
 
 
