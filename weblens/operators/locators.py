@@ -211,14 +211,15 @@ def xpath_text(els_src: DataFrame, first: DataFrame | None = None) -> DataFrame:
     n = L.TEXT_XPATH_EXACT
     cc = c.filter(~F.col("exact")).select("page_id", "pos", "tag", "text_selector", "needle",
                                           F.xxhash64("needle").alias("h"))
-    need = cc.select("page_id", "tag").distinct()
-    cand = ft.join(need, ["page_id", "tag"], "left_semi").filter(F.length("nt") >= n)
-    # every n-character window in one linear regex pass (zero-width lookahead)
+    # needle hashes per (page, tag): bounded by the page's candidates
+    need = cc.groupBy("page_id", "tag").agg(F.collect_set("h").alias("hs"))
+    cand = ft.filter(F.length("nt") >= n).join(need, ["page_id", "tag"])
+    # every n-character window in one linear regex pass (zero-width lookahead);
+    # only windows whose hash is a needle's become rows
     windows = F.regexp_extract_all("nt", F.lit("(?s)(?=(.{%d}))" % n), 1)
-    win = cand.select("page_id", "tag", F.col("pos").alias("opos"), F.explode(F.array_distinct(F.transform(
-        windows, lambda w: F.xxhash64(w)))).alias("h"))
-    hits = cc.join(win, ["page_id", "tag", "h"]).join(
-        cand.select("page_id", F.col("pos").alias("opos"), "nt"), ["page_id", "opos"])
+    win = cand.select("page_id", "tag", F.col("pos").alias("opos"), "nt", F.explode(F.array_intersect(
+        F.transform(windows, lambda w: F.xxhash64(w)), F.col("hs"))).alias("h"))
+    hits = cc.join(win, ["page_id", "tag", "h"])
     hits = hits.filter(F.instr("nt", F.col("needle")) > 0).groupBy("page_id", "pos").agg(
         F.countDistinct("opos").alias("n_in"))
     cc = cc.join(hits, ["page_id", "pos"], "left").select(
