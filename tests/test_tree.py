@@ -58,7 +58,8 @@ def _stack_parse(html):
 
 
 def test_against_sequential_parse(spark):
-    pages = C.pages(spark, SF_SMALL).collect()
+    from weblens.sources.pages import read_pages_rich
+    pages = read_pages_rich(spark, SF_SMALL).collect()
     els = C.elements(spark, SF_SMALL).select("page_id", "pos", "tag", "depth", "parent_tag").collect()
     by_page = {}
     for r in els:

@@ -21,8 +21,33 @@ _CACHE: dict = {}
 
 
 def configure(spark: SparkSession) -> None:
-    """Let joins keyed by (page_id, x) reuse the page_id partitioning."""
+    """Let joins keyed by (page_id, x) reuse the page_id partitioning, and make
+    sure a reliable checkpoint directory is known (the cluster's
+    ``spark.checkpoint.dir``; a local scratch directory only when unset)."""
+    from weblens.session import ensure_checkpoint_dir
+
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    ensure_checkpoint_dir(spark)
+
+
+def _write_bucketed(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage with a table written to the shared checkpoint folder,
+    bucketed by ``page_id`` into the shuffle partition count: reading it back
+    reports hash partitioning on ``page_id``, so later per-page windows, aggregates
+    and joins still need no shuffle, and a lost executor re-reads files instead
+    of recomputing the tokenize + window plan."""
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    tag = uuid.uuid4().hex[:12]
+    table = f"weblens_{name}_{tag}"
+    (df.write.mode("overwrite").bucketBy(num_partitions(spark), "page_id")
+     .option("path", f"{base}/weblens/{name}-{tag}").saveAsTable(table))
+    return spark.table(table)
+
+
+def _checkpointing(spark: SparkSession) -> bool:
+    return spark.conf.get("weblens.checkpoint", "true").lower() != "false"
 
 
 def num_partitions(spark: SparkSession) -> int:
@@ -35,8 +60,10 @@ def nodes(spark: SparkSession, sf_dir: str, rich: bool = True) -> DataFrame:
         configure(spark)
         pages = (read_pages_rich if rich else read_pages)(spark, sf_dir)
         p = tree.partition_pages(pages, num_partitions(spark))
-        n = E.build_nodes(tree.build(p)).persist(StorageLevel.MEMORY_AND_DISK)
-        _CACHE[key] = n
+        n = E.build_nodes(tree.build(p))
+        if _checkpointing(spark):
+            n = _write_bucketed(spark, n, "nodes")
+        _CACHE[key] = n.persist(StorageLevel.MEMORY_AND_DISK)
     return _CACHE[key]
 
 
