@@ -37,8 +37,13 @@ def escape_html(c) -> Column:
 
 
 def decode_entities(c) -> Column:
-    """Decode numeric and a fixed table of named character references."""
+    """Decode numeric and a fixed table of named character references
+    (strings without '&' are returned as they are)."""
     c = col_(c)
+    return F.when(F.instr(c, "&") > 0, _decode(c)).otherwise(c)
+
+
+def _decode(c: Column) -> Column:
     # numeric references: decimal then hexadecimal, one replace per distinct reference
     dec = F.regexp_extract_all(c, F.lit("&#([0-9]{1,7});"), 1)
     c = F.aggregate(

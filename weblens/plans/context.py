@@ -30,7 +30,7 @@ def configure(spark: SparkSession) -> None:
     ensure_checkpoint_dir(spark)
 
 
-def _write_bucketed(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def _write_bucketed(spark: SparkSession, df: DataFrame, name: str, nparts: int) -> DataFrame:
     """Cut the lineage with a table written to the shared checkpoint folder,
     bucketed by ``page_id`` into the shuffle partition count: reading it back
     reports hash partitioning on ``page_id``, so later per-page windows, aggregates
@@ -41,7 +41,7 @@ def _write_bucketed(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     base = spark.conf.get("spark.checkpoint.dir").rstrip("/")
     tag = uuid.uuid4().hex[:12]
     table = f"weblens_{name}_{tag}"
-    (df.write.mode("overwrite").bucketBy(num_partitions(spark), "page_id")
+    (df.write.mode("overwrite").bucketBy(nparts, "page_id")
      .option("path", f"{base}/weblens/{name}-{tag}").saveAsTable(table))
     return spark.table(table)
 
@@ -50,8 +50,20 @@ def _checkpointing(spark: SparkSession) -> bool:
     return spark.conf.get("weblens.checkpoint", "true").lower() != "false"
 
 
-def num_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def num_partitions(spark: SparkSession, sf_dir: str | None = None) -> int:
+    """Partition count of the page-partitioned tables: one partition per
+    ``weblens.partitionBytes`` (default 32 MB) of compressed ``pages`` input,
+    read from the planned relation size (no scan), and at least the cluster's
+    default parallelism. The same count is used for every page-partitioned
+    table of an input so they stay co-partitioned."""
+    if sf_dir is None:
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = (id(spark), sf_dir, "nparts")
+    if key not in _CACHE:
+        size = int(str(read_pages(spark, sf_dir)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        target = int(spark.conf.get("weblens.partitionBytes", str(32 << 20)))
+        _CACHE[key] = max(spark.sparkContext.defaultParallelism, -(-size // target))
+    return _CACHE[key]
 
 
 def nodes(spark: SparkSession, sf_dir: str, rich: bool = True) -> DataFrame:
@@ -59,10 +71,11 @@ def nodes(spark: SparkSession, sf_dir: str, rich: bool = True) -> DataFrame:
     if key not in _CACHE:
         configure(spark)
         pages = (read_pages_rich if rich else read_pages)(spark, sf_dir)
-        p = tree.partition_pages(pages, num_partitions(spark))
+        nparts = num_partitions(spark, sf_dir)
+        p = tree.partition_pages(pages, nparts)
         n = E.build_nodes(tree.build(p))
         if _checkpointing(spark):
-            n = _write_bucketed(spark, n, "nodes")
+            n = _write_bucketed(spark, n, "nodes", nparts)
         _CACHE[key] = n.persist(StorageLevel.MEMORY_AND_DISK)
     return _CACHE[key]
 
@@ -103,7 +116,7 @@ def pages(spark: SparkSession, sf_dir: str, rich: bool = True) -> DataFrame:
     if key not in _CACHE:
         configure(spark)
         p = read_pages(spark, sf_dir).select("page_id", "url")
-        _CACHE[key] = tree.partition_pages(p, num_partitions(spark)).persist(StorageLevel.MEMORY_AND_DISK)
+        _CACHE[key] = tree.partition_pages(p, num_partitions(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
     return _CACHE[key]
 
 
