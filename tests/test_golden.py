@@ -149,3 +149,29 @@ def test_include_hidden(spark):
     a11y = out(R.a11y_outline(t.elements_text, t.roots(1, "main"), R.Options(include_context=False,
                                                                              include_hidden=True)))
     assert a11y.split("\n")[-1] == '  [p] "secret"'
+
+
+def test_declared_styles_and_html_css(spark):
+    t = make_tables(spark, [(9, "", '<html><body><article style="color: red; margin: 0px; COLOR : blue !important">'
+                                     '<p id="x" style="display:block;opacity:0.5">a</p></article></body></html>')])
+    root = t.roots(9, "article")
+    st = R.declared_styles(t.elements_text, root, NOCTX, finalize=False).collect()[0]["raw"]
+    assert st == "html > body > article {\n  color: blue;\n}\n\np#x {\n  display: block;\n  opacity: 0.5;\n}"
+    hc = out(R.html_css(t.nodes_text, t.elements_text, root, NOCTX))
+    assert hc == ('<article style="color: red; margin: 0px; COLOR : blue !important"><p id="x" '
+                  'style="display:block;opacity:0.5">a</p></article>\n\n<style>\n' + st + "\n</style>")
+
+
+def test_prompt_template(spark):
+    from weblens.operators.prompt import build_prompt
+
+    df = spark.createDataFrame([("structure", "T", "https://u", 2, "a\nb")], "f string, t string, u string, n int, o string")
+    got = df.select(build_prompt(F.col("f"), F.col("t"), F.col("u"), F.col("n"), F.col("o")).alias("p")).collect()[0]["p"]
+    assert got.split("\n") == [
+        'Below is a structural tree outline of DOM elements from "T".', "URL: https://u",
+        "Elements captured: 2 | Format: Structure", "",
+        'Each line shows: tag#id.classes "text preview". Indentation represents nesting depth.',
+        "Use this to understand the component hierarchy and locate elements by their position in the tree.", "",
+        "```", "a", "b", "```"]
+    fb = df.select(build_prompt(F.lit("zzz"), F.col("t"), F.col("u"), F.col("n"), F.col("o")).alias("p")).collect()[0]["p"]
+    assert fb == 'DOM capture from "T"\nURL: https://u\nElements: 2 | Format: zzz\n\na\nb'
