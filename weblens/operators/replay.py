@@ -24,13 +24,18 @@ def _key():
 
 def selection_replay(log: DataFrame) -> DataFrame:
     """Selections alive at the end of the log: an element is selected iff it
-    was toggled an odd number of times after the tab's last clear; selection
-    order is the order of those last toggles.
+    was toggled an odd number of times after its last reset, where a reset is
+    the tab's last ``clear`` or ``close`` (state dropped) or the element's last
+    ``remove``; selection order is the order of those last toggles.
     ``(tab, element, toggles, last_ts, sel_order)``."""
-    last_clear = log.filter(F.col("type") == "clear").groupBy("tab").agg(F.max(_key()).alias("lc"))
-    t = log.filter((F.col("type") == "toggle") & F.col("element").isNotNull()).join(last_clear, "tab", "left")
-    t = t.filter(F.col("lc").isNull() | (_key() > F.col("lc")))
-    g = t.groupBy("tab", "element").agg(F.count("*").alias("toggles"), F.max(_key()).alias("last"))
+    t = F.col("type")
+    last_clear = log.filter(t.isin("clear", "close")).groupBy("tab").agg(F.max(_key()).alias("lc"))
+    last_remove = log.filter((t == "remove") & F.col("element").isNotNull()).groupBy("tab", "element").agg(
+        F.max(_key()).alias("lr"))
+    tg = log.filter((t == "toggle") & F.col("element").isNotNull()).join(last_clear, "tab", "left") \
+        .join(last_remove, ["tab", "element"], "left")
+    tg = tg.filter((F.col("lc").isNull() | (_key() > F.col("lc"))) & (F.col("lr").isNull() | (_key() > F.col("lr"))))
+    g = tg.groupBy("tab", "element").agg(F.count("*").alias("toggles"), F.max(_key()).alias("last"))
     g = g.filter(F.col("toggles") % 2 == 1)
     w = Window.partitionBy("tab").orderBy("last")
     return g.select("tab", "element", "toggles", F.col("last.ts").alias("last_ts"),

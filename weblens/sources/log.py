@@ -5,7 +5,9 @@ Mapping (fixed for this repo): ``tab = user_id``; the element is ``k`` from
 ``page_id = tab``; ``click`` toggles a selection, ``error`` clears all
 selections, ``signup`` toggles the inspector, ``purchase`` sets the output
 format to ``FORMATS[k mod 6]``, ``view`` is ignored. Events are ordered by
-``(ts, event_id)``.
+``(ts, event_id)``. The replay also understands ``remove`` (drop one
+selection) and ``close`` (tab closed: state dropped) rows; the driver's
+events have no source for them.
 """
 
 from __future__ import annotations
