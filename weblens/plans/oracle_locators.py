@@ -152,7 +152,7 @@ def ranked_sql() -> str:
     ])
     return f"""
 SELECT page_id, pos, row_number() OVER (PARTITION BY page_id, pos ORDER BY x.score DESC, i) AS rank,
-  x.type AS type, x.value AS value, x.score AS score
+  x.type AS type, x.value AS value, CAST(x.score AS BIGINT) AS score
 FROM (SELECT page_id, pos, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (
   SELECT page_id, pos, list_filter([{lst}], lambda v: v IS NOT NULL) AS l FROM elp WHERE {SCOPE}))"""
 
