@@ -11,8 +11,8 @@ SCOPE = f"tag NOT IN {O.qlist(L.UNSELECTABLE_TAGS)}"
 
 
 def ctes() -> str:
-    """Extra CTEs: av (attribute values by name), ft (first text), dt (direct
-    text), par (parent info), src (text XPath source)."""
+    """Extra CTEs: ft (first text node), dt (direct text), nft (normalized
+    first text), par (parent info), src (text XPath source)."""
     return f""",
 ft AS (SELECT page_id, parent_pos AS pos, arg_min(text, pos) AS first_text FROM txt
        WHERE parent_pos IS NOT NULL GROUP BY page_id, parent_pos),
