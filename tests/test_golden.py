@@ -175,3 +175,14 @@ def test_prompt_template(spark):
         "```", "a", "b", "```"]
     fb = df.select(build_prompt(F.lit("zzz"), F.col("t"), F.col("u"), F.col("n"), F.col("o")).alias("p")).collect()[0]["p"]
     assert fb == 'DOM capture from "T"\nURL: https://u\nElements: 2 | Format: zzz\n\na\nb'
+
+
+def test_multi_format_equals_single_formats(spark):
+    t = tables(spark)
+    roots = t.elements_text.filter(F.col("tag").isin("main", "form", "header", "div", "article"))
+    got = {(r["page_id"], r["pos"], r["format"]): r["output"] for r in R.multi_format(t.nodes_text, roots).collect()}
+    want = {}
+    for df in (R.clean_html(t.nodes_text, roots), R.structure(t.elements_text, roots),
+               R.a11y_outline(t.elements_text, roots)):
+        want.update({(r["page_id"], r["pos"], r["format"]): r["output"] for r in df.collect()})
+    assert got == want and len(got) > 0

@@ -232,3 +232,63 @@ def html_css(nodes_text: DataFrame, els_text: DataFrame, roots: DataFrame, opts:
         raw = F.col("raw")
     return h.select("page_id", "pos", F.lit("html-css").alias("format"),
                     finalize_output(raw, F.col("root_context"), opts.include_context, opts.truncation).alias("output"))
+
+
+def multi_format(nodes_text: DataFrame, roots: DataFrame, opts: Options = Options()) -> DataFrame:
+    """clean-html, structure and accessibility outputs from ONE pass over the
+    (root, node) pairs: every pair row emits its fragments for all three
+    formats in one ``inline``, and one grouped ``listagg`` per (root, format)
+    assembles them. Same results as the three single-format functions."""
+    p = pairs(nodes_text, roots)
+    kind, rd, rp = F.col("kind"), F.col("rd"), F.col("root_pos")
+    is_el = kind == "open"
+    within = _within(rd, opts)
+    ftype = "struct<format:string,k1:bigint,k2:int,k3:bigint,frag:string>"
+
+    def frag(fmt, k1, k2, k3, s):
+        return F.struct(F.lit(fmt).alias("format"), k1.cast("long").alias("k1"), F.lit(k2).alias("k2"),
+                        k3.cast("long").alias("k3"), s.alias("frag"))
+
+    empty = F.array().cast(f"array<{ftype}>")
+    # clean-html
+    free = _sup("sup_skip", opts).isNull() | (_sup("sup_skip", opts) < rp)
+    hidden = F.lit(False) if opts.include_hidden else F.col("hidden")
+    svg_ok = (F.col("tag") == "svg") & ~hidden & (_sup("anc_skip", opts).isNull() | (_sup("anc_skip", opts) < rp))
+    cut = F.lit(False) if opts.depth is None else (rd == opts.depth)
+    ot = open_tag(opts)
+    close = F.concat(F.lit("</"), F.col("tag"), F.lit(">"))
+    text = escape_html(clean_text("text"))
+    pos, zero = F.col("pos"), F.lit(0)
+    html = (
+        F.when(~within, empty)
+        .when(~is_el, F.when(free & (text != ""), F.array(frag("clean-html", pos, 1, zero, text))).otherwise(empty))
+        .when(~free & svg_ok, F.array(frag("clean-html", pos, 1, zero, F.lit('<svg aria-label="vector graphic"></svg>'))))
+        .when(~free, empty)
+        .when(F.col("tag").isin(L.VOID_TAGS), F.array(frag("clean-html", pos, 1, zero, ot)))
+        .when(cut, F.array(frag("clean-html", pos, 1, zero, F.concat(ot, escape_html(F.col("preview")), close))))
+        .otherwise(F.array(frag("clean-html", pos, 1, zero, ot),
+                           frag("clean-html", F.col("end_pos"), 0, -F.col("depth"), close)))
+    )
+    # structure
+    free_s = _sup("sup_skip_nosvg", opts).isNull() | (_sup("sup_skip_nosvg", opts) < rp)
+    sline = F.concat(F.repeat(F.lit("  "), rd.cast("int")), F.col("summary"),
+                     F.when(F.col("preview") != "", F.concat(F.lit(' "'), F.col("preview"), F.lit('"')))
+                     .otherwise(F.lit("")))
+    struct_f = F.when(is_el & within & free_s, F.array(frag("structure", pos, 0, zero, sline))).otherwise(empty)
+    # accessibility
+    free_a = _sup("sup_hidden", opts).isNull() | (_sup("sup_hidden", opts) < rp)
+    aline = F.concat(F.repeat(F.lit("  "), rd.cast("int")), a11y_line())
+    a11y_f = F.when(is_el & within & free_a, F.array(frag("accessibility", pos, 0, zero, aline))).otherwise(empty)
+    f = p.select("page_id", "root_pos", F.inline(F.concat(html, struct_f, a11y_f)))
+    out = f.groupBy("page_id", "root_pos", "format").agg(
+        F.expr("listagg(CASE WHEN format = 'clean-html' THEN frag END, '') "
+               "WITHIN GROUP (ORDER BY k1, k2, k3)").alias("h"),
+        F.expr("listagg(CASE WHEN format <> 'clean-html' THEN frag END, '\\n') "
+               "WITHIN GROUP (ORDER BY k1, k2, k3)").alias("l"))
+    fmts = F.explode(F.array(*[F.lit(x) for x in ("clean-html", "structure", "accessibility")]))
+    ri = _root_info(roots).select("*", fmts.alias("format"))
+    j = ri.join(out.select("page_id", "root_pos", "format", F.coalesce("h", "l").alias("raw_output")),
+                ["page_id", "root_pos", "format"], "left")
+    return j.select("page_id", F.col("root_pos").alias("pos"), "format",
+                    finalize_output(F.coalesce("raw_output", F.lit("")), F.col("root_context"),
+                                    opts.include_context, opts.truncation).alias("output"))

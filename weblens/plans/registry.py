@@ -567,9 +567,9 @@ def q_html_css(spark, sf):
 
 
 def region_outputs(spark, sf):
-    e = C.elements_with_text(spark, sf)
-    r = roots(spark, sf)
-    return R.clean_html(nodes_text(spark, sf), r).unionByName(R.structure(e, r)).unionByName(R.a11y_outline(e, r))
+    """clean-html, structure and accessibility for every region root, from one
+    pass over the (root, node) pairs."""
+    return R.multi_format(nodes_text(spark, sf), roots(spark, sf))
 
 
 def _formats_union_sql() -> str:
@@ -607,8 +607,7 @@ def capture_outputs(spark, sf):
     e = C.elements_with_text(spark, sf)
     nt = nodes_text(spark, sf)
     parts = S.page_parts(C.pages(spark, sf), C.elements(spark, sf), e)
-    outs = (R.clean_html(nt, r).unionByName(R.structure(e, r)).unionByName(R.a11y_outline(e, r))
-            .unionByName(R.html_css(nt, e, r)).unionByName(S.snapshot_for_roots(parts, r)))
+    outs = (R.multi_format(nt, r).unionByName(R.html_css(nt, e, r)).unionByName(S.snapshot_for_roots(parts, r)))
     return lv.select("tab", "sel_order", "page_id", "pos").join(outs, ["page_id", "pos"])
 
 
