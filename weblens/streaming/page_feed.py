@@ -51,8 +51,10 @@ def run_page_feed(spark: SparkSession, source_dir: str, sink_dir: str | None = N
     nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
+        # one folder per batch, overwritten on retry: a re-run batch replaces
+        # its own output instead of appending duplicates (idempotent sink)
         out = snapshot_batch(batch.select("page_id", "url", "html"), nparts, rich)
-        out.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink_dir)
+        out.write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}")
 
     q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

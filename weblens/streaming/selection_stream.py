@@ -106,7 +106,8 @@ def run_selection_stream(spark: SparkSession, source_dir: str, glob: str = "even
            .parquet(source_dir))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink)
+        # idempotent: a retried batch overwrites its own folder
+        batch.write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
     q = (replay_stream(src, watermark).writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", f"{base}/selection_stream/{run}/ckpt").trigger(availableNow=True).start())
