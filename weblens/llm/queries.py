@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weblens.llm import exact_dedup, license_scan, sharding
+from weblens.llm import decontaminate, exact_dedup, license_scan, piece_bpe, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,30 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return hits.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def piece_model() -> str:
+    """Path of the public merge-type model."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.digests(_table(spark, sf_dir, "documents"), piece_model())
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"),
@@ -31,11 +55,33 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_decontaminate": op2_decontaminate,
+    "op4_sentencepiece": op4_sentencepiece,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
 }
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
 ORACLE: dict[str, str] = {
+    "op2_decontaminate": f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row_no, regexp_extract_all({_LOWER}, {_ALNUM}) AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS ws FROM benchmark),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(ws[s:s + n - 1], ' ') AS win
+       FROM (SELECT item_id, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS s
+             FROM (SELECT *, least(10, len(ws)) AS n FROM b WHERE len(ws) > 0))),
+dw AS (SELECT row_no, s, n, array_to_string(ws[s:s + n - 1], ' ') AS win
+       FROM (SELECT row_no, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS s
+             FROM d, (SELECT DISTINCT n FROM iw) WHERE len(ws) >= n)),
+hit AS (SELECT row_no, s, n, item_id FROM dw JOIN iw USING (n, win)),
+pos AS (SELECT row_no, count(DISTINCT p) AS n_hit FROM (SELECT row_no, unnest(generate_series(s, s + n - 1)) AS p FROM hit) GROUP BY row_no),
+its AS (SELECT row_no, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+        FROM (SELECT DISTINCT row_no, item_id::VARCHAR AS item FROM hit) GROUP BY row_no)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (row_no) LEFT JOIN its USING (row_no)""",
     "op8_exact_dedup": """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
