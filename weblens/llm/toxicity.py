@@ -4,8 +4,9 @@ automata intersected with the lexicon's trie, and weighed by context.
 Lexicon and weights come from a bounded sample of labelled rows
 (``TRAIN_ROWS``, the rows with the smallest hash of their id, never a held-out
 one). Terms are whole words or word stems whose odds of standing in a toxic
-text are high. Each term's automaton allows one edit from ``FUZZY_FROM``
-characters on; the product with the trie is built as a lazily determinised
+text are high, counted over different texts; of a stem and the words on it the
+more specific one stays if it explains nearly all of the stem's hits. Each
+term's automaton allows one edit from ``FUZZY_FROM`` characters on; the product with the trie is built as a lazily determinised
 automaton, so a word costs one step per character and most words die at once.
 A hit counts less when its context window quotes or reports it. Logistic
 weights over the counts give the score.
@@ -31,14 +32,16 @@ from weblens.llm.textops import ALNUM_LOWER, buffers
 from weblens.session import ship
 
 TRAIN_ROWS = 6000
-MAX_TERMS = 400
-MIN_TOXIC = 6
+MAX_TERMS = 2000
+MIN_TOXIC = 4
+MIN_TOXIC_SHARE = 0.015
 MIN_LOG_ODDS = 3.0
 FUZZY_FROM = 6
 STEMS = (4, 5, 6)
 CONTEXT = 48
 QUOTED_WEIGHT = 0.4
-N_FEATURES = 5
+EDIT_WEIGHT = 0.8
+N_FEATURES = 4
 
 #: Marks and words near a hit that show a quotation or a report of it.
 _QUOTE = re.compile(r"[\"“”„«»]|\b(?:quote|quoted|said|says|called|wrote|slur|word)\b")
@@ -141,7 +144,7 @@ class Scorer:
             self.clean = set()
         if not found:
             return [0.0] * N_FEATURES
-        exact = fuzzy = 0.0
+        hits = 0.0
         terms = set()
         low = data.lower()
         for w in found:
@@ -149,13 +152,9 @@ class Scorer:
             terms.add(term)
             for m in re.finditer(rb"(?<![0-9a-z\x80-\xff])" + re.escape(w) + rb"(?![0-9a-z\x80-\xff])", low):
                 around = low[max(0, m.start() - CONTEXT):m.start()] + b" " + low[m.end():m.end() + CONTEXT]
-                x = QUOTED_WEIGHT if _QUOTE.search(around.decode("utf-8", "ignore")) else 1.0
-                if edits:
-                    fuzzy += x
-                else:
-                    exact += x
+                hits += (QUOTED_WEIGHT if _QUOTE.search(around.decode("utf-8", "ignore")) else 1.0) * (EDIT_WEIGHT if edits else 1.0)
         n = len(ws)
-        return [np.log1p(exact), np.log1p(fuzzy), np.log1p(100.0 * (exact + fuzzy) / n), float(np.log1p(len(terms))), 1.0]
+        return [float(np.log1p(hits)), float(np.log1p(100.0 * hits / n)), float(np.log1p(len(terms))), 1.0]
 
 
 def _terms(data: bytes) -> set[str]:
@@ -168,6 +167,20 @@ def _terms(data: bytes) -> set[str]:
     return out
 
 
+def pick_terms(rows: list[tuple[str, int]]) -> list[tuple[str, bool]]:
+    """(term, is stem) from (term or stem*, number of toxic texts): a stem goes
+    if one longer term has nearly all its texts; what a kept stem covers goes."""
+    rows = [(t.rstrip("*"), t.endswith("*"), n) for t, n in rows]
+    most: dict[str, int] = {}  # of the longer terms on each stem
+    for t, _, n in rows:
+        for k in STEMS:
+            if len(t) > k:
+                most[t[:k]] = max(most.get(t[:k], 0), n)
+    stems = {t for t, stem, n in rows if stem and most.get(t, 0) < 0.9 * n}
+    covered = lambda t, own: any(t[:k] in stems for k in STEMS if k < len(t) or (k == len(t) and not own))
+    return sorted({(t, stem) for t, stem, _ in rows if (t in stems if stem else True) and not covered(t, stem)})
+
+
 def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
@@ -227,17 +240,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             keys = sorted(set(bad) | set(good))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([bad[k] for k in keys], pa.int64()), pa.array([good[k] for k in keys], pa.int64())], ["term", "bad", "good"])
 
-        n = {r["toxic"] != 0: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+        different = sample.groupBy("text").agg(F.max("toxic").alias("toxic")).select("toxic", "text")
+        n = {r["toxic"] != 0: r["n"] for r in different.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
         if not n.get(True) or not n.get(False):
             return Model([], None, 0.0)
         odds = F.log((F.col("bad") + 0.5) / (n[True] + 1)) - F.log((F.col("good") + 0.5) / (n[False] + 1))
         best = (
-            sample.select("toxic", "text").mapInArrow(count, "term string, bad long, good long")
+            different.mapInArrow(count, "term string, bad long, good long")
             .groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-            .filter(F.col("bad") >= MIN_TOXIC).withColumn("odds", odds).filter(F.col("odds") >= MIN_LOG_ODDS)
+            .filter(F.col("bad") >= max(MIN_TOXIC, MIN_TOXIC_SHARE * n[True])).withColumn("odds", odds).filter(F.col("odds") >= MIN_LOG_ODDS)
             .orderBy(F.desc("odds"), "term").limit(MAX_TERMS).collect()
         )
-        terms = sorted((r["term"].rstrip("*"), r["term"].endswith("*")) for r in best)
+        terms = pick_terms([(r["term"], r["bad"]) for r in best])
 
         def feats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sc = Scorer(terms)
