@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weblens.llm import decontaminate, exact_dedup, license_scan, piece_bpe, sharding, toxicity
+from weblens.llm import decontaminate, exact_dedup, license_scan, ngram_join, piece_bpe, sharding, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"),
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_decontaminate": op2_decontaminate,
     "op4_sentencepiece": op4_sentencepiece,
+    "op6_ngram_join": op6_ngram_join,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
@@ -64,8 +69,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_SPACED = r"'[^\x20\x09-\x0D]+'"
 
 ORACLE: dict[str, str] = {
+    "op6_ngram_join": f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, {_SPACED}) AS ws FROM documents),
+sh AS (SELECT DISTINCT r, array_to_string(ws[s:s + least(5, len(ws)) - 1], ' ') AS g
+       FROM (SELECT r, ws, unnest(generate_series(1, greatest(len(ws) - 4, 1))) AS s FROM d WHERE len(ws) > 0)),
+n AS (SELECT r, count(*) AS n FROM sh GROUP BY r),
+shared AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r),
+link AS (SELECT a, b FROM shared JOIN n na ON na.r = a JOIN n nb ON nb.r = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+reach AS (SELECT r, r AS o FROM d UNION SELECT reach.r, link.b FROM reach JOIN link ON reach.o = link.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+FROM reach JOIN d USING (r) JOIN d o ON o.r = reach.o LEFT JOIN n ON n.r = d.r GROUP BY d.r, d.doc_id, n.n""",
     "op2_decontaminate": f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS row_no, regexp_extract_all({_LOWER}, {_ALNUM}) AS ws FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS ws FROM benchmark),
