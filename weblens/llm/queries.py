@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weblens.llm import decontaminate, exact_dedup, license_scan, ngram_join, piece_bpe, sharding, substring_dedup, toxicity
+from weblens.llm import decontaminate, exact_dedup, license_scan, ngram_join, pii, piece_bpe, sharding, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,15 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.train(docs))
+    return found.select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.concat_ws(",", "base"), 256).alias("base_sha256"),
+        F.concat_ws(",", "spans").alias("spans"), "n_added",
+    )
+
+
 def piece_model() -> str:
     """Path of the public merge-type model."""
     import public_tokenizers
@@ -64,6 +73,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_decontaminate": op2_decontaminate,
+    "op3_pii": op3_pii,
     "op4_sentencepiece": op4_sentencepiece,
     "op6_ngram_join": op6_ngram_join,
     "op7_substring_dedup": op7_substring_dedup,
