@@ -150,7 +150,7 @@ def _rests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 i = where[p["line_no"]]
                 s, k = h[at[i]:end[i]], p["side"] // 2
                 r = s[k:] if p["side"] % 2 == 0 else s[:len(s) - k]
-                g = [p["key"]] if not p["hot"] else (mix(variants(r) ^ np.array([p["key"]]).view(U))).view(np.int64).tolist()
+                g = [p["key"]] if not p["hot"] else mix(variants(r) ^ mix(np.array([p["key"]]).view(U) + U(1))).view(np.int64).tolist()
                 group += g
                 ids += [p["id"]] * len(g)
                 chk += [p["chk"]] * len(g)
