@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from weblens.operators.replay import selection_replay
-from weblens.sources.log import read_log
+from weblens.sources.log import log_from_events, read_log
 from weblens.streaming.selection_stream import run_selection_stream
 
 
@@ -54,3 +54,33 @@ def test_in_order_with_compaction(spark):
             time.sleep(0.05)
     got = _rows(run_selection_stream(spark, flat, glob="*.parquet", watermark="1 hour"))
     assert got == batch
+
+
+def test_late_clear_is_dropped_and_counted(spark):
+    """A clear that arrives behind the watermark, after the toggles around it
+    were folded, changes nothing and is counted; the rest equals the batch."""
+    import datetime as dt
+    import os
+    import time
+
+    schema = spark.read.parquet(f"{SF_SMALL}/events.parquet").schema
+    t0 = dt.datetime(2024, 1, 1)
+    kinds = {"toggle": "click", "clear": "error"}
+
+    def event(i, kind, hours):
+        row = {"event_id": i, "ts": t0 + dt.timedelta(hours=hours), "user_id": 1, "event_type": kinds[kind], "props": '{"k": 5}'}
+        return tuple(row.get(f.name) for f in schema.fields)
+
+    files = [[event(1, "toggle", 0), event(2, "toggle", 2), event(3, "toggle", 2.1)], [event(4, "toggle", 9), event(5, "toggle", 9.1)], [event(6, "clear", 1)]]
+    flat = tempfile.mkdtemp(prefix="weblens-late-")
+    for i, rows in enumerate(files):
+        out = tempfile.mkdtemp(prefix="weblens-ev-")
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(out)
+        part = next(f for f in os.listdir(out) if f.endswith(".parquet"))
+        with open(f"{out}/{part}", "rb") as a, open(f"{flat}/chunk{i}.parquet", "wb") as b:
+            b.write(a.read())
+        time.sleep(0.05)
+    got = run_selection_stream(spark, flat, glob="*.parquet", watermark="1 hour")
+    on_time = spark.createDataFrame(files[0] + files[1], schema)
+    assert _rows(got) == _rows(selection_replay(log_from_events(on_time))) == [(1, 5, 5, 1)]
+    assert [r.late for r in got.collect()] == [1]

@@ -1,15 +1,18 @@
 """Tree invariants and an independent sequential parse of every page."""
 
-import re
+from html.parser import HTMLParser
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from weblens.plans import context as C
+from weblens.sources.pages import read_view
 
 
-def test_invariants(spark):
-    e = C.elements(spark, SF_SMALL)
+@pytest.mark.parametrize("view", ["rich", "malformed"])
+def test_invariants(spark, view):
+    e = C.elements(spark, SF_SMALL, view)
     p = e.alias("c").join(e.alias("p"), (F.col("c.page_id") == F.col("p.page_id"))
                           & (F.col("c.parent_pos") == F.col("p.pos")))
     bad = p.filter(~((F.col("p.pos") < F.col("c.pos")) & (F.col("c.end_pos") <= F.col("p.end_pos"))
@@ -22,48 +25,50 @@ def test_invariants(spark):
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track",
         "wbr"}
+BLOCKS = ("p", "div", "article", "nav", "ul", "h1", "h2", "footer", "header", "form", "section", "main")
 
 
-def _stack_parse(html):
-    """Sequential reference for the driver pages: returns (tag, depth, parent tag) in document order."""
-    from weblens.operators.tree import TOKEN_RX
-    toks = re.findall(TOKEN_RX.replace("(?is)", ""), html, flags=re.I | re.S)
-    out, stack = [], []
-    raw = ("script", "style", "title", "textarea", "noscript", "iframe", "xmp")
-    for t in toks:
-        if t.startswith("<!"):
-            continue
-        m = re.match(r"^<(/?)([A-Za-z][^\s/>]*)", t)
-        if not m:
-            continue
-        close, tag = m.group(1) == "/", m.group(2).lower()
-        if close:
-            names = [s for s in stack]
-            if tag in names:
-                while stack and stack[-1] != tag:
-                    stack.pop()
-                stack.pop()
-            elif tag not in ("b", "i"):
-                pass
-            continue
-        if tag == "p" or tag in ("div", "article", "nav", "ul", "h1", "footer", "header", "form", "section", "main"):
-            if "p" in stack:
-                while stack and stack[-1] != "p":
-                    stack.pop()
-                stack.pop()
-        out.append((tag, len(stack), stack[-1] if stack else None))
-        if tag not in VOID and not t.endswith("/>") and not (tag in raw and re.search(r"</[A-Za-z]+\s*>$", t)):
-            stack.append(tag)
-    return out
-
-
-def test_against_sequential_parse(spark):
-    from weblens.sources.pages import read_pages_rich
-    pages = read_pages_rich(spark, SF_SMALL).collect()
-    els = C.elements(spark, SF_SMALL).select("page_id", "pos", "tag", "depth", "parent_tag").collect()
+class StackParser(HTMLParser):
+    """The standard library's tokenizer with a plain stack: (tag, depth, parent
+    tag) of every element in document order, template content left out."""
+
+    def __init__(self):
+        super().__init__()
+        self.out, self.stack = [], []
+
+    def handle_starttag(self, tag, attrs, closed=False):
+        foreign = any(t in ("svg", "math") for t in [*self.stack, tag])
+        if tag in BLOCKS and "p" in self.stack:
+            self.pop("p")
+        if "template" not in self.stack:
+            self.out.append((tag, len(self.stack), self.stack[-1] if self.stack else None))
+        if tag not in VOID and not (closed and foreign):
+            self.stack.append(tag)
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs, True)
+
+    def pop(self, tag):
+        while self.stack.pop() != tag:
+            pass
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "i", "span", "em", "strong", "a") and tag != "p" and tag not in self.stack and "p" in self.stack:
+            return
+        if tag in self.stack:
+            self.pop(tag)
+
+
+@pytest.mark.parametrize("view", ["rich", "malformed"])
+def test_against_sequential_parse(spark, view):
+    pages = read_view(spark, SF_SMALL, view).collect()
+    els = C.elements(spark, SF_SMALL, view).select("page_id", "pos", "tag", "depth", "parent_tag").collect()
     by_page = {}
     for r in els:
         by_page.setdefault(r["page_id"], []).append(r)
     for p in pages:
         got = [(r["tag"], r["depth"], r["parent_tag"]) for r in sorted(by_page[p["page_id"]], key=lambda r: r["pos"])]
-        assert got == _stack_parse(p["html"]), p["page_id"]
+        parser = StackParser()
+        parser.feed(p["html"])
+        parser.close()
+        assert got == parser.out, p["page_id"]

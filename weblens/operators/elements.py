@@ -32,7 +32,7 @@ def parse_attrs(raw) -> F.Column:
     """Ordered ``array<struct<name,value>>`` of an open tag (names lower-cased,
     values entity-decoded; duplicates not yet removed)."""
     raw = F.col(raw) if isinstance(raw, str) else raw
-    body = F.regexp_replace(F.regexp_replace(raw, r"^<[A-Za-z][^\s/>]*", ""), r"/?>$", "")
+    body = F.regexp_replace(F.regexp_replace(raw, r"^<[A-Za-z][^\s/>]*", ""), r">$", "")
     rx = F.lit(ATTR_RX)
     names = F.regexp_extract_all(body, rx, 1)
     v2, v3, v4 = (F.regexp_extract_all(body, rx, i) for i in (2, 3, 4))

@@ -27,16 +27,17 @@ def missing_alt():
     return (F.col("tag") == "img") & (F.coalesce(_attr("alt"), F.lit("")) == "")
 
 
-def page_counts(els: DataFrame) -> DataFrame:
+def page_counts(pages: DataFrame, els: DataFrame) -> DataFrame:
     """``(page_id, buttons, links, forms, inputs, images_missing_alt)``; every
-    element counted once per group."""
-    return els.groupBy("page_id").agg(
+    element counted once per group, zeros for a page without elements."""
+    n = els.groupBy("page_id").agg(
         F.count_if(is_button()).alias("buttons"),
         F.count_if((F.col("tag") == "a") & _attr("href").isNotNull()).alias("links"),
         F.count_if(F.col("tag") == "form").alias("forms"),
         F.count_if(F.col("tag").isin(L.INPUT_TAGS)).alias("inputs"),
         F.count_if(missing_alt()).alias("images_missing_alt"),
     )
+    return pages.select("page_id").join(n, "page_id", "left").fillna(0, n.columns[1:])
 
 
 def first_k(df: DataFrame, k: int) -> DataFrame:
@@ -67,7 +68,7 @@ def page_title(pages: DataFrame, els_text: DataFrame) -> DataFrame:
 
 def page_parts(pages: DataFrame, els: DataFrame, els_text: DataFrame) -> DataFrame:
     """Per page: url, title, counts, landmark and heading lines."""
-    counts = page_counts(els)
+    counts = page_counts(pages, els)
     lm = landmarks(els).groupBy("page_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "summary"))).alias("lm"))
     hd = headings(els_text).groupBy("page_id").agg(

@@ -8,7 +8,7 @@ partitioning already satisfies):
    (script, style, title, ...) are one regex match, split into an open-tag row
    at ``4k`` and a text row at ``4k+1``; every other match sits at ``4k``.
 2. End positions (exclusive):
-   * leaves (void, raw text, ``/>``): ``pos + 1`` (raw text ``pos + 2``);
+   * leaves (void, raw text, ``/>`` inside svg or math): ``pos + 1`` (raw text ``pos + 2``);
    * ``p``: at the next ``</p>`` (inclusive), the next start tag that closes
      a ``p``, or the next non-phrasing end tag;
    * strong: the matching end tag of the same name and nesting level
@@ -17,7 +17,11 @@ partitioning already satisfies):
      a matching end tag: at the next sibling start tag or list end tag;
    * weak (unclosed, e.g. ``<b>``): at the end of the innermost element of
      the three kinds above (running depth, then ``last_value`` per depth).
-3. One sweep over open/end/text events gives depth, the byte offsets of the
+3. Clipping: an element never outlives its container. Pages where some element
+   does (``<div><span></div></span>``) are found by the same running depth; their
+   ends are cut in one fold over the page's elements in document order.
+4. Content of a ``template`` without a shadow root is inert and leaves the table.
+5. One sweep over open/end/text events gives depth, the byte offsets of the
    text inside each element and the SVG flag; parents come from
    ``last_value`` per ``(page, depth)`` over container/child rows.
 """
@@ -33,17 +37,23 @@ from weblens.functions.text import decode_entities
 RAW_TAGS = L.RAW_TEXT_TAGS + L.RCDATA_TAGS
 
 # Tokenizer (valid for Java regex and RE2: no look-around, no back-references).
+# A tag's name ends at white space, "/" or ">"; "<" before anything that starts
+# no tag is text; "<!", "<?" and "</" before a non-letter are skipped.
+_IN_TAG = "[^\"'>]*(?:\"[^\"]*\"[^\"'>]*|'[^']*'[^\"'>]*)*"
+_RAW_END = r"(?:[\s/][^>]*)?>"
 TOKEN_RX = (
-    "(?is)<!--.*?-->|<![^>]*>|"
-    + "|".join(f"<{t}\\b[^>]*>.*?</{t}\\s*>" for t in RAW_TAGS)
-    + "|</?[a-z][^\"'>]*(?:\"[^\"]*\"[^\"'>]*|'[^']*'[^\"'>]*)*>"
-    + "|[^<]+|<"
+    r"(?is)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</[^a-z>][^>]*>|</>|"
+    + "|".join(f"<{t}(?:[\\s/]{_IN_TAG})?>.*?</{t}{_RAW_END}" for t in RAW_TAGS)
+    + f"|</?[a-z]{_IN_TAG}>"
+    + "|(?:[^<]|<[^a-z/!?<])[^<]*(?:<[^a-z/!?<][^<]*)*|<"
 )
 TAG_RX = r"^</?([A-Za-z][^\s/>]*)"
-RAW_OPEN_RX = r"^<[^>]*>"
-RAW_INNER_RX = r"(?s)^<[^>]*>(.*)</[A-Za-z]+\s*>$"
-RAW_END_RX = r"</[A-Za-z]+\s*>$"
+_RAW_OPEN = r"<[A-Za-z]+(?:[\s/]" + _IN_TAG + ")?>"
+RAW_OPEN_RX = "(?s)^" + _RAW_OPEN
+RAW_INNER_RX = "(?s)^" + _RAW_OPEN + "(.*)</[A-Za-z]+" + _RAW_END + "$"
+RAW_END_RX = "</[A-Za-z]+" + _RAW_END + "$"
 ATTR_RX = r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?"""
+SHADOW_RX = r"(?i)\sshadowrootmode\s*="
 
 UNB = Window.unboundedPreceding
 CUR = Window.currentRow
@@ -57,17 +67,21 @@ def tokens(pages: DataFrame) -> DataFrame:
     t = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(TOKEN_RX), 0)).alias("k", "raw"))
     tag = F.lower(F.regexp_extract("raw", TAG_RX, 1))
     kind = (
-        F.when(F.col("raw").startswith("<!"), "skip")
+        F.when(F.col("raw").rlike("^<[!?]|^</[^A-Za-z]"), "skip")
         .when(F.col("raw").rlike("^</[A-Za-z]"), "close")
         .when(F.col("raw").rlike("^<[A-Za-z]"), "open")
         .otherwise("text")
     )
     t = t.select("page_id", "k", "raw", kind.alias("kind"), tag.alias("tag"))
+    # "/>" closes an element in SVG and MathML only
+    own = F.col("tag").isin("svg", "math")
+    depth = F.when(own & (F.col("kind") == "open") & ~F.col("raw").endswith("/>"), 1).when(own & (F.col("kind") == "close"), -1).otherwise(0)
+    t = t.withColumn("foreign", own | (F.sum(depth).over(Window.partitionBy("page_id").orderBy("k").rowsBetween(UNB, CUR)) > 0))
     is_raw = (F.col("kind") == "open") & F.col("tag").isin(RAW_TAGS) & F.col("raw").rlike(RAW_END_RX)
     base = (F.col("k") * 4).cast("long")
     inner = F.regexp_extract("raw", RAW_INNER_RX, 1)
     inner_text = F.when(F.col("tag").isin(L.RAW_TEXT_TAGS), inner).otherwise(decode_entities(inner))
-    leaf = (F.col("kind") == "open") & (F.col("tag").isin(L.VOID_TAGS) | F.col("raw").endswith("/>"))
+    leaf = (F.col("kind") == "open") & (F.col("tag").isin(L.VOID_TAGS) | (F.col("foreign") & F.col("raw").endswith("/>")))
 
     def row(pos, kind, tag, raw, leaf, raw_el, text):
         return F.struct(pos.alias("pos"), kind.alias("kind"), tag.alias("tag"), raw.alias("raw"),
@@ -147,17 +161,43 @@ def _weak_ends(t: DataFrame) -> DataFrame:
         _struct(ev_pos=pos, ord=F.lit(3), delta=F.lit(0), cend=_null_long(), role=F.lit("pass")),
     )).otherwise(F.array().cast("array<struct<ev_pos:bigint,ord:int,delta:int,cend:bigint,role:string>>"))
     e = t.select("page_id", "pos", "kind", "tag", "raw", "leaf", "raw_el", "text", "page_end", F.inline(ev))
-    w = Window.partitionBy("page_id").orderBy("ev_pos", "ord").rowsBetween(UNB, CUR)
-    e = e.withColumn("d", F.sum("delta").over(w))
-    w2 = Window.partitionBy("page_id", "d").orderBy("ev_pos", "ord").rowsBetween(UNB, CUR)
-    cont = F.last("cend", ignorenulls=True).over(w2)
+    w = Window.partitionBy("page_id").orderBy("ev_pos", "ord", F.desc("pos")).rowsBetween(UNB, CUR)
     role = F.col("role")
+    # an end event answers to the level of the element that it closes
+    e = e.withColumn("d", F.sum("delta").over(w) + F.when(role == "end", 1).otherwise(0))
+    w2 = Window.partitionBy("page_id", "d").orderBy("ev_pos", "ord", F.desc("pos")).rowsBetween(UNB, CUR)
+    cont = F.last("cend", ignorenulls=True).over(w2)
+    opener = F.last(F.when(role == "e1", pos), ignorenulls=True).over(w2)
+    e = e.withColumn("crossing", (role == "end") & ~opener.eqNullSafe(pos)).withColumn("cont", cont)
+    e = e.withColumn("misnested", F.max("crossing").over(Window.partitionBy("page_id")))
+    cont = F.col("cont")
     end = (
         F.when(role == "e1", F.col("cend"))
         .when(role == "weak", F.when(F.col("d") == 0, F.col("page_end")).otherwise(cont))
         .when(kind == "open", pos + F.when(F.col("raw_el"), 2).otherwise(1))
     )
-    return e.filter(role != "end").select("page_id", "pos", "kind", "tag", "raw", "text", end.alias("end_pos"))
+    return e.filter(role != "end").select("page_id", "pos", "kind", "tag", "raw", "text", "misnested", end.alias("end_pos"))
+
+
+def _clip(nodes: DataFrame) -> DataFrame:
+    """Cut every end to the end of its container, on the pages that need it:
+    a fold in document order over a stack of the ends that are still open."""
+    at = F.struct("pos", "end_pos")
+    opens = (
+        nodes.filter(F.col("misnested") & (F.col("kind") == "open"))
+        .groupBy("page_id").agg(F.array_sort(F.collect_list(at)).alias("els"))
+    )
+    longs, pairs = "array<bigint>", "array<struct<pos:bigint,clipped:bigint>>"
+
+    def step(acc, x):
+        live = F.filter(acc["stack"], lambda e: e > x["pos"])
+        end = F.least(x["end_pos"], F.array_min(live))
+        return F.struct(F.concat(live, F.array(end)).alias("stack"),
+                        F.concat(acc["out"], F.array(F.struct(x["pos"].alias("pos"), end.alias("clipped")))).alias("out"))
+
+    fold = F.aggregate("els", F.struct(F.array().cast(longs).alias("stack"), F.array().cast(pairs).alias("out")), step, lambda a: a["out"])
+    cuts = opens.select("page_id", F.inline(fold))
+    return nodes.join(cuts, ["page_id", "pos"], "left").withColumn("end_pos", F.coalesce("clipped", "end_pos")).drop("clipped", "misnested")
 
 
 def _sweep(nodes: DataFrame) -> DataFrame:
@@ -172,8 +212,11 @@ def _sweep(nodes: DataFrame) -> DataFrame:
     )).otherwise(F.array(
         _struct(ev_pos=pos, ord=F.lit(1), delta=F.lit(0), sdelta=F.lit(0), nbytes=nbytes, role0=F.lit("text")),
     ))
-    e = nodes.select("*", F.inline(ev))
     w = Window.partitionBy("page_id").orderBy("ev_pos", "ord", F.desc("pos")).rowsBetween(UNB, CUR)
+    # template content is inert: neither counted nor listed
+    tpl = F.when((F.col("tag") == "template") & ~F.col("raw").rlike(SHADOW_RX), F.col("delta")).otherwise(0)
+    e = nodes.select("*", F.inline(ev)).withColumn("own", tpl)
+    e = e.withColumn("inert", F.sum("own").over(w) - F.greatest("own", F.lit(0)) > 0).filter("NOT inert").drop("own", "inert")
     is_open_ev = F.col("role0") == "open"
     e = e.select("*", F.sum("delta").over(w).alias("cnt"), F.sum("nbytes").over(w).alias("tb"),
                  F.sum("sdelta").over(w).alias("svgc"),
@@ -219,4 +262,4 @@ def build(pages: DataFrame) -> DataFrame:
     """``nodes``: elements and text nodes (``kind`` open|text) with tree columns,
     computed in one chain of windows over the page partitioning."""
     t = _with_ends(tokens(pages))
-    return _sweep(_weak_ends(t))
+    return _sweep(_clip(_weak_ends(t)))

@@ -9,23 +9,40 @@ need no further shuffle.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weblens.operators import elements as E
 from weblens.operators import tree
-from weblens.sources.pages import read_pages, read_pages_rich
+from weblens.session import ensure_checkpoint_dir, scratch_path
+from weblens.sources.pages import read_pages, read_view
 
 _CACHE: dict = {}
+_TABLES: list[tuple[SparkSession, str]] = []
+
+
+def _alive(spark: SparkSession) -> bool:
+    return spark.sparkContext._jsc is not None
+
+
+def _input(spark: SparkSession, sf_dir: str) -> tuple:
+    """What a cached table stands for: the application, the folder, and the
+    files of its ``pages`` with their sizes and times, so that neither a new
+    session nor changed input ever meets an old table."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/pages.parquet")
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    files = fs.listStatus(path) if fs.exists(path) else []
+    return (sc.applicationId, sf_dir, *sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
 
 
 def configure(spark: SparkSession) -> None:
     """Let joins keyed by (page_id, x) reuse the page_id partitioning, and make
     sure a reliable checkpoint directory is known (the cluster's
     ``spark.checkpoint.dir``; a local scratch directory only when unset)."""
-    from weblens.session import ensure_checkpoint_dir
-
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     ensure_checkpoint_dir(spark)
 
@@ -36,24 +53,11 @@ def _write_bucketed(spark: SparkSession, df: DataFrame, name: str, nparts: int)
     reports hash partitioning on ``page_id``, so later per-page windows, aggregates
     and joins still need no shuffle, and a lost executor re-reads files instead
     of recomputing the tokenize + window plan."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir").rstrip("/")
-    tag = uuid.uuid4().hex[:12]
-    table = f"weblens_{name}_{tag}"
-    try:
-        (df.write.mode("overwrite").bucketBy(nparts, "page_id")
-         .option("path", f"{base}/weblens/{name}-{tag}").saveAsTable(table))
-        return spark.table(table)
-    except Exception as e:  # noqa: BLE001 - e.g. no write access or no catalog: keep the cached lineage
-        import warnings
-
-        warnings.warn(f"weblens: could not write the {name} table ({e}); using the cached plan")
-        return df
-
-
-def _checkpointing(spark: SparkSession) -> bool:
-    return spark.conf.get("weblens.checkpoint", "true").lower() != "false"
+    table = f"weblens_{name}_{uuid.uuid4().hex[:12]}"
+    (df.write.mode("overwrite").bucketBy(nparts, "page_id")
+     .option("path", scratch_path(spark, name)).saveAsTable(table))
+    _TABLES.append((spark, table))
+    return spark.table(table)
 
 
 def num_partitions(spark: SparkSession, sf_dir: str | None = None) -> int:
@@ -64,7 +68,7 @@ def num_partitions(spark: SparkSession, sf_dir: str | None = None) -> int:
     table of an input so they stay co-partitioned."""
     if sf_dir is None:
         return int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = (id(spark), sf_dir, "nparts")
+    key = (_input(spark, sf_dir), "nparts")
     if key not in _CACHE:
         size = int(str(read_pages(spark, sf_dir)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         target = int(spark.conf.get("weblens.partitionBytes", str(32 << 20)))
@@ -72,53 +76,52 @@ def num_partitions(spark: SparkSession, sf_dir: str | None = None) -> int:
     return _CACHE[key]
 
 
-def nodes(spark: SparkSession, sf_dir: str, rich: bool = True) -> DataFrame:
-    key = (id(spark), sf_dir, rich)
+def nodes(spark: SparkSession, sf_dir: str, view: str = "rich") -> DataFrame:
+    key = (_input(spark, sf_dir), view)
     if key not in _CACHE:
         configure(spark)
-        pages = (read_pages_rich if rich else read_pages)(spark, sf_dir)
+        pages = read_view(spark, sf_dir, view)
         nparts = num_partitions(spark, sf_dir)
         p = tree.partition_pages(pages, nparts)
         n = E.build_nodes(tree.build(p))
-        if _checkpointing(spark):
-            n = _write_bucketed(spark, n, "nodes", nparts)
+        n = _write_bucketed(spark, n, "nodes", nparts)
         _CACHE[key] = n.persist(StorageLevel.MEMORY_AND_DISK)
     return _CACHE[key]
 
 
-def elements(spark: SparkSession, sf_dir: str, rich: bool = True) -> DataFrame:
-    return nodes(spark, sf_dir, rich).filter(F.col("kind") == "open").drop("text")
+def elements(spark: SparkSession, sf_dir: str, view: str = "rich") -> DataFrame:
+    return nodes(spark, sf_dir, view).filter(F.col("kind") == "open").drop("text")
 
 
-def texts(spark: SparkSession, sf_dir: str, rich: bool = True) -> DataFrame:
-    return nodes(spark, sf_dir, rich).filter(F.col("kind") == "text")
+def texts(spark: SparkSession, sf_dir: str, view: str = "rich") -> DataFrame:
+    return nodes(spark, sf_dir, view).filter(F.col("kind") == "text")
 
 
-def nodes_with_text(spark: SparkSession, sf_dir: str, rich: bool = True) -> DataFrame:
+def nodes_with_text(spark: SparkSession, sf_dir: str, view: str = "rich") -> DataFrame:
     """All nodes; elements get ``text`` (textContent) and ``preview``. One
     cached table, so (root, node) pairs over elements and texts need no union
     (a union would drop the page partitioning and force a shuffle)."""
-    key = (id(spark), sf_dir, rich, "text")
+    key = (_input(spark, sf_dir), view, "text")
     if key not in _CACHE:
         from weblens.functions import lists as L
         from weblens.functions.text import clean_text
 
-        n = nodes(spark, sf_dir, rich)
-        nt = E.with_text(n, texts(spark, sf_dir, rich), "text")
+        n = nodes(spark, sf_dir, view)
+        nt = E.with_text(n, texts(spark, sf_dir, view), "text")
         nt = nt.withColumn("preview", F.when(F.col("kind") == "open",
                                              F.substring(clean_text("text"), 1, L.PREVIEW_CHARS)))
         _CACHE[key] = nt.persist(StorageLevel.MEMORY_AND_DISK)
     return _CACHE[key]
 
 
-def elements_with_text(spark: SparkSession, sf_dir: str, rich: bool = True) -> DataFrame:
-    return nodes_with_text(spark, sf_dir, rich).filter(F.col("kind") == "open")
+def elements_with_text(spark: SparkSession, sf_dir: str, view: str = "rich") -> DataFrame:
+    return nodes_with_text(spark, sf_dir, view).filter(F.col("kind") == "open")
 
 
-def pages(spark: SparkSession, sf_dir: str, rich: bool = True) -> DataFrame:
+def pages(spark: SparkSession, sf_dir: str, view: str = "rich") -> DataFrame:
     """``(page_id, url)``, hash-partitioned by page_id like the node table, so
     joining page-level results to it needs no further shuffle."""
-    key = (id(spark), sf_dir, rich, "pages")
+    key = (_input(spark, sf_dir), view, "pages")
     if key not in _CACHE:
         configure(spark)
         p = read_pages(spark, sf_dir).select("page_id", "url")
@@ -127,12 +130,15 @@ def pages(spark: SparkSession, sf_dir: str, rich: bool = True) -> DataFrame:
 
 
 def clear() -> None:
+    """Drop every cached table of every session, and the tables written for them."""
     for df in _CACHE.values():
-        try:
+        if isinstance(df, DataFrame) and _alive(df.sparkSession):
             df.unpersist()
-        except Exception:  # noqa: BLE001
-            pass
     _CACHE.clear()
+    for spark, table in _TABLES:
+        if _alive(spark):
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+    _TABLES.clear()
 
 
 class Tables:
@@ -163,7 +169,7 @@ def memo(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """Build once per (session, input, name) and keep it (MEMORY_AND_DISK):
     shared intermediates used by several queries or several branches of one
     plan are not recomputed."""
-    key = (id(spark), sf_dir, name)
+    key = (_input(spark, sf_dir), name)
     if key not in _CACHE:
         _CACHE[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
     return _CACHE[key]

@@ -10,8 +10,23 @@ window sweeps), so the check exercises the Spark plan, not a copy of it.
 from __future__ import annotations
 
 from weblens.functions import lists as L
-from weblens.operators.tree import ATTR_RX, RAW_TAGS, TOKEN_RX
-from weblens.sources.pages import RICH_REPLACEMENTS
+from weblens.sources.pages import MALFORMED_REPLACEMENTS, RICH_REPLACEMENTS
+
+
+RAW_TAGS = L.RAW_TEXT_TAGS + L.RCDATA_TAGS
+
+# The oracle's own tokenizer: attributes are spelled out one by one, where the
+# Spark side takes quoted stretches as they come.
+_ATTRIBUTES = r"""(?:[^"'>]|"[^"]*"|'[^']*')*"""
+_NAME_END = r"(?:\s|/)"
+TOKEN_RX = "(?is)" + "|".join([
+    "<!--.*?-->", r"<!\[CDATA\[.*?\]\]>", "<![^>]*>", r"<\?[^>]*>", "</>", "</[^a-z>][^>]*>",
+    *[f"<{t}>.*?</{t}(?:{_NAME_END}[^>]*)?>|<{t}{_NAME_END}{_ATTRIBUTES}>.*?</{t}(?:{_NAME_END}[^>]*)?>" for t in RAW_TAGS],
+    f"<[a-z]{_ATTRIBUTES}>", f"</[a-z]{_ATTRIBUTES}>", "(?:[^<]+|<[^a-z<!/?])+", "<",
+])
+RAW_OPEN_RX = f"(?s)^<[A-Za-z]+(?:>|{_NAME_END}{_ATTRIBUTES}>)"
+RAW_END_RX = f"</[A-Za-z]+(?:{_NAME_END}[^>]*)?>$"
+ATTR_RX = r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?"""
 
 
 def q(s: str) -> str:
@@ -73,9 +88,9 @@ def json_quote_sql(e: str) -> str:
     return "'\"' || " + e + " || '\"'"
 
 
-def pages_rich_sql() -> str:
+def pages_sql(view: str) -> str:
     h = "html"
-    for a, b in RICH_REPLACEMENTS:
+    for a, b in {"raw": [], "rich": RICH_REPLACEMENTS, "malformed": MALFORMED_REPLACEMENTS}[view]:
         h = f"replace({h}, {q(a)}, {q(b)})"
     return f"SELECT page_id, url, {h} AS html FROM pages"
 
@@ -94,10 +109,10 @@ STYLE_VIS_HIDDEN = r"(?i)(^|;)\s*visibility\s*:\s*hidden\s*(!\s*important\s*)?(;
 STYLE_OPACITY_0 = r"(?i)(^|;)\s*opacity\s*:\s*(0+\.?0*|\.0+)%?\s*(!\s*important\s*)?(;|$)"
 
 
-def base_ctes(rich: bool = True) -> str:
+def base_ctes(view: str = "rich") -> str:
     """CTEs: pr (pages), tok, el (elements with end, depth, parent), txt,
     at (attribute rows), elx (elements + attributes + derived columns)."""
-    src = pages_rich_sql() if rich else "SELECT page_id, url, html FROM pages"
+    src = pages_sql(view)
     opt_cases = []
     for name, starts, ends in L.OPTIONAL_END:
         opt_cases.append(
@@ -124,25 +139,28 @@ m AS (SELECT page_id, regexp_extract_all(html, {q(TOKEN_RX)}) AS a FROM pr),
 t0 AS (SELECT page_id, unnest(a) AS raw, generate_subscripts(a, 1) - 1 AS k FROM m),
 t1 AS (
   SELECT page_id, k, raw,
-    CASE WHEN starts_with(raw, '<!') THEN 'skip'
+    CASE WHEN starts_with(raw, '<!') OR starts_with(raw, '<?') OR regexp_matches(raw, '^</[^A-Za-z]') THEN 'skip'
          WHEN regexp_matches(raw, '^</[A-Za-z]') THEN 'close'
          WHEN regexp_matches(raw, '^<[A-Za-z]') THEN 'open' ELSE 'text' END AS kind,
     lower(regexp_extract(raw, {q(r'^</?([A-Za-z][^\s/>]*)')}, 1)) AS tag
   FROM t0),
 t2 AS (
-  SELECT *, (kind = 'open' AND tag IN {qlist(RAW_TAGS)} AND regexp_matches(raw, {q(r'</[A-Za-z]+\s*>$')})) AS is_raw
+  SELECT *, (kind = 'open' AND tag IN {qlist(RAW_TAGS)} AND regexp_matches(raw, {q(RAW_END_RX)})) AS is_raw,
+    tag IN ('svg', 'math') OR (
+      SELECT count(*) FILTER (WHERE o.kind = 'open' AND NOT ends_with(o.raw, '/>')) - count(*) FILTER (WHERE o.kind = 'close')
+      FROM t1 o WHERE o.page_id = t1.page_id AND o.k <= t1.k AND o.tag IN ('svg', 'math')) > 0 AS in_foreign
   FROM t1),
 tok AS (
   SELECT page_id, 4 * k AS pos, kind, tag,
-    CASE WHEN is_raw THEN regexp_extract(raw, '^<[^>]*>', 0) ELSE raw END AS raw,
-    (kind = 'open' AND (is_raw OR tag IN {qlist(L.VOID_TAGS)} OR ends_with(raw, '/>'))) AS leaf,
+    CASE WHEN is_raw THEN regexp_extract(raw, {q(RAW_OPEN_RX)}, 0) ELSE raw END AS raw,
+    (kind = 'open' AND (is_raw OR tag IN {qlist(L.VOID_TAGS)} OR (in_foreign AND ends_with(raw, '/>')))) AS leaf,
     is_raw AS raw_el,
     CASE WHEN kind = 'text' THEN {decode_sql('raw')} END AS text
   FROM t2
   UNION ALL
   SELECT page_id, 4 * k + 1, 'text', '', inner_text, false, false,
     CASE WHEN tag IN {qlist(L.RAW_TEXT_TAGS)} THEN inner_text ELSE {decode_sql('inner_text')} END
-  FROM (SELECT *, regexp_extract(raw, {q(r'(?s)^<[^>]*>(.*)</[A-Za-z]+\s*>$')}, 1) AS inner_text
+  FROM (SELECT *, regexp_replace(regexp_replace(raw, {q(RAW_OPEN_RX)}, ''), {q(RAW_END_RX)}, '') AS inner_text
         FROM t2 WHERE is_raw)
   WHERE inner_text <> ''),
 lv AS (
@@ -170,7 +188,7 @@ e1 AS (
           {opt}
       END END AS e1_end
   FROM st s),
-ends AS (
+ends0 AS (
   SELECT e.page_id, e.pos, e.tag, e.raw, e.raw_el,
     CASE WHEN e.e1_end IS NOT NULL THEN e.e1_end
          WHEN NOT e.leaf THEN coalesce((SELECT arg_max(c.e1_end, c.pos) FROM e1 c
@@ -178,6 +196,20 @@ ends AS (
                                           AND c.pos < e.pos AND c.e1_end > e.pos), e.page_end)
          WHEN e.raw_el THEN e.pos + 2 ELSE e.pos + 1 END AS end_pos
   FROM e1 e WHERE e.kind = 'open'),
+endn AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS i FROM ends0),
+clip(page_id, i, pos, end_pos, stack) AS (
+  SELECT page_id, i, pos, end_pos, [end_pos] FROM endn WHERE i = 1
+  UNION ALL
+  SELECT o.page_id, o.i, o.pos, least(o.end_pos, list_min(list_filter(c.stack, lambda x: x > o.pos))),
+    list_append(list_filter(c.stack, lambda x: x > o.pos), least(o.end_pos, list_min(list_filter(c.stack, lambda x: x > o.pos))))
+  FROM clip c JOIN endn o ON o.page_id = c.page_id AND o.i = c.i + 1),
+enda AS (
+  SELECT e.page_id, e.pos, e.tag, e.raw, e.raw_el, c.end_pos,
+    e.tag = 'template' AND NOT regexp_matches(e.raw, '(?i)\\sshadowrootmode\\s*=') AS tpl
+  FROM ends0 e JOIN clip c USING (page_id, pos)),
+ends AS (
+  SELECT * EXCLUDE (tpl) FROM enda e WHERE NOT EXISTS (
+    SELECT 1 FROM enda a WHERE a.page_id = e.page_id AND a.tpl AND a.pos < e.pos AND a.end_pos > e.pos)),
 el AS (
   SELECT e.*,
     (SELECT count(*) FROM ends a WHERE a.page_id = e.page_id AND a.pos < e.pos AND a.end_pos > e.pos) AS depth,
@@ -189,9 +221,10 @@ txt AS (
   SELECT t.page_id, t.pos, t.text,
     (SELECT max(a.pos) FROM ends a WHERE a.page_id = t.page_id AND a.pos < t.pos AND a.end_pos > t.pos) AS parent_pos,
     (SELECT count(*) FROM ends a WHERE a.page_id = t.page_id AND a.pos < t.pos AND a.end_pos > t.pos) AS depth
-  FROM tok t WHERE t.kind = 'text'),
+  FROM tok t WHERE t.kind = 'text' AND NOT EXISTS (
+    SELECT 1 FROM enda a WHERE a.page_id = t.page_id AND a.tpl AND a.pos < t.pos AND a.end_pos > t.pos)),
 at0 AS (
-  SELECT page_id, pos, regexp_replace(regexp_replace(raw, {q(r'^<[A-Za-z][^\s/>]*')}, ''), '/?>$', '') AS body
+  SELECT page_id, pos, regexp_replace(regexp_replace(raw, {q(r'^<[A-Za-z][^\s/>]*')}, ''), '>$', '') AS body
   FROM el),
 at1 AS (
   SELECT page_id, pos, regexp_extract_all(body, {q(ATTR_RX)}, 1) AS n,
@@ -277,8 +310,8 @@ txs AS (
 """
 
 
-def with_base(select: str, rich: bool = True, derived: bool = True) -> str:
-    return "WITH " + base_ctes(rich) + (derived_ctes() if derived else "") + "\n" + select
+def with_base(select: str, view: str = "rich", derived: bool = True) -> str:
+    return "WITH RECURSIVE " + base_ctes(view) + (derived_ctes() if derived else "") + "\n" + select
 
 
 NOISE_RX = "^(?:" + "|".join(p.replace("-", "\\-") for p in L.NOISE_PREFIXES) + ")"

@@ -29,8 +29,8 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-def W(select: str, derived: bool = True) -> str:  # noqa: N802
-    return O.with_base(select, rich=True, derived=derived)
+def W(select: str, derived: bool = True, view: str = "rich") -> str:  # noqa: N802
+    return O.with_base(select, view=view, derived=derived)
 
 
 # ---------------------------------------------------------------------------
@@ -40,15 +40,15 @@ from weblens.operators import snapshot as S  # noqa: E402
 
 
 @query("page_counts", W("""
-SELECT page_id,
+SELECT pr.page_id,
   count(*) FILTER (WHERE tag = 'button' OR coalesce(a_role, '') = 'button') AS buttons,
   count(*) FILTER (WHERE tag = 'a' AND a_href IS NOT NULL) AS links,
   count(*) FILTER (WHERE tag = 'form') AS forms,
   count(*) FILTER (WHERE tag IN ('input', 'textarea', 'select')) AS inputs,
   count(*) FILTER (WHERE tag = 'img' AND coalesce(a_alt, '') = '') AS images_missing_alt
-FROM elx GROUP BY page_id""", derived=False))
+FROM pr LEFT JOIN elx ON elx.page_id = pr.page_id GROUP BY pr.page_id""", derived=False))
 def q_page_counts(spark, sf):
-    return S.page_counts(C.elements(spark, sf))
+    return S.page_counts(C.pages(spark, sf), C.elements(spark, sf))
 
 
 @query("headings", W(f"""
@@ -115,7 +115,7 @@ def q_page_snapshot(spark, sf):
 
 
 def _with_title(select: str) -> str:
-    return O.with_base("", rich=True, derived=True).rstrip() + "," + TITLE_SQL + "\n" + select
+    return O.with_base("", derived=True).rstrip() + "," + TITLE_SQL + "\n" + select
 
 
 ORACLE["page_title"] = _with_title("SELECT page_id, url, title FROM ttl")
@@ -145,6 +145,30 @@ def q_attributes(spark, sf):
         "page_id", "pos", (F.col("i") + 1).cast("long").alias("ordinal"), "a.name", "a.value")
 
 
+# the same tables over markup that is broken in known ways
+@query("malformed_tree", W("SELECT page_id, pos, end_pos, tag, depth, parent_pos FROM el", derived=False, view="malformed"))
+def q_malformed_tree(spark, sf):
+    return C.elements(spark, sf, "malformed").select("page_id", "pos", "end_pos", "tag", "depth", "parent_pos")
+
+
+@query("malformed_texts", W("SELECT page_id, pos, parent_pos, text FROM txt", derived=False, view="malformed"))
+def q_malformed_texts(spark, sf):
+    return C.texts(spark, sf, "malformed").select("page_id", "pos", "parent_pos", "text")
+
+
+@query("malformed_attributes", W("""
+SELECT page_id, pos, row_number() OVER (PARTITION BY page_id, pos ORDER BY i) AS ordinal, name, value
+FROM atr""", derived=False, view="malformed"))
+def q_malformed_attributes(spark, sf):
+    return C.elements(spark, sf, "malformed").select("page_id", "pos", F.posexplode("attrs").alias("i", "a")).select(
+        "page_id", "pos", (F.col("i") + 1).cast("long").alias("ordinal"), "a.name", "a.value")
+
+
+@query("malformed_text_content", W("SELECT page_id, pos, text FROM tc", view="malformed"))
+def q_malformed_text_content(spark, sf):
+    return C.elements_with_text(spark, sf, "malformed").select("page_id", "pos", "text")
+
+
 @query("nth_of_type", W("SELECT page_id, pos, tag, nth_of_type, n_same_tag FROM elx", derived=False))
 def q_nth_of_type(spark, sf):
     return C.elements(spark, sf).select("page_id", "pos", "tag", "nth_of_type", "n_same_tag")
@@ -240,7 +264,7 @@ from weblens.operators.a11y import a11y_findings  # noqa: E402
 
 
 def RW(select: str) -> str:  # noqa: N802
-    return O.with_base("", rich=True, derived=True).rstrip() + O.render_ctes() + "\n" + select
+    return O.with_base("", derived=True).rstrip() + O.render_ctes() + "\n" + select
 
 
 def nodes_text(spark, sf):
@@ -361,7 +385,7 @@ from weblens.plans import oracle_locators as OL  # noqa: E402
 
 
 def LW(select: str) -> str:  # noqa: N802
-    return O.with_base("", rich=True, derived=True).rstrip() + OL.ctes() + "\n" + select
+    return O.with_base("", derived=True).rstrip() + OL.ctes() + "\n" + select
 
 
 def _scope(df):
@@ -483,7 +507,7 @@ lastsel AS (SELECT * FROM live l WHERE sel_order = (SELECT max(sel_order) FROM l
 
 
 def LVW(select: str, render: bool = False) -> str:  # noqa: N802
-    base = O.with_base("", rich=True, derived=True).rstrip() + "," + O.log_ctes() + live_sql_ctes()
+    base = O.with_base("", derived=True).rstrip() + "," + O.log_ctes() + live_sql_ctes()
     if render:
         base += O.render_ctes().replace(
             f"roots AS (SELECT e.*, g.ctx6 AS root_ctx FROM elp e JOIN ancg g USING (page_id, pos)\n"
@@ -552,7 +576,7 @@ FROM ({raw_select(CLEAN_FRAGS, "''")}) h JOIN ({raw_select(STYLE_FRAGS, "chr(10)
 
 
 def SW(select: str) -> str:  # noqa: N802
-    return O.with_base("", rich=True, derived=True).rstrip() + O.render_ctes().rstrip() + O.styles_cte() + "\n" + select
+    return O.with_base("", derived=True).rstrip() + O.render_ctes().rstrip() + O.styles_cte() + "\n" + select
 
 
 @query("declared_styles", SW(f"SELECT page_id, pos, raw AS styles FROM ({raw_select(STYLE_FRAGS, 'chr(10) || chr(10)')})"))
@@ -721,7 +745,7 @@ ORACLE["stream_snapshot"] = ORACLE["page_snapshot"]
 @query("selection_replay_stream")
 def q_selection_replay_stream(spark, sf):
     from weblens.streaming.selection_stream import run_selection_stream
-    return run_selection_stream(spark, sf)
+    return run_selection_stream(spark, sf).drop("late")
 
 
 ORACLE["selection_replay_stream"] = ORACLE["selection_replay"]

@@ -22,6 +22,18 @@ RICH_REPLACEMENTS = [
     ("<footer>", '<footer aria-hidden="true"><svg class="i"><path d="M0"/></svg>'),
 ]
 
+# FIXED VALUES: anchors of the malformed test view: misnesting, stray and missing
+# end tags, "/>" on HTML elements, unquoted values, "<" in text, names that start
+# like raw-text tags, inert template content, skipped markup.
+MALFORMED_REPLACEMENTS = [
+    ("<nav>", '<nav/><div><p>one</span>two</div></p><section><em>u<strong>v</section>w</em></strong>'),
+    ("<article>", '<article><div><span>a</div>b</span><b>x<i>y</b>z</i><a href=/x/>link</a>'
+                  "<p>a < b <? pi ?>c<p>1 <2 <3</p><style-guide kind=k>sg</style-guide><title-bar>t</title-bar>"
+                  '<template><button>inert</button><img src="t.png"></template><button>live</button>'
+                  '<svg viewBox="0 0 1 1"><g/><path d="M0"/></svg><math><mi/></math></ bogus></>'
+                  "<script data-a='x>y'>if(a<b){}</script ><input value=a/b disabled data-x='q\"r'/><h2>caf&eacute;</h2>"),
+]
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,6 +53,20 @@ def enrich(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", html.alias("html"))
 
 
+def malform(pages: DataFrame) -> DataFrame:
+    """``replace()`` chain that breaks every page's markup in known ways."""
+    html = F.col("html")
+    for a, b in MALFORMED_REPLACEMENTS:
+        html = F.replace(html, F.lit(a), F.lit(b))
+    return pages.select("page_id", "url", html.alias("html"))
+
+
+def read_view(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
+    """Pages as they are (``raw``), enriched (``rich``) or broken (``malformed``)."""
+    change = {"raw": lambda p: p, "rich": enrich, "malformed": malform}[view]
+    return change(read_pages(spark, sf_dir))
+
+
 def read_pages_rich(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich(read_pages(spark, sf_dir))
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,12 +24,15 @@ from weblens.session import ensure_checkpoint_dir
 from weblens.sources.pages import enrich
 
 
-def snapshot_batch(pages: DataFrame, num_partitions: int, rich: bool = True) -> DataFrame:
-    """Page snapshots of one batch of pages (no cache, plain plan)."""
-    pages = enrich(pages) if rich else pages
-    n = E.build_nodes(tree.build(tree.partition_pages(pages, num_partitions)))
-    els = n.filter(F.col("kind") == "open").drop("text")
-    txt = n.filter(F.col("kind") == "text")
+def batch_nodes(pages: DataFrame, num_partitions: int) -> DataFrame:
+    """The node table of one batch of pages."""
+    return E.build_nodes(tree.build(tree.partition_pages(pages, num_partitions)))
+
+
+def snapshot_batch(pages: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Page snapshots of one batch of pages from its node table."""
+    els = nodes.filter(F.col("kind") == "open").drop("text")
+    txt = nodes.filter(F.col("kind") == "text")
     et = E.with_text(els, txt).withColumn("preview", F.substring(clean_text("text"), 1, L.PREVIEW_CHARS))
     # (els has no text column, so every row is an element here)
     return S.page_snapshot(pages, els, et)
@@ -53,8 +57,13 @@ def run_page_feed(spark: SparkSession, source_dir: str, sink_dir: str | None = N
     def sink(batch: DataFrame, batch_id: int) -> None:
         # one folder per batch, overwritten on retry: a re-run batch replaces
         # its own output instead of appending duplicates (idempotent sink)
-        out = snapshot_batch(batch.select("page_id", "url", "html"), nparts, rich)
-        out.write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}")
+        pages = batch.select("page_id", "url", "html")
+        pages = enrich(pages) if rich else pages
+        nodes = batch_nodes(pages, nparts).persist(StorageLevel.MEMORY_AND_DISK)  # read seven times below
+        try:
+            snapshot_batch(pages, nodes).write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}")
+        finally:
+            nodes.unpersist()
 
     q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
