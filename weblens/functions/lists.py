@@ -10,6 +10,8 @@ standard (which start tags close an open ``p``, which tags are phrasing
 content, which are raw text), used by our tree builder.
 """
 
+from html.entities import html5
+
 # ---------------------------------------------------------------------------
 # FIXED VALUES (must equal the reference behaviour)
 # ---------------------------------------------------------------------------
@@ -168,20 +170,13 @@ UA_HIDDEN_TAGS = [
     "base", "datalist", "area", "param", "rp",
 ]
 
-# Named character references decoded in text and attribute values
-# ('amp' is applied last).
-ENTITIES = [
-    ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", "\u00a0"),
-    ("copy", "©"), ("reg", "®"), ("trade", "™"),
-    ("middot", "·"), ("mdash", "—"), ("ndash", "–"),
-    ("hellip", "…"), ("laquo", "«"), ("raquo", "»"),
-    ("lsquo", "‘"), ("rsquo", "’"), ("ldquo", "“"),
-    ("rdquo", "”"), ("bull", "•"), ("euro", "€"),
-    ("pound", "£"), ("yen", "¥"), ("cent", "¢"),
-    ("sect", "§"), ("deg", "°"), ("plusmn", "±"),
-    ("times", "×"), ("divide", "÷"), ("para", "¶"),
-    ("amp", "&"),
-]
+# Named character references: the HTML standard's table as Python's library has
+# it (names with their semicolon), and the code page that stands in for the
+# numeric references 128 to 159.
+ENTITY_NAMES = [n for n in html5 if n.endswith(";")]
+ENTITY_CHARS = [html5[n] for n in ENTITY_NAMES]
+CP1252_FROM = "".join(chr(n) for n in range(0x80, 0xA0))
+CP1252_TO = "".join(bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0))
 
 # JavaScript whitespace (String.prototype.trim, \s): ASCII plus Unicode spaces.
 JS_WS_CHARS = (

@@ -36,46 +36,51 @@ def escape_html(c) -> Column:
     return c
 
 
+ENTITY_RX = "(?s)&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);|[^&]+|&"
+
+
 def decode_entities(c) -> Column:
-    """Decode numeric and a fixed table of named character references
-    (strings without '&' are returned as they are)."""
+    """Decode character references in one pass from left to right, so nothing is
+    decoded twice (strings without '&' are returned as they are)."""
     c = col_(c)
-    return F.when(F.instr(c, "&") > 0, _decode(c)).otherwise(c)
+    names = F.split(F.lit(" ".join(L.ENTITY_NAMES)), " ")
+    chars = F.split(F.lit("\u0001".join(L.ENTITY_CHARS)), "\u0001")
+    table = F.map_from_arrays(names, chars)
 
+    def one(t):
+        digits = F.regexp_extract(t, "^&#[xX]?0*([0-9A-Fa-f]*);$", 1)
+        hexa, dec = t.rlike("^&#[xX]"), t.rlike("^&#[0-9]")
+        number = F.when(hexa, F.when(F.length(digits) <= 6, F.conv(digits, 16, 10).cast("int"))) \
+            .otherwise(F.when(F.length(digits) <= 7, F.try_to_number(digits, F.lit("9999999")).cast("int")))
+        return F.when((F.length(t) > 2) & t.endswith(";") & t.startswith("&"),
+                      F.when(hexa | dec, code_point(F.coalesce(number, F.lit(0))))
+                      .otherwise(F.coalesce(F.element_at(table, F.substring(t, 2, 40)), t))).otherwise(t)
 
-def _decode(c: Column) -> Column:
-    # numeric references: decimal then hexadecimal, one replace per distinct reference
-    dec = F.regexp_extract_all(c, F.lit("&#([0-9]{1,7});"), 1)
-    c = F.aggregate(
-        F.array_distinct(dec), c,
-        lambda acc, n: F.replace(acc, F.concat(F.lit("&#"), n, F.lit(";")), code_point(n.cast("int"))),
-    )
-    hx = F.regexp_extract_all(c, F.lit("&#[xX]([0-9a-fA-F]{1,6});"), 1)
-    c = F.aggregate(
-        F.array_distinct(hx), c,
-        lambda acc, h: F.replace(
-            F.replace(acc, F.concat(F.lit("&#x"), h, F.lit(";")), code_point(F.conv(h, 16, 10).cast("int"))),
-            F.concat(F.lit("&#X"), h, F.lit(";")), code_point(F.conv(h, 16, 10).cast("int"))),
-    )
-    for name, ch in L.ENTITIES:
-        c = F.replace(c, F.lit("&" + name + ";"), F.lit(ch))
-    return c
+    return F.when(F.instr(c, "&") > 0, F.array_join(F.transform(F.regexp_extract_all(c, F.lit(ENTITY_RX), 0), one), "")).otherwise(c)
 
 
 def code_point(n: Column) -> Column:
-    """Character for a Unicode code point (invalid -> U+FFFD)."""
+    """Character for a numeric reference (128 to 159 as the code page has
+    them, invalid ones as U+FFFD)."""
     ok = (n > 0) & (n <= 0x10FFFF) & ~((n >= 0xD800) & (n <= 0xDFFF))
-    return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise(F.lit("�"))
+    char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    return F.when(ok, F.translate(char, L.CP1252_FROM, L.CP1252_TO)).otherwise(F.lit("\ufffd"))
+
+
+CONTROL = r"\x{01}-\x{1F}\x{7F}"
 
 
 def css_escape(c) -> Column:
-    """CSS.escape for identifiers: specials get a backslash, a leading digit
-    (or '-' + digit) becomes a hex escape."""
+    """CSS.escape for identifiers: specials get a backslash; control characters
+    and a leading digit (or '-' + digit) become hex escapes."""
     c = col_(c)
-    c = F.regexp_replace(c, r"([^A-Za-z0-9_\-\x{80}-\x{10FFFF}])", r"\\$1")
-    c = F.regexp_replace(c, r"^([0-9])", "\\\\3$1 ")
-    c = F.regexp_replace(c, r"^-([0-9])", "-\\\\3$1 ")
-    return F.when(col_(c) == "-", F.lit("\\-")).otherwise(c)
+    e = F.regexp_replace(F.replace(c, F.lit("\0"), F.lit("\ufffd")), r"([^A-Za-z0-9_\-\x{80}-\x{10FFFF}" + CONTROL + "])", r"\\$1")
+    e = F.regexp_replace(e, r"^([0-9])", "\\\\3$1 ")
+    e = F.regexp_replace(e, r"^-([0-9])", "-\\\\3$1 ")
+    control = F.array_join(F.transform(F.regexp_extract_all(e, F.lit("(?s)."), 0), lambda x: F.when(
+        x.rlike(f"[{CONTROL}]"), F.concat(F.lit("\\"), F.lower(F.hex(F.ascii(x))), F.lit(" "))).otherwise(x)), "")
+    e = F.when(c.rlike(f"[{CONTROL}]"), control).otherwise(e)
+    return F.when(c == "-", F.lit("\\-")).otherwise(e)
 
 
 def xpath_literal(c) -> Column:

@@ -56,6 +56,7 @@ def _hidden(tag, attr) -> F.Column:
         | style.rlike(STYLE_DISPLAY_NONE) | style.rlike(STYLE_VIS_HIDDEN) | style.rlike(STYLE_OPACITY_0)
         | (tag.isin(L.UA_HIDDEN_TAGS) & ~((tag == "template") & attr["shadowrootmode"].isNotNull()))
         | ((tag == "input") & (F.lower(F.coalesce(attr["type"], F.lit(""))) == "hidden"))
+        | ((tag == "dialog") & attr["open"].isNull())
     )
 
 

@@ -98,21 +98,29 @@ def css_match_keys(els: DataFrame) -> DataFrame:
         F.array(_arr("ptag", F.col("parent_tag"))),
     )
     quals = F.when(F.col("parent_pos").isNotNull(), quals).otherwise(F.array().cast("array<array<string>>"))
-    pairs = F.flatten(F.transform(cls, lambda a, i: F.transform(
-        F.slice(cls, i + 2, F.greatest(F.size(cls) - i - 1, F.lit(0))),
-        lambda b: _arr("tcc", tag, F.least(a, b), F.greatest(a, b)))))
     keys = F.concat(
         F.when(truthy(F.col("id")), F.array(_arr("id", F.col("id")))).otherwise(F.array().cast("array<array<string>>")),
         F.transform(cls, lambda c: _arr("tc", tag, c)),
         F.transform(F.filter("attrs", lambda a: a["name"].isin(L.SHORTEST_ATTRS)),
                     lambda a: _arr("ta", tag, a["name"], a["value"])),
-        pairs,
         F.transform(quals, lambda q: F.concat(_arr("child"), q, F.array(tag))),
         F.flatten(F.transform(quals, lambda q: F.transform(cls, lambda c: F.concat(_arr("ccls"), q, F.array(tag, c))))),
     )
     return els.select("page_id", F.explode(F.array_distinct(keys)).alias("key"))
 
 
+def pair_match_keys(els: DataFrame, cands: DataFrame) -> DataFrame:
+    """The two-class keys that elements satisfy, out of those that candidates of
+    the same page and tag ask for (an element's own pairs are not listed)."""
+    asked = (
+        cands.filter(F.col("key")[0] == "tcc")
+        .groupBy("page_id", F.col("key")[1].alias("tag")).agg(F.collect_set("key").alias("asked"))
+    )
+    cls = F.col("classes")
+    return els.filter(F.size("classes") > 1).select("page_id", "tag", "classes").join(asked, ["page_id", "tag"]).select(
+        "page_id", F.explode(F.filter("asked", lambda k: F.array_contains(cls, k[2]) & F.array_contains(cls, k[3]))).alias("key"))
+
+
 def _counts(keys: DataFrame) -> DataFrame:
     return keys.groupBy("page_id", "key").agg(F.count("*").alias("matches"))
 
@@ -121,11 +129,13 @@ def shortest_unique(els: DataFrame) -> DataFrame:
     """Shortest candidate selector matching exactly this element:
     ``(page_id, pos, shortest_unique)``; ties go to the earlier candidate."""
     c = css_candidates(els)
-    j = c.join(_counts(css_match_keys(els)), ["page_id", "key"], "left").filter(F.col("matches") == 1)
+    keys = css_match_keys(els).unionByName(pair_match_keys(els, c))
+    j = c.join(_counts(keys), ["page_id", "key"], "left").filter(F.col("matches") == 1)
     return j.groupBy("page_id", "pos").agg(
         F.min_by("value", F.struct(F.length("value"), F.col("ordinal"))).alias("shortest_unique"))
 
 
+# FIXED VALUES: attributes of the relative XPath and their try order.
 XPATH_ATTRS = [("data-testid", 1), ("aria-label", 2), ("id", 3), ("name", 4), ("placeholder", 6)]
 
 
@@ -154,7 +164,8 @@ def xpath_match_keys(els: DataFrame) -> DataFrame:
         F.when(A("role").isNotNull() & A("aria-label").isNotNull(),
                F.array(_arr("xra", tag, A("role"), A("aria-label")))).otherwise(F.array().cast("array<array<string>>")),
     )
-    return els.select("page_id", F.explode(keys).alias("key"))
+    # an unprefixed XPath name matches no SVG element in an HTML document
+    return els.filter(~F.col("in_svg")).select("page_id", F.explode(keys).alias("key"))
 
 
 def xpath_relative(els: DataFrame) -> DataFrame:
@@ -197,32 +208,25 @@ def xpath_text(els_src: DataFrame, first: DataFrame | None = None) -> DataFrame:
                             F.lit(")]"))).alias("text_selector"),
         F.when(exact, F.col("src")).otherwise(snippet).alias("needle"),
     )
-    # match side: normalized first text node of every element of the page
+    # match side: normalized first text node of every element an XPath name can match
+    seen = els_src.filter(~F.col("in_svg"))
     if "nt" in els_src.columns:
-        ft = els_src.select("page_id", "pos", "tag", "nt")
+        ft = seen.select("page_id", "pos", "tag", "nt")
     else:
-        ft = els_src.select("page_id", "pos", "tag").join(first, ["page_id", "pos"], "left").select(
+        ft = seen.select("page_id", "pos", "tag").join(first, ["page_id", "pos"], "left").select(
             "page_id", "pos", "tag", xpath_ws(F.coalesce(F.col("first_text"), F.lit(""))).alias("nt"))
     eq = ft.groupBy("page_id", "tag", "nt").agg(F.count("*").alias("n_eq"))
     ce = c.filter("exact").join(eq, (c.page_id == eq.page_id) & (c.tag == eq.tag) & (c.needle == eq.nt), "left") \
         .select(c.page_id, c.pos, c.text_selector, F.coalesce(eq.n_eq, F.lit(0)).alias("matches"))
-    # contains form: hashed 40-char windows of same-tag texts on pages that need
-    # them (8 bytes per text position), then an exact instr() check of every hit
-    n = L.TEXT_XPATH_EXACT
-    cc = c.filter(~F.col("exact")).select("page_id", "pos", "tag", "text_selector", "needle",
-                                          F.xxhash64("needle").alias("h"))
-    # needle hashes per (page, tag): bounded by the page's candidates
-    need = cc.groupBy("page_id", "tag").agg(F.collect_set("h").alias("hs"))
-    cand = ft.filter(F.length("nt") >= n).join(need, ["page_id", "tag"])
-    # every n-character window in one linear regex pass (zero-width lookahead);
-    # only windows whose hash is a needle's become rows
-    windows = F.regexp_extract_all("nt", F.lit("(?s)(?=(.{%d}))" % n), 1)
-    win = cand.select("page_id", "tag", F.col("pos").alias("opos"), "nt", F.explode(F.array_intersect(
-        F.transform(windows, lambda w: F.xxhash64(w)), F.col("hs"))).alias("h"))
-    hits = cc.join(win, ["page_id", "tag", "h"])
-    hits = hits.filter(F.instr("nt", F.col("needle")) > 0).groupBy("page_id", "pos").agg(
-        F.countDistinct("opos").alias("n_in"))
-    cc = cc.join(hits, ["page_id", "pos"], "left").select(
+    # contains form: the distinct needles of a (page, tag) are tried on each of its texts
+    cc = c.filter(~F.col("exact")).select("page_id", "pos", "tag", "text_selector", "needle")
+    need = cc.groupBy("page_id", "tag").agg(F.collect_set("needle").alias("needles"))
+    hits = (
+        ft.filter(F.length("nt") >= L.TEXT_XPATH_EXACT).join(need, ["page_id", "tag"])
+        .select("page_id", "tag", F.explode(F.filter("needles", lambda n: F.instr(F.col("nt"), n) > 0)).alias("needle"))
+        .groupBy("page_id", "tag", "needle").agg(F.count("*").alias("n_in"))
+    )
+    cc = cc.join(hits, ["page_id", "tag", "needle"], "left").select(
         "page_id", "pos", "text_selector", F.coalesce("n_in", F.lit(0)).alias("matches"))
     return ce.unionByName(cc)
 
@@ -277,8 +281,10 @@ def path_matches(els: DataFrame) -> DataFrame:
     """Match counts of the css path and absolute XPath (grouped counts)."""
     cp = els.groupBy("page_id", "css_path").agg(F.count("*").alias("css_matches"))
     xp = els.groupBy("page_id", "xpath_absolute").agg(F.count("*").alias("xpath_matches"))
-    return els.select("page_id", "pos", "css_path", "xpath_absolute") \
-        .join(cp, ["page_id", "css_path"], "left").join(xp, ["page_id", "xpath_absolute"], "left")
+    xm = F.when(F.col("in_svg"), F.lit(0)).otherwise(F.col("xpath_matches")).cast("long")  # no SVG names in XPath
+    return els.select("page_id", "pos", "css_path", "xpath_absolute", "in_svg") \
+        .join(cp, ["page_id", "css_path"], "left").join(xp, ["page_id", "xpath_absolute"], "left") \
+        .withColumn("xpath_matches", xm).drop("in_svg")
 
 
 def locator_matches(els_src: DataFrame, first: DataFrame | None = None) -> DataFrame:

@@ -181,18 +181,26 @@ def a11y_outline(els_text: DataFrame, roots: DataFrame, opts: Options = Options(
     return _assemble(f, _root_info(roots), "\\n", opts, "accessibility")
 
 
+# One declaration: quoted strings and bracketed groups go through whole.
+DECLARATION_RX = r"""(?:[^;"'()]++|"[^"]*+"|'[^']*+'|\((?:[^()"']++|"[^"]*+"|'[^']*+')*+\)|["'()])++"""
+IMPORTANT_RX = r"(?i)\s*!\s*important\s*$"
+
+
 def style_lines():
     """Reported style lines of an element from its inline ``style``: the
-    allow-listed properties in list order, last declaration wins, values
-    without information dropped."""
+    allow-listed properties in list order; an important declaration beats a
+    plain one, then the last wins; values without information are dropped."""
+    style = F.coalesce(F.col("attr")["style"], F.lit(""))
     decls = F.transform(
-        F.filter(F.split(F.coalesce(F.col("attr")["style"], F.lit("")), ";"), lambda d: F.instr(d, ":") > 0),
+        F.filter(F.regexp_extract_all(style, F.lit(DECLARATION_RX), 0), lambda d: F.instr(d, ":") > 0),
         lambda d: F.struct(
             F.lower(F.trim(F.substring_index(d, ":", 1))).alias("prop"),
-            F.trim(F.regexp_replace(F.substring(d, F.instr(d, ":") + 1, 1 << 30), r"(?i)\s*!\s*important\s*$", ""))
-            .alias("value")))
+            F.trim(F.regexp_replace(F.substring(d, F.instr(d, ":") + 1, 1 << 30), IMPORTANT_RX, "")).alias("value"),
+            d.rlike(IMPORTANT_RX).alias("important")))
     rev = F.reverse(decls)
-    last = F.filter(rev, lambda x, i: ~F.exists(F.slice(rev, 1, i), lambda y: y["prop"] == x["prop"]))
+    best = F.concat(F.filter(rev, lambda x: x["important"]), F.filter(rev, lambda x: ~x["important"]))
+    last = F.transform(F.filter(best, lambda x, i: ~F.exists(F.slice(best, 1, i), lambda y: y["prop"] == x["prop"])),
+                       lambda x: F.struct(x["prop"], x["value"]))
     m = F.map_from_entries(last)
     props = F.array(*[F.lit(p) for p in L.STYLE_PROPERTIES])
     return F.array_compact(F.transform(props, lambda p: F.when(

@@ -49,18 +49,35 @@ def js_trim_sql(e: str) -> str:
     return f"regexp_replace({e}, {q('^' + WS + '|' + WS + '$')}, '', 'g')"
 
 
-def decode_sql(e: str) -> str:
+ENTITY_RX = "(?s)&[A-Za-z][A-Za-z0-9]*;|&#[0-9]+;|&#[xX][0-9A-Fa-f]+;|&|[^&]+"
+
+
+def decode_cte(name: str, strings: str) -> str:
+    """CTE (s, d) of the strings of a select (column s) that hold a reference:
+    the pieces of a string as rows, joined with the table of names, put together
+    again in order."""
     def cp(n):
         return (f"CASE WHEN {n} > 0 AND {n} <= 1114111 AND NOT ({n} BETWEEN 55296 AND 57343) "
-                f"THEN chr({n}) ELSE '�' END")
-    x = (f"list_reduce(list_distinct(regexp_extract_all({e}, '&#([0-9]{{1,7}});', 1)), "
-         f"lambda acc, n: replace(acc, '&#' || n || ';', {cp('n::INTEGER')}), {e})")
-    x = (f"list_reduce(list_distinct(regexp_extract_all({x}, '&#[xX]([0-9a-fA-F]{{1,6}});', 1)), "
-         f"lambda acc, h: replace(replace(acc, '&#x' || h || ';', {cp('(' + q('0x') + ' || h)::INTEGER')}), "
-         f"'&#X' || h || ';', {cp('(' + q('0x') + ' || h)::INTEGER')}), {x})")
-    for name, ch in L.ENTITIES:
-        x = f"replace({x}, {q('&' + name + ';')}, {q(ch)})"
-    return x
+                f"THEN translate(chr({n}::INTEGER), {q(L.CP1252_FROM)}, {q(L.CP1252_TO)}) ELSE '\ufffd' END")
+    dec = "coalesce(TRY_CAST(substr(t, 3, length(t) - 3) AS HUGEINT), 0)"
+    hexa = ("(CASE WHEN length(ltrim(substr(t, 4, length(t) - 4), '0')) BETWEEN 1 AND 6 "
+            "THEN TRY_CAST('0x' || substr(t, 4, length(t) - 4) AS BIGINT) ELSE 0 END)")
+    return f"""{name} AS (
+  SELECT s, string_agg(CASE WHEN regexp_matches(t, '^&#[xX].*;$') THEN {cp(hexa)}
+                            WHEN regexp_matches(t, '^&#[0-9]+;$') THEN {cp(dec)}
+                            ELSE coalesce(ent.ch, t) END, '' ORDER BY i) AS d
+  FROM (SELECT s, unnest(p) AS t, generate_subscripts(p, 1) AS i
+        FROM (SELECT DISTINCT s, regexp_extract_all(s, {q(ENTITY_RX)}) AS p FROM ({strings}) WHERE strpos(s, '&') > 0))
+  LEFT JOIN ent ON t = '&' || ent.name GROUP BY s),"""
+
+
+def decoded(name: str, e: str) -> str:
+    return f"coalesce((SELECT d FROM {name} x_ WHERE x_.s = {e}), {e})"
+
+
+def ent_cte() -> str:
+    rows = ", ".join(f"({q(n)}, {q(c)})" for n, c in zip(L.ENTITY_NAMES, L.ENTITY_CHARS))
+    return f"ent(name, ch) AS (VALUES {rows}),"
 
 
 def escape_html_sql(e: str) -> str:
@@ -70,10 +87,13 @@ def escape_html_sql(e: str) -> str:
 
 
 def css_escape_sql(e: str) -> str:
-    x = f"regexp_replace({e}, {q('([^A-Za-z0-9_\\-\\x{80}-\\x{10FFFF}])')}, {q(chr(92) * 2 + chr(92) + '1')}, 'g')"
-    x = f"regexp_replace({x}, '^([0-9])', {q(chr(92) * 2 + '3' + chr(92) + '1 ')})"
-    x = f"regexp_replace({x}, '^-([0-9])', {q('-' + chr(92) * 2 + '3' + chr(92) + '1 ')})"
-    return f"CASE WHEN {e} = '-' THEN {q(chr(92) + '-')} ELSE {x} END"
+    bs = chr(92)
+    x = f"regexp_replace({e}, {q('([^A-Za-z0-9_' + bs + '-' + bs + 'x{80}-' + bs + 'x{10FFFF}' + bs + 'x01-' + bs + 'x1f' + bs + 'x7f])')}, {q(bs * 2 + bs + '1')}, 'g')"
+    x = f"regexp_replace({x}, '^([0-9])', {q(bs * 2 + '3' + bs + '1 ')})"
+    x = f"regexp_replace({x}, '^-([0-9])', {q('-' + bs * 2 + '3' + bs + '1 ')})"
+    x = (f"CASE WHEN regexp_matches({e}, {q('[' + bs + 'x01-' + bs + 'x1f' + bs + 'x7f]')}) THEN array_to_string(list_transform(string_split({x}, ''), "
+         f"lambda h: CASE WHEN ascii(h) BETWEEN 1 AND 31 OR ascii(h) = 127 THEN {q(bs)} || lower(to_hex(ascii(h))) || ' ' ELSE h END), '') ELSE {x} END")
+    return f"CASE WHEN {e} = '-' THEN {q(bs + '-')} ELSE {x} END"
 
 
 def xpath_literal_sql(e: str) -> str:
@@ -97,7 +117,7 @@ def pages_sql(view: str) -> str:
 
 ATTR_NAMES = ["id", "class", "style", "hidden", "aria-hidden", "role", "aria-label", "aria-labelledby", "alt",
               "href", "name", "placeholder", "title", "data-testid", "data-cy", "data-test", "data-qa", "type",
-              "shadowrootmode"]
+              "shadowrootmode", "open"]
 
 
 def acol(name: str) -> str:
@@ -131,9 +151,10 @@ def base_ctes(view: str = "rich") -> str:
         f"OR regexp_matches(coalesce(a_style, ''), {q(STYLE_VIS_HIDDEN)}) "
         f"OR regexp_matches(coalesce(a_style, ''), {q(STYLE_OPACITY_0)}) "
         f"OR (tag IN {qlist(L.UA_HIDDEN_TAGS)} AND NOT (tag = 'template' AND a_shadowrootmode IS NOT NULL)) "
-        f"OR (tag = 'input' AND lower(coalesce(a_type, '')) = 'hidden'))"
+        f"OR (tag = 'input' AND lower(coalesce(a_type, '')) = 'hidden') OR (tag = 'dialog' AND a_open IS NULL))"
     )
     return f"""
+{ent_cte()}
 pr AS ({src}),
 m AS (SELECT page_id, regexp_extract_all(html, {q(TOKEN_RX)}) AS a FROM pr),
 t0 AS (SELECT page_id, unnest(a) AS raw, generate_subscripts(a, 1) - 1 AS k FROM m),
@@ -150,19 +171,21 @@ t2 AS (
       SELECT count(*) FILTER (WHERE o.kind = 'open' AND NOT ends_with(o.raw, '/>')) - count(*) FILTER (WHERE o.kind = 'close')
       FROM t1 o WHERE o.page_id = t1.page_id AND o.k <= t1.k AND o.tag IN ('svg', 'math')) > 0 AS in_foreign
   FROM t1),
+t3 AS (
+  SELECT *, regexp_replace(regexp_replace(raw, {q(RAW_OPEN_RX)}, ''), {q(RAW_END_RX)}, '') AS inner_text FROM t2),
+{decode_cte("dect", "SELECT raw AS s FROM t3 WHERE kind = 'text' UNION ALL SELECT inner_text FROM t3 WHERE is_raw")}
 tok AS (
   SELECT page_id, 4 * k AS pos, kind, tag,
     CASE WHEN is_raw THEN regexp_extract(raw, {q(RAW_OPEN_RX)}, 0) ELSE raw END AS raw,
     (kind = 'open' AND (is_raw OR tag IN {qlist(L.VOID_TAGS)} OR (in_foreign AND ends_with(raw, '/>')))) AS leaf,
     is_raw AS raw_el,
-    CASE WHEN kind = 'text' THEN {decode_sql('raw')} END AS text
-  FROM t2
+    CASE WHEN kind = 'text' THEN {decoded('dect', 't3.raw')} END AS text
+  FROM t3
   UNION ALL
   SELECT page_id, 4 * k + 1, 'text', '', inner_text, false, false,
-    CASE WHEN tag IN {qlist(L.RAW_TEXT_TAGS)} THEN inner_text ELSE {decode_sql('inner_text')} END
-  FROM (SELECT *, regexp_replace(regexp_replace(raw, {q(RAW_OPEN_RX)}, ''), {q(RAW_END_RX)}, '') AS inner_text
-        FROM t2 WHERE is_raw)
-  WHERE inner_text <> ''),
+    CASE WHEN tag IN {qlist(L.RAW_TEXT_TAGS)} THEN inner_text ELSE {decoded('dect', 't3.inner_text')} END
+  FROM t3
+  WHERE is_raw AND inner_text <> ''),
 lv AS (
   SELECT *, CASE WHEN {nonleaf} OR kind = 'close' THEN tag END AS ptag,
     sum(CASE WHEN {nonleaf} THEN 1 WHEN kind = 'close' THEN -1 ELSE 0 END)
@@ -232,12 +255,13 @@ at1 AS (
     regexp_extract_all(body, {q(ATTR_RX)}, 4) AS v4
   FROM at0),
 at2 AS (
-  SELECT page_id, pos, i, lower(n[i]) AS name,
-    {decode_sql("coalesce(v2[i], '') || coalesce(v3[i], '') || coalesce(v4[i], '')")} AS value
+  SELECT page_id, pos, i, lower(n[i]) AS name, coalesce(v2[i], '') || coalesce(v3[i], '') || coalesce(v4[i], '') AS raw_value
   FROM (SELECT *, unnest(generate_series(1, len(n))) AS i FROM at1)),
+{decode_cte("deca", "SELECT raw_value AS s FROM at2")}
+at3 AS (SELECT page_id, pos, i, name, {decoded('deca', 'at2.raw_value')} AS value FROM at2),
 atr AS (
   SELECT page_id, pos, i, name, value FROM (
-    SELECT *, row_number() OVER (PARTITION BY page_id, pos, name ORDER BY i) AS rn FROM at2) WHERE rn = 1),
+    SELECT *, row_number() OVER (PARTITION BY page_id, pos, name ORDER BY i) AS rn FROM at3) WHERE rn = 1),
 ea AS (
   SELECT page_id, pos,
       {pivot}
@@ -340,7 +364,7 @@ roots AS (SELECT e.*, g.ctx6 AS root_ctx FROM elp e JOIN ancg g USING (page_id,
           WHERE e.tag IN {qlist(REGION_TAGS)}),
 nd AS (
   SELECT e.page_id, e.pos, 'open' AS kind, e.tag, e.depth, e.end_pos, e.hidden, e.sup_skip, e.sup_skip_nosvg,
-    e.sup_hidden, e.anc_skip, e.preview, NULL AS ntext, e.summary,
+    e.sup_hidden, e.anc_skip, e.preview, NULL::VARCHAR AS ntext, e.summary,
     '<' || e.tag || CASE WHEN coalesce(k.kattrs, '') <> '' THEN ' ' || k.kattrs ELSE '' END || '>' AS otag
   FROM elp e LEFT JOIN kept k USING (page_id, pos)
   UNION ALL
@@ -373,10 +397,16 @@ stg AS (
   FROM lg WHERE type = 'set_format' GROUP BY tab)"""
 
 
+DECLARATION_RX = r"""(?:[^;"'()]+|"[^"]*"|'[^']*'|\((?:[^()"']+|"[^"]*"|'[^']*')*\)|["'()])+"""
+
+
 def styles_cte() -> str:
-    decls = ("list_transform(list_filter(string_split(a_style, ';'), lambda d: strpos(d, ':') > 0), lambda d: "
+    imp = "(?i)\\s*!\\s*important\\s*$"
+    decls = (f"list_transform(list_filter(regexp_extract_all(a_style, {q(DECLARATION_RX)}), lambda d: strpos(d, ':') > 0), lambda d: "
              "{'prop': lower(trim(split_part(d, ':', 1), ' ')), "
-             "'value': trim(regexp_replace(substr(d, strpos(d, ':') + 1), '(?i)\\s*!\\s*important\\s*$', ''), ' ')})")
+             f"'important': regexp_matches(d, {q(imp)}), "
+             f"'value': trim(regexp_replace(substr(d, strpos(d, ':') + 1), {q(imp)}, ''), ' ')}})")
+    ranked = "list_concat(list_filter(d0, lambda x: NOT x.important), list_filter(d0, lambda x: x.important))"
     items = []
     for p in L.STYLE_PROPERTIES:
         v = f"list_filter(decls, lambda x: x.prop = {q(p)})[-1].value"
@@ -384,6 +414,6 @@ def styles_cte() -> str:
                      f"THEN {q(p + ': ')} || {v} || ';' END")
     lst = ",\n      ".join(items)
     return f""",
-stl0 AS (SELECT page_id, pos, {decls} AS decls FROM elp WHERE a_style IS NOT NULL),
+stl0 AS (SELECT page_id, pos, {ranked} AS decls FROM (SELECT page_id, pos, {decls} AS d0 FROM elp WHERE a_style IS NOT NULL)),
 stl AS (SELECT page_id, pos, list_filter([
       {lst}], lambda x: x IS NOT NULL) AS lines FROM stl0)"""

@@ -21,7 +21,7 @@ dt AS (SELECT page_id, parent_pos AS pos, string_agg(t, ' ' ORDER BY pos) AS dir
        WHERE t <> '' AND parent_pos IS NOT NULL GROUP BY page_id, parent_pos),
 nft AS (SELECT e.page_id, e.pos, e.tag,
           trim(regexp_replace(coalesce(ft.first_text, ''), '[ \t\r\n]+', ' ', 'g'), ' ') AS nt
-        FROM el e LEFT JOIN ft USING (page_id, pos)),
+        FROM el e LEFT JOIN ft USING (page_id, pos) WHERE NOT e.in_svg),
 par AS (SELECT c.page_id, c.pos, p.id AS pid, p.classes AS pcls, p.tag AS ptag
         FROM elx c JOIN elx p ON p.page_id = c.page_id AND p.pos = c.parent_pos),
 src AS (SELECT e.*, CASE WHEN coalesce(dt.direct_text, '') <> '' THEN dt.direct_text
@@ -30,9 +30,9 @@ src AS (SELECT e.*, CASE WHEN coalesce(dt.direct_text, '') <> '' THEN dt.direct_
 """
 
 
-def _count_attr(name: str, value: str) -> str:
+def _count_attr(name: str, value: str, xpath: bool = False) -> str:
     return (f"(SELECT count(*) FROM elx o JOIN atr x ON x.page_id = o.page_id AND x.pos = o.pos "
-            f"WHERE o.page_id = e.page_id AND o.tag = e.tag AND x.name = {O.q(name)} AND x.value = {value})")
+            f"WHERE o.page_id = e.page_id AND o.tag = e.tag AND x.name = {O.q(name)} AND x.value = {value}" + (" AND NOT o.in_svg)" if xpath else ")"))
 
 
 def _qual_match(p: str) -> str:
@@ -99,13 +99,13 @@ def xpath_relative_sql() -> str:
         col = "e." + O.acol(a)
         parts.append(
             f"SELECT e.page_id, e.pos, {o} AS ordinal, '//' || e.tag || '[@{a}=\"' || {col} || '\"]' AS value, "
-            f"CASE WHEN strpos({col}, '\"') > 0 THEN -1 ELSE {_count_attr(a, col)} END AS m "
+            f"CASE WHEN strpos({col}, '\"') > 0 THEN -1 ELSE {_count_attr(a, col, True)} END AS m "
             f"FROM elx e WHERE coalesce({col}, '') <> '' AND e.{SCOPE}")
     parts.append(
         "SELECT e.page_id, e.pos, 5, '//' || e.tag || '[@role=\"' || e.a_role || '\" and @aria-label=\"' "
         "|| e.a_aria_label || '\"]', CASE WHEN strpos(e.a_role, '\"') > 0 OR strpos(e.a_aria_label, '\"') > 0 "
         "THEN -1 ELSE (SELECT count(*) FROM elx o WHERE o.page_id = e.page_id AND o.tag = e.tag "
-        "AND o.a_role = e.a_role AND o.a_aria_label = e.a_aria_label) END "
+        "AND o.a_role = e.a_role AND o.a_aria_label = e.a_aria_label AND NOT o.in_svg) END "
         f"FROM elx e WHERE coalesce(e.a_role, '') <> '' AND coalesce(e.a_aria_label, '') <> '' AND e.{SCOPE}")
     u = "\nUNION ALL\n".join(parts)
     return f"""
@@ -180,7 +180,7 @@ SELECT e.page_id, e.pos, 'css-path', e.css_path, 'positional',
   (SELECT count(*) FROM elp o WHERE o.page_id = e.page_id AND o.css_path = e.css_path) FROM elp e WHERE e.{SCOPE}
 UNION ALL
 SELECT e.page_id, e.pos, 'xpath-absolute', e.xpath_absolute, 'fragile',
-  (SELECT count(*) FROM elp o WHERE o.page_id = e.page_id AND o.xpath_absolute = e.xpath_absolute)
+  CASE WHEN e.in_svg THEN 0 ELSE (SELECT count(*) FROM elp o WHERE o.page_id = e.page_id AND o.xpath_absolute = e.xpath_absolute) END
 FROM elp e WHERE e.{SCOPE}"""
 
 

@@ -19,7 +19,9 @@ RICH_REPLACEMENTS = [
                   '<input name="q" placeholder="Find"><button class="go"></button>'
                   '<button class="go" aria-label="Go">Go</button></form><img src="a.png">'
                   '<img src="b.png" alt="B &amp; C">'),
-    ("<footer>", '<footer aria-hidden="true"><svg class="i"><path d="M0"/></svg>'),
+    ("<footer>", '<footer aria-hidden="true"><svg class="i"><path d="M0" aria-label="dot"/></svg>'),
+    ("<h1>", '<h1 id="a\tb" style="background: url(data:image/png;base64,AA==); color: red !important; color: blue">'
+             '<dialog><p>closed</p></dialog><dialog open>&eacute;&#146;&#38;lt;</dialog>'),
 ]
 
 # FIXED VALUES: anchors of the malformed test view: misnesting, stray and missing
