@@ -20,12 +20,13 @@ def live_captures(selections: DataFrame, els: DataFrame) -> DataFrame:
     return j.withColumn("sel_order", F.row_number().over(w).cast("long")).drop("order0", "element")
 
 
-def capture_rows(live: DataFrame) -> DataFrame:
-    """The serializable selection: id, summary, selector, tag name."""
+def capture_rows(live: DataFrame, formats: DataFrame) -> DataFrame:
+    """The serializable selection: id, summary, selector, tag name, and its
+    outputs by format (``formats``: tab, sel_order and a format map)."""
     return live.select("tab", "sel_order",
                        F.concat(F.col("page_id").cast("string"), F.lit("-"), F.col("pos").cast("string"))
                        .alias("selection_id"),
-                       "summary", "selector", F.col("tag").alias("tag_name"))
+                       "summary", "selector", F.col("tag").alias("tag_name")).join(formats, ["tab", "sel_order"])
 
 
 def _last(live: DataFrame) -> DataFrame:

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from weblens.operators import elements as E
 from weblens.operators import tree
+from weblens.operators.replay import selection_replay
 from weblens.session import ensure_checkpoint_dir, scratch_path
+from weblens.sources.log import read_log
 from weblens.sources.pages import read_pages, read_view
 
 _CACHE: dict = {}
@@ -30,13 +32,15 @@ def _alive(spark: SparkSession) -> bool:
 
 def _input(spark: SparkSession, sf_dir: str) -> tuple:
     """What a cached table stands for: the application, the folder, and the
-    files of its ``pages`` with their sizes and times, so that neither a new
+    files of its tables with their sizes and times, so that neither a new
     session nor changed input ever meets an old table."""
     sc = spark.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/pages.parquet")
-    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
-    files = fs.listStatus(path) if fs.exists(path) else []
-    return (sc.applicationId, sf_dir, *sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+    files = []
+    for table in ("pages", "events"):
+        path = sc._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{table}.parquet")
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        files += [(table, f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in (fs.listStatus(path) if fs.exists(path) else [])]
+    return (sc.applicationId, sf_dir, *sorted(files))
 
 
 def configure(spark: SparkSession) -> None:
@@ -76,11 +80,20 @@ def num_partitions(spark: SparkSession, sf_dir: str | None = None) -> int:
     return _CACHE[key]
 
 
+def captured_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages that some tab has a selection on: cut down before tokenizing."""
+    tabs = selection_replay(read_log(spark, sf_dir)).select(F.col("tab").alias("page_id")).distinct()
+    return read_view(spark, sf_dir, "rich").join(tabs, "page_id", "left_semi")
+
+
 def nodes(spark: SparkSession, sf_dir: str, view: str = "rich") -> DataFrame:
     key = (_input(spark, sf_dir), view)
     if key not in _CACHE:
         configure(spark)
-        pages = read_view(spark, sf_dir, view)
+        if view == "captured":
+            pages = captured_pages(spark, sf_dir)
+        else:
+            pages = read_view(spark, sf_dir, view)
         nparts = num_partitions(spark, sf_dir)
         p = tree.partition_pages(pages, nparts)
         n = E.build_nodes(tree.build(p))

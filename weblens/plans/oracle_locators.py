@@ -193,3 +193,61 @@ SELECT page_id, pos,
   coalesce(string_agg(CASE WHEN tier = 'positional' THEN value END, chr(10) ORDER BY {order}), '') AS positional,
   coalesce(string_agg(CASE WHEN tier = 'fragile' THEN value END, chr(10) ORDER BY {order}), '') AS fragile
 FROM ({locator_matches_sql()}) WHERE matches = 1 GROUP BY page_id, pos"""
+
+
+def _js(e: str) -> str:
+    return f"to_json({e})::VARCHAR"
+
+
+def _fields(*pairs: tuple[str, str]) -> str:
+    """JSON object text; a field whose text is null is left out."""
+    parts = ", ".join(f"'\"{k}\":' || {v}" for k, v in pairs)
+    return f"'{{' || concat_ws(',', {parts}) || '}}'"
+
+
+ORDER = ("CASE strategy WHEN 'shortest-unique' THEN 0 WHEN 'xpath-relative' THEN 1 WHEN 'xpath-text' THEN 2 "
+         "WHEN 'css-path' THEN 3 ELSE 4 END")
+
+
+def fingerprint_sql() -> str:
+    def pick(strategy):
+        return f"max(CASE WHEN strategy = '{strategy}' THEN {_js('value')} END)"
+
+    def tier(t):
+        return f"'[' || coalesce(string_agg(CASE WHEN tier = '{t}' AND matches = 1 THEN {_js('value')} END, ',' ORDER BY o), '') || ']'"
+
+    entry = f"""{_js('value')} || ':{{"unique":' || (matches = 1)::VARCHAR || ',"matches":' || matches || '}}'"""
+    return f"""
+SELECT page_id, pos, {_fields(('cssPath', pick('css-path')), ('xpathAbsolute', pick('xpath-absolute')),
+                              ('xpathRelative', pick('xpath-relative')), ('shortestUnique', pick('shortest-unique')),
+                              ('textSelector', pick('xpath-text')),
+                              ('stability', _fields(*[(t, tier(t)) for t in ('stable', 'positional', 'fragile')])),
+                              ('verification', f"'{{' || string_agg(CASE WHEN rn = 1 THEN {entry} END, ',' ORDER BY o) || '}}'"))} AS fingerprint
+FROM (SELECT *, row_number() OVER (PARTITION BY page_id, pos, value ORDER BY o) AS rn
+      FROM (SELECT *, {ORDER} AS o FROM ({locator_matches_sql()}))) GROUP BY page_id, pos"""
+
+
+def payload_sql() -> str:
+    rank = _fields(("type", _js("type")), ("value", _js("value")), ("score", "score::VARCHAR"))
+    selectors = _fields(("best", _js("coalesce(r.best, e.selector)")), ("css", _js("e.selector")),
+                        ("fallback", "'[' || coalesce(r.fallback, '') || ']'"))
+    return f"""
+SELECT e.page_id, e.pos, {_fields(
+        ('description', _js("CASE WHEN e.preview <> '' THEN e.preview ELSE e.summary END")), ('text', _js('e.preview')),
+        ('selectors', selectors), ('rankedSelectors', "'[' || coalesce(r.ranked, '') || ']'"), ('tag', _js('e.tag')),
+        ('attributes', "'{' || coalesce(a.attributes, '') || '}'"), ('fingerprint', 'f.fingerprint'))} AS payload
+FROM elp e LEFT JOIN (
+  SELECT page_id, pos, max(CASE WHEN rank = 1 THEN value END) AS best,
+    string_agg(CASE WHEN rank > 1 THEN {_js('value')} END, ',' ORDER BY rank) AS fallback,
+    string_agg({rank}, ',' ORDER BY rank) AS ranked
+  FROM ({ranked_sql()}) GROUP BY page_id, pos) r USING (page_id, pos)
+LEFT JOIN (SELECT page_id, pos, string_agg({_js('name')} || ':' || {_js('value')}, ',' ORDER BY i) AS attributes
+           FROM atr GROUP BY page_id, pos) a USING (page_id, pos)
+LEFT JOIN ({fingerprint_sql()}) f USING (page_id, pos)
+WHERE e.{SCOPE}"""
+
+
+def document_sql() -> str:
+    """(page_id, pos, doc): the selector document of every element."""
+    doc = _fields(("url", _js("t.url")), ("title", _js("t.title")), ("elements", "'[' || p.payload || ']'"))
+    return f"SELECT p.page_id, p.pos, {doc} AS doc FROM ({payload_sql()}) p JOIN ttl t USING (page_id)"

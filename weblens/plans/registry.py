@@ -267,8 +267,8 @@ def RW(select: str) -> str:  # noqa: N802
     return O.with_base("", derived=True).rstrip() + O.render_ctes() + "\n" + select
 
 
-def nodes_text(spark, sf):
-    return C.nodes_with_text(spark, sf)
+def nodes_text(spark, sf, view="rich"):
+    return C.nodes_with_text(spark, sf, view)
 
 
 def roots(spark, sf):
@@ -392,18 +392,18 @@ def _scope(df):
     return df.filter(~F.col("tag").isin(L.UNSELECTABLE_TAGS))
 
 
-def _in_scope(spark, sf, df):
-    s = _scope(C.elements(spark, sf)).select("page_id", "pos")
+def _in_scope(spark, sf, df, view="rich"):
+    s = _scope(C.elements(spark, sf, view)).select("page_id", "pos")
     return df.join(s, ["page_id", "pos"], "left_semi")
 
 
-def els_src(spark, sf):
-    return C.memo(spark, sf, "els_src", lambda: LC.text_source(
-        C.elements_with_text(spark, sf), _direct(C.texts(spark, sf)), _first(C.texts(spark, sf))))
+def els_src(spark, sf, view="rich"):
+    t = C.texts(spark, sf, view)
+    return C.memo(spark, sf, f"els_src-{view}", lambda: LC.text_source(C.elements_with_text(spark, sf, view), _direct(t), _first(t)))
 
 
-def first_texts(spark, sf):
-    return C.memo(spark, sf, "first_text", lambda: _first(C.texts(spark, sf)))
+def first_texts(spark, sf, view="rich"):
+    return C.memo(spark, sf, f"first_text-{view}", lambda: _first(C.texts(spark, sf, view)))
 
 
 @query("ranked_selectors", LW(OL.ranked_sql()))
@@ -431,9 +431,9 @@ def q_xpath_text(spark, sf):
     return _in_scope(spark, sf, LC.xpath_text(els_src(spark, sf), first_texts(spark, sf)))
 
 
-def _locators(spark, sf):
-    return C.memo(spark, sf, "locators", lambda: _in_scope(
-        spark, sf, LC.locator_matches(els_src(spark, sf), first_texts(spark, sf))))
+def _locators(spark, sf, view="rich"):
+    return C.memo(spark, sf, f"locators-{view}", lambda: _in_scope(
+        spark, sf, LC.locator_matches(els_src(spark, sf, view), first_texts(spark, sf, view)), view))
 
 
 @query("locator_matches", LW(OL.locator_matches_sql()))
@@ -446,9 +446,9 @@ def q_locator_tiers(spark, sf):
     return LC.locator_tiers(_locators(spark, sf))
 
 
-@query("fingerprint")
+@query("fingerprint", LW(f"SELECT page_id, pos, fingerprint FROM ({OL.fingerprint_sql()})"))
 def q_fingerprint(spark, sf):
-    return LC.fingerprint(_locators(spark, sf))
+    return LC.fingerprint(_locators(spark, sf)).select("page_id", "pos", F.to_json("fingerprint").alias("fingerprint"))
 
 
 # ---------------------------------------------------------------------------
@@ -491,9 +491,14 @@ def q_effective_settings(spark, sf):
     return RP.effective_settings(read_log(spark, sf))
 
 
+CAP = "captured"  # every capture query works on the pages that have a selection
+
+
 def live(spark, sf):
-    sel = RP.selection_replay(read_log(spark, sf))
-    return CP.live_captures(sel, C.elements_with_text(spark, sf))
+    def build():
+        sel = RP.selection_replay(read_log(spark, sf))
+        return CP.live_captures(sel, C.elements_with_text(spark, sf, CAP))
+    return C.memo(spark, sf, "live", build)
 
 
 def live_sql_ctes() -> str:
@@ -522,12 +527,6 @@ def q_live_captures(spark, sf):
     return live(spark, sf).select("tab", "sel_order", "page_id", "pos", "tag")
 
 
-@query("capture_rows", LVW("""
-SELECT tab, sel_order, page_id || '-' || pos AS selection_id, summary, selector, tag AS tag_name FROM live"""))
-def q_capture_rows(spark, sf):
-    return CP.capture_rows(live(spark, sf))
-
-
 @query("traverse_parent", LVW("""
 SELECT l.tab, l.page_id, l.pos AS pos_before,
   CASE WHEN l.parent_pos IS NOT NULL AND NOT (p.depth = 0 AND p.tag = 'html') THEN l.parent_pos ELSE l.pos END
@@ -542,12 +541,13 @@ SELECT l.tab, l.page_id, l.pos AS pos_before,
   coalesce((SELECT min(c.pos) FROM el c WHERE c.page_id = l.page_id AND c.parent_pos = l.pos), l.pos) AS pos_after
 FROM lastsel l"""))
 def q_traverse_child(spark, sf):
-    return CP.traverse_child(live(spark, sf), C.elements(spark, sf))
+    return CP.traverse_child(live(spark, sf), C.elements(spark, sf, CAP))
 
 
 # ---------------------------------------------------------------------------
 # steps 6-7: styles, html+css, token costs, capture outputs, prompts
 # ---------------------------------------------------------------------------
+from weblens.operators import payload as PL  # noqa: E402
 from weblens.operators import prompt as PR  # noqa: E402
 
 STYLE_FRAGS = """
@@ -602,55 +602,101 @@ def _formats_union_sql() -> str:
             f"{render_select(a11y_frags(), 'chr(10)', 'accessibility')}")
 
 
-TOKENS_SELECT = f"""
-SELECT page_id, pos, format, length(output) AS chars, CAST(ceil(length(output) / 4) AS BIGINT) AS tokens,
-  ceil(length(output) / 4) > {L.DEFAULTS['maxTokenWarning']} AS over_budget
-FROM ({_formats_union_sql()})"""
-
-
-@query("token_costs", RW(TOKENS_SELECT))
-def q_token_costs(spark, sf):
-    return PR.token_costs(region_outputs(spark, sf)).select("page_id", "pos", "format", "chars", "tokens",
-                                                             "over_budget")
-
-
-@query("over_budget", RW(f"SELECT page_id, pos, format, tokens FROM ({TOKENS_SELECT}) WHERE over_budget"))
-def q_over_budget(spark, sf):
-    return PR.token_costs(region_outputs(spark, sf)).filter("over_budget").select("page_id", "pos", "format",
-                                                                                    "tokens")
-
-
-TEXT_FORMATS = ["clean-html", "structure", "accessibility", "html-css", "page-snapshot"]
+def all_outputs(spark, sf, r, view):
+    """All six formats of the root elements ``r``: ``(page_id, pos, format, output)``."""
+    e, nt = C.elements_with_text(spark, sf, view), nodes_text(spark, sf, view)
+    pages, els = C.pages(spark, sf, view), C.elements(spark, sf, view)
+    parts = S.page_parts(pages, els, e)
+    pay = PL.selector_payload(_scope(e).join(r.select("page_id", "pos"), ["page_id", "pos"], "left_semi"), _locators(spark, sf, view))
+    docs = PL.selector_document(pay, S.page_title(pages, e), r)
+    return (R.multi_format(nt, r).unionByName(R.html_css(nt, e, r)).unionByName(S.snapshot_for_roots(parts, r)).unionByName(docs))
 
 
 def capture_outputs(spark, sf):
-    """Outputs of every live capture in the five text formats:
+    """Outputs of every live capture in the six formats:
     ``(tab, sel_order, page_id, pos, format, output)``."""
-    lv = live(spark, sf)
-    r = lv.select(*[c for c in lv.columns if c not in ("tab", "sel_order")]).dropDuplicates(["page_id", "pos"])
-    e = C.elements_with_text(spark, sf)
-    nt = nodes_text(spark, sf)
-    parts = S.page_parts(C.pages(spark, sf), C.elements(spark, sf), e)
-    outs = (R.multi_format(nt, r).unionByName(R.html_css(nt, e, r)).unionByName(S.snapshot_for_roots(parts, r)))
-    return lv.select("tab", "sel_order", "page_id", "pos").join(outs, ["page_id", "pos"])
+    def build():
+        lv = live(spark, sf)
+        r = lv.select(*[c for c in lv.columns if c not in ("tab", "sel_order")]).dropDuplicates(["page_id", "pos"])
+        return lv.select("tab", "sel_order", "page_id", "pos").join(all_outputs(spark, sf, r, CAP), ["page_id", "pos"])
+    return C.memo(spark, sf, "capture_outputs", build)
 
 
-def capture_outputs_sql() -> str:
+def six_formats_sql() -> str:
     snap = f"""
 SELECT r.page_id, r.pos, 'page-snapshot' AS format, {O.finalize_sql("sp.body || r.summary", "r.root_ctx")} AS output
 FROM roots r JOIN (SELECT t.page_id, replace(s.snapshot, 'CURRENT_SELECTION: ' || s.cur, 'CURRENT_SELECTION: ') AS body
   FROM ttl t JOIN ({snapshot_sql().replace("AS snapshot", "AS snapshot, (SELECT arg_min(summary, pos) FROM elx x WHERE x.page_id = t.page_id AND x.tag = 'body') AS cur")}) s
   USING (page_id)) sp USING (page_id)"""
+    doc = f"""
+SELECT r.page_id, r.pos, 'selectors' AS format, {O.finalize_sql("d.doc", "r.root_ctx")} AS output
+FROM roots r JOIN ({OL.document_sql()}) d USING (page_id, pos)"""
+    return f"{_formats_union_sql()} UNION ALL {html_css_select()} UNION ALL {snap} UNION ALL {doc}"
+
+
+def capture_outputs_sql() -> str:
     return (f"SELECT l.tab, l.sel_order, o.page_id, o.pos, o.format, o.output FROM live l JOIN ("
-            f"{_formats_union_sql()} UNION ALL {html_css_select()} UNION ALL {snap}) o "
-            f"ON o.page_id = l.page_id AND o.pos = l.pos")
+            f"{six_formats_sql()}) o ON o.page_id = l.page_id AND o.pos = l.pos")
 
 
 def CW(select: str) -> str:  # noqa: N802
-    base = LVW("", render=True).rstrip() + O.styles_cte() + "," + TITLE_SQL
+    base = LVW("", render=True).rstrip() + O.styles_cte() + OL.ctes().rstrip() + "," + TITLE_SQL
     return base + "\n" + select
 
 
+def RSW(select: str) -> str:  # noqa: N802
+    """Everything that all six formats of the page regions need."""
+    return (O.with_base("", derived=True).rstrip() + O.render_ctes().rstrip() + O.styles_cte() + OL.ctes().rstrip() + "," + TITLE_SQL
+            + "\n" + select)
+
+
+LOW_BUDGET = 400  # tokens; a budget that some of the outputs exceed
+
+
+def tokens_sql(budget: int) -> str:
+    return f"""
+SELECT page_id, pos, format, length(output) AS chars, CAST(ceil(length(output) / 4) AS BIGINT) AS tokens,
+  ceil(length(output) / 4) > {budget} AS over_budget
+FROM ({six_formats_sql()})"""
+
+
+def region_formats(spark, sf):
+    """All six formats of every page region."""
+    return C.memo(spark, sf, "region_formats", lambda: all_outputs(spark, sf, roots(spark, sf), "rich"))
+
+
+@query("token_costs", RSW(tokens_sql(L.DEFAULTS["maxTokenWarning"])))
+def q_token_costs(spark, sf):
+    return PR.token_costs(region_formats(spark, sf)).select("page_id", "pos", "format", "chars", "tokens", "over_budget")
+
+
+@query("over_budget", RSW(f"SELECT page_id, pos, format, tokens FROM ({tokens_sql(LOW_BUDGET)}) WHERE over_budget"))
+def q_over_budget(spark, sf):
+    return PR.token_costs(region_formats(spark, sf), LOW_BUDGET).filter("over_budget").select("page_id", "pos", "format", "tokens")
+
+
+def format_maps(spark, sf):
+    o = capture_outputs(spark, sf).groupBy("tab", "sel_order", "page_id", "pos")
+    return o.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("format", "output"))))).alias("formats"))
+
+
+FORMATS_SQL = f"""
+SELECT tab, sel_order, page_id, pos, '{{' || string_agg(to_json(format)::VARCHAR || ':' || to_json(output)::VARCHAR, ',' ORDER BY format) || '}}' AS formats
+FROM ({capture_outputs_sql()}) GROUP BY tab, sel_order, page_id, pos"""
+
+
+@query("all_formats", CW(FORMATS_SQL))
+def q_all_formats(spark, sf):
+    return format_maps(spark, sf)
+
+
+@query("capture_rows", CW(f"""
+SELECT l.tab, l.sel_order, l.page_id || '-' || l.pos AS selection_id, l.summary, l.selector, l.tag AS tag_name, f.formats
+FROM live l JOIN ({FORMATS_SQL}) f USING (tab, sel_order)"""))
+def q_capture_rows(spark, sf):
+    return CP.capture_rows(live(spark, sf), format_maps(spark, sf).select("tab", "sel_order", "formats"))
+
+
 COMBINED_SQL = f"""
 SELECT tab, format, string_agg(output, chr(10) || chr(10) ORDER BY sel_order) AS output, count(*) AS items
 FROM ({capture_outputs_sql()}) WHERE output <> '' GROUP BY tab, format"""
@@ -672,7 +718,7 @@ def prompt_sql() -> str:
             parts.append(s)
         return " || chr(10) || ".join(parts)
     cases = " ".join(f"WHEN f.format = {O.q(k)} THEN {tmpl(v)}" for k, v in PR.PROMPT_TEMPLATES.items())
-    fmts = ", ".join(f"({O.q(x)})" for x in TEXT_FORMATS)
+    fmts = ", ".join(f"({O.q(x)})" for x in L.FORMATS)
     return f"""
 SELECT n.tab, f.format, CASE {cases} ELSE {tmpl(PR.FALLBACK_TEMPLATE)} END AS prompt
 FROM (SELECT tab, count(*) AS cnt FROM live GROUP BY tab) n CROSS JOIN (VALUES {fmts}) f(format)
@@ -684,53 +730,26 @@ LEFT JOIN ({COMBINED_SQL}) c ON c.tab = n.tab AND c.format = f.format"""
 def q_prompt_text(spark, sf):
     lv = live(spark, sf)
     n = lv.groupBy("tab").agg(F.count("*").alias("cnt"))
-    f = n.select("tab", "cnt", F.explode(F.array(*[F.lit(x) for x in TEXT_FORMATS])).alias("format"))
+    f = n.select("tab", "cnt", F.explode(F.array(*[F.lit(x) for x in L.FORMATS])).alias("format"))
     comb = PR.combined_output(capture_outputs(spark, sf)).select("tab", "format", "output")
-    t = S.page_title(C.pages(spark, sf), C.elements_with_text(spark, sf))
+    t = S.page_title(C.pages(spark, sf, CAP), C.elements_with_text(spark, sf, CAP))
     j = f.join(comb, ["tab", "format"], "left").join(t, F.col("tab") == F.col("page_id"), "left")
     return j.select("tab", "format", PR.build_prompt(F.col("format"), F.col("title"), F.col("url"), F.col("cnt"),
                                                      F.coalesce("output", F.lit(""))).alias("prompt"))
 
 
 # ---------------------------------------------------------------------------
-# nested outputs (rows-only checks) and the stream
+# JSON outputs and the stream
 # ---------------------------------------------------------------------------
-from weblens.operators import payload as PL  # noqa: E402
-
-
-def _payloads(spark, sf):
-    e = _scope(C.elements_with_text(spark, sf))
-    return PL.selector_payload(e, _locators(spark, sf))
-
-
-@query("selector_payload")
+@query("selector_payload", LW(f"SELECT page_id, pos, payload FROM ({OL.payload_sql()})"))
 def q_selector_payload(spark, sf):
-    return _payloads(spark, sf).select("page_id", "pos", F.to_json("payload").alias("payload"))
-
-
-def _selector_docs(spark, sf, roots_df):
-    t = S.page_title(C.pages(spark, sf), C.elements_with_text(spark, sf))
-    e = C.elements_with_text(spark, sf)
-    pay = PL.selector_payload(e.join(roots_df.select("page_id", "pos"), ["page_id", "pos"], "left_semi"),
-                              _locators(spark, sf))
-    return PL.selector_document(pay, t, roots_df)
+    e = _scope(C.elements_with_text(spark, sf))
+    return PL.selector_payload(e, _locators(spark, sf)).select("page_id", "pos", F.to_json("payload").alias("payload"))
 
 
-@query("selector_document")
+@query("selector_document", CW(f"SELECT DISTINCT page_id, pos, format, output FROM ({capture_outputs_sql()}) WHERE format = 'selectors'"))
 def q_selector_document(spark, sf):
-    lv = live(spark, sf)
-    r = lv.select("page_id", "pos", "context").dropDuplicates(["page_id", "pos"])
-    return _selector_docs(spark, sf, r)
-
-
-@query("all_formats")
-def q_all_formats(spark, sf):
-    lv = live(spark, sf)
-    r = lv.select("page_id", "pos", "context").dropDuplicates(["page_id", "pos"])
-    sel = lv.select("tab", "sel_order", "page_id", "pos").join(_selector_docs(spark, sf, r), ["page_id", "pos"])
-    outs = capture_outputs(spark, sf).unionByName(sel.select(*capture_outputs(spark, sf).columns))
-    return outs.groupBy("tab", "sel_order", "page_id", "pos").agg(
-        F.map_from_entries(F.collect_list(F.struct("format", "output"))).alias("formats"))
+    return capture_outputs(spark, sf).filter("format = 'selectors'").select("page_id", "pos", "format", "output").distinct()
 
 
 @query("stream_snapshot")
