@@ -44,8 +44,8 @@ def main() -> None:
     warmup = time.time() - t_w
     t_all = time.time()
     t0 = time.time()
-    n_nodes = C.nodes(spark, sf_dir).count()
-    C.elements_with_text(spark, sf_dir).count()
+    n_nodes = C.core(spark, sf_dir).count()
+    C.elements(spark, sf_dir).count()
     tree_build = time.time() - t0
     times = {"tree_build": round(tree_build, 3)}
     rows = {}

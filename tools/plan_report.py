@@ -41,7 +41,7 @@ def main() -> None:
     spark = get_spark(shuffle_partitions=8)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
-    C.nodes_with_text(spark, sf).count()
+    C.nodes(spark, sf).count()
     rows = []
     skip = {"stream_snapshot", "selection_replay_stream"}
     for name in QUERIES:

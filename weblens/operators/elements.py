@@ -149,9 +149,15 @@ def _with_ancestors(n: DataFrame) -> DataFrame:
                     F.transform("chain0", lambda x: x["anc"]).alias("chain"))
 
 
-def build_nodes(nodes: DataFrame) -> DataFrame:
-    """All nodes (``kind`` open|text) with element and ancestor-derived columns."""
-    n = _with_ancestors(_parts(_base(nodes)))
+def core_nodes(nodes: DataFrame) -> DataFrame:
+    """All nodes (``kind`` open|text) with the columns that need no ancestors:
+    attributes, classes, sibling rank, hidden flag, summary, path steps."""
+    return _parts(_base(nodes))
+
+
+def build_nodes(core: DataFrame) -> DataFrame:
+    """``core_nodes`` with the columns that come from a node's ancestors."""
+    n = _with_ancestors(core)
     chain = F.col("chain")
     skip = lambda x: x["tag"].isin(L.SKIP_TAGS)
 
@@ -191,19 +197,28 @@ def build_nodes(nodes: DataFrame) -> DataFrame:
     return n.drop("chain")
 
 
-def page_text(texts: DataFrame) -> DataFrame:
-    """``(page_id, page_bin)``: all text nodes in document order as UTF-8 bytes;
-    an element's text is the byte range ``[text_start, text_end)``."""
-    return texts.groupBy("page_id").agg(
-        F.expr("listagg(encode(text, 'UTF-8')) WITHIN GROUP (ORDER BY pos)").alias("page_bin"))
+def _page_bytes(texts: DataFrame, col: str, name: str) -> DataFrame:
+    """``(page_id, name)``: a column of all text nodes in document order as UTF-8 bytes."""
+    return texts.groupBy("page_id").agg(F.expr(f"listagg(encode({col}, 'UTF-8')) WITHIN GROUP (ORDER BY pos)").alias(name))
+
+
+def with_preview(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Adds ``preview``, the first characters of an element's collapsed text: a
+    short piece of the page's collapsed text from the element's offset on, so
+    its cost does not depend on the size of the element."""
+    j = nodes.join(_page_bytes(texts, "ctext", "page_bin"), "page_id", "left")
+    n = F.least(F.col("ctext_end") - F.col("ctext_start"), F.lit(4 * (L.PREVIEW_CHARS + 2)))
+    piece = F.substring(F.col("page_bin"), F.col("ctext_start") + 1, n).cast("string")
+    whole = F.when(F.col("ctext_end") - F.col("ctext_start") <= n, F.trim(piece)).otherwise(F.ltrim(piece))
+    preview = F.when(n > 0, F.substring(whole, 1, L.PREVIEW_CHARS)).otherwise(F.lit(""))
+    return j.withColumn("preview", F.when(F.col("kind") == "open", F.coalesce(preview, F.lit("")))).drop("page_bin")
 
 
 def with_text(els: DataFrame, texts: DataFrame, name: str = "text") -> DataFrame:
     """Adds ``textContent`` for the given elements (byte-range substring of the
     page text; O(length) per element, no per-element scan of the page).
     Text-node rows in ``els`` keep their own text."""
-    pt = page_text(texts)
-    j = els.join(pt, "page_id", "left")
+    j = els.join(_page_bytes(texts, "text", "page_bin"), "page_id", "left")
     n = F.col("text_end") - F.col("text_start")
     txt = F.when(n > 0, F.decode(F.substring(F.col("page_bin"), F.col("text_start") + 1, n), "UTF-8")) \
         .otherwise(F.lit(""))

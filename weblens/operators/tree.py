@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weblens.functions import lists as L
-from weblens.functions.text import decode_entities
+from weblens.functions.text import WS_RUN, decode_entities
 
 RAW_TAGS = L.RAW_TEXT_TAGS + L.RCDATA_TAGS
 
@@ -217,8 +217,14 @@ def _sweep(nodes: DataFrame) -> DataFrame:
     tpl = F.when((F.col("tag") == "template") & ~F.col("raw").rlike(SHADOW_RX), F.col("delta")).otherwise(0)
     e = nodes.select("*", F.inline(ev)).withColumn("own", tpl)
     e = e.withColumn("inert", F.sum("own").over(w) - F.greatest("own", F.lit(0)) > 0).filter("NOT inert").drop("own", "inert")
+    # page text with white space collapsed: a text node gives up its first space if
+    # the text before it ends in one
+    one = F.when(F.col("role0") == "text", F.regexp_replace("text", WS_RUN, " "))
+    e = e.withColumn("ctext0", one).withColumn("before", F.last(F.when(F.col("ctext0") != "", F.col("ctext0")), ignorenulls=True).over(w.rowsBetween(UNB, -1)))
+    e = e.withColumn("ctext", F.when(F.col("before").endswith(" ") & F.col("ctext0").startswith(" "), F.substring("ctext0", 2, 1 << 30)).otherwise(F.col("ctext0")))
+    e = e.withColumn("cbytes", F.coalesce(F.octet_length("ctext"), F.lit(0)).cast("long")).drop("ctext0", "before")
     is_open_ev = F.col("role0") == "open"
-    e = e.select("*", F.sum("delta").over(w).alias("cnt"), F.sum("nbytes").over(w).alias("tb"),
+    e = e.select("*", F.sum("cbytes").over(w).alias("cb"), F.sum("delta").over(w).alias("cnt"), F.sum("nbytes").over(w).alias("tb"),
                  F.sum("sdelta").over(w).alias("svgc"),
                  F.sum(F.when(is_open_ev, 1).otherwise(0)).over(w).alias("ec"),
                  F.sum(F.when(F.col("role0") == "text", 1).otherwise(0)).over(w).alias("tc"))
@@ -244,6 +250,9 @@ def _sweep(nodes: DataFrame) -> DataFrame:
         F.max(F.when(child, F.when(role0 == "open", F.col("cnt") - 1).otherwise(F.col("cnt")))).alias("depth"),
         F.max(F.when(child, F.col("tb") - F.col("nbytes"))).alias("text_start"),
         F.max(F.when(F.col("role") == "end", F.col("tb"))).alias("text_end"),
+        F.max(F.when(child, F.col("ctext"))).alias("ctext"),
+        F.max(F.when(child, F.col("cb") - F.col("cbytes"))).alias("ctext_start"),
+        F.max(F.when(F.col("role") == "end", F.col("cb"))).alias("ctext_end"),
         F.max(F.when(child, F.col("svgc") > 0)).alias("in_svg"),
         (F.max(F.when(F.col("role") == "end", F.col("ec"))) - F.max(F.when(child, F.col("ec")))).alias("n_desc"),
         (F.max(F.when(F.col("role") == "end", F.col("tc"))) - F.max(F.when(child, F.col("tc")))).alias("n_text_desc"),

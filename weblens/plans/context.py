@@ -86,49 +86,47 @@ def captured_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_view(spark, sf_dir, "rich").join(tabs, "page_id", "left_semi")
 
 
-def nodes(spark: SparkSession, sf_dir: str, view: str = "rich") -> DataFrame:
-    key = (_input(spark, sf_dir), view)
+def core(spark: SparkSession, sf_dir: str, view: str = "rich") -> DataFrame:
+    """The slim node table (tokens, tree, attributes), written once."""
+    key = (_input(spark, sf_dir), view, "core")
     if key not in _CACHE:
         configure(spark)
         if view == "captured":
-            pages = captured_pages(spark, sf_dir)
+            p = captured_pages(spark, sf_dir)
         else:
-            pages = read_view(spark, sf_dir, view)
+            p = read_view(spark, sf_dir, view)
         nparts = num_partitions(spark, sf_dir)
-        p = tree.partition_pages(pages, nparts)
-        n = E.build_nodes(tree.build(p))
-        n = _write_bucketed(spark, n, "nodes", nparts)
+        n = _write_bucketed(spark, E.core_nodes(tree.build(tree.partition_pages(p, nparts))), "nodes", nparts)
         _CACHE[key] = n.persist(StorageLevel.MEMORY_AND_DISK)
     return _CACHE[key]
 
 
-def elements(spark: SparkSession, sf_dir: str, view: str = "rich") -> DataFrame:
-    return nodes(spark, sf_dir, view).filter(F.col("kind") == "open").drop("text")
+def core_elements(spark: SparkSession, sf_dir: str, view: str = "rich") -> DataFrame:
+    return core(spark, sf_dir, view).filter(F.col("kind") == "open").drop("text")
 
 
 def texts(spark: SparkSession, sf_dir: str, view: str = "rich") -> DataFrame:
-    return nodes(spark, sf_dir, view).filter(F.col("kind") == "text")
+    return core(spark, sf_dir, view).filter(F.col("kind") == "text")
 
 
-def nodes_with_text(spark: SparkSession, sf_dir: str, view: str = "rich") -> DataFrame:
-    """All nodes; elements get ``text`` (textContent) and ``preview``. One
-    cached table, so (root, node) pairs over elements and texts need no union
-    (a union would drop the page partitioning and force a shuffle)."""
-    key = (_input(spark, sf_dir), view, "text")
+def nodes(spark: SparkSession, sf_dir: str, view: str = "rich") -> DataFrame:
+    """Core nodes with ancestor columns and previews: for the queries that
+    need paths, contexts, suppression or rendered text. ``text`` is a text
+    node's own; no element's textContent is kept."""
+    key = (_input(spark, sf_dir), view, "nodes")
     if key not in _CACHE:
-        from weblens.functions import lists as L
-        from weblens.functions.text import clean_text
-
-        n = nodes(spark, sf_dir, view)
-        nt = E.with_text(n, texts(spark, sf_dir, view), "text")
-        nt = nt.withColumn("preview", F.when(F.col("kind") == "open",
-                                             F.substring(clean_text("text"), 1, L.PREVIEW_CHARS)))
-        _CACHE[key] = nt.persist(StorageLevel.MEMORY_AND_DISK)
+        n = E.build_nodes(E.with_preview(core(spark, sf_dir, view), texts(spark, sf_dir, view)))
+        _CACHE[key] = n.persist(StorageLevel.MEMORY_AND_DISK)
     return _CACHE[key]
 
 
-def elements_with_text(spark: SparkSession, sf_dir: str, view: str = "rich") -> DataFrame:
-    return nodes_with_text(spark, sf_dir, view).filter(F.col("kind") == "open")
+def elements(spark: SparkSession, sf_dir: str, view: str = "rich") -> DataFrame:
+    return nodes(spark, sf_dir, view).filter(F.col("kind") == "open").drop("text")
+
+
+def with_text(spark: SparkSession, sf_dir: str, els: DataFrame, view: str = "rich") -> DataFrame:
+    """Elements with their textContent, made for the given ones only."""
+    return E.with_text(els, texts(spark, sf_dir, view))
 
 
 def pages(spark: SparkSession, sf_dir: str, view: str = "rich") -> DataFrame:
@@ -158,15 +156,12 @@ class Tables:
     """Tree tables of an arbitrary ``pages(page_id, url, html)`` DataFrame."""
 
     def __init__(self, pages_df: DataFrame, num_partitions: int = 2):
-        from weblens.functions import lists as L
-        from weblens.functions.text import clean_text
-
         self.pages = pages_df
-        self.nodes = E.build_nodes(tree.build(tree.partition_pages(pages_df, num_partitions))).cache()
+        core = E.core_nodes(tree.build(tree.partition_pages(pages_df, num_partitions))).cache()
+        self.texts = core.filter(F.col("kind") == "text")
+        self.nodes = E.build_nodes(E.with_preview(core, self.texts)).cache()
         self.elements = self.nodes.filter(F.col("kind") == "open").drop("text")
-        self.texts = self.nodes.filter(F.col("kind") == "text")
-        self.nodes_text = E.with_text(self.nodes, self.texts).withColumn(
-            "preview", F.when(F.col("kind") == "open", F.substring(clean_text("text"), 1, L.PREVIEW_CHARS))).cache()
+        self.nodes_text = E.with_text(self.nodes, self.texts).cache()
         self.elements_text = self.nodes_text.filter(F.col("kind") == "open")
 
     def element(self, page_id: int, tag: str, nth: int = 1):

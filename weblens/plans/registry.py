@@ -39,6 +39,12 @@ def W(select: str, derived: bool = True, view: str = "rich") -> str:  # noqa: N8
 from weblens.operators import snapshot as S  # noqa: E402
 
 
+def titles(spark, sf, view="rich"):
+    """Headings and titles with their whole text."""
+    e = C.core_elements(spark, sf, view)
+    return C.with_text(spark, sf, e.filter(F.col("tag").isin([*L.HEADING_TAGS, "title"])), view)
+
+
 @query("page_counts", W("""
 SELECT pr.page_id,
   count(*) FILTER (WHERE tag = 'button' OR coalesce(a_role, '') = 'button') AS buttons,
@@ -48,7 +54,7 @@ SELECT pr.page_id,
   count(*) FILTER (WHERE tag = 'img' AND coalesce(a_alt, '') = '') AS images_missing_alt
 FROM pr LEFT JOIN elx ON elx.page_id = pr.page_id GROUP BY pr.page_id""", derived=False))
 def q_page_counts(spark, sf):
-    return S.page_counts(C.pages(spark, sf), C.elements(spark, sf))
+    return S.page_counts(C.pages(spark, sf), C.core_elements(spark, sf))
 
 
 @query("headings", W(f"""
@@ -57,7 +63,7 @@ SELECT page_id, rank, tag, {O.clean_sql('text')} AS text FROM (
   FROM el e JOIN tc USING (page_id, pos) WHERE e.tag IN ('h1', 'h2', 'h3'))
 WHERE rank <= 20"""))
 def q_headings(spark, sf):
-    return S.headings(C.elements_with_text(spark, sf))
+    return S.headings(titles(spark, sf))
 
 
 @query("landmarks", W("""
@@ -66,7 +72,7 @@ SELECT page_id, rank, summary FROM (
   FROM elx WHERE tag IN ('header', 'nav', 'main', 'section', 'aside', 'footer'))
 WHERE rank <= 25""", derived=False))
 def q_landmarks(spark, sf):
-    return S.landmarks(C.elements(spark, sf))
+    return S.landmarks(C.core_elements(spark, sf))
 
 
 TITLE_SQL = """
@@ -80,7 +86,7 @@ ttl AS (
 
 @query("page_title")
 def q_page_title(spark, sf):
-    return S.page_title(C.pages(spark, sf), C.elements_with_text(spark, sf))
+    return S.page_title(C.pages(spark, sf), titles(spark, sf))
 
 
 def snapshot_sql() -> str:
@@ -111,7 +117,7 @@ FROM ttl t JOIN (
 
 @query("page_snapshot")
 def q_page_snapshot(spark, sf):
-    return S.page_snapshot(C.pages(spark, sf), C.elements(spark, sf), C.elements_with_text(spark, sf))
+    return S.page_snapshot(C.pages(spark, sf), C.elements(spark, sf), titles(spark, sf))
 
 
 def _with_title(select: str) -> str:
@@ -129,7 +135,7 @@ ORACLE["page_snapshot"] = _with_title(snapshot_sql())
 
 @query("element_tree", W("SELECT page_id, pos, end_pos, tag, depth, parent_pos FROM el", derived=False))
 def q_element_tree(spark, sf):
-    return C.elements(spark, sf).select("page_id", "pos", "end_pos", "tag", "depth", "parent_pos")
+    return C.core_elements(spark, sf).select("page_id", "pos", "end_pos", "tag", "depth", "parent_pos")
 
 
 @query("text_nodes", W("SELECT page_id, pos, parent_pos, text FROM txt", derived=False))
@@ -141,14 +147,14 @@ def q_text_nodes(spark, sf):
 SELECT page_id, pos, row_number() OVER (PARTITION BY page_id, pos ORDER BY i) AS ordinal, name, value
 FROM atr""", derived=False))
 def q_attributes(spark, sf):
-    return C.elements(spark, sf).select("page_id", "pos", F.posexplode("attrs").alias("i", "a")).select(
+    return C.core_elements(spark, sf).select("page_id", "pos", F.posexplode("attrs").alias("i", "a")).select(
         "page_id", "pos", (F.col("i") + 1).cast("long").alias("ordinal"), "a.name", "a.value")
 
 
 # the same tables over markup that is broken in known ways
 @query("malformed_tree", W("SELECT page_id, pos, end_pos, tag, depth, parent_pos FROM el", derived=False, view="malformed"))
 def q_malformed_tree(spark, sf):
-    return C.elements(spark, sf, "malformed").select("page_id", "pos", "end_pos", "tag", "depth", "parent_pos")
+    return C.core_elements(spark, sf, "malformed").select("page_id", "pos", "end_pos", "tag", "depth", "parent_pos")
 
 
 @query("malformed_texts", W("SELECT page_id, pos, parent_pos, text FROM txt", derived=False, view="malformed"))
@@ -160,18 +166,18 @@ def q_malformed_texts(spark, sf):
 SELECT page_id, pos, row_number() OVER (PARTITION BY page_id, pos ORDER BY i) AS ordinal, name, value
 FROM atr""", derived=False, view="malformed"))
 def q_malformed_attributes(spark, sf):
-    return C.elements(spark, sf, "malformed").select("page_id", "pos", F.posexplode("attrs").alias("i", "a")).select(
+    return C.core_elements(spark, sf, "malformed").select("page_id", "pos", F.posexplode("attrs").alias("i", "a")).select(
         "page_id", "pos", (F.col("i") + 1).cast("long").alias("ordinal"), "a.name", "a.value")
 
 
 @query("malformed_text_content", W("SELECT page_id, pos, text FROM tc", view="malformed"))
 def q_malformed_text_content(spark, sf):
-    return C.elements_with_text(spark, sf, "malformed").select("page_id", "pos", "text")
+    return C.with_text(spark, sf, C.core_elements(spark, sf, "malformed"), "malformed").select("page_id", "pos", "text")
 
 
 @query("nth_of_type", W("SELECT page_id, pos, tag, nth_of_type, n_same_tag FROM elx", derived=False))
 def q_nth_of_type(spark, sf):
-    return C.elements(spark, sf).select("page_id", "pos", "tag", "nth_of_type", "n_same_tag")
+    return C.core_elements(spark, sf).select("page_id", "pos", "tag", "nth_of_type", "n_same_tag")
 
 
 @query("parent_child", W("""
@@ -212,7 +218,7 @@ def q_subtree_sizes(spark, sf):
 
 @query("text_content", W("SELECT page_id, pos, text FROM tc"))
 def q_text_content(spark, sf):
-    return C.elements_with_text(spark, sf).select("page_id", "pos", "text")
+    return C.with_text(spark, sf, C.core_elements(spark, sf)).select("page_id", "pos", "text")
 
 
 @query("direct_text", W(f"""
@@ -226,7 +232,7 @@ def q_direct_text(spark, sf):
 
 @query("hidden_elements", W("SELECT page_id, pos, tag FROM elx WHERE hidden", derived=False))
 def q_hidden_elements(spark, sf):
-    return C.elements(spark, sf).filter("hidden").select("page_id", "pos", "tag")
+    return C.core_elements(spark, sf).filter("hidden").select("page_id", "pos", "tag")
 
 
 @query("images_missing_alt", W("SELECT page_id, pos FROM elx WHERE tag = 'img' AND coalesce(a_alt, '') = ''",
@@ -240,7 +246,7 @@ SELECT page_id, pos FROM elp
 WHERE (tag = 'button' OR coalesce(a_role, '') = 'button') AND coalesce(nullif(a_aria_label, ''), preview) = ''"""))
 def q_unnamed_buttons(spark, sf):
     from weblens.operators.a11y import unnamed_buttons
-    return unnamed_buttons(C.elements_with_text(spark, sf))
+    return unnamed_buttons(C.elements(spark, sf))
 
 
 @query("capturable_pages", "SELECT page_id, url FROM pages WHERE NOT (" + " OR ".join(
@@ -268,11 +274,11 @@ def RW(select: str) -> str:  # noqa: N802
 
 
 def nodes_text(spark, sf, view="rich"):
-    return C.nodes_with_text(spark, sf, view)
+    return C.nodes(spark, sf, view)
 
 
 def roots(spark, sf):
-    return R.region_roots(C.elements_with_text(spark, sf))
+    return R.region_roots(C.elements(spark, sf))
 
 
 CLEAN_FRAGS = f"""
@@ -312,12 +318,12 @@ def structure_frags(depth: int | None = None) -> str:
 
 @query("structure", RW(render_select(structure_frags(), "chr(10)", "structure")))
 def q_structure(spark, sf):
-    return R.structure(C.elements_with_text(spark, sf), roots(spark, sf))
+    return R.structure(C.elements(spark, sf), roots(spark, sf))
 
 
 @query("structure_depth1", RW(render_select(structure_frags(1), "chr(10)", "structure")))
 def q_structure_depth1(spark, sf):
-    return R.structure(C.elements_with_text(spark, sf), roots(spark, sf), R.Options(depth=1))
+    return R.structure(C.elements(spark, sf), roots(spark, sf), R.Options(depth=1))
 
 
 A11Y_LINE = f"""
@@ -353,7 +359,7 @@ def a11y_frags() -> str:
 
 @query("a11y_outline", RW(render_select(a11y_frags(), "chr(10)", "accessibility")))
 def q_a11y_outline(spark, sf):
-    return R.a11y_outline(C.elements_with_text(spark, sf), roots(spark, sf))
+    return R.a11y_outline(C.elements(spark, sf), roots(spark, sf))
 
 
 @query("a11y_findings", W(f"""
@@ -364,7 +370,7 @@ SELECT page_id, pos, unnest(list_filter([
     lambda x: x IS NOT NULL)) AS warning
 FROM elp"""))
 def q_a11y_findings(spark, sf):
-    return a11y_findings(C.elements_with_text(spark, sf))
+    return a11y_findings(C.elements(spark, sf))
 
 
 @query("kept_attributes", W(f"""
@@ -372,7 +378,7 @@ SELECT page_id, pos, row_number() OVER (PARTITION BY page_id, pos ORDER BY i) AS
 WHERE name IN {O.qlist(L.KEEP_ATTRS)} OR name = 'data-testid' OR NOT regexp_matches(name, {O.q(O.NOISE_RX)})""",
                             derived=False))
 def q_kept_attributes(spark, sf):
-    e = C.elements(spark, sf).select("page_id", "pos", F.posexplode(R.kept_attrs()).alias("i", "a"))
+    e = C.core_elements(spark, sf).select("page_id", "pos", F.posexplode(R.kept_attrs()).alias("i", "a"))
     return e.select("page_id", "pos", (F.col("i") + 1).cast("long").alias("ordinal"), "a.name", "a.value")
 
 
@@ -399,7 +405,15 @@ def _in_scope(spark, sf, df, view="rich"):
 
 def els_src(spark, sf, view="rich"):
     t = C.texts(spark, sf, view)
-    return C.memo(spark, sf, f"els_src-{view}", lambda: LC.text_source(C.elements_with_text(spark, sf, view), _direct(t), _first(t)))
+
+    def build():
+        e = C.elements(spark, sf, view)
+        # a longer collapsed text is over the limit of the text XPath anyway
+        short = e.filter(F.col("ctext_end") - F.col("ctext_start") <= 4 * L.TEXT_XPATH_MAX + 8)
+        content = C.with_text(spark, sf, short.select("page_id", "pos", "text_start", "text_end"), view).select("page_id", "pos", "text")
+        e = e.join(content, ["page_id", "pos"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+        return LC.text_source(e, _direct(t), _first(t))
+    return C.memo(spark, sf, f"els_src-{view}", build)
 
 
 def first_texts(spark, sf, view="rich"):
@@ -408,12 +422,12 @@ def first_texts(spark, sf, view="rich"):
 
 @query("ranked_selectors", LW(OL.ranked_sql()))
 def q_ranked_selectors(spark, sf):
-    return LC.ranked_selectors(_scope(C.elements_with_text(spark, sf)))
+    return LC.ranked_selectors(_scope(C.elements(spark, sf)))
 
 
 @query("best_selector", LW(OL.best_sql()))
 def q_best_selector(spark, sf):
-    return LC.best_selector(_scope(C.elements_with_text(spark, sf)))
+    return LC.best_selector(_scope(C.elements(spark, sf)))
 
 
 @query("shortest_unique", LW(OL.shortest_unique_sql()))
@@ -497,7 +511,7 @@ CAP = "captured"  # every capture query works on the pages that have a selection
 def live(spark, sf):
     def build():
         sel = RP.selection_replay(read_log(spark, sf))
-        return CP.live_captures(sel, C.elements_with_text(spark, sf, CAP))
+        return CP.live_captures(sel, C.elements(spark, sf, CAP))
     return C.memo(spark, sf, "live", build)
 
 
@@ -581,13 +595,13 @@ def SW(select: str) -> str:  # noqa: N802
 
 @query("declared_styles", SW(f"SELECT page_id, pos, raw AS styles FROM ({raw_select(STYLE_FRAGS, 'chr(10) || chr(10)')})"))
 def q_declared_styles(spark, sf):
-    d = R.declared_styles(C.elements_with_text(spark, sf), roots(spark, sf), finalize=False)
+    d = R.declared_styles(C.elements(spark, sf), roots(spark, sf), finalize=False)
     return d.select("page_id", "pos", F.col("raw").alias("styles"))
 
 
 @query("html_css", SW(html_css_select()))
 def q_html_css(spark, sf):
-    return R.html_css(nodes_text(spark, sf), C.elements_with_text(spark, sf), roots(spark, sf))
+    return R.html_css(nodes_text(spark, sf), C.elements(spark, sf), roots(spark, sf))
 
 
 def region_outputs(spark, sf):
@@ -604,11 +618,11 @@ def _formats_union_sql() -> str:
 
 def all_outputs(spark, sf, r, view):
     """All six formats of the root elements ``r``: ``(page_id, pos, format, output)``."""
-    e, nt = C.elements_with_text(spark, sf, view), nodes_text(spark, sf, view)
-    pages, els = C.pages(spark, sf, view), C.elements(spark, sf, view)
-    parts = S.page_parts(pages, els, e)
+    e, nt = C.elements(spark, sf, view), nodes_text(spark, sf, view)
+    pages, tt = C.pages(spark, sf, view), titles(spark, sf, view)
+    parts = S.page_parts(pages, e, tt)
     pay = PL.selector_payload(_scope(e).join(r.select("page_id", "pos"), ["page_id", "pos"], "left_semi"), _locators(spark, sf, view))
-    docs = PL.selector_document(pay, S.page_title(pages, e), r)
+    docs = PL.selector_document(pay, S.page_title(pages, tt), r)
     return (R.multi_format(nt, r).unionByName(R.html_css(nt, e, r)).unionByName(S.snapshot_for_roots(parts, r)).unionByName(docs))
 
 
@@ -732,7 +746,7 @@ def q_prompt_text(spark, sf):
     n = lv.groupBy("tab").agg(F.count("*").alias("cnt"))
     f = n.select("tab", "cnt", F.explode(F.array(*[F.lit(x) for x in L.FORMATS])).alias("format"))
     comb = PR.combined_output(capture_outputs(spark, sf)).select("tab", "format", "output")
-    t = S.page_title(C.pages(spark, sf, CAP), C.elements_with_text(spark, sf, CAP))
+    t = S.page_title(C.pages(spark, sf, CAP), titles(spark, sf, CAP))
     j = f.join(comb, ["tab", "format"], "left").join(t, F.col("tab") == F.col("page_id"), "left")
     return j.select("tab", "format", PR.build_prompt(F.col("format"), F.col("title"), F.col("url"), F.col("cnt"),
                                                      F.coalesce("output", F.lit(""))).alias("prompt"))
@@ -743,7 +757,7 @@ def q_prompt_text(spark, sf):
 # ---------------------------------------------------------------------------
 @query("selector_payload", LW(f"SELECT page_id, pos, payload FROM ({OL.payload_sql()})"))
 def q_selector_payload(spark, sf):
-    e = _scope(C.elements_with_text(spark, sf))
+    e = _scope(C.elements(spark, sf))
     return PL.selector_payload(e, _locators(spark, sf)).select("page_id", "pos", F.to_json("payload").alias("payload"))
 
 

@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weblens.functions import lists as L
-from weblens.functions.text import clean_text
 from weblens.operators import elements as E
 from weblens.operators import snapshot as S
 from weblens.operators import tree
@@ -26,15 +25,14 @@ from weblens.sources.pages import enrich
 
 def batch_nodes(pages: DataFrame, num_partitions: int) -> DataFrame:
     """The node table of one batch of pages."""
-    return E.build_nodes(tree.build(tree.partition_pages(pages, num_partitions)))
+    return E.build_nodes(E.core_nodes(tree.build(tree.partition_pages(pages, num_partitions))))
 
 
 def snapshot_batch(pages: DataFrame, nodes: DataFrame) -> DataFrame:
     """Page snapshots of one batch of pages from its node table."""
     els = nodes.filter(F.col("kind") == "open").drop("text")
     txt = nodes.filter(F.col("kind") == "text")
-    et = E.with_text(els, txt).withColumn("preview", F.substring(clean_text("text"), 1, L.PREVIEW_CHARS))
-    # (els has no text column, so every row is an element here)
+    et = E.with_text(els.filter(F.col("tag").isin([*L.HEADING_TAGS, "title"])), txt)
     return S.page_snapshot(pages, els, et)
 
 
