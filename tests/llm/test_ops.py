@@ -380,10 +380,11 @@ def test_ngram_join_edges(spark, edges, nothing):
     assert ngram_join.near_duplicates(nothing).count() == 0
 
 
-@pytest.mark.parametrize("block", [8192, 16])
-def test_ngram_join_chains(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,top", [(8192, 4), (16, 1)])
+def test_ngram_join_chains(spark, monkeypatch, block, top):
     """Chains of small edits and a big family of near copies around the threshold."""
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "TOP", top)
     r = random.Random(9)
     vocab = [f"v{i}" for i in range(300)]
     rows = []
@@ -412,7 +413,7 @@ def test_count_tree_loses_no_pair():
     tree = ngram_join.CountTree(vec, n)
     for i in range(0, 500, 7):
         want = {j for j in range(500) if 7 * int(np.minimum(vec[i], vec[j]).sum()) >= 3 * int(n[i] + n[j])}
-        assert set(tree.order[tree.near(vec[i], int(n[i]))].tolist()) == want
+        assert set(tree.order[tree.near(vec[i], int(n[i]))[0]].tolist()) == want
 
 
 def test_components(spark):

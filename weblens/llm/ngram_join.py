@@ -4,19 +4,23 @@
    here on only classes matter, so copies cost one entry per task.
 2. Two sets with Jaccard 0.75 share a shingle among the first
    ``n - ceil(0.75 n) + 1`` of each, in any common order. The order puts
-   frequent shingles last; which ones are frequent is counted over all
-   documents, task by task, and kept in a bitmap of fixed size. A wrong guess
-   moves a shingle in the order and changes no result.
+   frequent shingles last: those that ``FREQUENT`` different sets of a chunk of
+   documents hold. All documents are counted, chunk by chunk, into a bitmap of
+   fixed size. A wrong guess moves a shingle in the order and changes no result.
 3. These prefix shingles go, packed in blocks, to buckets by hash; shingles with
    several classes of fitting sizes give lists.
 4. Each list is first tried as a star around one member; each class verifies
    its best partner, and linked classes are merged. So a large group of near
    copies costs about one check a member, not one a pair.
 5. Lists that still hold several components are searched by a tree over count
-   vectors (shingles hashed into ``GROUPS`` groups, their counts taken as a
-   point): the sum over the groups of the smaller upper coordinates bounds the
-   overlap of two boxes, and the sum of smaller counts that of two sets. Pairs
-   in different components that pass are verified on their whole sets.
+   vectors (shingles hashed into groups, their counts taken as a point): the sum
+   over the groups of the smaller upper coordinates bounds the overlap of two
+   boxes, and the sum of smaller counts that of two sets. A set of n shingles
+   has about n / 2 groups, a power of two, and folds onto fewer for a smaller
+   partner. First each member tries its ``TOP`` best partners in each larger
+   component; once these are verified and merged, the lists where some pair was
+   left out are searched again, and every pair in different components that
+   passes the bound is verified on its whole sets.
 
 Every pair of different sets that reaches the threshold ends in one component;
 nothing is capped or sampled. A list longer than ``BLOCK`` is searched by pairs
@@ -45,10 +49,12 @@ from weblens.session import cut, ship
 SHINGLE = 5
 #: Threshold as a fraction: NUM * |union| <= DEN * |intersection|.
 NUM, DEN = 3, 4
-GROUPS = 64
+GROUPS = 128  # at least
+TOP = 4
+FREQUENT = 3
 LEAF = 32
 BLOCK = 8192
-_BITS = 23
+_BITS = 25
 _CHUNK = 1 << 22
 _ENTRY = np.dtype([("token", "<u8"), ("cls", "<i8"), ("n", "<u4")])
 _BLOCK_BYTES = 16 << 20
@@ -78,11 +84,11 @@ def _prefix(s: np.ndarray, late: np.ndarray) -> np.ndarray:
 def _describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Per text a row (doc_id, th, n, cls, vec); per chunk the frequent
     shingles as (word, bits), and the number of shingles at word -1."""
-    chunk, size, texts = [], 0, 0
+    chunk, size, seen = [], 0, set()
 
     def frequent() -> pa.RecordBatch:
         t, c = np.unique(np.concatenate(chunk), return_counts=True) if chunk else (np.empty(0, U), np.empty(0, int))
-        slot = t[c >= max(8, texts // 1000)] >> U(64 - _BITS)
+        slot = t[c >= FREQUENT] >> U(64 - _BITS)
         word, at = np.unique(slot >> U(6), return_inverse=True)
         bits = np.zeros(len(word), dtype=U)
         np.bitwise_or.at(bits, at, U(1) << (slot & U(63)))
@@ -98,13 +104,15 @@ def _describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
             s = _set(x, k)
             ns.append(len(s))
             cls.append(_class(s))
-            vec.append(np.bincount((s & U(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes())
+            vec.append(_vector(s))
+            if cls[-1] in seen:
+                continue
             if size and size + len(s) > _CHUNK:
                 yield frequent()
-                chunk, size, texts = [], 0, 0
+                chunk, size, seen = [], 0, set()
+            seen.add(cls[-1])
             chunk.append(s)
             size += len(s)
-            texts += 1
         m = len(ns)
         yield pa.RecordBatch.from_arrays(
             [b.column(0), b.column(1), pa.array(ns, pa.int64()), pa.array(cls, pa.int64()), pa.array(vec, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], _NAMES)
@@ -183,67 +191,107 @@ def overlap_needed(a: Column, b: Column) -> Column:
     return F.ceil(NUM * (a + b) / F.lit(NUM + DEN))
 
 
-def _vectors(col: pa.Array) -> np.ndarray:
-    flat = b"".join(col.to_pylist())
-    return np.frombuffer(flat, dtype="<u4").reshape(-1, GROUPS).astype(np.int64)
+def _vector(s: np.ndarray) -> bytes:
+    """Group counts of a set: one byte for the width of a count, then the counts."""
+    g = max(GROUPS, 1 << (max(1, len(s) // 2) - 1).bit_length())
+    v = np.bincount((s & U(g - 1)).astype(np.int64), minlength=g)
+    width = 1 if v.max() < 1 << 8 else 2 if v.max() < 1 << 16 else 4
+    return bytes([width]) + v.astype(f"<u{width}").tobytes()
+
+
+def _counts(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, dtype=f"<u{x[0]}", offset=1).astype(np.int32)
+
+
+def _fold(v: np.ndarray, g: int) -> np.ndarray:
+    return v if len(v) == g else v.reshape(-1, g).sum(axis=0, dtype=np.int32)
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose summed smaller counts allow the threshold."""
     for b in batches:
-        if b.num_rows:
-            top = np.minimum(_vectors(b.column("va")), _vectors(b.column("vb"))).sum(axis=1)
-            ok = (NUM + DEN) * top >= NUM * (np.asarray(b.column("na")) + np.asarray(b.column("nb")))
-            yield b.select(["a", "b", "na", "nb", "votes"]).filter(pa.array(ok))
+        ok = []
+        for x, y, m in zip(b.column("va").to_pylist(), b.column("vb").to_pylist(), (np.asarray(b.column("na")) + np.asarray(b.column("nb"))).tolist()):
+            p, q = _counts(x), _counts(y)
+            g = min(len(p), len(q))
+            ok.append((NUM + DEN) * int(np.minimum(_fold(p, g), _fold(q, g)).sum()) >= NUM * m)
+        yield b.select(["a", "b", "na", "nb", "votes"]).filter(pa.array(ok, pa.bool_()))
 
 
 class CountTree:
     """Packed tree over count vectors, leaves in order of size and then of the
-    groups' counts; a box holds the largest and smallest of its points."""
+    first groups' counts; a box holds the largest of its points' counts and the
+    smallest of their sizes."""
 
     def __init__(self, vec: np.ndarray, n: np.ndarray):
         self.order = np.lexsort((*vec.T[:4], n))
         self.vec, self.n = vec[self.order], n[self.order]
-        self.levels = [self._pack(self.vec, self.n)]
-        while len(self.levels[-1][1]) > LEAF:
-            self.levels.append(self._pack(*self.levels[-1]))
-
-    @staticmethod
-    def _pack(hi: np.ndarray, low_n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.arange(0, len(hi), LEAF)
-        return np.maximum.reduceat(hi, at, axis=0), np.minimum.reduceat(low_n, at)
-
-    def near(self, q: np.ndarray, qn: int) -> np.ndarray:
-        """Places (in tree order) of the points that may reach the threshold."""
-        nodes = np.arange(len(self.levels[-1][1]))
+        self.levels = []
+        hi, low = self.vec, self.n
+        while len(low) > 2 * LEAF:
+            at = np.arange(0, len(low), LEAF)
+            hi, low = np.maximum.reduceat(hi, at, axis=0), np.minimum.reduceat(low, at)
+            self.levels.append((hi, low))
+
+    def near(self, q: np.ndarray, qn: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places (in tree order) of the points that may reach the threshold
+        with a point, and the bounds of their overlaps."""
+        nodes = np.arange(len(self.levels[-1][1]) if self.levels else len(self.n))
         for depth in range(len(self.levels) - 1, -1, -1):
             hi, low = self.levels[depth]
             ok = (NUM + DEN) * np.minimum(hi[nodes], q).sum(axis=1) >= NUM * (low[nodes] + qn)
             nodes = (nodes[ok][:, None] * LEAF + np.arange(LEAF)).ravel()
             nodes = nodes[nodes < (len(self.levels[depth - 1][1]) if depth else len(self.n))]
-        ok = (NUM + DEN) * np.minimum(self.vec[nodes], q).sum(axis=1) >= NUM * (self.n[nodes] + qn)
-        return nodes[ok]
+        top = np.minimum(self.vec[nodes], q).sum(axis=1)
+        ok = (NUM + DEN) * top >= NUM * (self.n[nodes] + qn)
+        return nodes[ok], top[ok]
 
 
-def _search(table: pa.Table) -> pa.Table:
+def _search(table: pa.Table, best: int | None) -> pa.Table:
     """Pairs of one list (or of two of its blocks) in different components
-    whose vectors allow the threshold."""
+    whose vectors allow the threshold: all of them, or for each member the
+    ``best`` ones in each larger component. A row without a pair says that
+    pairs of the list were left out."""
     cls, comp, n, part = (np.asarray(table.column(c)) for c in ("cls", "comp", "n", "part"))
-    vec = _vectors(table.column("vec").combine_chunks())
-    tree = CountTree(vec, n)
-    o = tree.order
-    a, b, na, nb = [], [], [], []
+    vecs = [_counts(x) for x in table.column("vec").to_pylist()]
+    groups = np.array([len(v) for v in vecs])
+    of_comp, size = np.unique(comp, return_inverse=True)[1], np.bincount(np.unique(comp, return_inverse=True)[1])
+    weight = size[of_comp]
     same_block = part.min() == part.max()
-    for i in range(len(cls)):
-        j = o[tree.near(vec[i], int(n[i]))]
-        j = j[(comp[j] != comp[i]) & (cls[j] > cls[i])]
-        if not same_block:
-            j = j[part[j] != part[i]]
-        a += [cls[i]] * len(j)
-        na += [n[i]] * len(j)
-        b += cls[j].tolist()
-        nb += n[j].tolist()
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "na": pa.array(na, pa.int64()), "nb": pa.array(nb, pa.int64())})
+    a, b, left_out = [], [], False
+    for g in np.unique(groups):
+        # sizes within 3 to 4 have equal or neighbouring numbers of groups
+        pts = np.flatnonzero((groups == g) | (groups == 2 * g))
+        folded = np.stack([_fold(vecs[i], g) for i in pts])
+        tree = CountTree(folded, n[pts])
+        for i, q in zip(pts.tolist(), folded):
+            at, top = tree.near(q, int(n[i]))
+            j = pts[tree.order[at]]
+            ok = comp[j] != comp[i]
+            if groups[i] != g:
+                ok &= groups[j] == g  # two of 2 g meet in their own round
+            if not same_block:
+                ok &= part[j] != part[i]
+            if best is None:
+                ok &= cls[j] > cls[i] if groups[i] == g else False
+                ok2 = (comp[j] != comp[i]) & (groups[i] == g) & (groups[j] != g)
+                ok |= ok2 if same_block else ok2 & (part[j] != part[i])
+            else:
+                ok &= (weight[j] > weight[i]) | ((weight[j] == weight[i]) & (comp[j] < comp[i]))
+            j, top = j[ok], top[ok]
+            if best is not None and len(j) > best:
+                order = np.lexsort((cls[j], -top, comp[j]))
+                j = j[order]
+                first = np.flatnonzero(np.append(True, comp[j][1:] != comp[j][:-1]))
+                rank = np.arange(len(j)) - np.repeat(first, np.diff(np.append(first, len(j))))
+                left_out |= bool((rank >= best).any())
+                j = j[rank < best]
+            a += [cls[i]] * len(j)
+            b += cls[j].tolist()
+    lists = [None] * len(a)
+    if left_out:
+        a, b, lists = [*a, None], [*b, None], [*lists, table.column("list")[0].as_py()]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "list": pa.array(lists, pa.int64())})
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -276,15 +324,21 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _bitmap(df: DataFrame, col: str) -> np.ndarray:
     """Fixed-size bitmap of the top bits of a hash column (at most
     2 ** (_BITS - 6) rows of 64 bits come to the driver)."""
-    out = np.zeros(1 << (_BITS - 6), dtype=U)
     slot = df.select(F.shiftrightunsigned(col, 64 - _BITS).alias("slot"))
-    for r in slot.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).collect():
-        out[r["word"]] = np.int64(r["bits"]).view(U)
+    return _filled(slot.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")))
+
+
+def _filled(df: DataFrame) -> np.ndarray:
+    """A bitmap from its (word, bits) rows."""
+    out = np.zeros(1 << (_BITS - 6), dtype=U)
+    t = df.select("word", "bits").toArrow()
+    out[np.asarray(t.column("word"))] = np.asarray(t.column("bits")).view(U)
     return out
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that reach the threshold on their whole sets."""
+    """The pairs (a, b) that reach the threshold on their whole sets (a set
+    that several tasks give makes a pair come up again, which harms nothing)."""
     return (
         pairs.select("a", "b").join(sets.select(F.col("cls").alias("a"), F.col("items").alias("sa")), "a")
         .join(sets.select(F.col("cls").alias("b"), F.col("items").alias("sb")), "b")
@@ -304,12 +358,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = told.filter("cls IS NOT NULL").select("doc_id", "th", "n", "cls")
     one = told.filter("n > 0").groupBy("cls").agg(F.min("th").alias("th"), F.max("n").alias("n"), F.max("vec").alias("vec"))
 
-    total, late = 0, np.zeros(1 << (_BITS - 6), dtype=U)
-    for r in told.filter("word IS NOT NULL").groupBy("word").agg(F.bit_or("bits").alias("bits"), F.sum(F.when(F.col("word") < 0, F.col("bits"))).alias("sum")).collect():
-        if r["word"] < 0:
-            total = r["sum"]
-        else:
-            late[r["word"]] = np.int64(r["bits"]).view(U)
+    total = told.filter("word < 0").agg(F.sum("bits")).first()[0] or 0
+    late = _filled(told.filter("word >= 0").groupBy("word").agg(F.bit_or("bits").alias("bits")))
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * _ENTRY.itemsize * (1 - NUM / DEN)) // _BLOCK_BYTES + 1)
     shared = spark.sparkContext.broadcast(late)
     lists = cut(
@@ -336,35 +386,52 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         need = pairs.select("a").union(pairs.select("b")).distinct().join(vecs.select(F.col("cls").alias("a"), "th"), "a")
         wanted = spark.sparkContext.broadcast(_bitmap(need, "th"))
         return cut(
-            src.select("text", "th").mapInArrow(lambda bs: _sets(bs, k, wanted.value), "cls long, items binary")
-            .groupBy("cls").agg(F.max("items").alias("items")), "whole")
+            src.select("text", "th").mapInArrow(lambda bs: _sets(bs, k, wanted.value), "cls long, items binary"), "whole")
 
     links = cut(_links(best, sets_of(best)), "links")
     comp = components(links)
-
-    # what is left: other pairs of a list in different components
-    named = cut(
-        lists.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "named")
-    open_lists = (
-        named.groupBy("list").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        .filter("lo <> hi AND m > 2").select("list", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
-    )
-    parted = (
-        named.join(open_lists, "list").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("list", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "cls", "comp", "n")
-    )
-    rest = parted.join(vecs.select("cls", "vec"), "cls").groupBy("list", "p", "q").applyInArrow(_search, "a long, b long, na long, nb long")
-    at_a = comp.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
-    at_b = comp.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-    left = (
-        star.join(best, ["a", "b"], "left_anti").join(at_a, "a", "left").join(at_b, "b", "left")
-        .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    )
-    more = cut(rest.select("a", "b").union(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct().join(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        found = _links(more, sets_of(more))
-        comp = components(links.unionByName(found))
+    tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    def search(within: DataFrame, comp: DataFrame, top: int | None) -> DataFrame:
+        """Pairs of the lists that hold several components."""
+        named = within.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        open_lists = (
+            named.groupBy("list").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+            .filter("lo <> hi AND m > 2").select("list", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
+        )
+        parted = (
+            named.join(open_lists, "list").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            .select("list", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "cls", "comp", "n")
+        )
+        return cut(parted.join(vecs.select("cls", "vec"), "cls").groupBy("list", "p", "q")
+                   .applyInArrow(lambda t: _search(t, top), "a long, b long, list long").distinct(), "pairs")
+
+    def verify(pairs: DataFrame, comp: DataFrame) -> DataFrame | None:
+        """Links among the pairs that are still in different components and
+        were not tried before; none if there is no such pair."""
+        nonlocal tried
+        at_a = comp.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
+        at_b = comp.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
+        new = cut(
+            pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+            .join(at_a, "a", "left").join(at_b, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "new")
+        if new.isEmpty():
+            return None
+        tried = tried.union(new)
+        return cut(_links(new, sets_of(new)), "links")
+
+    # other star pairs and each member's best partners in larger components
+    first = search(lists, comp, TOP)
+    found = verify(star.select("a", "b").union(first.filter("a IS NOT NULL").select("a", "b")), comp)
+    if found is not None:
+        links = links.union(found)
+        comp = components(links)
+    again = first.filter("list IS NOT NULL").select("list")
+    if not again.isEmpty():
+        found = verify(search(lists.join(again, "list", "left_semi"), comp, None).select("a", "b"), comp)
+        if found is not None:
+            comp = components(links.union(found))
 
     # the smallest id of each component, by class
     ids = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("low"))
