@@ -6,18 +6,24 @@ within ``1`` insertion, deletion or substitution; lines of fewer than
 ``MIN_WORDS`` words must be the same. Whether the earlier line itself stays does
 not matter, so the result does not depend on the order of work.
 
-1. Equal texts are one class, equal lines one entry with their first place.
-2. One edit leaves the first or the last ``h`` words of both lines alone, h
-   being half of the shorter one. Lines meet on the hash of such a half; halves
-   that one line alone has are dropped here, which is nearly all of them.
-3. For the others, the rest of the line travels to the task of its half. There
+1. One pass over the texts gives a row per line (its hash and place) and, packed
+   by bucket, the hashes of its halves: one edit leaves the first or the last
+   ``h`` words of both lines alone, h being half of the shorter one.
+2. A bucket marks the halves that several different lines have, in bitmaps of
+   fixed size; all others, nearly all, end here. A false mark costs work and
+   changes no result.
+3. For marked halves, the rest of the line travels to the task of its half. There
    all deletion variants of the rests are hashed, equal variants are joined,
    and each line is compared with the earliest partner on a variant: equal
    positions of the deleted word mean a substitution, a deletion that equals a
    whole rest means an insertion. The distance is verified on the words before
    a line is given up. Every step is linear in the words of the group. A half
    with over ``HOT`` lines is spread by variant.
-4. Decisions go back to the lines' places and texts.
+4. Decisions go back to the lines' places; texts that lose lines meet them by
+   digest, the others never travel.
+
+Equal texts are one class: its smallest id decides for itself, in the others
+every line with words has an earlier one.
 
 Defined results: null texts are empty; lines without words always stay; null
 ids come after all others; rows that repeat both id and text are one document
@@ -32,11 +38,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weblens.llm.textops import U, buffers, mix, words
-from weblens.session import ship
+from weblens.session import cut, ship
 
 MIN_WORDS = 5
 HOT = 5000
@@ -45,7 +52,10 @@ _PI = pow(_P, -1, 1 << 64)
 _LAST = (1 << 63) - 1
 _pw = [np.ones(1, dtype=U), np.ones(1, dtype=U)]
 
-_LINE = "dig binary, doc long, line_no int, n int, id long, chk long, halves array<struct<key:bigint,side:int>>"
+_BITS = 25
+_BLOCK_BYTES = 8 << 20
+_LINE = "dig binary, doc long, line_no int, n int, id long, chk int, bucket int, block binary"
+_HALF = np.dtype([("key", "<u8"), ("id", "<u8"), ("text", "<u8")])
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,43 +83,114 @@ def lines_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, at, line[at] if len(at) else at
 
 
-def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per line with words; ``halves`` are the hashes it may meet on,
-    side 2 * h for its first and 2 * h + 1 for its last h words."""
+def line_hashes(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(ends, ids, second hashes) of lines given by their first words, and the
+    halves that each may meet others on: keys and sides, side 2 * h for the
+    first and 2 * h + 1 for the last h words, as far as ``use`` says."""
+    end = np.append(at[1:], len(h))
+    s = end - at
+    c, (_, inv) = sums(h), _powers(len(h))
+
+    def run(a: np.ndarray, z: np.ndarray) -> np.ndarray:
+        return mix((c[z] - c[a]) * inv[a] + (z - a).astype(U))
+
+    odd = U(2) * (np.arange(len(h)) - np.repeat(at, s)).astype(U) + U(1)
+    chk = mix(np.add.reduceat(mix(h ^ U(0x5851F42D4C957F2D)) * odd, at))
+    # lines of n and n + 1 words meet on n // 2
+    half, other = s // 2, (s - 1) // 2
+    keys = np.stack([run(at, at + half) ^ half.astype(U), mix(run(end - half, end) ^ half.astype(U)),
+                     run(at, at + other) ^ other.astype(U), mix(run(end - other, end) ^ other.astype(U))], axis=1)
+    sides = np.stack([2 * half, 2 * half + 1, 2 * other, 2 * other + 1], axis=1)
+    use = np.ones(keys.shape, dtype=bool)
+    use[:, 2:] = (half != other)[:, None]
+    use[s < MIN_WORDS] = False
+    return end, run(at, end), (chk & U(0x7FFFFFFF)).astype(np.int32), keys, sides, use
+
+
+def _line_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """A row per line with words, texts once a task (with their smallest id in
+    the batch), and the halves of new lines packed by bucket."""
+    names = ["dig", "doc", "line_no", "n", "id", "chk", "bucket", "block"]
+    seen: dict[bytes, int] = {}
+    known: set[int] = set()
+    held, size = [], 0
+
+    def packed() -> pa.RecordBatch:
+        e = np.concatenate(held)
+        b = e["key"] % U(buckets)
+        order = np.argsort(b, kind="stable")
+        e, b = e[order], b[order].astype(np.int64)
+        cut_at = np.flatnonzero(np.diff(b, prepend=-1))
+        ends = np.append(cut_at[1:], len(e))
+        m = len(cut_at)
+        return pa.RecordBatch.from_arrays(
+            [pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), *[pa.nulls(m, pa.int32())] * 2, pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()),
+             pa.array(b[cut_at].astype(np.int32)), pa.array([e[i:j].tobytes() for i, j in zip(cut_at, ends)], pa.binary())], names)
+
     for b in batches:
-        text, no, n, ids, chk, keys, sides, counts = [], [], [], [], [], [], [], []
-        for i, x in enumerate(buffers(b.column(2))):
+        text, no, n, ids, chk = [], [], [], [], []
+        docs = b.column(1).to_pylist()
+        for i, (dig, x) in enumerate(zip(b.column(0).to_pylist(), buffers(b.column(2)))):
+            if seen.get(dig, _LAST + 1) <= docs[i]:
+                continue
+            seen[dig] = docs[i]
             h, at, line = lines_of(x)
             if len(at) == 0:
                 continue
-            end = np.append(at[1:], len(h))
-            size = end - at
-            c, (_, inv) = sums(h), _powers(len(h))
-            run = lambda a, z: mix((c[z] - c[a]) * inv[a] + (z - a).astype(U))  # noqa: E731, B023
+            end, lid, lchk, keys, _, use = line_hashes(h, at)
             text.append(np.full(len(at), i))
             no.append(line)
-            n.append(size)
-            ids.append(run(at, end))
-            chk.append(mix(np.add.reduceat(mix(h ^ U(0x5851F42D4C957F2D)) * (U(2) * (np.arange(len(h)) - np.repeat(at, size)).astype(U) + U(1)), at)))
-            # lines of n and n + 1 words meet on n // 2
-            a, z, s = at, end, size
-            half, other = s // 2, (s - 1) // 2
-            k = np.stack([run(a, a + half) ^ half.astype(U), mix(run(z - half, z) ^ half.astype(U)), run(a, a + other) ^ other.astype(U), mix(run(z - other, z) ^ other.astype(U))], axis=1)
-            d = np.stack([2 * half, 2 * half + 1, 2 * other, 2 * other + 1], axis=1)
-            use = np.ones(k.shape, dtype=bool)
-            use[:, 2:] = (half != other)[:, None]
-            use[s < MIN_WORDS] = False
-            keys.append(k[use])
-            sides.append(d[use])
-            counts.append(use.sum(axis=1))
+            n.append(end - at)
+            ids.append(lid)
+            chk.append(lchk)
+            new = np.array([v not in known for v in lid.tolist()])
+            known.update(lid.tolist())
+            use &= new[:, None]
+            e = np.empty(int(use.sum()), dtype=_HALF)
+            e["key"], e["id"], e["text"] = keys[use], np.repeat(lid, use.sum(axis=1)), int.from_bytes(dig[:8], "little")
+            held.append(e)
+            size += len(e)
+            if size > 1 << 20:
+                yield packed()
+                held, size = [], 0
         join = lambda parts, t: np.concatenate(parts).astype(t) if parts else np.empty(0, t)
         take = pa.array(join(text, np.int32))
-        offs = np.concatenate([[0], np.cumsum(join(counts, np.int64))]).astype(np.int32)
-        halves = pa.StructArray.from_arrays([pa.array(join(keys, U).view(np.int64)), pa.array(join(sides, np.int32))], ["key", "side"])
         yield pa.RecordBatch.from_arrays(
             [b.column(0).take(take), b.column(1).take(take), pa.array(join(no, np.int32)), pa.array(join(n, np.int32)), pa.array(join(ids, U).view(np.int64)),
-             pa.array(join(chk, U).view(np.int64)), pa.ListArray.from_arrays(pa.array(offs), halves)],
-            ["dig", "doc", "line_no", "n", "id", "chk", "halves"])
+             pa.array(join(chk, np.int32)), pa.nulls(len(take), pa.int32()), pa.nulls(len(take), pa.binary())], names)
+    if size:
+        yield packed()
+
+
+LIVE, HOT_HALF, TEXT = 0, 1, 2
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """Of a bucket, the halves of several different lines, as bits of three
+    bitmaps: shared halves, those with over ``HOT`` lines, and their texts."""
+    e = np.concatenate([np.frombuffer(x.as_buffer(), dtype=_HALF) for x in table.column("block")])
+    e = e[np.lexsort((e["id"], e["key"]))]
+    key = e["key"]
+    new_key = np.append(True, key[1:] != key[:-1])
+    new_id = new_key | np.append(True, e["id"][1:] != e["id"][:-1])
+    at = np.flatnonzero(new_key)
+    lines = np.add.reduceat(new_id.astype(np.int64), at)
+    many = np.repeat(lines > 1, np.diff(np.append(at, len(e))))
+    kinds, out_words, out_bits = [], [], []
+    for kind, values in ((LIVE, key[at][lines > 1]), (HOT_HALF, key[at][lines > HOT]), (TEXT, e["text"][many])):
+        slot = values >> U(64 - _BITS)
+        word, inv = np.unique(slot >> U(6), return_inverse=True)
+        bits = np.zeros(len(word), dtype=U)
+        np.bitwise_or.at(bits, inv, U(1) << (slot & U(63)))
+        kinds.append(np.full(len(word), kind, dtype=np.int32))
+        out_words.append(word.astype(np.int64))
+        out_bits.append(bits)
+    return pa.table({"kind": np.concatenate(kinds), "word": np.concatenate(out_words), "bits": np.concatenate(out_bits).view(np.int64)})
+
+
+def _has(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    slot = values >> U(64 - _BITS)
+    return ((bitmap[slot >> U(6)] >> (slot & U(63))) & U(1)).astype(bool)
 
 
 def variants(h: np.ndarray) -> np.ndarray:
@@ -137,35 +218,52 @@ def within_one(a: np.ndarray, b: np.ndarray) -> bool:
     return pre + post >= n
 
 
-def _rests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each line and half that it shares: the rest of the line, sent to the
-    group of the half; of a hot half, to one group per variant."""
+def _rests(batches: Iterator[pa.RecordBatch], maps: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """For each line and marked half: the rest of the line, sent to the group of
+    the half; of a hot half, to one group per variant."""
+    sent: set[tuple[int, int]] = set()
     for b in batches:
+        b = b.take(pa.array(np.argsort(np.asarray(b.column(1)), kind="stable")))
         group, ids, chk, doc, no, rest = [], [], [], [], [], []
-        for x, picks in zip(buffers(b.column(0)), b.column(1).to_pylist()):
+        docs = b.column(1).to_pylist()
+        heads = np.array([int.from_bytes(d[:8], "little") for d in b.column(0).to_pylist()], dtype=U)
+        wanted = np.flatnonzero(_has(maps[TEXT], heads)) if len(heads) else []
+        for i, x in zip(wanted, buffers(b.column(2).take(pa.array(wanted)))):
             h, at, line = lines_of(x)
-            end = np.append(at[1:], len(h))
-            where = {int(v): i for i, v in enumerate(line)}
-            for p in picks:
-                i = where[p["line_no"]]
-                s, k = h[at[i]:end[i]], p["side"] // 2
-                r = s[k:] if p["side"] % 2 == 0 else s[:len(s) - k]
-                g = [p["key"]] if not p["hot"] else mix(variants(r) ^ mix(np.array([p["key"]]).view(U) + U(1))).view(np.int64).tolist()
+            if len(at) == 0:
+                continue
+            end, lid, lchk, keys, sides, use = line_hashes(h, at)
+            use &= _has(maps[LIVE], keys.ravel()).reshape(keys.shape)
+            for r, k in zip(*np.nonzero(use)):
+                key, side = keys[r, k], int(sides[r, k])
+                if (int(lid[r]), int(key)) in sent:  # an earlier document of the task has sent this line
+                    continue
+                sent.add((int(lid[r]), int(key)))
+                s, m = h[at[r]:end[r]], side // 2
+                q = s[m:] if side % 2 == 0 else s[:len(s) - m]
+                g = [int(keys[r:r + 1, k].view(np.int64)[0])]
+                if _has(maps[HOT_HALF], keys[r:r + 1, k])[0]:
+                    g = mix(variants(q) ^ mix(keys[r:r + 1, k] + U(1))).view(np.int64).tolist()
                 group += g
-                ids += [p["id"]] * len(g)
-                chk += [p["chk"]] * len(g)
-                doc += [p["doc"]] * len(g)
-                no += [p["line_no"]] * len(g)
-                rest += [r.tobytes()] * len(g)
+                ids += [int(lid[r:r + 1].view(np.int64)[0])] * len(g)
+                chk += [int(lchk[r])] * len(g)
+                doc += [docs[i]] * len(g)
+                no += [int(line[r])] * len(g)
+                rest += [q.tobytes()] * len(g)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(group, pa.int64()), pa.array(ids, pa.int64()), pa.array(chk, pa.int64()), pa.array(doc, pa.int64()), pa.array(no, pa.int32()), pa.array(rest, pa.binary())],
+            [pa.array(group, pa.int64()), pa.array(ids, pa.int64()), pa.array(chk, pa.int32()), pa.array(doc, pa.int64()), pa.array(no, pa.int32()), pa.array(rest, pa.binary())],
             ["group", "id", "chk", "doc", "line_no", "rest"])
 
 
 def _dominated(table: pa.Table) -> pa.Table:
     """Lines of a bucket that have an earlier line within one edit."""
     group, ids, chk, doc, no = (np.asarray(table.column(c)) for c in ("group", "id", "chk", "doc", "line_no"))
-    seqs = [np.frombuffer(x.as_buffer(), dtype=U) for x in table.column("rest")]
+    # several tasks may send a line: its earliest place counts
+    order = np.lexsort((no, doc, ids, group))
+    keep = order[np.append(True, (group[order][1:] != group[order][:-1]) | (ids[order][1:] != ids[order][:-1]))]
+    group, ids, chk, doc, no = (x[keep] for x in (group, ids, chk, doc, no))
+    rest = table.column("rest").combine_chunks()
+    seqs = [np.frombuffer(rest[int(i)].as_buffer(), dtype=U) for i in keep]
     rank = np.empty(len(ids), dtype=np.int64)
     rank[np.lexsort((ids, no, doc))] = np.arange(len(ids))
     size = np.array([len(s) for s in seqs], dtype=np.int64)
@@ -199,63 +297,99 @@ def _dominated(table: pa.Table) -> pa.Table:
     return pa.table({"id": ids[gone], "chk": chk[gone]})
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts and digests of a text, as its first document and as a copy (of
-    which every line with words has an earlier one)."""
+def _split(batches: Iterator[pa.RecordBatch], hit: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Counts and digests of a text, whole and without its lines with words;
+    the text itself only if it may lose lines."""
     for b in batches:
+        heads = np.array([int.from_bytes(d[:8], "little") for d in b.column(1).to_pylist()], dtype=U)
+        may = _has(hit, heads) if len(heads) else np.empty(0, bool)
         rows = []
-        for x, gone in zip(buffers(b.column(2)), b.column(3).to_pylist()):
+        for x in buffers(b.column(3)):
             data = x.tobytes()
             parts = data.split(b"\n")
-            drop = set(gone or ())
-            kept = b"\n".join(p for i, p in enumerate(parts) if i not in drop) if drop else data
-            bare = [p for p in parts if not p.split()]
-            copy = b"\n".join(bare)
-            rows.append((len(parts), len(drop), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if drop else None,
-                         len(parts) - len(bare), hashlib.sha256(copy).hexdigest(), copy.decode("utf-8", "replace")))
-        cols = list(zip(*rows)) if rows else [()] * 7
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, t) for c, t in zip(cols, kinds)]],
-                                         ["dig", "doc", "n_lines", "n_first", "sha_first", "text_first", "n_copy", "sha_copy", "text_copy"])
+            copy = b"\n".join([p for p in parts if not p.split()])
+            rows.append((len(parts), hashlib.sha256(data).hexdigest(), sum(1 for p in parts if p.split()), hashlib.sha256(copy).hexdigest()))
+        cols = list(zip(*rows)) if rows else [()] * 4
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string()]
+        yield pa.RecordBatch.from_arrays(
+            [*b.columns[:3], pc.if_else(pa.array(may), b.column(3), pa.scalar(None, b.column(3).type)), *[pa.array(c, t) for c, t in zip(cols, kinds)]],
+            ["doc_id", "dig", "doc", "text", "n_lines", "sha", "n_words_lines", "sha_copy"])
+
+
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(n_removed, kept_sha256, kept_text) of each row; the text is null where
+    nothing goes."""
+    for b in batches:
+        rows = []
+        for text, gone, own, sha, lines, sha_copy in zip(*(b.column(c).to_pylist() for c in ("text", "gone", "own", "sha", "n_words_lines", "sha_copy"))):
+            if not own:  # every line with words has an earlier one
+                rows.append((lines, sha_copy, None))
+            elif not gone:
+                rows.append((0, sha, None))
+            else:
+                drop = set(gone)
+                kept = "\n".join(p for i, p in enumerate(text.split("\n")) if i not in drop)
+                rows.append((len(drop), hashlib.sha256(kept.encode()).hexdigest(), kept))
+        cols = list(zip(*rows)) if rows else [()] * 3
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_lines"), *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string()))]],
+                                         ["doc_id", "n_lines", "n_removed", "kept_sha256", "kept_text"])
+
+
+def _bitmaps(df: DataFrame, n: int) -> np.ndarray:
+    """``n`` bitmaps from (kind, word, bits) rows, at most 2 ** (_BITS - 6) each."""
+    out = np.zeros((n, 1 << (_BITS - 6)), dtype=U)
+    t = df.groupBy("kind", "word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out[np.asarray(t.column("kind")), np.asarray(t.column("word"))] = np.asarray(t.column("bits")).view(U)
+    return out
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, kept_sha256, and
-    kept_text (null where nothing was removed)."""
+    kept_text (null where nothing was removed, or only lines of a whole copy)."""
     spark = docs.sparkSession
     ship(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))  # null ids last
-    src = docs.select(doc.alias("doc"), F.unhex(F.md5(text)).alias("dig"), text.alias("text"))
-    texts = src.groupBy("dig").agg(F.min("doc").alias("doc"), F.first("text").alias("text")).select("dig", "doc", "text")
-    lines = texts.mapInArrow(_line_rows, _LINE)
-    place = F.struct("doc", "line_no", "dig")
-    firsts = lines.groupBy("id", "chk", "n").agg(F.min(place).alias("at"), F.count("*").alias("times"), F.first("halves").alias("halves"))
-    met = firsts.select("id", "chk", "at", F.inline("halves"))
-    live = met.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key", (F.col("m") > HOT).alias("hot"))
-    picks = (
-        met.join(live, "key").groupBy(F.col("at.dig").alias("dig"))
-        .agg(F.collect_list(F.struct("key", "side", "hot", "id", "chk", F.col("at.doc").alias("doc"), F.col("at.line_no").alias("line_no"))).alias("picks"))
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("dig"), doc.alias("doc"), text.alias("text"))
+    total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // _BLOCK_BYTES + 1)
+
+    told = cut(src.select("dig", "doc", "text").mapInArrow(lambda bs: _line_rows(bs, buckets), _LINE), "lines")
+    lines = told.filter("bucket IS NULL").select("dig", "doc", "line_no", "n", "id", "chk")
+    bits = (
+        told.filter("bucket IS NOT NULL").select("bucket", "block").repartition(buckets, "bucket")
+        .groupBy("bucket").applyInArrow(_shared, "kind int, word long, bits long")
     )
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(n, (src.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (8 << 20) + 1)
+    maps = spark.sparkContext.broadcast(_bitmaps(bits, 3))
     dominated = (
-        texts.join(picks, "dig").select("text", "picks").mapInArrow(_rests, "group long, id long, chk long, doc long, line_no int, rest binary")
+        src.select("dig", "doc", "text").mapInArrow(lambda bs: _rests(bs, maps.value), "group long, id long, chk int, doc long, line_no int, rest binary")
         .withColumn("bucket", F.pmod(F.xxhash64("group"), F.lit(buckets)).cast("int")).repartition(buckets, "bucket")
-        .groupBy("bucket").applyInArrow(lambda t: _dominated(t.drop(["bucket"])), "id long, chk long").distinct().withColumn("near", F.lit(True))
+        .groupBy("bucket").applyInArrow(lambda t: _dominated(t.drop(["bucket"])), "id long, chk int").distinct().withColumn("near", F.lit(True))
     )
+    firsts = lines.groupBy("id", "chk", "n").agg(F.min(F.struct("doc", "line_no", "dig")).alias("at"), F.count("*").alias("times"))
     bad = firsts.join(dominated, ["id", "chk"], "left").filter("times > 1 OR near").select("id", "chk", "at", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = (
-        lines.select("id", "chk", "dig", "doc", "line_no").join(bad, ["id", "chk"])
+    gone = cut(
+        lines.join(bad, ["id", "chk"])
         .filter(F.col("near") | ~((F.col("at.doc") == F.col("doc")) & (F.col("at.line_no") == F.col("line_no")) & (F.col("at.dig") == F.col("dig"))))
-        .groupBy("dig").agg(F.collect_list("line_no").alias("gone"))
-    )
-    done = texts.join(gone, "dig", "left").select("dig", "doc", "text", "gone").mapInArrow(
-        _kept, "dig binary, doc long, n_lines long, n_first long, sha_first string, text_first string, n_copy long, sha_copy string, text_copy string")
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), doc.alias("__doc"), F.unhex(F.md5(text)).alias("dig")).join(done, "dig")
-    own = F.col("__doc") == F.col("doc")
-    return out.select(
-        "doc_id", "n_lines", F.when(own, F.col("n_first")).otherwise(F.col("n_copy")).alias("n_removed"),
-        F.when(own, F.col("sha_first")).otherwise(F.col("sha_copy")).alias("kept_sha256"),
-        F.when(own, F.col("text_first")).otherwise(F.col("text_copy")).alias("kept_text"),
+        .groupBy("dig", "doc").agg(F.collect_list("line_no").alias("gone")), "gone")
+    hit = spark.sparkContext.broadcast(_bitmaps(_text_bits(gone), 1)[0])
+    rows = src.select("doc_id", "dig", "doc", "text").mapInArrow(
+        lambda bs: _split(bs, hit.value), "doc_id long, dig binary, doc long, text string, n_lines long, sha string, n_words_lines long, sha_copy string")
+    least = src.groupBy("dig").agg(F.min("doc").alias("least"))
+    return (
+        rows.join(least, "dig").withColumn("own", F.col("doc") == F.col("least")).join(gone, ["dig", "doc"], "left")
+        .select("doc_id", "text", "gone", "own", "n_lines", "sha", "n_words_lines", "sha_copy")
+        .mapInArrow(_kept, "doc_id long, n_lines long, n_removed long, kept_sha256 string, kept_text string")
     )
+
+
+def _text_bits(gone: DataFrame) -> DataFrame:
+    """Bits of the digests' first eight bytes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            heads = np.array([int.from_bytes(d[:8], "little") for d in b.column(0).to_pylist()], dtype=U)
+            slot = heads >> U(64 - _BITS)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.zeros(len(heads), np.int32)), pa.array((slot >> U(6)).astype(np.int64)), pa.array((U(1) << (slot & U(63))).view(np.int64))], ["kind", "word", "bits"])
+
+    return gone.select("dig").distinct().mapInArrow(run, "kind int, word long, bits long")
