@@ -9,3 +9,40 @@ def test_capturable_urls(spark):
             (10, "http://about.test/")]
     df = spark.createDataFrame(urls, "page_id long, url string")
     assert sorted(r["page_id"] for r in capturable_pages(df).collect()) == [1, 8, 9, 10]
+
+
+def test_capture_rows_round_trip_through_the_sink(spark, tmp_path):
+    """Outputs of all captures written partitioned by format, and read back by format."""
+    from conftest import SF_SMALL
+    from weblens.functions import lists as L
+    from weblens.plans.registry import capture_outputs
+    from weblens.sources.sinks import write_outputs
+
+    out = capture_outputs(spark, SF_SMALL)
+    write_outputs(out, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert {r.format for r in back.select("format").distinct().collect()} == set(L.FORMATS)
+    key = ["tab", "sel_order", "format", "output"]
+    assert sorted(map(tuple, back.select(key).collect())) == sorted(map(tuple, out.select(key).collect()))
+
+
+def test_missing_shared_folder_raises_off_local_masters(monkeypatch):
+    import pytest
+
+    from weblens import session
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())

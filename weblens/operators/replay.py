@@ -1,10 +1,11 @@
 """Batch replay of the interaction log: surviving selections, settings
 (last writer wins over defaults) and inspector state per tab.
 
-Skew: a single tab may hold a large share of all events. Every step here is
-a ``groupBy`` with map-side partial aggregation (count/max per key) or a join
-against one row per tab (AQE splits a skewed side), never a window over all
-events of a tab.
+Skew: a single tab may hold a large share of all events. Its events are spread
+over ``SALTS`` tasks by their id; the tab's (and its elements') last resets, one
+row each, are repeated for every salt. What is left after the resets is counted
+per (tab, element, salt) before the salts meet, so no task sees all events of a
+tab, and no window runs over them.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from weblens.functions import lists as L
 from weblens.sources.log import format_of
 
 ORDER = ["ts", "event_id"]
+SALTS = 16
 
 
 def _key():
@@ -29,13 +31,16 @@ def selection_replay(log: DataFrame) -> DataFrame:
     ``remove``; selection order is the order of those last toggles.
     ``(tab, element, toggles, last_ts, sel_order)``."""
     t = F.col("type")
-    last_clear = log.filter(t.isin("clear", "close")).groupBy("tab").agg(F.max(_key()).alias("lc"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    last_clear = log.filter(t.isin("clear", "close")).groupBy("tab").agg(F.max(_key()).alias("lc")).select("tab", "lc", salts)
     last_remove = log.filter((t == "remove") & F.col("element").isNotNull()).groupBy("tab", "element").agg(
-        F.max(_key()).alias("lr"))
-    tg = log.filter((t == "toggle") & F.col("element").isNotNull()).join(last_clear, "tab", "left") \
-        .join(last_remove, ["tab", "element"], "left")
-    tg = tg.filter((F.col("lc").isNull() | (_key() > F.col("lc"))) & (F.col("lr").isNull() | (_key() > F.col("lr"))))
-    g = tg.groupBy("tab", "element").agg(F.count("*").alias("toggles"), F.max(_key()).alias("last"))
+        F.max(_key()).alias("lr")).select("tab", "element", "lr", salts)
+    tg = log.filter((t == "toggle") & F.col("element").isNotNull()).withColumn(
+        "salt", F.pmod(F.xxhash64("event_id"), F.lit(SALTS)).cast("int"))
+    tg = tg.join(last_clear, ["tab", "salt"], "left").filter(F.col("lc").isNull() | (_key() > F.col("lc")))
+    tg = tg.join(last_remove, ["tab", "element", "salt"], "left").filter(F.col("lr").isNull() | (_key() > F.col("lr")))
+    part = tg.groupBy("tab", "element", "salt").agg(F.count("*").alias("n"), F.max(_key()).alias("last"))
+    g = part.groupBy("tab", "element").agg(F.sum("n").alias("toggles"), F.max("last").alias("last"))
     g = g.filter(F.col("toggles") % 2 == 1)
     w = Window.partitionBy("tab").orderBy("last")
     return g.select("tab", "element", "toggles", F.col("last.ts").alias("last_ts"),
