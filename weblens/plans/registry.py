@@ -281,18 +281,28 @@ def roots(spark, sf):
     return R.region_roots(C.elements(spark, sf))
 
 
-CLEAN_FRAGS = f"""
+def clean_frags(depth: int | None = None) -> str:
+    void = f"tag IN {O.qlist(L.VOID_TAGS)}"
+    cut = "" if depth is None else (
+        f"WHEN rd = {depth} AND NOT {void} THEN otag || {O.escape_html_sql('preview')} || '</' || tag || '>'")
+    within, inner = ("true", "true") if depth is None else (f"rd <= {depth}", f"rd < {depth}")
+    return f"""
 SELECT page_id, root_pos, pos AS k1, 1 AS k2, 0 AS k3,
   CASE WHEN kind = 'text' THEN {O.escape_html_sql(O.clean_sql('ntext'))}
        WHEN NOT (sup_skip IS NULL OR sup_skip < root_pos) THEN '<svg aria-label="vector graphic"></svg>'
+       {cut}
        ELSE otag END AS frag
 FROM rp
-WHERE (kind = 'text' AND (sup_skip IS NULL OR sup_skip < root_pos) AND {O.clean_sql('ntext')} <> '')
+WHERE {within} AND (
+   (kind = 'text' AND (sup_skip IS NULL OR sup_skip < root_pos) AND {O.clean_sql('ntext')} <> '')
    OR (kind = 'open' AND (sup_skip IS NULL OR sup_skip < root_pos))
-   OR (kind = 'open' AND tag = 'svg' AND NOT hidden AND (anc_skip IS NULL OR anc_skip < root_pos))
+   OR (kind = 'open' AND tag = 'svg' AND NOT hidden AND (anc_skip IS NULL OR anc_skip < root_pos)))
 UNION ALL
 SELECT page_id, root_pos, end_pos, 0, -depth, '</' || tag || '>'
-FROM rp WHERE kind = 'open' AND (sup_skip IS NULL OR sup_skip < root_pos) AND tag NOT IN {O.qlist(L.VOID_TAGS)}"""
+FROM rp WHERE {inner} AND kind = 'open' AND (sup_skip IS NULL OR sup_skip < root_pos) AND NOT {void}"""
+
+
+CLEAN_FRAGS = clean_frags()
 
 
 def render_select(frags: str, sep: str, fmt: str) -> str:
@@ -321,11 +331,6 @@ def q_structure(spark, sf):
     return R.structure(C.elements(spark, sf), roots(spark, sf))
 
 
-@query("structure_depth1", RW(render_select(structure_frags(1), "chr(10)", "structure")))
-def q_structure_depth1(spark, sf):
-    return R.structure(C.elements(spark, sf), roots(spark, sf), R.Options(depth=1))
-
-
 A11Y_LINE = f"""
   '[' || e.tag || CASE WHEN len(list_filter([
       CASE WHEN coalesce(e.a_role, '') <> '' THEN 'role="' || e.a_role || '"' END,
@@ -350,11 +355,12 @@ A11Y_WARNS = """
     lambda x: x IS NOT NULL), ', ')"""
 
 
-def a11y_frags() -> str:
+def a11y_frags(depth: int | None = None) -> str:
+    cut = "" if depth is None else f" AND p.rd <= {depth}"
     return (f"SELECT p.page_id, p.root_pos, p.pos AS k1, 0 AS k2, 0 AS k3, repeat('  ', p.rd::INTEGER) || "
             f"{A11Y_LINE} AS frag FROM rp p JOIN (SELECT *, {A11Y_WARNS} AS warns FROM elp) e "
             f"ON e.page_id = p.page_id AND e.pos = p.pos "
-            f"WHERE p.kind = 'open' AND (p.sup_hidden IS NULL OR p.sup_hidden < p.root_pos)")
+            f"WHERE p.kind = 'open' AND (p.sup_hidden IS NULL OR p.sup_hidden < p.root_pos){cut}")
 
 
 @query("a11y_outline", RW(render_select(a11y_frags(), "chr(10)", "accessibility")))
@@ -599,6 +605,34 @@ def q_declared_styles(spark, sf):
     return d.select("page_id", "pos", F.col("raw").alias("styles"))
 
 
+def _depth_limited(depth: int) -> None:
+    """The outputs cut at a depth below the root."""
+    opts = R.Options(depth=depth)
+
+    @query(f"clean_html_depth{depth}", RW(render_select(clean_frags(depth), "''", "clean-html")))
+    def clean(spark, sf):
+        return R.clean_html(nodes_text(spark, sf), roots(spark, sf), opts)
+
+    @query(f"structure_depth{depth}", RW(render_select(structure_frags(depth), "chr(10)", "structure")))
+    def structure(spark, sf):
+        return R.structure(C.elements(spark, sf), roots(spark, sf), opts)
+
+    @query(f"a11y_depth{depth}", RW(render_select(a11y_frags(depth), "chr(10)", "accessibility")))
+    def a11y(spark, sf):
+        return R.a11y_outline(C.elements(spark, sf), roots(spark, sf), opts)
+
+    styles = raw_select(f"{STYLE_FRAGS} AND p.rd <= {depth}", "chr(10) || chr(10)")
+
+    @query(f"styles_depth{depth}", SW(f"SELECT page_id, pos, raw AS styles FROM ({styles})"))
+    def declared(spark, sf):
+        d = R.declared_styles(C.elements(spark, sf), roots(spark, sf), opts, finalize=False)
+        return d.select("page_id", "pos", F.col("raw").alias("styles"))
+
+
+for _d in (0, 1):
+    _depth_limited(_d)
+
+
 @query("html_css", SW(html_css_select()))
 def q_html_css(spark, sf):
     return R.html_css(nodes_text(spark, sf), C.elements(spark, sf), roots(spark, sf))
