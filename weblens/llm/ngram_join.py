@@ -9,21 +9,22 @@
    fixed size. A wrong guess moves a shingle in the order and changes no result.
 3. These prefix shingles go, packed in blocks, to buckets by hash; shingles with
    several classes of fitting sizes give lists.
-4. Each list is first tried as a star around one member; each class verifies
-   its best partner, and linked classes are merged. So a large group of near
-   copies costs about one check a member, not one a pair.
-5. Lists that still hold several components are searched by a tree over count
+4. Lists with the same smallest class are one group with that class as its hub,
+   so a family of near copies is a few groups, not one per shared shingle. Each
+   class verifies its best hub, and linked classes are merged: about one check a
+   member, not one a pair.
+5. Groups that still hold several components are searched by a tree over count
    vectors (shingles hashed into groups, their counts taken as a point): the sum
    over the groups of the smaller upper coordinates bounds the overlap of two
    boxes, and the sum of smaller counts that of two sets. A set of n shingles
    has about n / 2 groups, a power of two, and folds onto fewer for a smaller
-   partner. First each member tries its ``TOP`` best partners in each larger
-   component; once these are verified and merged, the lists where some pair was
+   partner. First each member tries its ``TOP`` best partners in larger
+   components; once these are verified and merged, the groups where some pair was
    left out are searched again, and every pair in different components that
    passes the bound is verified on its whole sets.
 
 Every pair of different sets that reaches the threshold ends in one component;
-nothing is capped or sampled. A list longer than ``BLOCK`` is searched by pairs
+nothing is capped or sampled. A group longer than ``BLOCK`` is searched by pairs
 of its blocks.
 
 Defined results: null texts and texts without words have no shingles and link
@@ -50,7 +51,7 @@ SHINGLE = 5
 #: Threshold as a fraction: NUM * |union| <= DEN * |intersection|.
 NUM, DEN = 3, 4
 GROUPS = 128  # at least
-TOP = 4
+TOP = 2
 FREQUENT = 3
 LEAF = 32
 BLOCK = 8192
@@ -248,10 +249,10 @@ class CountTree:
 
 
 def _search(table: pa.Table, best: int | None) -> pa.Table:
-    """Pairs of one list (or of two of its blocks) in different components
+    """Pairs of one group (or of two of its blocks) in different components
     whose vectors allow the threshold: all of them, or for each member the
-    ``best`` ones in each larger component. A row without a pair says that
-    pairs of the list were left out."""
+    ``best`` ones in larger components. A row without a pair says that
+    pairs of the group were left out."""
     cls, comp, n, part = (np.asarray(table.column(c)) for c in ("cls", "comp", "n", "part"))
     vecs = [_counts(x) for x in table.column("vec").to_pylist()]
     groups = np.array([len(v) for v in vecs])
@@ -265,6 +266,8 @@ def _search(table: pa.Table, best: int | None) -> pa.Table:
         folded = np.stack([_fold(vecs[i], g) for i in pts])
         tree = CountTree(folded, n[pts])
         for i, q in zip(pts.tolist(), folded):
+            if best is None and groups[i] != g:
+                continue  # its smaller partners find it
             at, top = tree.near(q, int(n[i]))
             j = pts[tree.order[at]]
             ok = comp[j] != comp[i]
@@ -273,19 +276,13 @@ def _search(table: pa.Table, best: int | None) -> pa.Table:
             if not same_block:
                 ok &= part[j] != part[i]
             if best is None:
-                ok &= cls[j] > cls[i] if groups[i] == g else False
-                ok2 = (comp[j] != comp[i]) & (groups[i] == g) & (groups[j] != g)
-                ok |= ok2 if same_block else ok2 & (part[j] != part[i])
+                ok &= (cls[j] > cls[i]) | (groups[j] != g)
             else:
                 ok &= (weight[j] > weight[i]) | ((weight[j] == weight[i]) & (comp[j] < comp[i]))
             j, top = j[ok], top[ok]
             if best is not None and len(j) > best:
-                order = np.lexsort((cls[j], -top, comp[j]))
-                j = j[order]
-                first = np.flatnonzero(np.append(True, comp[j][1:] != comp[j][:-1]))
-                rank = np.arange(len(j)) - np.repeat(first, np.diff(np.append(first, len(j))))
-                left_out |= bool((rank >= best).any())
-                j = j[rank < best]
+                left_out = True
+                j = j[np.lexsort((cls[j], -top))[:best]]
             a += [cls[i]] * len(j)
             b += cls[j].tolist()
     lists = [None] * len(a)
@@ -368,14 +365,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .distinct(), "lists",
     )
 
-    # a star in each list: everyone against the smallest class id
+    # lists with the same smallest class become one: its hub and all their members
     lead = lists.groupBy("list").agg(F.min(F.struct("cls", "n")).alias("c"))
     vecs = cut(one, "vectors")
+    hubs = cut(
+        lists.join(lead, "list").groupBy(F.col("c.cls").alias("list"), F.col("c.n").alias("hub_n"), "cls", "n").agg(F.count("*").alias("votes")), "hubs")
     star = (
-        lists.join(lead, "list").filter(F.col("cls") != F.col("c.cls"))
-        .select(F.col("c.cls").alias("a"), F.col("cls").alias("b"), F.col("c.n").alias("na"), F.col("n").alias("nb"))
+        hubs.filter("cls <> list").select(F.col("list").alias("a"), F.col("cls").alias("b"), F.col("hub_n").alias("na"), F.col("n").alias("nb"), "votes")
         .filter(DEN * F.least("na", "nb") >= NUM * F.greatest("na", "nb"))
-        .groupBy("a", "b", "na", "nb").agg(F.count("*").alias("votes"))
     )
     va = vecs.select(F.col("cls").alias("a"), F.col("vec").alias("va"))
     vb = vecs.select(F.col("cls").alias("b"), F.col("vec").alias("vb"))
@@ -393,7 +390,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     def search(within: DataFrame, comp: DataFrame, top: int | None) -> DataFrame:
-        """Pairs of the lists that hold several components."""
+        """Pairs of the groups that hold several components."""
         named = within.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
         open_lists = (
             named.groupBy("list").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
@@ -421,15 +418,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         tried = tried.union(new)
         return cut(_links(new, sets_of(new)), "links")
 
-    # other star pairs and each member's best partners in larger components
-    first = search(lists, comp, TOP)
+    # other star pairs and each member's best partners
+    first = search(hubs, comp, TOP)
     found = verify(star.select("a", "b").union(first.filter("a IS NOT NULL").select("a", "b")), comp)
     if found is not None:
         links = links.union(found)
         comp = components(links)
     again = first.filter("list IS NOT NULL").select("list")
     if not again.isEmpty():
-        found = verify(search(lists.join(again, "list", "left_semi"), comp, None).select("a", "b"), comp)
+        found = verify(search(hubs.join(again, "list", "left_semi"), comp, None).select("a", "b"), comp)
         if found is not None:
             comp = components(links.union(found))
 
