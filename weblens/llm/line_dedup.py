@@ -307,8 +307,8 @@ def _split(batches: Iterator[pa.RecordBatch], hit: np.ndarray) -> Iterator[pa.Re
         for x in buffers(b.column(3)):
             data = x.tobytes()
             parts = data.split(b"\n")
-            copy = b"\n".join([p for p in parts if not p.split()])
-            rows.append((len(parts), hashlib.sha256(data).hexdigest(), sum(1 for p in parts if p.split()), hashlib.sha256(copy).hexdigest()))
+            bare = [p for p in parts if not p or p.isspace()]
+            rows.append((len(parts), hashlib.sha256(data).hexdigest(), len(parts) - len(bare), hashlib.sha256(b"\n".join(bare)).hexdigest()))
         cols = list(zip(*rows)) if rows else [()] * 4
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.string()]
         yield pa.RecordBatch.from_arrays(
@@ -375,9 +375,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     hit = spark.sparkContext.broadcast(_bitmaps(_text_bits(gone), 1)[0])
     rows = src.select("doc_id", "dig", "doc", "text").mapInArrow(
         lambda bs: _split(bs, hit.value), "doc_id long, dig binary, doc long, text string, n_lines long, sha string, n_words_lines long, sha_copy string")
-    least = src.groupBy("dig").agg(F.min("doc").alias("least"))
+    least = lines.groupBy("dig").agg(F.min("doc").alias("least"))  # texts without words are their own
     return (
-        rows.join(least, "dig").withColumn("own", F.col("doc") == F.col("least")).join(gone, ["dig", "doc"], "left")
+        rows.join(least, "dig", "left").withColumn("own", F.coalesce(F.col("doc") == F.col("least"), F.lit(True))).join(gone, ["dig", "doc"], "left")
         .select("doc_id", "text", "gone", "own", "n_lines", "sha", "n_words_lines", "sha_copy")
         .mapInArrow(_kept, "doc_id long, n_lines long, n_removed long, kept_sha256 string, kept_text string")
     )
