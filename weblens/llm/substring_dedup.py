@@ -300,9 +300,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .repartition(shards, "bucket").groupBy("bucket").applyInArrow(_repeated, "dig binary, fps binary")
         .groupBy("dig").agg(F.collect_list("fps").alias("packs"))
     )
-    texts = src.groupBy("dig").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    # the filter, always true, is what the inner join below would add to its side alone
+    texts = src.filter(F.col("dig").isNotNull()).groupBy("dig").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     found = (
-        texts.join(repeated, "dig").select("dig", "text", "packs")
+        # `copies` comes along unused, so that both joins share one exchange of the texts
+        texts.join(repeated, "dig").select("dig", "text", "packs", "copies")
         .mapInArrow(lambda bs: _segments(bs, n, k, shards), "shard int, body binary, places binary")
         .repartition(shards, "shard").groupBy("shard").applyInArrow(lambda t: _search(t, n), "dig binary, a long, b long")
         .groupBy("dig").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
