@@ -22,19 +22,24 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
             .select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("v").alias("b")), F.struct(F.col("m").alias("a"), F.col("u").alias("b")))).alias("e"))
             .select("e.a", "e.b")
         )
-    return out.filter("a <> b").distinct()
+    return out.filter("a <> b")
+
+
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether every node is the end of one edge or the root of some, not both."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("b").alias("node"), F.lit(1).alias("end")), F.struct(F.col("a").alias("node"), F.lit(0).alias("end")))).alias("x"))
+    seen = ends.groupBy("x.node").agg(F.sum("x.end").alias("ends"), F.min("x.end").alias("root"))
+    return seen.filter("ends > 1 OR (ends = 1 AND root = 0)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of an edge: comp is the smallest node of its
-    component. ``edges`` has columns a and b in any order; only the number of
-    edges and a checksum come to the driver after each round."""
-    e = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    seen = None
+    component. ``edges`` has columns a and b in any order, repeated or not; only
+    one yes or no comes to the driver after each round."""
+    e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b")
     while True:
-        e = cut(_star(_star(e, True), False), "edges")
-        mark = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == seen or mark[0] == 0:
+        e = cut(_star(_star(e, True), False).distinct(), "edges")
+        if _is_forest_of_stars(e):
             break
-        seen = mark
-    return e.select(F.col("b").alias("node"), F.col("a").alias("comp")).union(e.select(F.col("a"), F.col("a"))).distinct()
+    roots = e.select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct()
+    return e.select(F.col("b").alias("node"), F.col("a").alias("comp")).union(roots)
