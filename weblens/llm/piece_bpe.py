@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from weblens.session import ship
 
 MARK = "▁"
-_KNOWN_MAX = 600_000
-_PAIRS_MAX = 2_000_000
+_KNOWN_MAX = 300_000
+_PAIRS_MAX = 600_000
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
