@@ -339,6 +339,26 @@ def test_line_dedup(spark, monkeypatch, hot):
     assert got == plain_lines(rows)
 
 
+@pytest.mark.parametrize("batch,hot", [(10_000, 5000), (3, 2)])
+def test_line_dedup_in_any_reading_order(spark, monkeypatch, tmp_path, batch, hot):
+    """One task reads several files and batches, ids falling: first places still count."""
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    r = random.Random(13)
+    rows = [(9, "a b c d e f\nzz"), (5, "a b c d e g"), (3, "a b c d e f\nyy")]
+    for i in range(200, 100, -1):
+        ls = [" ".join(r.choice("abc") for _ in range(r.choice([5, 6, 7]))) for _ in range(r.randint(1, 3))]
+        rows.append((i if r.random() < 0.9 else None, "\n".join([*ls, f"only here {i}"])))
+    rows += [(20, rows[10][1]), (19, rows[10][1])]
+    for part in range(0, len(rows), 35):
+        table(spark, rows[part:part + 35]).coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = line_dedup.dedup_lines(spark.read.parquet(str(tmp_path / "t")).coalesce(1)).collect()
+        assert sorted([(x.doc_id, x.n_lines, x.n_removed, x.kept_sha256) for x in got], key=repr) == plain_lines(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_line_dedup_empty(nothing):
     assert line_dedup.dedup_lines(nothing).count() == 0
 

@@ -17,7 +17,9 @@ not matter, so the result does not depend on the order of work.
    and each line is compared with the earliest partner on a variant: equal
    positions of the deleted word mean a substitution, a deletion that equals a
    whole rest means an insertion. The distance is verified on the words before
-   a line is given up. Every step is linear in the words of the group. A half
+   a line is given up. The earliest place of every line is among those sent,
+   whatever order a task reads in; equal ids and line numbers are ordered by
+   digest. Every step is linear in the words of the group. A half
    with over ``HOT`` lines is spread by variant.
 4. Decisions go back to the lines' places; texts that lose lines meet them by
    digest, the others never travel.
@@ -107,12 +109,27 @@ def line_hashes(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     return end, run(at, end), (chk & U(0x7FFFFFFF)).astype(np.int32), keys, sides, use
 
 
+def _places(doc: int, dig: bytes, line: np.ndarray) -> list[int]:
+    """Places of lines as numbers, in the order of (doc, line number, digest)."""
+    base = ((doc + _LAST + 1) << 96) + int.from_bytes(dig[:8], "big")
+    return [base + (n << 64) for n in line.tolist()]
+
+
+def _sooner(known: dict, key, place: int) -> bool:
+    """Whether a place comes before the known one; if so, it is known from now on."""
+    if key in known and known[key] <= place:
+        return False
+    known[key] = place
+    return True
+
+
 def _line_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """A row per line with words, texts once a task (with their smallest id in
-    the batch), and the halves of new lines packed by bucket."""
+    """A row per line with words, texts once a task (again when a smaller id
+    turns up), and packed by bucket the halves of lines, from every text that
+    holds a line at an earlier place than all texts of the task before it."""
     names = ["dig", "doc", "line_no", "n", "id", "chk", "bucket", "block"]
     seen: dict[bytes, int] = {}
-    known: set[int] = set()
+    known: dict[int, int] = {}
     held, size = [], 0
 
     def packed() -> pa.RecordBatch:
@@ -129,8 +146,9 @@ def _line_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.R
 
     for b in batches:
         text, no, n, ids, chk = [], [], [], [], []
-        docs = b.column(1).to_pylist()
-        for i, (dig, x) in enumerate(zip(b.column(0).to_pylist(), buffers(b.column(2)))):
+        docs, digs, texts = b.column(1).to_pylist(), b.column(0).to_pylist(), list(buffers(b.column(2)))
+        for i in np.argsort(np.asarray(b.column(1)), kind="stable").tolist():
+            dig, x = digs[i], texts[i]
             if seen.get(dig, _LAST + 1) <= docs[i]:
                 continue
             seen[dig] = docs[i]
@@ -143,9 +161,7 @@ def _line_rows(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.R
             n.append(end - at)
             ids.append(lid)
             chk.append(lchk)
-            new = np.array([v not in known for v in lid.tolist()])
-            known.update(lid.tolist())
-            use &= new[:, None]
+            use &= np.array([_sooner(known, v, p) for v, p in zip(lid.tolist(), _places(docs[i], dig, line))])[:, None]
             e = np.empty(int(use.sum()), dtype=_HALF)
             e["key"], e["id"], e["text"] = keys[use], np.repeat(lid, use.sum(axis=1)), int.from_bytes(dig[:8], "little")
             held.append(e)
@@ -220,13 +236,14 @@ def within_one(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _rests(batches: Iterator[pa.RecordBatch], maps: np.ndarray) -> Iterator[pa.RecordBatch]:
     """For each line and marked half: the rest of the line, sent to the group of
-    the half; of a hot half, to one group per variant."""
-    sent: set[tuple[int, int]] = set()
+    the half; of a hot half, to one group per variant. A line is sent again when
+    the task meets it at an earlier place, at most once a batch."""
+    sent: dict[tuple[int, int], int] = {}
     for b in batches:
         b = b.take(pa.array(np.argsort(np.asarray(b.column(1)), kind="stable")))
-        group, ids, chk, doc, no, rest = [], [], [], [], [], []
-        docs = b.column(1).to_pylist()
-        heads = np.array([int.from_bytes(d[:8], "little") for d in b.column(0).to_pylist()], dtype=U)
+        group, ids, chk, doc, no, tie, rest = [], [], [], [], [], [], []
+        docs, digs = b.column(1).to_pylist(), b.column(0).to_pylist()
+        heads = np.array([int.from_bytes(d[:8], "little") for d in digs], dtype=U)
         wanted = np.flatnonzero(_has(maps[TEXT], heads)) if len(heads) else []
         for i, x in zip(wanted, buffers(b.column(2).take(pa.array(wanted)))):
             h, at, line = lines_of(x)
@@ -234,11 +251,11 @@ def _rests(batches: Iterator[pa.RecordBatch], maps: np.ndarray) -> Iterator[pa.R
                 continue
             end, lid, lchk, keys, sides, use = line_hashes(h, at)
             use &= _has(maps[LIVE], keys.ravel()).reshape(keys.shape)
+            place, head = _places(docs[i], digs[i], line), int.from_bytes(digs[i][:8], "big", signed=True)
             for r, k in zip(*np.nonzero(use)):
                 key, side = keys[r, k], int(sides[r, k])
-                if (int(lid[r]), int(key)) in sent:  # an earlier document of the task has sent this line
+                if not _sooner(sent, (int(lid[r]), int(key)), place[r]):  # the task has sent this line from an earlier place
                     continue
-                sent.add((int(lid[r]), int(key)))
                 s, m = h[at[r]:end[r]], side // 2
                 q = s[m:] if side % 2 == 0 else s[:len(s) - m]
                 g = [int(keys[r:r + 1, k].view(np.int64)[0])]
@@ -249,23 +266,26 @@ def _rests(batches: Iterator[pa.RecordBatch], maps: np.ndarray) -> Iterator[pa.R
                 chk += [int(lchk[r])] * len(g)
                 doc += [docs[i]] * len(g)
                 no += [int(line[r])] * len(g)
+                tie += [head] * len(g)
                 rest += [q.tobytes()] * len(g)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(group, pa.int64()), pa.array(ids, pa.int64()), pa.array(chk, pa.int32()), pa.array(doc, pa.int64()), pa.array(no, pa.int32()), pa.array(rest, pa.binary())],
-            ["group", "id", "chk", "doc", "line_no", "rest"])
+            [pa.array(group, pa.int64()), pa.array(ids, pa.int64()), pa.array(chk, pa.int32()), pa.array(doc, pa.int64()), pa.array(no, pa.int32()),
+             pa.array(tie, pa.int64()), pa.array(rest, pa.binary())],
+            ["group", "id", "chk", "doc", "line_no", "tie", "rest"])
 
 
 def _dominated(table: pa.Table) -> pa.Table:
     """Lines of a bucket that have an earlier line within one edit."""
-    group, ids, chk, doc, no = (np.asarray(table.column(c)) for c in ("group", "id", "chk", "doc", "line_no"))
-    # several tasks may send a line: its earliest place counts
-    order = np.lexsort((no, doc, ids, group))
+    group, ids, chk, doc, no, tie = (np.asarray(table.column(c)) for c in ("group", "id", "chk", "doc", "line_no", "tie"))
+    tie = tie.view(U)  # digests are in the order of unsigned bytes
+    # a line may be sent several times, also by one task: its earliest place counts
+    order = np.lexsort((tie, no, doc, ids, group))
     keep = order[np.append(True, (group[order][1:] != group[order][:-1]) | (ids[order][1:] != ids[order][:-1]))]
-    group, ids, chk, doc, no = (x[keep] for x in (group, ids, chk, doc, no))
+    group, ids, chk, doc, no, tie = (x[keep] for x in (group, ids, chk, doc, no, tie))
     rest = table.column("rest").combine_chunks()
     seqs = [np.frombuffer(rest[int(i)].as_buffer(), dtype=U) for i in keep]
     rank = np.empty(len(ids), dtype=np.int64)
-    rank[np.lexsort((ids, no, doc))] = np.arange(len(ids))
+    rank[np.lexsort((ids, tie, no, doc))] = np.arange(len(ids))
     size = np.array([len(s) for s in seqs], dtype=np.int64)
     v = np.concatenate([variants(s) for s in seqs])
     row = np.repeat(np.arange(len(seqs)), size + 1)
@@ -362,7 +382,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     maps = spark.sparkContext.broadcast(_bitmaps(bits, 3))
     dominated = (
-        src.select("dig", "doc", "text").mapInArrow(lambda bs: _rests(bs, maps.value), "group long, id long, chk int, doc long, line_no int, rest binary")
+        src.select("dig", "doc", "text").mapInArrow(lambda bs: _rests(bs, maps.value), "group long, id long, chk int, doc long, line_no int, tie long, rest binary")
         .withColumn("bucket", F.pmod(F.xxhash64("group"), F.lit(buckets)).cast("int")).repartition(buckets, "bucket")
         .groupBy("bucket").applyInArrow(lambda t: _dominated(t.drop(["bucket"])), "id long, chk int").distinct().withColumn("near", F.lit(True))
     )
