@@ -593,6 +593,40 @@ def test_toxicity_automaton():
         assert lex.match("".join(w)) == plain("".join(w)), w
 
 
+def test_toxicity_finds_misspelled_short_words_and_words_on_stems(spark):
+    terms = toxicity.pick_terms([("moro*", 40), ("moron*", 25), ("moron", 20), ("moronic", 20), ("scum", 30), ("trash", 30), ("loser", 30)])
+    assert ("moro", True) in terms and ("moron", False) in terms
+    lex = toxicity.Lexicon([*terms, ("moro", False)])
+    assert lex.match("moron") == ("moro", 0) and lex.match("morron") == ("moron", 1) and lex.match("l0ser") == ("loser", 1) and lex.match("scvm") == ("scum", 1)
+    r = random.Random(2)
+    ws = [f"{a}{b}" for a in ("than", "over", "into", "were") for b in ("st", "ou", "ha", "ek")]
+    docs = []
+    for i in range(600):
+        y = i % 3 == 0
+        t = [r.choice(ws) for _ in range(30)] + ([r.choice(["idiot", "loser", "trash", "scum"]) for _ in range(4)] + ["vilest"] * (i % 120 == 0) if y else ["slum", "crash"])
+        docs.append((i, " ".join(t), int(y)))
+    lab = spark.createDataFrame([(i, 1, y) for i, _, y in docs], "doc_id long, quality int, toxic int")
+    extra = [(1000, "idi0t l0ser trassh scvm idi0t l0ser"), (1001, "slum crash slum crash slum crash")]
+    model = toxicity.train(table(spark, [d[:2] for d in docs]), lab)
+    assert {"slum", "crash"} <= model.refused and {t for t, _ in model.terms} >= {"idiot", "loser", "trash", "scum"}
+    got = {x.doc_id: x.predicted for x in toxicity.score(table(spark, extra), model).collect()}
+    assert got == {1000: 1, 1001: 0}
+
+
+def test_toxicity_keeps_rare_terms_with_high_odds(spark):
+    """A term of 5 in 500 toxic texts and no clean one is in the lexicon."""
+    r = random.Random(3)
+    ws = [f"{a}{b}" for a in ("than", "over", "into", "were") for b in ("st", "ou", "ha", "ek")]
+    docs, rare = [], 0
+    for i in range(4000):
+        y = i % 6 == 0
+        new = y and rare < 5 and zlib.crc32(str(i).encode()) % 5 != 0
+        rare += new
+        docs.append((i, " ".join([f"w{i}", *(["vilest"] if new else []), *(r.choice(ws) for _ in range(10)), *(["horrid"] if y else [])]), int(y)))
+    lab = spark.createDataFrame([(i, 1, y) for i, _, y in docs], "doc_id long, quality int, toxic int")
+    assert any(t == "vilest"[:len(t)] for t, _ in toxicity.train(table(spark, [d[:2] for d in docs]), lab).terms)
+
+
 def test_toxicity_quotes_count_less():
     s = toxicity.Scorer([("horrid", False)])
     assert s.features(b"you are horrid to me")[0] > s.features(b'he said "horrid" to me')[0] > 0

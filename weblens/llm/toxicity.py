@@ -4,10 +4,15 @@ automata intersected with the lexicon's trie, and weighed by context.
 Lexicon and weights come from a bounded sample of labelled rows
 (``TRAIN_ROWS``, the rows with the smallest hash of their id, never a held-out
 one). Terms are whole words or word stems whose odds of standing in a toxic
-text are high, counted over different texts; of a stem and the words on it the
-more specific one stays if it explains nearly all of the stem's hits. Each
-term's automaton allows one edit from ``FUZZY_FROM`` characters on; the product with the trie is built as a lazily determinised
-automaton, so a word costs one step per character and most words die at once.
+text are high, counted over different texts, and that stand beside at least
+``MIN_TOXIC`` different words on one side there, so that what near copies of
+one text repeat is no term; of a stem and the words on it the
+more specific one stays if it explains nearly all of the stem's hits. The
+automaton of each whole word, also of one on a stem, allows one edit from
+``FUZZY_FROM`` characters on; a word of the sample that stands rather in clean
+texts is no misspelling of a term. The product with the trie is built as a
+lazily determinised automaton, so a word costs one step per character and most
+words die at once.
 A hit counts less when its context window quotes or reports it. Logistic
 weights over the counts give the score.
 
@@ -20,6 +25,7 @@ row; other columns are not read.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -34,9 +40,8 @@ from weblens.session import ship
 TRAIN_ROWS = 6000
 MAX_TERMS = 2000
 MIN_TOXIC = 4
-MIN_TOXIC_SHARE = 0.015
 MIN_LOG_ODDS = 3.0
-FUZZY_FROM = 6
+FUZZY_FROM = 4
 STEMS = (4, 5, 6)
 CONTEXT = 48
 QUOTED_WEIGHT = 0.4
@@ -55,6 +60,7 @@ class Lexicon:
         self.kids: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
         self.stem: list[bool] = [False]
+        self.whole: list[str | None] = [None]  # a whole word, even if it is a stem too
         self.fuzzy: list[bool] = [False]  # some term below allows an edit
         for t, stem in terms:
             at = 0
@@ -65,11 +71,14 @@ class Lexicon:
                     self.kids.append({})
                     self.term.append(None)
                     self.stem.append(False)
+                    self.whole.append(None)
                     self.fuzzy.append(False)
                 at = self.kids[at][c]
             self.fuzzy[at] |= not stem and len(t) >= FUZZY_FROM
             if self.term[at] is None or stem:
                 self.term[at], self.stem[at] = t, stem
+            if not stem:
+                self.whole[at] = t
         self.alphabet = {c for k in self.kids for c in k}
         self.ids: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
@@ -115,17 +124,18 @@ class Lexicon:
                 return None
         best = None
         for node, e in self.sets[s]:
-            t = self.term[node]
-            if t is not None and (e == 0 or (not self.stem[node] and len(t) >= FUZZY_FROM)):
+            t = self.whole[node] if e else self.term[node]
+            if t is not None and (e == 0 or len(t) >= FUZZY_FROM):
                 best = min(best or (e, t), (e, t))
         return best and (best[1], best[0])
 
 
 class Scorer:
-    """Features of texts under a lexicon; remembers words without a match."""
+    """Features of texts under a lexicon; remembers words without a match.
+    Words in ``refused`` are no misspellings of terms."""
 
-    def __init__(self, terms: list[tuple[str, bool]]):
-        self.lex, self.clean, self.hits = Lexicon(terms), set(), {}
+    def __init__(self, terms: list[tuple[str, bool]], refused: frozenset[str] = frozenset()):
+        self.lex, self.refused, self.clean, self.hits = Lexicon(terms), refused, set(), {}
 
     def features(self, data: bytes) -> list[float]:
         ws = data.translate(ALNUM_LOWER).split()
@@ -134,8 +144,9 @@ class Scorer:
         found = set()
         for w in new:
             if w not in self.hits:
-                m = self.lex.match(w.decode("utf-8", "replace"))
-                if m is None:
+                s = w.decode("utf-8", "replace")
+                m = self.lex.match(s)
+                if m is None or (m[1] and s in self.refused):
                     self.clean.add(w)
                     continue
                 self.hits[w] = m
@@ -167,9 +178,23 @@ def _terms(data: bytes) -> set[str]:
     return out
 
 
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, side, hash of the word on that side) of all words and stems, once a text."""
+    for b in batches:
+        for x in buffers(b.column(0)):
+            ws = [b"", *x.tobytes().translate(ALNUM_LOWER).split(), b""]
+            out = set()
+            for i in range(1, len(ws) - 1):
+                for t in _terms(ws[i]):
+                    out |= {(t, 0, zlib.crc32(ws[i - 1])), (t, 1, zlib.crc32(ws[i + 1]))}
+            cols = list(zip(*sorted(out))) if out else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64()))], ["term", "side", "word"])
+
+
 def pick_terms(rows: list[tuple[str, int]]) -> list[tuple[str, bool]]:
     """(term, is stem) from (term or stem*, number of toxic texts): a stem goes
-    if one longer term has nearly all its texts; what a kept stem covers goes."""
+    if one longer term has nearly all its texts; a stem that a kept one covers
+    goes, words on it stay for their misspellings."""
     rows = [(t.rstrip("*"), t.endswith("*"), n) for t, n in rows]
     most: dict[str, int] = {}  # of the longer terms on each stem
     for t, _, n in rows:
@@ -177,8 +202,8 @@ def pick_terms(rows: list[tuple[str, int]]) -> list[tuple[str, bool]]:
             if len(t) > k:
                 most[t[:k]] = max(most.get(t[:k], 0), n)
     stems = {t for t, stem, n in rows if stem and most.get(t, 0) < 0.9 * n}
-    covered = lambda t, own: any(t[:k] in stems for k in STEMS if k < len(t) or (k == len(t) and not own))
-    return sorted({(t, stem) for t, stem, _ in rows if (t in stems if stem else True) and not covered(t, stem)})
+    covered = lambda t: any(t[:k] in stems for k in STEMS if k < len(t))
+    return sorted({(t, stem) for t, stem, _ in rows if not stem or (t in stems and not covered(t))})
 
 
 def held_out(id_col: str) -> Column:
@@ -186,8 +211,8 @@ def held_out(id_col: str) -> Column:
 
 
 class Model:
-    def __init__(self, terms: list[tuple[str, bool]], weights: np.ndarray | None, bias: float):
-        self.terms, self.weights, self.bias = terms, weights, bias
+    def __init__(self, terms: list[tuple[str, bool]], weights: np.ndarray | None, bias: float, refused: frozenset[str] = frozenset()):
+        self.terms, self.weights, self.bias, self.refused = terms, weights, bias, refused
 
     def scores(self, scorer: Scorer, texts: Iterator[np.ndarray]) -> list[float]:
         if self.weights is None:
@@ -245,16 +270,29 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         if not n.get(True) or not n.get(False):
             return Model([], None, 0.0)
         odds = F.log((F.col("bad") + 0.5) / (n[True] + 1)) - F.log((F.col("good") + 0.5) / (n[False] + 1))
-        best = (
+        counted = (
             different.mapInArrow(count, "term string, bad long, good long")
-            .groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-            .filter(F.col("bad") >= max(MIN_TOXIC, MIN_TOXIC_SHARE * n[True])).withColumn("odds", odds).filter(F.col("odds") >= MIN_LOG_ODDS)
-            .orderBy(F.desc("odds"), "term").limit(MAX_TERMS).collect()
+            .groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).withColumn("odds", odds).persist()
         )
-        terms = pick_terms([(r["term"], r["bad"]) for r in best])
+        try:
+            likely = counted.filter((F.col("bad") >= MIN_TOXIC) & (F.col("odds") >= MIN_LOG_ODDS))
+            own = different.filter("toxic <> 0").select("text").mapInArrow(_neighbours, "term string, side int, word long").join(likely.select("term"), "term", "left_semi")
+            free = own.groupBy("term", "side").agg(F.countDistinct("word").alias("n")).groupBy("term").agg(F.max("n").alias("n")).filter(F.col("n") >= MIN_TOXIC)
+            best = likely.join(free.select("term"), "term", "left_semi").orderBy(F.desc("odds"), "term").limit(MAX_TERMS).collect()
+            terms = pick_terms([(r["term"], r["bad"]) for r in best])
+
+            def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                lex = Lexicon(terms)
+                for b in batches:
+                    yield b.filter(pa.array([bool((m := lex.match(t)) and m[1]) for t in b.column(0).to_pylist()], pa.bool_()))
+
+            clean = counted.filter((F.col("odds") < 0) & ~F.col("term").endswith("*")).select("term")
+            refused = frozenset(r["term"] for r in clean.mapInArrow(near, "term string").collect())
+        finally:
+            counted.unpersist()
 
         def feats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sc = Scorer(terms)
+            sc = Scorer(terms, refused)
             for b in batches:
                 f = [sc.features(x.tobytes()) for x in buffers(b.column(1))]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f, pa.list_(pa.float64()))], ["toxic", "f"])
@@ -264,7 +302,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         y = np.array([float(r["toxic"] != 0) for r in got])
         order = np.lexsort((*x.T, y))  # the rows' order must not matter
         w, b = _logistic(x[order], y[order])
-        return Model(terms, w, b)
+        return Model(terms, w, b, refused)
     finally:
         sample.unpersist()
 
@@ -274,7 +312,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sc = Scorer(model.terms)
+        sc = Scorer(model.terms, model.refused)
         for b in batches:
             s = np.array(model.scores(sc, buffers(b.column(2))), dtype=float)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
@@ -289,7 +327,7 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sc = Scorer(model.terms)
+        sc = Scorer(model.terms, model.refused)
         for b in batches:
             s = np.array(model.scores(sc, buffers(b.column(at))), dtype=float)
             yield b.filter(pa.array(s < 0.5))
