@@ -265,6 +265,21 @@ def test_pii_held_out(spark):
     assert pii.find(table(spark, []), model).count() == 0
 
 
+def test_pii_training_sees_every_text(spark):
+    """Texts full of digits keep no other text and no kind out of the training."""
+    r = random.Random(6)
+    table_of = lambda n: " ".join(str(r.randint(100, 999)) for _ in range(n))
+    end = "mail jo.doe@mail.example.com now and 10.20.30.40 or call +1 (555) 555-1234 please"
+    ids, tags = pii.training_windows([table_of(25_000), table_of(60_000) + " words without any digits in a row here " + end, *pii_texts(3, 4)])
+    assert len(ids) <= 5 * pii.TEXT_WINDOWS and {1, 3, 7} <= set(tags[pii.TEXT_WINDOWS:2 * pii.TEXT_WINDOWS].ravel().tolist())
+    text = table_of(3000) + " " + end + " " + "4111 1111 1111 1111 " * 40
+    spans = pii.base_spans(text)
+    assert [s for p in pii._pieces(text, spans) for s in p[2]] == spans and all(p.search(text) for p in map(__import__("re").compile, pii._HINTS))
+    rows = [(i, f"row {i} of {table_of(3)}") for i in range(600)] + [(1000 + i, end) for i in range(2)]
+    model = pii.train(table(spark, rows), texts=20)
+    assert model is not None and pii.train(table(spark, rows[:600]), texts=20) is None
+
+
 # --- pieces
 
 @pytest.fixture(scope="module")
