@@ -145,6 +145,29 @@ def test_license_spans_keep_the_bound():
             assert plain_edits(phrase, " ".join(alnum_words(text)[a:b + 1])) <= e <= license_scan.edits_allowed(phrase)
 
 
+def test_license_finds_notices_side_by_side():
+    """Notices of 0, 1 and 2 edits in a row: each has its span, within the bound."""
+    notices = tuple(license_scan.NOTICES.items())
+    scan = lambda t: license_scan.scan_text(t.encode(), notices)[7]
+    assert scan("apache licence apache license") == [("apache", 0, 1, 1), ("apache", 2, 3, 0)]
+    assert scan("gnu general publik licence or gnu general public licence") == [("gpl", 0, 3, 2), ("gpl", 5, 8, 1)]
+    assert scan("apache licence foo apache license bar apache licence") == [("apache", 0, 1, 1), ("apache", 3, 4, 0), ("apache", 6, 7, 1)]
+    assert len(scan("mit licence " * 2000)) == 2000
+    r = random.Random(12)
+    for _ in range(150):
+        ws, want = [], []
+        for _ in range(r.randint(2, 6)):
+            phrase, label = r.choice([n for n in notices if license_scan.edits_allowed(n[0])])
+            s = list(phrase)
+            for i in r.sample([i for i, c in enumerate(s) if c != " "], r.randint(0, min(2, license_scan.edits_allowed(phrase)))):
+                s[i] = "q"
+            if r.random() < 0.5:
+                ws.append("or")
+            want.append((label, len(ws), len(ws) + phrase.count(" "), plain_edits(phrase, "".join(s))))
+            ws += "".join(s).split()
+        assert scan(" ".join(ws)) == want, ws
+
+
 # --- decontamination
 
 def plain_decontaminate(docs, items, n=10):

@@ -4,7 +4,9 @@ A notice with at most ``k`` edits, cut into ``k + 1`` pieces, holds one piece
 unchanged. So every fuzzy place lies around an exact hit of some piece: the
 pieces are searched as plain byte strings in the normalised text (words joined
 by one space), and only the neighbourhoods of their hits go to the regex
-library, whose bounded-error matching decides and gives the span.
+library, whose bounded-error matching decides and gives the span. Each
+neighbourhood is searched on its own, before and behind the best match in it
+too; of matches that overlap, exact ones included, the better one counts.
 
 Defined results: a null or empty text has no words, no places, score 0 and
 empty label strings; a text is scanned whole whatever its length; rows are
@@ -13,6 +15,7 @@ handled one by one, so repeated rows, ties and other columns change nothing.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -52,7 +55,7 @@ def _compiled(notices: tuple[tuple[str, str], ...]) -> list:
     out = []
     for phrase, label in notices:
         k = edits_allowed(phrase)
-        rx = regex.compile(rb"(?be)(?: %s(?= )){e<=%d}" % (regex.escape(phrase.encode(), special_only=True), k)) if k else None
+        rx = regex.compile(rb"(?be) (?:%s){e<=%d}(?= )" % (regex.escape(phrase.encode(), special_only=True), k)) if k else None
         out.append((phrase, label, k, [(o, s.encode()) for o, s in pieces(phrase, k)], rx))
     return out
 
@@ -70,23 +73,29 @@ def _fuzzy(norm: bytes, phrase: str, k: int, seeds: list, rx) -> list[tuple[int,
     """(start, end, edits) of the non-overlapping best matches with 1..k edits,
     as byte offsets of whole words in ``norm``."""
     near: list[list[int]] = []
-    n = len(phrase)
-    for at in sorted(h - o for o, s in seeds for h in _places(norm, s)):
-        lo, hi = max(0, at - k - 1), min(len(norm), at + n + k + 2)
-        if near and lo <= near[-1][1]:
-            near[-1][1] = max(hi, near[-1][1])
+    for at in sorted({h - o for o, s in seeds for h in _places(norm, s)}):
+        if near and at <= near[-1][0] + k:  # seeds of one match differ by its edits
+            near[-1][1] = at
         else:
-            near.append([lo, hi])
-    out = []
-    for lo, hi in near:
+            near.append([at, at])
+    found = set()
+    for first, last in near:
         # whole words only: widen to the spaces around
+        lo, hi = max(0, first - k - 1), min(len(norm), last + len(phrase) + k + 2)
         lo, hi = max(0, norm.rfind(b" ", 0, lo + 1)), norm.find(b" ", hi - 1)
-        hi = len(norm) if hi < 0 else hi + 1
-        for m in rx.finditer(norm, lo, hi):
-            e = sum(m.fuzzy_counts)
-            if e and m.start() < m.end() and norm[m.start():m.start() + 1] == b" " and norm[m.end():m.end() + 1] == b" ":
-                out.append((m.start() + 1, m.end(), e))
-    return out
+        parts = [(lo, len(norm) if hi < 0 else hi + 1)]
+        while parts:
+            lo, hi = parts.pop()
+            m = rx.search(norm, lo, hi)
+            if m and m.start() + 1 < m.end():
+                found.add((sum(m.fuzzy_counts), m.start(), m.end()))
+                parts += [(lo, m.start() + 1), (m.end(), hi)]
+    out: list[tuple[int, int, int]] = []
+    for e, a, z in sorted(found):
+        i = bisect_left(out, (a, z, e))
+        if (i == len(out) or out[i][0] >= z) and (i == 0 or out[i - 1][1] <= a):
+            out.insert(i, (a, z, e))
+    return [(a + 1, z, e) for a, z, e in out if e]
 
 
 def scan_text(data: bytes, notices: tuple[tuple[str, str], ...]) -> tuple:
