@@ -2,7 +2,8 @@
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir)
 and returns the documents it keeps, with their columns; the last one returns
-token counts and digests instead. ``run`` applies them in order. Nulls, empty
+token counts and digests instead. ``run`` applies them in order; each stage is
+written as Parquet and read again by the next, once. Nulls, empty
 texts, repeated rows and empty tables are handled as each operator states.
 """
 
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weblens.llm import decontaminate, exact_dedup, ngram_join, piece_bpe, toxicity
 from weblens.llm.queries import piece_model
+from weblens.session import cut
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,6 +51,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = cut(docs, name)
     return docs

@@ -99,3 +99,19 @@ def test_queries_match_sql(spark, duck, name):
 
     ok, msg = compare(queries.QUERIES[name](spark, SF_SMALL), duck, queries.ORACLE[name])
     assert ok, msg
+
+
+def test_stages_read_what_the_one_before_wrote(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as pipe
+
+    spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    read = []
+
+    def stage(spark, docs, sf_dir):
+        read.append(docs.inputFiles())
+        return docs.filter("doc_id > 1")
+
+    monkeypatch.setattr(pipe, "STAGES", [("one", stage), ("two", stage), ("three", stage)])
+    assert [r.doc_id for r in pipe.run(spark, str(tmp_path)).collect()] == [2]
+    assert all("weblens-scratch" not in f for f in read[0])
+    assert all(fs and all(f"weblens-scratch/{n}-" in f for f in fs) for n, fs in zip(("one", "two"), read[1:]))
