@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weblens.llm import decontaminate, exact_dedup, license_scan, line_dedup, ngram_join, pii, piece_bpe, sharding, substring_dedup, toxicity
+from weblens.llm import (
+    collocations, decontaminate, exact_dedup, license_scan, line_dedup, ngram_join, pii, piece_bpe, sharding, substring_dedup, toxicity, whitening, word_bpe,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +76,26 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"))
 
 
+def word_model() -> str:
+    """Path of the public tokenizer with word ends."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.digests(_table(spark, sf_dir, "documents"), word_model())
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact deviation as long; null where it needs more than 64 bits."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_decontaminate": op2_decontaminate,
@@ -85,6 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
+    "op11_word_bpe": op11_word_bpe,
+    "op12_whitening": op12_whitening,
+    "op13_collocations": op13_collocations,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -92,6 +117,24 @@ _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _SPACED = r"'[^\x20\x09-\x0D]+'"
 
 ORACLE: dict[str, str] = {
+    "op13_collocations": f"""
+WITH p AS (SELECT lang, row_number() OVER () AS pid, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws
+           FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+g AS (SELECT lang, k, ws[s:s + k - 1] AS w
+      FROM (SELECT lang, ws, k, unnest(generate_series(1, len(ws) - k + 1)) AS s FROM p, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(ws) >= k)),
+f AS (SELECT lang, k, w, count(*)::HUGEINT AS c FROM g GROUP BY lang, k, w),
+t AS (SELECT lang, sum(c)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT * FROM f WHERE k >= 2 AND c >= 30),
+cuts AS (SELECT lang, w, c, unnest(generate_series(1, k - 1)) AS i, k FROM cand),
+sc AS (SELECT x.lang, x.w, x.c AS a, x.i, h.c AS l, t.c AS r, (2000000 * x.c) // (h.c + t.c) AS score
+       FROM cuts x JOIN f h ON h.lang = x.lang AND h.w = x.w[1:x.i] JOIN f t ON t.lang = x.lang AND t.w = x.w[x.i + 1:x.k]),
+low AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, i) = 1),
+inn AS (SELECT lang, w[s:s + m - 1] AS w, max(c) AS most
+        FROM (SELECT lang, w, c, m, unnest(generate_series(1, k - m + 1)) AS s FROM cand, (SELECT unnest([2, 3]) AS m) WHERE k > m) GROUP BY ALL),
+keep AS (SELECT low.*, array_to_string(low.w, ' ') AS phrase FROM low LEFT JOIN inn USING (lang, w) WHERE most IS NULL OR 100 * most < 80 * a)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM keep) JOIN t USING (lang)
+WHERE rank <= 2000""",
     "op6_ngram_join": f"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, {_SPACED}) AS ws FROM documents),
 sh AS (SELECT DISTINCT r, array_to_string(ws[s:s + least(5, len(ws)) - 1], ' ') AS g
