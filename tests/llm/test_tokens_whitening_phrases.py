@@ -54,9 +54,11 @@ def test_word_bpe_equals_the_library(words, library):
 def test_word_bpe_scan_and_heap_agree(words):
     r = random.Random(4)
     for _ in range(300):
-        syms = [words.symbol[b] for b in "".join(r.choice("thingadre") for _ in range(r.randint(1, 80))).encode()]
-        syms[-1] += words.suffix
-        assert words._scan(syms) == words._heap(syms)
+        word = "".join(r.choice("thingadreé") for _ in range(r.randint(1, 80)))
+        ids, starts = words._scan(words.symbols(word))
+        assert ids == words._heap(words.symbols(word)) and len(ids) == len(starts)
+        raw = word.encode()
+        assert [len(words.token[i].replace(words.suffix, "")) for i in ids] == [b - a for a, b in zip(starts, [*starts[1:], len(raw)])]
 
 
 def test_word_bpe_plain_text(words):

@@ -3,8 +3,8 @@
 A text is cut at the special tokens it spells out, each section is normalised
 (composed, white space to spaces, lower case) and cut into words, and a word's
 bytes become symbols, the last one marked as the word's end. For a short word
-two arrays lie side by side: the boundaries of its parts, and for each part the
-rank of the merge with the next one. The smallest rank (leftmost first) is
+arrays lie side by side: the boundaries of its parts with their ids, and for each
+part the rank of the merge with the next one. The smallest rank (leftmost first) is
 found by a scan, its boundary is deleted, and only the ranks of the two
 neighbours are looked up again, until no part has a rank. Words of more than
 ``SHORT`` symbols take the same merges from a heap, so time stays near linear
@@ -39,8 +39,11 @@ from pyspark.sql import functions as F
 from weblens.session import ship
 
 SHORT = 64
-_KNOWN_MAX = 300_000
+_KNOWN_MAX = 500_000
 _NONE = 1 << 60
+_ROWS = 1 << 16
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+_SPACES = re.compile(r"[^\S\x1c-\x1f]+")
 _ENCODERS: dict[tuple, WordEncoder] = {}
 
 
@@ -77,77 +80,81 @@ class WordEncoder:
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
         self.id_of: dict[str, int] = model["vocab"]
-        self.rank = {(a, b): i for i, (a, b) in enumerate(tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"])}
+        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        #: rank of a pair of ids, and the id that its merge gives
+        self.rank = {self.id_of[a] << 32 | self.id_of[b]: i for i, (a, b) in enumerate(pairs)}
+        self.merged = [self.id_of[a + b] for a, b in pairs]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in (*self.id_of.items(), *self.special.items())}
         self.symbol = byte_symbols()
         self.byte = {s: b for b, s in enumerate(self.symbol)}
         if any(s not in self.id_of or s + self.suffix not in self.id_of for s in self.symbol):
             raise ValueError("the vocabulary lacks a byte: unknown symbols are not handled")
+        self.inner = [self.id_of[s] for s in self.symbol]
+        self.last = [self.id_of[s + self.suffix] for s in self.symbol]
         c = classes or character_classes()
         # the contractions of the tokenizer's own pattern, then letters, one number, others
         head = "'s|'t|'re|'ve|'m|'ll|'d"
         self.words = re.compile(f"{head}|[{c['letter']}]+|[{c['number']}]|[^{c['space']}{c['letter']}{c['number']}]+").findall
         self.ascii_words = re.compile(rf"{head}|[a-z]+|[0-9]|[^\x09-\x0d a-z0-9]+").findall
         self.sections = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")").split if self.special else None
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.known: dict[str, tuple[int, str, str]] = {}  # of runs without white space
+        self.words_known: dict[str, tuple[int, str, str]] = {}
 
     # --- merging
 
-    def _scan(self, syms: list[str]) -> list[str]:
-        """Merges of a short word: boundaries and ranks in two arrays."""
-        rank = self.rank.get
-        word = "".join(syms)
-        ends = []  # boundary after each part
-        at = 0
-        for s in syms:
-            at += len(s)
-            ends.append(at)
-        starts = [0, *ends[:-1]]
-        ranks = [rank(p, _NONE) for p in zip(syms, syms[1:])]
+    def _scan(self, parts: list[int]) -> tuple[list[int], list[int]]:
+        """Merges of a short word: (id of each part, byte at which it starts).
+        Three arrays lie side by side: starts, ids, and the rank of each part's
+        merge with the next one."""
+        rank, merged = self.rank.get, self.merged
+        starts = list(range(len(parts)))
+        ranks = [rank(a << 32 | b, _NONE) for a, b in zip(parts, parts[1:])]
         while ranks:
             low = min(ranks)
             if low == _NONE:
                 break
             i = ranks.index(low)
             # delete the boundary between the parts i and i + 1
-            del starts[i + 1], ends[i], ranks[i]
-            part = word[starts[i]:ends[i]]
+            del starts[i + 1], parts[i + 1], ranks[i]
+            new = parts[i] = merged[low]
             if i:
-                ranks[i - 1] = rank((word[starts[i - 1]:ends[i - 1]], part), _NONE)
+                ranks[i - 1] = rank(parts[i - 1] << 32 | new, _NONE)
             if i < len(ranks):
-                ranks[i] = rank((part, word[starts[i + 1]:ends[i + 1]]), _NONE)
-        return [word[a:b] for a, b in zip(starts, ends)]
+                ranks[i] = rank(new << 32 | parts[i + 1], _NONE)
+        return parts, starts
 
-    def _heap(self, syms: list[str]) -> list[str]:
+    def _heap(self, parts: list[int]) -> list[int]:
         """The same merges for a long word: linked parts and a heap of ranks."""
-        rank, n = self.rank, len(syms)
-        part: list[str | None] = list(syms)
+        rank, merged, n = self.rank.get, self.merged, len(parts)
         nxt, prev = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(r, i, i + 1) for i in range(n - 1) if (r := rank.get((syms[i], syms[i + 1]))) is not None]
+        heap = [(r, i, i + 1) for i in range(n - 1) if (r := rank(parts[i] << 32 | parts[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             r, i, j = heapq.heappop(heap)
-            if part[i] is None or nxt[i] != j or part[j] is None or rank.get((part[i], part[j])) != r:
+            if parts[i] < 0 or nxt[i] != j or rank(parts[i] << 32 | parts[j]) != r:
                 continue
-            part[i] += part[j]
-            part[j] = None
+            parts[i], parts[j] = merged[r], -1
             nxt[i] = nxt[j]
             if nxt[i] >= 0:
                 prev[nxt[i]] = i
-                if (q := rank.get((part[i], part[nxt[i]]))) is not None:
+                if (q := rank(parts[i] << 32 | parts[nxt[i]])) is not None:
                     heapq.heappush(heap, (q, i, nxt[i]))
-            if prev[i] >= 0 and (q := rank.get((part[prev[i]], part[i]))) is not None:
+            if prev[i] >= 0 and (q := rank(parts[prev[i]] << 32 | parts[i])) is not None:
                 heapq.heappush(heap, (q, prev[i], i))
-        return [p for p in part if p is not None]
+        return [p for p in parts if p >= 0]
+
+    def symbols(self, word: str) -> list[int]:
+        """Ids of a word's bytes, the last one marked as the word's end."""
+        raw = word.encode("utf-8")
+        inner = self.inner
+        parts = [inner[b] for b in raw]
+        parts[-1] = self.last[raw[-1]]
+        return parts
 
     def encode_word(self, word: str) -> list[int]:
-        syms = [self.symbol[b] for b in word.encode("utf-8")]
-        syms[-1] += self.suffix
-        whole = self.id_of.get("".join(syms)) if len(syms) == 1 else None
-        if whole is not None:
-            return [whole]
-        return [self.id_of[p] for p in (self._scan(syms) if len(syms) <= SHORT else self._heap(syms))]
+        parts = self.symbols(word)
+        return self._scan(parts)[0] if len(parts) <= SHORT else self._heap(parts)
 
     # --- texts
 
@@ -199,35 +206,47 @@ class WordEncoder:
             raw += b" " * end
         return raw.decode("utf-8", "replace").rstrip(" ")
 
-    def _known(self, w: str) -> tuple[int, str, str]:
-        ids = self.encode_word(w)
-        got = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-        if len(w) <= SHORT:
+    def _chunk(self, chunk: str) -> tuple[int, str, str]:
+        """(number of ids, ids, tokens) of a run without white space; no word,
+        composition or change of case reaches beyond one."""
+        rows = []
+        for w in self._split(chunk):
+            row = self.words_known.get(w)
+            if row is None:
+                ids = self.encode_word(w)
+                row = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+                if len(w) <= SHORT:
+                    if len(self.words_known) >= _KNOWN_MAX:
+                        self.words_known.clear()
+                    self.words_known[w] = row
+            rows.append(row)
+        got = rows[0] if len(rows) == 1 else (sum(r[0] for r in rows), " ".join([r[1] for r in rows]), " ".join([r[2] for r in rows]))
+        if len(chunk) <= SHORT:
             if len(self.known) >= _KNOWN_MAX:
                 self.known.clear()
-            self.known[w] = got
+            self.known[chunk] = got
         return got
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """(number of ids, sha256 of the ids, sha256 of the decoded text)."""
-        n = 0
+        total, first = 0, True
         ids, toks = hashlib.sha256(), hashlib.sha256()
-        known, first = self.known, True
+        known = self.known.get
         for section in self.sections(text) if self.sections and "<" in text else (text,):
             if section in self.special:
-                got = [(1, str(self.special[section]), section)]
+                rows = [(1, str(self.special[section]), section)]
+            elif _SEPARATORS.search(section):  # white space to Python's split, but not to the tokenizer
+                rows = [self._chunk(c) for c in _SPACES.split(section) if c]
             else:
-                got = [known.get(w) or self._known(w) for w in self._split(section)]
-            if not got:
-                continue
-            if not first:
-                ids.update(b" ")
-                toks.update(b" ")
-            first = False
-            n += sum([g[0] for g in got])
-            ids.update(" ".join([g[1] for g in got]).encode())
-            toks.update(" ".join([g[2] for g in got]).encode())
-        return n, ids.hexdigest(), toks.hexdigest()
+                rows = [known(c) or self._chunk(c) for c in section.split()]
+            for i in range(0, len(rows), _ROWS):
+                n, a, b = zip(*rows[i:i + _ROWS])
+                head = "" if first else " "
+                first = False
+                total += sum(n)
+                ids.update((head + " ".join(a)).encode())
+                toks.update((head + " ".join(b)).encode())
+        return total, ids.hexdigest(), toks.hexdigest()
 
 
 _NEWER: list = []
