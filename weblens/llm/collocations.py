@@ -47,11 +47,13 @@ TOP = 2000
 COVERED = 80  # percent of a phrase's occurrences inside one longer phrase
 #: Bytes of a task's slice of text, hash counts held before they are sent, and
 #: counts merged into a summary at a time.
-SLICE = 4 << 20
-HELD = 3 << 20
-MERGED = 4 << 20
+SLICE = 3 << 20
+HELD = 2 << 20
+MERGED = 1 << 20
 #: Bytes of text for each hash partition.
-PARTITION_BYTES = 48 << 20
+PARTITION_BYTES = 24 << 20
+#: Parts of a language that are ranked before they meet.
+SALTS = 32
 #: Largest filter that goes to every task.
 FILTER_BYTES = 64 << 20
 
@@ -397,7 +399,10 @@ def mine(docs: DataFrame, top: int = TOP, min_count: int = MIN_COUNT) -> DataFra
     around = cand.filter("k >= 3").select("lang", F.explode(inner).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("most"))
     left = scored.join(around, ["lang", "phrase"], "left").filter(
         F.expr(f"most IS NULL OR CAST(100 AS DECIMAL(3, 0)) * CAST(most AS DECIMAL(30, 0)) < CAST({COVERED} AS DECIMAL(3, 0)) * CAST(a AS DECIMAL(30, 0))"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase")))
-    best = left.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= top)
+    # a language's first ones are among the first of its salts, so no task sorts a whole language
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    salted = left.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
+    some = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).filter(F.col("rank") <= top)
+    best = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= top)
     n = f.filter("k = 0").select("lang", "n")
     return best.join(n, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
