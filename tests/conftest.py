@@ -17,6 +17,11 @@ def spark():
     from weblens.session import ensure_checkpoint_dir
 
     s = (SparkSession.builder.master("local[*]")
+         .config("spark.driver.memory", "4g")
+         .config("spark.sql.ui.retainedExecutions", "5")
+         .config("spark.ui.retainedJobs", "20")
+         .config("spark.ui.retainedStages", "20")
+         .config("spark.ui.retainedTasks", "1000")
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
@@ -35,6 +40,15 @@ def duck():
     return duck_connect(SF_SMALL)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def drop_tables():
+    """What a module's queries keep is dropped behind it."""
+    yield
+    from weblens.plans import context
+
+    context.clear()
+
+
 def make_tables(spark, pages):
     """pages: list of (page_id, url, html)."""
     from weblens.plans.context import Tables

@@ -186,3 +186,91 @@ def test_multi_format_equals_single_formats(spark):
                R.a11y_outline(t.elements_text, roots)):
         want.update({(r["page_id"], r["pos"], r["format"]): r["output"] for r in df.collect()})
     assert got == want and len(got) > 0
+
+
+SHADOW = ('<html><body><main><x-card id="c" class="k"><b>light</b><template shadowrootmode="open"><h2 class="s">in <i>side</i></h2>'
+          '<div><template shadowrootmode="open"><span>deep</span></template>mid</div>tail</template><em>after</em>'
+          '<template shadowrootmode="open"><img></template></x-card><section><template shadowrootmode="closed"><button>no</button></template>x</section>'
+          '<b><template shadowrootmode="open"><a href="#">no host</a></template></b></main></body></html>')
+
+
+def test_shadow_roots(spark):
+    """Open roots come first and one level deeper in outlines; closed roots, second
+    templates and templates without a possible host show nothing."""
+    t = make_tables(spark, [(1, "u", SHADOW)])
+    main = t.roots(1, "main")
+    assert out(R.clean_html(t.nodes_text, main, NOCTX)) == (
+        '<main><x-card id="c" class="k"><template shadowrootmode="open"><h2 class="s">in<i>side</i></h2><div><template shadowrootmode="open">'
+        '<span>deep</span></template>mid</div>tail</template><b>light</b><em>after</em></x-card><section>x</section><b></b></main>')
+    assert out(R.structure(t.nodes_text, main, NOCTX)).split("\n") == [
+        'main "lightafterx"', '  x-card#c.k "lightafter"', "    #shadow-root", '      h2.s "in side"', '        i "side"', '      div "mid"',
+        "        #shadow-root", '          span "deep"', '    b "light"', '    em "after"', '  section "x"', "  b"]
+    assert out(R.a11y_outline(t.nodes_text, main, R.Options(include_context=False, depth=2))).split("\n") == [
+        '[main] "lightafterx"', '  [x-card] "lightafter"', "    #shadow-root", '      [h2] "in side"', '      [div] "mid"', '    [b] "light"',
+        '    [em] "after"', '  [section] "x"', "  [b]"]
+    assert out(R.clean_html(t.nodes_text, main, R.Options(include_context=False, depth=1))) == (
+        '<main><x-card id="c" class="k">lightafter</x-card><section>x</section><b></b></main>')
+    counts = S.page_counts(t.pages, t.elements).collect()[0]
+    assert (counts["buttons"], counts["links"], counts["images_missing_alt"]) == (0, 0, 0)
+    assert S.headings(t.elements_text).count() == 0
+    span = t.elements_text.filter("tag = 'span'").collect()[0]
+    assert span["css_path"] == "html > body > main > x-card > div > span" and span["context"] == ["body", "main", "x-card#c.k", "div"]
+    inside = t.roots(1, "div")
+    assert out(R.structure(t.nodes_text, inside, NOCTX)).split("\n") == ['div "mid"', "  #shadow-root", '    span "deep"']
+
+
+def test_visibility_is_inherited(spark):
+    """A root inside a hidden element is hidden unless something nearer shows it again;
+    seen from outside, the hidden subtree goes as a whole."""
+    html = ('<main><div style="visibility: hidden">a<section>b</section><article style="visibility:visible">c<b>d</b></article></div>'
+            '<form style="visibility: hidden !important; visibility: visible">e</form><nav style="visibility: hidden; visibility: bogus; visibility: visible">f</nav></main>')
+    t = make_tables(spark, [(1, "u", html)])
+    assert out(R.clean_html(t.nodes_text, t.roots(1, "main"), NOCTX)) == '<main><nav style="visibility: hidden; visibility: bogus; visibility: visible">f</nav></main>'
+    assert out(R.clean_html(t.nodes_text, t.roots(1, "section"), NOCTX)) == ""
+    assert out(R.structure(t.nodes_text, t.roots(1, "section"), NOCTX)) == ""
+    assert out(R.clean_html(t.nodes_text, t.roots(1, "article"), NOCTX)) == '<article style="visibility:visible">c<b>d</b></article>'
+    assert out(R.clean_html(t.nodes_text, t.roots(1, "section"), R.Options(include_context=False, include_hidden=True))) == "<section>b</section>"
+    assert sorted(r["tag"] for r in t.elements.filter("hidden").collect()) == ["div", "form", "section"]
+
+
+def test_references_without_semicolon(spark):
+    """Longest accepted beginning in text; in attributes only where nothing that
+    could go on the name follows."""
+    t = make_tables(spark, [(1, "u", '<p title="?a=1&copy=2&lt;&amp&notx&not" id="&#65&#x42;&#67=">&copy 2024 &notit; &notin; &nbsp.&ampamp; &zzz &AMP&#65</p>')])
+    p = t.element(1, "p")
+    assert p["text"] == "\u00a9 2024 \u00acit; \u2209 \u00a0.&amp; &zzz &A"
+    assert p["attr"]["title"] == "?a=1&copy=2<&&notx\u00ac" and p["attr"]["id"] == "ABC="
+
+
+def test_pages_without_regions_use_their_top_elements(spark):
+    t = make_tables(spark, [(1, "u", "<div>a<p>b</p></div><span>c</span>"), (2, "u", "<div><main>x</main></div>")])
+    got = {(r["page_id"], r["output"]) for r in R.clean_html(t.nodes_text, R.region_roots(t.elements), NOCTX).collect()}
+    assert got == {(1, "<div>a<p>b</p></div>"), (1, "<span>c</span>"), (2, "<main>x</main>")}
+
+
+def test_deep_and_misnested_pages_stay_linear(spark):
+    """100,000 unclosed elements and 50,000 misnested ones: nearest ancestors, clipped ends and
+    path steps without a row for each pair of nested elements."""
+    from weblens.operators import elements as E
+    from weblens.operators import tree
+
+    pages = spark.createDataFrame([(1, "u", "<div>" * 100_000), (2, "u", "<div><b><i>x</b></i></div>" * 25_000)], "page_id long, url string, html string")
+    n = E.build_nodes(E.core_nodes(tree.build(tree.partition_pages(pages, 2)))).cache()
+    deep = n.filter("page_id = 1").agg(F.max("depth"), F.count("*"), F.max(F.size("context"))).collect()[0]
+    assert tuple(deep) == (99_999, 100_000, 6)
+    bad = n.filter("page_id = 2 AND tag = 'i'").join(n.filter("page_id = 2 AND tag = 'b'").select(F.col("pos").alias("parent_pos"), F.col("end_pos").alias("outer")), "parent_pos")
+    assert bad.count() == 25_000 and bad.filter("end_pos > outer").count() == 0
+    n.unpersist()
+
+
+def test_needles_meet_texts_by_rare_pieces(spark):
+    import random
+
+    r = random.Random(2)
+    texts = ["".join(r.choice("ab c") for _ in range(r.randint(40, 200))) for _ in range(300)] + ["x" * 90, "x" * 39 + "y" + "x" * 60]
+    needles = [t[i:i + 40] for t in texts[:120] for i in (0, r.randint(0, len(t) - 40))] + ["x" * 40, "q" * 40]
+    a = spark.createDataFrame([(1, "p", t, 1 + i % 3) for i, t in enumerate(dict.fromkeys(texts))], "page_id long, tag string, nt string, n long")
+    b = spark.createDataFrame([(1, "p", x) for x in dict.fromkeys(needles)], "page_id long, tag string, needle string")
+    got = {x["needle"]: x["n_in"] for x in LC.containing(a, b).collect()}
+    want = {x: sum(1 + i % 3 for i, t in enumerate(dict.fromkeys(texts)) if x in t) for x in needles}
+    assert got == {k: v for k, v in want.items() if v}

@@ -170,11 +170,25 @@ UA_HIDDEN_TAGS = [
     "base", "datalist", "area", "param", "rp",
 ]
 
+# Values of the visibility property that set it or hand on the parent's.
+VISIBILITY_VALUES = ["hidden", "visible", "collapse", "initial", "inherit", "unset", "revert", "revert-layer"]
+
+# Elements that can hold a declared shadow root, besides those with a hyphen in
+# their name.
+SHADOW_HOST_TAGS = [
+    "article", "aside", "blockquote", "body", "div", "footer", "h1", "h2",
+    "h3", "h4", "h5", "h6", "header", "main", "nav", "p", "section", "span",
+]
+
 # Named character references: the HTML standard's table as Python's library has
 # it (names with their semicolon), and the code page that stands in for the
 # numeric references 128 to 159.
 ENTITY_NAMES = [n for n in html5 if n.endswith(";")]
 ENTITY_CHARS = [html5[n] for n in ENTITY_NAMES]
+# The names that the standard also accepts without a semicolon.
+LEGACY_NAMES = [n for n in html5 if not n.endswith(";")]
+LEGACY_CHARS = [html5[n] for n in LEGACY_NAMES]
+LEGACY_LENGTHS = sorted({len(n) for n in LEGACY_NAMES}, reverse=True)
 CP1252_FROM = "".join(chr(n) for n in range(0x80, 0xA0))
 CP1252_TO = "".join(bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0))
 

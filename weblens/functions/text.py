@@ -36,29 +36,54 @@ def escape_html(c) -> Column:
     return c
 
 
-ENTITY_RX = "(?s)&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);|[^&]+|&"
+#: A reference with its semicolon or the character that may stand for it, or text without one.
+ENTITY_RX = "(?s)&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*)[;=]?|[^&]+|&"
 
 
-def decode_entities(c) -> Column:
+def _table(names: list[str], chars: list[str]) -> Column:
+    return F.map_from_arrays(F.split(F.lit(" ".join(names)), " "), F.split(F.lit("\u0001".join(chars)), "\u0001"))
+
+
+def _decode(c, attribute: bool) -> Column:
     """Decode character references in one pass from left to right, so nothing is
-    decoded twice (strings without '&' are returned as they are)."""
+    decoded twice (strings without '&' are returned as they are). A name without
+    its semicolon counts up to its longest accepted beginning; inside an attribute
+    only if neither a letter, a digit nor '=' follows."""
     c = col_(c)
-    names = F.split(F.lit(" ".join(L.ENTITY_NAMES)), " ")
-    chars = F.split(F.lit("\u0001".join(L.ENTITY_CHARS)), "\u0001")
-    table = F.map_from_arrays(names, chars)
+    full, legacy = _table(L.ENTITY_NAMES, L.ENTITY_CHARS), _table(L.LEGACY_NAMES, L.LEGACY_CHARS)
 
-    def one(t):
-        digits = F.regexp_extract(t, "^&#[xX]?0*([0-9A-Fa-f]*);$", 1)
-        hexa, dec = t.rlike("^&#[xX]"), t.rlike("^&#[0-9]")
-        number = F.when(hexa, F.when(F.length(digits) <= 6, F.conv(digits, 16, 10).cast("int"))) \
+    def number(t):
+        digits = F.regexp_extract(t, "^&#[xX]?0*([0-9A-Fa-f]*)[;=]?$", 1)
+        n = F.when(t.rlike("^&#[xX]"), F.when(F.length(digits) <= 6, F.conv(digits, 16, 10).cast("int"))) \
             .otherwise(F.when(F.length(digits) <= 7, F.try_to_number(digits, F.lit("9999999")).cast("int")))
-        return F.when((F.length(t) > 2) & t.endswith(";") & t.startswith("&"),
-                      F.when(hexa | dec, code_point(F.coalesce(number, F.lit(0))))
-                      .otherwise(F.coalesce(F.element_at(table, F.substring(t, 2, 40)), t))).otherwise(t)
+        return F.concat(code_point(F.coalesce(n, F.lit(0))), F.when(t.endswith("="), F.lit("=")).otherwise(F.lit("")))
+
+    def short(t):
+        tries = []
+        for n in L.LEGACY_LENGTHS:
+            ok = F.length(t) > n
+            if attribute:
+                ok = ok & (F.rtrim(t, F.lit(";")) == F.substring(t, 1, n + 1))
+            tries.append(F.when(ok, F.concat(F.element_at(legacy, F.substring(t, 2, n)), F.substring(t, n + 2, 1 << 30))))
+        return F.coalesce(*tries, t)
+
+    def one(t):
+        named = F.when(t.endswith(";"), F.element_at(full, F.substring(t, 2, 40)))
+        return F.when(F.length(t) < 3, t).when(t.rlike("^&#"), number(t)).when(t.startswith("&"), F.coalesce(named, short(t))).otherwise(t)
 
     return F.when(F.instr(c, "&") > 0, F.array_join(F.transform(F.regexp_extract_all(c, F.lit(ENTITY_RX), 0), one), "")).otherwise(c)
 
 
+def decode_entities(c) -> Column:
+    """Text with its character references decoded."""
+    return _decode(c, False)
+
+
+def decode_attribute(c) -> Column:
+    """Attribute value with its character references decoded."""
+    return _decode(c, True)
+
+
 def code_point(n: Column) -> Column:
     """Character for a numeric reference (128 to 159 as the code page has
     them, invalid ones as U+FFFD)."""

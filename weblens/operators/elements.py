@@ -1,65 +1,29 @@
 """Element, text-node and page-text tables on top of the window tree.
 
 ``elements``: one row per element with attributes, classes, sibling rank,
-hidden flag, ancestor-derived columns (css path, absolute XPath, class-chain
-selector, context chain, innermost hidden/skip ancestor) and the byte range
-of its text in the page text.
-
-Ancestors are found without a range join: every node emits one *query* row
-per ancestor level and every element one *container* row at its own level;
-``last_value(container)`` over ``(page_id, level) ORDER BY pos`` is the
-ancestor at that level. Rows = sum of depths (linear in output size).
+hidden flag, the columns that come from its nearest ancestors (class-chain
+selector, context chain, parent) and the byte range of its text.
+
+Ancestors are found without a range join: every node emits one *query* row for
+each of its nearest ancestor levels and every element one *container* row at its
+own level; ``last_value(container)`` over ``(page_id, level) ORDER BY pos`` is the
+ancestor at that level. The rows are linear in the nodes however deep they lie.
+Whole paths are made only where asked for, by pointer doubling (``with_paths``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weblens.functions import lists as L
-from weblens.functions.text import WS_RUN, css_escape, decode_entities, js_trim
-from weblens.operators.tree import ATTR_RX
+from weblens.functions.text import WS_RUN, css_escape, js_trim
 
 UNB = Window.unboundedPreceding
 CUR = Window.currentRow
 
-STYLE_DISPLAY_NONE = r"(?i)(^|;)\s*display\s*:\s*none\s*(!\s*important\s*)?(;|$)"
-STYLE_VIS_HIDDEN = r"(?i)(^|;)\s*visibility\s*:\s*hidden\s*(!\s*important\s*)?(;|$)"
-STYLE_OPACITY_0 = r"(?i)(^|;)\s*opacity\s*:\s*(0+\.?0*|\.0+)%?\s*(!\s*important\s*)?(;|$)"
-
-
-def parse_attrs(raw) -> F.Column:
-    """Ordered ``array<struct<name,value>>`` of an open tag (names lower-cased,
-    values entity-decoded; duplicates not yet removed)."""
-    raw = F.col(raw) if isinstance(raw, str) else raw
-    body = F.regexp_replace(F.regexp_replace(raw, r"^<[A-Za-z][^\s/>]*", ""), r">$", "")
-    rx = F.lit(ATTR_RX)
-    names = F.regexp_extract_all(body, rx, 1)
-    v2, v3, v4 = (F.regexp_extract_all(body, rx, i) for i in (2, 3, 4))
-    return F.transform(names, lambda n, i: F.struct(
-        F.lower(n).alias("name"),
-        decode_entities(F.concat(F.coalesce(F.element_at(v2, i + 1), F.lit("")),
-                                 F.coalesce(F.element_at(v3, i + 1), F.lit("")),
-                                 F.coalesce(F.element_at(v4, i + 1), F.lit("")))).alias("value")))
-
-
-def first_wins(arr) -> F.Column:
-    arr = F.col(arr) if isinstance(arr, str) else arr
-    return F.filter(arr, lambda x, i: ~F.exists(F.slice(arr, 1, i), lambda y: y["name"] == x["name"]))
-
-
-def _hidden(tag, attr) -> F.Column:
-    style = F.coalesce(attr["style"], F.lit(""))
-    return (
-        (attr["hidden"].isNotNull() & ~F.col("in_svg"))
-        | (F.coalesce(attr["aria-hidden"], F.lit("")) == "true")
-        | style.rlike(STYLE_DISPLAY_NONE) | style.rlike(STYLE_VIS_HIDDEN) | style.rlike(STYLE_OPACITY_0)
-        | (tag.isin(L.UA_HIDDEN_TAGS) & ~((tag == "template") & attr["shadowrootmode"].isNotNull()))
-        | ((tag == "input") & (F.lower(F.coalesce(attr["type"], F.lit(""))) == "hidden"))
-        | ((tag == "dialog") & attr["open"].isNull())
-    )
-
-
 def summary_col(tag, id_, class_tokens, in_svg) -> F.Column:
     """``tag#id.c1.c2.c3`` (classes ignored on SVG elements)."""
     cls = F.array_join(F.transform(F.slice(class_tokens, 1, L.SUMMARY_CLASSES), lambda c: F.concat(F.lit("."), c)), "")
@@ -71,22 +35,26 @@ def summary_col(tag, id_, class_tokens, in_svg) -> F.Column:
 
 
 def _base(nodes: DataFrame) -> DataFrame:
-    """Element columns for ``kind = 'open'`` rows (null on text rows)."""
+    """Element columns for ``kind = 'open'`` rows (null on the others)."""
     is_el = F.col("kind") == "open"
-    n = nodes.select("*", F.when(is_el, parse_attrs("raw")).alias("attrs0"))
-    n = n.withColumn("attrs", first_wins("attrs0")).drop("attrs0")
-    n = n.withColumn("attr", F.map_from_entries("attrs"))
+    n = nodes.withColumn("attr", F.map_from_entries("attrs"))
     a = F.col("attr")
     class_tokens = F.filter(F.split(js_trim(F.coalesce(a["class"], F.lit(""))), WS_RUN), lambda c: c != "")
-    w = Window.partitionBy("page_id", "parent_pos", "tag")
+    # siblings are the children of one parent, or of one shadow root
+    w = Window.partitionBy("page_id", "parent_pos", "scope", "tag")
+    # visibility is inherited: the last element that declares it, on the node's
+    # level among such elements, is the nearest one around it
+    wv = Window.partitionBy("page_id", "vlevel").orderBy("pos").rowsBetween(UNB, CUR)
+    n = n.withColumn("seen", F.last("vis", ignorenulls=True).over(wv))
+    unseen = is_el & (F.coalesce("vis", F.when(F.col("vlevel") > 0, F.col("seen"))) == "hidden")
     return n.select(
-        "*",
+        *[c for c in n.columns if c not in ("vis", "vlevel", "seen")],
         F.when(is_el, F.coalesce(a["id"], F.lit(""))).alias("id"),
         F.when(is_el, class_tokens).alias("class_tokens"),
         F.when(is_el, F.array_distinct(class_tokens)).alias("classes"),
         F.when(is_el, F.row_number().over(w.orderBy("pos"))).cast("long").alias("nth_of_type"),
         F.when(is_el, F.count("*").over(w)).alias("n_same_tag"),
-        F.when(is_el, _hidden(F.col("tag"), a)).alias("hidden"),
+        F.when(is_el, F.col("own_hidden") | F.coalesce(unseen, F.lit(False))).alias("hidden"),
     )
 
 
@@ -108,36 +76,34 @@ def _parts(els: DataFrame) -> DataFrame:
     )
 
 
-INFO_FIELDS = ["pos", "depth", "tag", "hidden", "summary", "css_part", "xpath_part", "sel_part", "id", "classes"]
+INFO_FIELDS = ["pos", "depth", "tag", "summary", "sel_part", "id", "classes"]
+NEAREST = max(L.CONTEXT_ANCESTORS, L.SELECTOR_LEVELS)
 
 
 def _with_ancestors(n: DataFrame) -> DataFrame:
-    """Every node gets ``chain``: its ancestors (and itself, for elements),
-    outermost first. Each node emits one container row (elements) and one
-    query row per ancestor level; ``last_value`` of the container per
-    ``(page_id, level)`` answers the queries. The node's own columns ride
-    along in ``self`` and are restored by ``first(ignorenulls)``."""
+    """Every node gets ``chain``, its nearest ancestors (and itself, for elements)
+    outermost first, and ``hosts``, the hosts of the shadow roots around it.
+    A shadow root of scope level s is the container of level -1 - s. The node's
+    own columns ride along in ``self`` and are restored by ``first(ignorenulls)``."""
     cols = [c for c in n.columns]
     self_ = F.struct(*[F.col(c) for c in cols])
-    info = F.struct(*[F.col(c) for c in INFO_FIELDS])
-    is_el = F.col("kind") == "open"
-    maxlvl = F.col("depth") - 1
-    queries = F.when(maxlvl >= 0, F.transform(
-        F.sequence(F.lit(0), maxlvl),
-        lambda k: F.struct(k.alias("level"), F.lit(1).alias("ord"), F.lit(None).alias("info"), F.lit(None).alias("self")),
-    ))
-    cont = F.array(F.struct(F.col("depth").alias("level"), F.lit(0).alias("ord"), info.alias("info"),
-                            self_.alias("self")))
-    rows_t = F.array(F.struct(F.lit(-1).alias("level"), F.lit(0).alias("ord"), F.lit(None).alias("info"),
-                              self_.alias("self")))
+    kind, slevel = F.col("kind"), F.col("slevel")
+    info = F.struct(F.when(kind == "shadow", F.col("parent_pos")).otherwise(F.col("pos")).alias("pos"), *[F.col(c) for c in INFO_FIELDS[1:]])
     itype = n.select(info.alias("i")).schema["i"].dataType.simpleString()
     stype = n.select(self_.alias("s")).schema["s"].dataType.simpleString()
-    rtype = f"struct<level:int,ord:int,info:{itype},self:{stype}>"
-    empty = F.array().cast(f"array<{rtype}>")
-    q = F.coalesce(queries.cast(f"array<{rtype}>"), empty)
-    rows = F.when(is_el, F.concat(cont.cast(f"array<{rtype}>"), q)) \
-        .otherwise(F.concat(rows_t.cast(f"array<{rtype}>"), q))
-    r = n.select("page_id", F.col("pos").alias("node"), F.inline(rows))
+    rtype = f"array<struct<level:bigint,ord:int,info:{itype},self:{stype}>>"
+    empty = F.array().cast(rtype)
+
+    def queries(cond, first, last):
+        return F.when(cond, F.transform(F.sequence(first, last), lambda k: F.struct(
+            k.alias("level"), F.lit(1).alias("ord"), F.lit(None).alias("info"), F.lit(None).alias("self")))).otherwise(F.array()).cast(rtype)
+
+    own = F.array(F.struct(
+        F.when(kind == "open", F.col("depth")).when(kind == "shadow", -2 - slevel).otherwise(-1).alias("level"), F.lit(0).alias("ord"),
+        F.when(kind != "text", info).alias("info"), self_.alias("self"))).cast(rtype)
+    near = queries(F.col("depth") > 0, F.greatest(F.col("depth") - NEAREST, F.lit(0)), F.col("depth") - 1)
+    roots = queries(slevel > 0, F.lit(-2).cast("long"), -1 - slevel)
+    r = n.select("page_id", F.col("pos").alias("node"), F.inline(F.concat(own, near, F.coalesce(roots, empty))))
     w = Window.partitionBy("page_id", "level").orderBy("node", "ord").rowsBetween(UNB, CUR)
     r = r.withColumn("anc", F.when(F.col("ord") == 1, F.last("info", ignorenulls=True).over(w))
                      .when(F.col("level") >= 0, F.col("info")))
@@ -146,46 +112,58 @@ def _with_ancestors(n: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.when(F.col("anc").isNotNull(), F.struct("level", "anc")))).alias("chain0"))
     # keep the grouping key itself (not self.page_id) so the page partitioning is still known downstream
     return g.select("page_id", *[F.col("self")[c].alias(c) for c in cols if c != "page_id"],
-                    F.transform("chain0", lambda x: x["anc"]).alias("chain"))
+                    F.transform(F.filter("chain0", lambda x: x["level"] >= 0), lambda x: x["anc"]).alias("chain"),
+                    F.reverse(F.transform(F.filter("chain0", lambda x: x["level"] < 0), lambda x: x["anc"]["pos"])).alias("hosts"))
+
+
+def with_paths(els: DataFrame, hold: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Adds ``css_path`` and ``xpath_absolute`` to element rows.
+
+    Pointer doubling: after k rounds an element knows its steps up to 2^k levels
+    up, and takes on those of the element 2^k levels up; so a page of depth D takes
+    log2(D) rounds, each linear in the elements. ``hold`` keeps a round's rows."""
+    deepest = els.agg(F.max("depth")).first()[0]
+    p = els.filter("kind = 'open'").select("page_id", F.col("pos").alias("node"), "depth", F.col("css_part").alias("css"), F.col("xpath_part").alias("xp"))
+    step = 1
+    while deepest is not None and step <= deepest:
+        rows = F.array(
+            F.struct(F.col("depth").alias("level"), F.lit(0).alias("ord"), F.struct("css", "xp").alias("known")),
+            F.struct((F.col("depth") - step).alias("level"), F.lit(1).alias("ord"), F.lit(None).cast("struct<css:string,xp:string>").alias("known")))
+        w = Window.partitionBy("page_id", "level").orderBy("node", "ord").rowsBetween(UNB, CUR)
+        r = p.select("page_id", "node", "depth", F.inline(rows)).filter("level >= 0")
+        r = r.withColumn("up", F.when(F.col("ord") == 1, F.last("known", ignorenulls=True).over(w)))
+        g = r.groupBy("page_id", "node").agg(F.first("depth").alias("depth"), F.first("known", ignorenulls=True).alias("known"), F.first("up", ignorenulls=True).alias("up"))
+        p = hold(g.select("page_id", "node", "depth", F.concat_ws(" > ", "up.css", "known.css").alias("css"), F.concat_ws("/", "up.xp", "known.xp").alias("xp")))
+        step *= 2
+    p = p.select("page_id", F.col("node").alias("pos"), F.col("css").alias("css_path"), F.col("xp").alias("xpath_absolute"))
+    return els.join(p, ["page_id", "pos"], "left")
 
 
 def core_nodes(nodes: DataFrame) -> DataFrame:
-    """All nodes (``kind`` open|text) with the columns that need no ancestors:
+    """All nodes (``kind`` open|text|shadow) with the columns that need no ancestors:
     attributes, classes, sibling rank, hidden flag, summary, path steps."""
     return _parts(_base(nodes))
 
 
 def build_nodes(core: DataFrame) -> DataFrame:
-    """``core_nodes`` with the columns that come from a node's ancestors."""
-    n = _with_ancestors(core)
-    chain = F.col("chain")
-    skip = lambda x: x["tag"].isin(L.SKIP_TAGS)
-
-    def sup(arr, pred):
-        return F.array_max(F.transform(F.filter(arr, pred), lambda x: x["pos"]))
+    """``core_nodes`` with the columns that come from a node's ancestors.
 
+    ``place`` sorts the nodes of a page as they are walked: the content of a
+    shadow root directly after its host's start tag, wherever its template stands."""
+    n = _with_ancestors(core)
+    chain, kind = F.col("chain"), F.col("kind")
     proper = F.slice(chain, 1, F.greatest(F.size(chain) - 1, F.lit(0)))
-    is_el = F.col("kind") == "open"
+    is_el = kind == "open"
     ctx_all = F.transform(F.filter(proper, lambda x: ~((x["depth"] == 0) & (x["tag"] == "html"))),
                           lambda x: x["summary"])
     n = n.select(
         "*",
-        sup(chain, lambda x: x["hidden"]).alias("sup_hidden"),
-        sup(chain, lambda x: x["hidden"] | skip(x)).alias("sup_skip"),
-        sup(chain, lambda x: x["hidden"] | (skip(x) & (x["tag"] != "svg"))).alias("sup_skip_nosvg"),
-        F.when(is_el, sup(proper, lambda x: x["hidden"] | skip(x))).alias("anc_skip"),
-        # variants that ignore hidden state (includeHidden)
-        sup(chain, lambda x: skip(x)).alias("sup_skip_only"),
-        sup(chain, lambda x: skip(x) & (x["tag"] != "svg")).alias("sup_skip_only_nosvg"),
-        F.when(is_el, sup(proper, lambda x: skip(x))).alias("anc_skip_only"),
-        F.when(is_el, F.array_join(F.transform(chain, lambda x: x["css_part"]), " > ")).alias("css_path"),
-        F.when(is_el, F.array_join(F.transform(chain, lambda x: x["xpath_part"]), "/")).alias("xpath_absolute"),
         F.when(is_el, F.array_join(F.transform(
             F.slice(chain, F.greatest(F.size(chain) - (L.SELECTOR_LEVELS - 1), F.lit(1)), L.SELECTOR_LEVELS),
             lambda x: x["sel_part"]), " > ")).alias("class_chain"),
         F.when(is_el, F.slice(ctx_all, F.greatest(F.size(ctx_all) - (L.CONTEXT_ANCESTORS - 1), F.lit(1)),
                               L.CONTEXT_ANCESTORS)).alias("context"),
-        F.transform(chain, lambda x: x["pos"]).alias("anc_pos"),
+        F.concat("hosts", F.when(kind == "shadow", F.array("parent_pos", F.lit(-1).cast("long"))).otherwise(F.array("pos"))).alias("place"),
         F.when(is_el, F.try_element_at(proper, F.lit(-1))["tag"]).otherwise(F.try_element_at(chain, F.lit(-1))["tag"]).alias("parent_tag"),
         F.when(is_el, F.try_element_at(proper, F.lit(-1))["id"]).alias("parent_id"),
         F.when(is_el, F.try_element_at(proper, F.lit(-1))["classes"]).alias("parent_classes"),
@@ -197,16 +175,22 @@ def build_nodes(core: DataFrame) -> DataFrame:
     return n.drop("chain")
 
 
+def in_document(els: DataFrame) -> DataFrame:
+    """The elements that a query on the document meets: none inside a shadow root."""
+    return els.filter("slevel = 0")
+
+
 def _page_bytes(texts: DataFrame, col: str, name: str) -> DataFrame:
-    """``(page_id, name)``: a column of all text nodes in document order as UTF-8 bytes."""
-    return texts.groupBy("page_id").agg(F.expr(f"listagg(encode({col}, 'UTF-8')) WITHIN GROUP (ORDER BY pos)").alias(name))
+    """``(page_id, slevel, name)``: a column of all text nodes of a scope level in
+    document order as UTF-8 bytes."""
+    return texts.groupBy("page_id", "slevel").agg(F.expr(f"listagg(encode({col}, 'UTF-8')) WITHIN GROUP (ORDER BY pos)").alias(name))
 
 
 def with_preview(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Adds ``preview``, the first characters of an element's collapsed text: a
     short piece of the page's collapsed text from the element's offset on, so
     its cost does not depend on the size of the element."""
-    j = nodes.join(_page_bytes(texts, "ctext", "page_bin"), "page_id", "left")
+    j = nodes.join(_page_bytes(texts, "ctext", "page_bin"), ["page_id", "slevel"], "left")
     n = F.least(F.col("ctext_end") - F.col("ctext_start"), F.lit(4 * (L.PREVIEW_CHARS + 2)))
     piece = F.substring(F.col("page_bin"), F.col("ctext_start") + 1, n).cast("string")
     whole = F.when(F.col("ctext_end") - F.col("ctext_start") <= n, F.trim(piece)).otherwise(F.ltrim(piece))
@@ -218,7 +202,7 @@ def with_text(els: DataFrame, texts: DataFrame, name: str = "text") -> DataFrame
     """Adds ``textContent`` for the given elements (byte-range substring of the
     page text; O(length) per element, no per-element scan of the page).
     Text-node rows in ``els`` keep their own text."""
-    j = els.join(_page_bytes(texts, "text", "page_bin"), "page_id", "left")
+    j = els.join(_page_bytes(texts, "text", "page_bin"), ["page_id", "slevel"], "left")
     n = F.col("text_end") - F.col("text_start")
     txt = F.when(n > 0, F.decode(F.substring(F.col("page_bin"), F.col("text_start") + 1, n), "UTF-8")) \
         .otherwise(F.lit(""))

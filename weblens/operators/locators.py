@@ -4,10 +4,11 @@ No selector engine: every generated locator has one of a dozen shapes, so
 "how many elements of the page match it" is a grouped count over the page's
 elements keyed by ``(page_id, shape key)`` and an equi-join from the
 candidates to those counts. Match-side keys are generated separately from
-candidate keys where they differ (all class pairs, every qualifier the
-parent satisfies). The ``contains(normalize-space(text()), s)`` form joins on
-hashes of the 40-character windows of each same-tag element's normalized
-first text and verifies every hit with ``instr``.
+candidate keys where they differ (every qualifier the parent satisfies). Pairs
+of classes meet the elements on the rarer of the two classes, and the
+``contains(normalize-space(text()), s)`` form meets the texts on the rarest of its
+pieces that a text of any alignment must hold; both are verified. Only elements
+of the document itself match, none inside a shadow root.
 All joins are keyed by ``page_id`` first, so they stay within the page
 partitioning of the element table.
 """
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from weblens.functions import lists as L
 from weblens.functions.text import css_escape, js_trim, xpath_literal
+from weblens.operators.elements import in_document
 
 A = lambda n: F.col("attr")[n]
 KEYT = "array<string>"
@@ -111,14 +113,18 @@ def css_match_keys(els: DataFrame) -> DataFrame:
 
 def pair_match_keys(els: DataFrame, cands: DataFrame) -> DataFrame:
     """The two-class keys that elements satisfy, out of those that candidates of
-    the same page and tag ask for (an element's own pairs are not listed)."""
-    asked = (
-        cands.filter(F.col("key")[0] == "tcc")
-        .groupBy("page_id", F.col("key")[1].alias("tag")).agg(F.collect_set("key").alias("asked"))
-    )
-    cls = F.col("classes")
-    return els.filter(F.size("classes") > 1).select("page_id", "tag", "classes").join(asked, ["page_id", "tag"]).select(
-        "page_id", F.explode(F.filter("asked", lambda k: F.array_contains(cls, k[2]) & F.array_contains(cls, k[3]))).alias("key"))
+    the same page and tag ask for: each asked pair reads the elements of its rarer
+    class only."""
+    key = F.col("key")
+    asked = cands.filter(key[0] == "tcc").select("page_id", "key").distinct().select(
+        "page_id", "key", key[1].alias("tag"), F.explode(F.array(F.struct(key[2].alias("cls"), key[3].alias("other")), F.struct(key[3].alias("cls"), key[2].alias("other")))).alias("p"))
+    asked = asked.select("page_id", "key", "tag", "p.cls", "p.other")
+    posts = els.filter(F.size("classes") > 0).select("page_id", "tag", "classes", F.explode("classes").alias("cls"))
+    freq = posts.groupBy("page_id", "tag", "cls").agg(F.count("*").alias("n"))
+    rare = asked.join(freq, ["page_id", "tag", "cls"]).groupBy("page_id", "key", "tag").agg(F.min(F.struct("n", "cls", "other")).alias("r"))
+    rare = rare.select("page_id", "key", "tag", "r.cls", "r.other")
+    hits = posts.filter(F.size("classes") > 1).join(rare, ["page_id", "tag", "cls"])
+    return hits.filter(F.array_contains("classes", F.col("other"))).select("page_id", "key")
 
 
 def _counts(keys: DataFrame) -> DataFrame:
@@ -128,6 +134,7 @@ def _counts(keys: DataFrame) -> DataFrame:
 def shortest_unique(els: DataFrame) -> DataFrame:
     """Shortest candidate selector matching exactly this element:
     ``(page_id, pos, shortest_unique)``; ties go to the earlier candidate."""
+    els = in_document(els)
     c = css_candidates(els)
     keys = css_match_keys(els).unionByName(pair_match_keys(els, c))
     j = c.join(_counts(keys), ["page_id", "key"], "left").filter(F.col("matches") == 1)
@@ -165,7 +172,7 @@ def xpath_match_keys(els: DataFrame) -> DataFrame:
                F.array(_arr("xra", tag, A("role"), A("aria-label")))).otherwise(F.array().cast("array<array<string>>")),
     )
     # an unprefixed XPath name matches no SVG element in an HTML document
-    return els.filter(~F.col("in_svg")).select("page_id", F.explode(keys).alias("key"))
+    return in_document(els).filter(~F.col("in_svg")).select("page_id", F.explode(keys).alias("key"))
 
 
 def xpath_relative(els: DataFrame) -> DataFrame:
@@ -191,6 +198,30 @@ def text_source(els_text: DataFrame, direct: DataFrame, first: DataFrame | None
     return j
 
 
+PIECE = 8
+
+
+def containing(texts: DataFrame, needles: DataFrame) -> DataFrame:
+    """How many texts of a (page, tag) hold each needle of ``TEXT_XPATH_EXACT``
+    characters: ``(page_id, tag, needle, n_in)`` from texts ``(page_id, tag, nt, n)``.
+
+    Texts are indexed by their pieces of ``PIECE`` characters, cut end to end. A
+    needle that stands in a text covers, for its alignment, a run of whole pieces:
+    of each of the ``PIECE`` possible runs the rarest piece is looked up, unless some
+    piece of the run is nowhere, and what is found is verified."""
+    pieces = texts.filter(F.length("nt") >= L.TEXT_XPATH_EXACT).select(
+        "page_id", "tag", "nt", "n", F.explode(F.array_distinct(F.regexp_extract_all("nt", F.lit("(?s).{%d}" % PIECE), 0))).alias("piece"))
+    freq = pieces.groupBy("page_id", "tag", "piece").agg(F.count("*").alias("f"))
+    starts = range(L.TEXT_XPATH_EXACT - PIECE + 1)
+    runs = needles.select("page_id", "tag", "needle", F.inline(F.array(*[
+        F.struct(F.lit(i % PIECE).alias("run"), F.substring("needle", i + 1, PIECE).alias("piece")) for i in starts])))
+    runs = runs.join(freq, ["page_id", "tag", "piece"], "left").groupBy("page_id", "tag", "needle", "run").agg(
+        F.min(F.struct("f", "piece")).alias("best"), F.bool_or(F.col("f").isNull()).alias("absent"))
+    tries = runs.filter("NOT absent").select("page_id", "tag", "needle", F.col("best.piece").alias("piece")).distinct()
+    found = pieces.join(tries, ["page_id", "tag", "piece"]).filter(F.instr("nt", F.col("needle")) > 0)
+    return found.select("page_id", "tag", "needle", "nt", "n").distinct().groupBy("page_id", "tag", "needle").agg(F.sum("n").alias("n_in"))
+
+
 def xpath_text(els_src: DataFrame, first: DataFrame | None = None) -> DataFrame:
     """Text XPath and its match count: ``(page_id, pos, text_selector, matches)``.
     Exact form compares the normalized *first* text node; the contains form
@@ -209,7 +240,7 @@ def xpath_text(els_src: DataFrame, first: DataFrame | None = None) -> DataFrame:
         F.when(exact, F.col("src")).otherwise(snippet).alias("needle"),
     )
     # match side: normalized first text node of every element an XPath name can match
-    seen = els_src.filter(~F.col("in_svg"))
+    seen = in_document(els_src).filter(~F.col("in_svg"))
     if "nt" in els_src.columns:
         ft = seen.select("page_id", "pos", "tag", "nt")
     else:
@@ -218,14 +249,8 @@ def xpath_text(els_src: DataFrame, first: DataFrame | None = None) -> DataFrame:
     eq = ft.groupBy("page_id", "tag", "nt").agg(F.count("*").alias("n_eq"))
     ce = c.filter("exact").join(eq, (c.page_id == eq.page_id) & (c.tag == eq.tag) & (c.needle == eq.nt), "left") \
         .select(c.page_id, c.pos, c.text_selector, F.coalesce(eq.n_eq, F.lit(0)).alias("matches"))
-    # contains form: the distinct needles of a (page, tag) are tried on each of its texts
     cc = c.filter(~F.col("exact")).select("page_id", "pos", "tag", "text_selector", "needle")
-    need = cc.groupBy("page_id", "tag").agg(F.collect_set("needle").alias("needles"))
-    hits = (
-        ft.filter(F.length("nt") >= L.TEXT_XPATH_EXACT).join(need, ["page_id", "tag"])
-        .select("page_id", "tag", F.explode(F.filter("needles", lambda n: F.instr(F.col("nt"), n) > 0)).alias("needle"))
-        .groupBy("page_id", "tag", "needle").agg(F.count("*").alias("n_in"))
-    )
+    hits = containing(ft.groupBy("page_id", "tag", "nt").agg(F.count("*").alias("n")), cc.select("page_id", "tag", "needle").distinct())
     cc = cc.join(hits, ["page_id", "tag", "needle"], "left").select(
         "page_id", "pos", "text_selector", F.coalesce("n_in", F.lit(0)).alias("matches"))
     return ce.unionByName(cc)
@@ -279,12 +304,13 @@ def best_selector(els_text: DataFrame) -> DataFrame:
 
 def path_matches(els: DataFrame) -> DataFrame:
     """Match counts of the css path and absolute XPath (grouped counts)."""
-    cp = els.groupBy("page_id", "css_path").agg(F.count("*").alias("css_matches"))
-    xp = els.groupBy("page_id", "xpath_absolute").agg(F.count("*").alias("xpath_matches"))
-    xm = F.when(F.col("in_svg"), F.lit(0)).otherwise(F.col("xpath_matches")).cast("long")  # no SVG names in XPath
+    doc = in_document(els)
+    cp = doc.groupBy("page_id", "css_path").agg(F.count("*").alias("css_matches"))
+    xp = doc.groupBy("page_id", "xpath_absolute").agg(F.count("*").alias("xpath_matches"))
+    xm = F.when(F.col("in_svg"), F.lit(0)).otherwise(F.coalesce("xpath_matches", F.lit(0))).cast("long")  # no SVG names in XPath
     return els.select("page_id", "pos", "css_path", "xpath_absolute", "in_svg") \
         .join(cp, ["page_id", "css_path"], "left").join(xp, ["page_id", "xpath_absolute"], "left") \
-        .withColumn("xpath_matches", xm).drop("in_svg")
+        .withColumn("xpath_matches", xm).withColumn("css_matches", F.coalesce("css_matches", F.lit(0)).cast("long")).drop("in_svg")
 
 
 def locator_matches(els_src: DataFrame, first: DataFrame | None = None) -> DataFrame:

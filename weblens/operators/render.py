@@ -1,24 +1,25 @@
 """Tree -> text outputs for capture roots: cleaned HTML, structure outline,
 accessibility outline, declared styles; plus the attribute keep rule.
 
-Each (root, node) pair comes from exploding the node's ancestor-or-self
-positions and an equi-join on ``(page_id, root_pos)`` with the roots — rows
-= output size, no range join. Suppression of hidden/skipped subtrees is a
-comparison with the node's innermost hidden/skip ancestor (``sup_*`` columns):
-a node inside root ``r`` is dropped iff that ancestor lies at or below ``r``.
-Fragments are assembled per root with an ordered ``listagg``.
+(root, node) pairs come from the roots' nesting levels: every node asks for the
+root of each level around it (``last_value`` per ``(page, level)``), so there are as
+many rows as pairs and no range join. Every node carries the number of elements
+around it that hide or skip their subtree; inside root ``r`` it is dropped iff that
+number is above the one at ``r``, or ``r`` itself inherits a hidden state.
+Fragments are assembled per root in walking order (``place``) with a ``listagg``.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weblens.functions import lists as L
 from weblens.functions.text import clean_text, escape_html, finalize_output, json_quote
 from weblens.operators.a11y import accessible_name, warnings_col
+from weblens.operators.tree import SUPPRESSORS
 
 # Capture roots used by the registered format queries: page regions.
 REGION_TAGS = ["body", "header", "nav", "main", "article", "section", "aside", "footer", "form"]
@@ -36,12 +37,13 @@ class Options:
     include_hidden: bool = False
 
 
-def _sup(name: str, opts: Options) -> F.Column:
-    """Innermost suppressing ancestor-or-self; with include_hidden only skip tags count."""
-    if not opts.include_hidden:
-        return F.col(name)
-    return {"sup_skip": F.col("sup_skip_only"), "sup_skip_nosvg": F.col("sup_skip_only_nosvg"),
-            "anc_skip": F.col("anc_skip_only"), "sup_hidden": F.lit(None).cast("long")}[name]
+def _free(name: str, opts: Options, but: int = 0) -> F.Column:
+    """Whether nothing between root and node (``but`` suppressors of the node
+    itself aside) suppresses it; with include_hidden only skip tags count."""
+    if opts.include_hidden:
+        name = {"n_hs": "n_s", "n_hsn": "n_sn", "n_hid": None}[name]
+        return F.lit(True) if name is None else F.col(name) - but == F.col(f"r_{name}")
+    return (F.col(name) - but == F.col(f"r_{name}")) & ~F.col("r_unseen")
 
 
 def keep_attribute(name, strip_noise: bool = True, keep_test_ids: bool = True):
@@ -66,20 +68,57 @@ def open_tag(opts: Options = Options()):
 
 
 def region_roots(els: DataFrame) -> DataFrame:
-    """Element rows of page regions (body and landmark-like containers)."""
-    return els.filter(F.col("tag").isin(REGION_TAGS))
+    """Element rows of page regions (body and landmark-like containers); of a page
+    without any, its top elements."""
+    region = F.col("tag").isin(REGION_TAGS)
+    some = F.max(region).over(Window.partitionBy("page_id"))
+    return els.withColumn("some", some).filter(region | (~F.col("some") & (F.col("depth") == 0))).drop("some")
+
+
+def root_columns(roots: DataFrame) -> DataFrame:
+    """What the pairs know of a root: suppressors are counted above it only."""
+    h, s = F.col("own_hidden"), F.col("tag").isin(L.SKIP_TAGS)
+    plain = s & (F.col("tag") != "svg")
+    own = dict(zip(SUPPRESSORS, (h, h | s, h | plain, s, plain)))
+    return roots.select(
+        "page_id", "pos", F.struct(
+            F.col("pos").alias("root_pos"), F.col("depth").alias("root_depth"), F.col("slevel").alias("root_slevel"),
+            (F.col("hidden") & ~h).alias("r_unseen"), *[(F.col(c) - own[c].cast("int")).alias(f"r_{c}") for c in SUPPRESSORS]).alias("root"))
 
 
 def pairs(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, node-in-subtree) pairs with ``rd`` = depth below the root."""
-    r = roots.select("page_id", F.col("pos").alias("root_pos"), F.col("depth").alias("root_depth"),
-                     F.col("context").alias("root_context"))
-    x = nodes.select("*", F.explode("anc_pos").alias("root_pos"))
-    return x.join(r, ["page_id", "root_pos"]).withColumn("rd", F.col("depth") - F.col("root_depth"))
+    """(root, node-in-subtree) pairs with ``rd`` = depth below the root and ``od``
+    = depth in an outline, where a shadow root takes a level of its own."""
+    n = nodes.join(root_columns(roots), ["page_id", "pos"], "left")
+    cols = [c for c in nodes.columns if c != "page_id"]
+    is_root = F.col("root").isNotNull()
+    pos = F.col("pos")
+
+    def event(at, ord_, delta):
+        return F.struct(at.alias("at"), F.lit(ord_).alias("ord"), F.lit(delta).alias("delta"))
+
+    here = event(pos, 2, 0)
+    n = n.select("*", F.inline(F.when(is_root, F.array(event(pos, 1, 1), here, event(F.col("end_pos"), 0, -1))).otherwise(F.array(here))))
+    w = Window.partitionBy("page_id").orderBy("at", "ord", F.desc("pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    n = n.withColumn("level", F.sum("delta").over(w)).filter("delta >= 0 AND level > 0")
+    levels = F.when(F.col("delta") == 1, F.array(F.col("level"))).otherwise(F.sequence(F.lit(1).cast("long"), F.col("level")))
+    n = n.select("page_id", *cols, "delta", F.when(F.col("delta") == 1, F.col("root")).alias("opens"), F.explode(levels).alias("level"))
+    by_level = Window.partitionBy("page_id", "level").orderBy("pos", F.desc("delta")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    n = n.withColumn("root", F.last("opens", ignorenulls=True).over(by_level)).filter("delta = 0").drop("opens", "level", "delta")
+    rd = F.col("depth") - F.col("root.root_depth")
+    return n.select("page_id", *cols, "root.*", rd.alias("rd"), (rd + F.col("slevel") - F.col("root.root_slevel")).alias("od"))
 
 
-def _within(rd, opts: Options):
-    return F.lit(True) if opts.depth is None else (rd <= opts.depth)
+def _within(opts: Options):
+    return F.lit(True) if opts.depth is None else (F.col("rd") <= opts.depth)
+
+
+def _listed(opts: Options):
+    """Depth cut of an outline: a line is there if the one it hangs below is not cut."""
+    if opts.depth is None:
+        return F.lit(True)
+    step = F.when(F.col("via_shadow"), 2).otherwise(1)
+    return (F.col("rd") == 0) | (F.col("od") - step < opts.depth)
 
 
 def _assemble(frags: DataFrame, roots_info: DataFrame, sep: str, opts: Options, fmt: str,
@@ -100,52 +139,62 @@ def _root_info(roots: DataFrame) -> DataFrame:
     return roots.select("page_id", F.col("pos").alias("root_pos"), F.col("context").alias("root_context"))
 
 
-def clean_html(nodes_text: DataFrame, roots: DataFrame, opts: Options = Options(), finalize: bool = True) -> DataFrame:
-    """Cleaned markup per root: noise attributes dropped, hidden and skipped
-    subtrees removed, text nodes trimmed, svg summarised."""
-    p = pairs(nodes_text, roots)
-    kind, rd, rp = F.col("kind"), F.col("rd"), F.col("root_pos")
-    free = _sup("sup_skip", opts).isNull() | (_sup("sup_skip", opts) < rp)
+def _html_frags(opts: Options, frag) -> F.Column:
+    """Markup fragments of a pair: start and end tags, texts, shadow root templates."""
+    is_el, is_root = F.col("kind") == "open", F.col("kind") == "shadow"
+    free = _free("n_hs", opts)
     hidden = F.lit(False) if opts.include_hidden else F.col("hidden")
-    svg_ok = (F.col("tag") == "svg") & ~hidden & (_sup("anc_skip", opts).isNull() | (_sup("anc_skip", opts) < rp))
-    is_el = kind == "open"
-    cut = F.lit(False) if opts.depth is None else (rd == opts.depth)
-    void = F.col("tag").isin(L.VOID_TAGS)
+    svg_ok = (F.col("tag") == "svg") & ~hidden & _free("n_hs", opts, 1)
+    cut = F.lit(False) if opts.depth is None else (F.col("rd") == opts.depth)
     ot = open_tag(opts)
     close = F.concat(F.lit("</"), F.col("tag"), F.lit(">"))
     text = escape_html(clean_text("text"))
+    place, zero = F.col("place"), F.lit(0)
+    # an end tag comes behind everything before the element's end in the same scope
+    end = F.concat("hosts", F.array("end_pos"))
+    root_end = F.concat("hosts", F.array("parent_pos", F.lit(1 << 62)))
+    empty = F.array()
+    return (
+        F.when(~_within(opts), empty)
+        .when(is_root, F.when(free, F.array(frag(place, 1, zero, F.lit('<template shadowrootmode="open">')), frag(root_end, 0, zero, F.lit("</template>")))).otherwise(empty))
+        .when(~is_el, F.when(free & (text != ""), F.array(frag(place, 1, zero, text))).otherwise(empty))
+        .when(~free & svg_ok, F.array(frag(place, 1, zero, F.lit('<svg aria-label="vector graphic"></svg>'))))
+        .when(~free, empty)
+        .when(F.col("tag").isin(L.VOID_TAGS), F.array(frag(place, 1, zero, ot)))
+        .when(cut, F.array(frag(place, 1, zero, F.concat(ot, escape_html(F.col("preview")), close))))
+        .otherwise(F.array(frag(place, 1, zero, ot), frag(end, 0, -F.col("depth"), close)))
+    )
 
-    def frag(k1, k2, k3, s):
-        return F.struct(k1.cast("long").alias("k1"), F.lit(k2).alias("k2"), k3.cast("long").alias("k3"),
-                        s.alias("frag"))
 
-    empty = F.array().cast("array<struct<k1:bigint,k2:int,k3:bigint,frag:string>>")
+def _line(text) -> F.Column:
+    """An outline line at its depth; a shadow root's line is its name."""
+    return F.concat(F.repeat(F.lit("  "), F.col("od").cast("int")), F.when(F.col("kind") == "shadow", F.col("tag")).otherwise(text))
 
-    el_frags = (
-        F.when(~free & svg_ok, F.array(frag(F.col("pos"), 1, F.lit(0), F.lit('<svg aria-label="vector graphic"></svg>'))))
-        .when(~free, empty)
-        .when(void, F.array(frag(F.col("pos"), 1, F.lit(0), ot)))
-        .when(cut, F.array(frag(F.col("pos"), 1, F.lit(0), F.concat(ot, escape_html(F.col("preview")), close))))
-        .otherwise(F.array(frag(F.col("pos"), 1, F.lit(0), ot), frag(F.col("end_pos"), 0, -F.col("depth"), close)))
-    )
-    tx_frags = F.when(free & (text != ""), F.array(frag(F.col("pos"), 1, F.lit(0), text))).otherwise(empty)
-    f = p.filter(_within(rd, opts)).select(
-        "page_id", "root_pos", F.inline(F.when(is_el, el_frags).otherwise(tx_frags)))
+
+def _summary_line() -> F.Column:
+    return _line(F.concat(F.col("summary"), F.when(F.col("preview") != "", F.concat(F.lit(' "'), F.col("preview"), F.lit('"'))).otherwise(F.lit(""))))
+
+
+def _lines(nodes: DataFrame, roots: DataFrame, name: str, line, sep: str, opts: Options, fmt: str) -> DataFrame:
+    f = pairs(nodes.filter("kind <> 'text'"), roots).filter(_free(name, opts) & _listed(opts)).select(
+        "page_id", "root_pos", F.col("place").alias("k1"), F.lit(0).alias("k2"), F.lit(0).alias("k3"), line.alias("frag"))
+    return _assemble(f, _root_info(roots), sep, opts, fmt)
+
+
+def clean_html(nodes_text: DataFrame, roots: DataFrame, opts: Options = Options(), finalize: bool = True) -> DataFrame:
+    """Cleaned markup per root: noise attributes dropped, hidden and skipped
+    subtrees removed, text nodes trimmed, svg summarised, open shadow roots as
+    templates before the other children."""
+    def frag(k1, k2, k3, s):
+        return F.struct(k1.alias("k1"), F.lit(k2).alias("k2"), k3.cast("long").alias("k3"), s.alias("frag"))
+
+    f = pairs(nodes_text, roots).select("page_id", "root_pos", F.inline(_html_frags(opts, frag)))
     return _assemble(f, _root_info(roots), "", opts, "clean-html", finalize)
 
 
-def structure(els_text: DataFrame, roots: DataFrame, opts: Options = Options()) -> DataFrame:
+def structure(nodes_text: DataFrame, roots: DataFrame, opts: Options = Options()) -> DataFrame:
     """Indented outline ``tag#id.classes "preview"`` per root."""
-    p = pairs(els_text, roots)
-    rp, rd = F.col("root_pos"), F.col("rd")
-    free = _sup("sup_skip_nosvg", opts).isNull() | (_sup("sup_skip_nosvg", opts) < rp)
-    line = F.concat(F.repeat(F.lit("  "), rd.cast("int")), F.col("summary"),
-                    F.when(F.col("preview") != "", F.concat(F.lit(' "'), F.col("preview"), F.lit('"')))
-                    .otherwise(F.lit("")))
-    f = p.filter(free & _within(rd, opts)).select(
-        "page_id", "root_pos", F.col("pos").alias("k1"), F.lit(0).alias("k2"), F.lit(0).alias("k3"),
-        line.alias("frag"))
-    return _assemble(f, _root_info(roots), "\\n", opts, "structure")
+    return _lines(nodes_text, roots, "n_hsn", _summary_line(), "\\n", opts, "structure")
 
 
 def a11y_line():
@@ -169,16 +218,9 @@ def a11y_line():
     )
 
 
-def a11y_outline(els_text: DataFrame, roots: DataFrame, opts: Options = Options()) -> DataFrame:
+def a11y_outline(nodes_text: DataFrame, roots: DataFrame, opts: Options = Options()) -> DataFrame:
     """Accessibility lines ``[tag role aria-*  alt] "name" WARNING(..)`` per root."""
-    p = pairs(els_text, roots)
-    rp, rd = F.col("root_pos"), F.col("rd")
-    free = _sup("sup_hidden", opts).isNull() | (_sup("sup_hidden", opts) < rp)
-    line = F.concat(F.repeat(F.lit("  "), rd.cast("int")), a11y_line())
-    f = p.filter(free & _within(rd, opts)).select(
-        "page_id", "root_pos", F.col("pos").alias("k1"), F.lit(0).alias("k2"), F.lit(0).alias("k3"),
-        line.alias("frag"))
-    return _assemble(f, _root_info(roots), "\\n", opts, "accessibility")
+    return _lines(nodes_text, roots, "n_hid", _line(a11y_line()), "\\n", opts, "accessibility")
 
 
 # One declaration: quoted strings and bracketed groups go through whole.
@@ -217,13 +259,13 @@ def declared_styles(els_text: DataFrame, roots: DataFrame, opts: Options = Optio
                     ) -> DataFrame:
     """Style blocks ``selector {\n  prop: value;\n}`` per root (declared inline
     styles of visible elements in the subtree, tree order)."""
-    p = pairs(els_text.filter(F.col("attr")["style"].isNotNull()), roots)
-    rp, rd = F.col("root_pos"), F.col("rd")
-    free = _sup("sup_hidden", opts).isNull() | (_sup("sup_hidden", opts) < rp)
+    # the roots stay among the nodes, whatever they declare
+    p = pairs(els_text.join(roots.select("page_id", "pos", F.lit(True).alias("is_root")), ["page_id", "pos"], "left")
+              .filter(F.col("attr")["style"].isNotNull() | F.col("is_root")).drop("is_root"), roots)
     lines = style_lines()
     block = F.concat(rule_selector(), F.lit(" {\n  "), F.array_join(lines, "\n  "), F.lit("\n}"))
-    f = p.filter(free & _within(rd, opts) & (F.size(lines) > 0)).select(
-        "page_id", "root_pos", F.col("pos").alias("k1"), F.lit(0).alias("k2"), F.lit(0).alias("k3"),
+    f = p.filter(_free("n_hid", opts) & _within(opts) & (F.size(lines) > 0)).select(
+        "page_id", "root_pos", F.col("place").alias("k1"), F.lit(0).alias("k2"), F.lit(0).alias("k3"),
         block.alias("frag"))
     return _assemble(f, _root_info(roots), "\\n\\n", opts, "css", finalize)
 
@@ -247,47 +289,18 @@ def multi_format(nodes_text: DataFrame, roots: DataFrame, opts: Options = Option
     (root, node) pairs: every pair row emits its fragments for all three
     formats in one ``inline``, and one grouped ``listagg`` per (root, format)
     assembles them. Same results as the three single-format functions."""
-    p = pairs(nodes_text, roots)
-    kind, rd, rp = F.col("kind"), F.col("rd"), F.col("root_pos")
-    is_el = kind == "open"
-    within = _within(rd, opts)
-    ftype = "struct<format:string,k1:bigint,k2:int,k3:bigint,frag:string>"
-
-    def frag(fmt, k1, k2, k3, s):
-        return F.struct(F.lit(fmt).alias("format"), k1.cast("long").alias("k1"), F.lit(k2).alias("k2"),
-                        k3.cast("long").alias("k3"), s.alias("frag"))
-
-    empty = F.array().cast(f"array<{ftype}>")
-    # clean-html
-    free = _sup("sup_skip", opts).isNull() | (_sup("sup_skip", opts) < rp)
-    hidden = F.lit(False) if opts.include_hidden else F.col("hidden")
-    svg_ok = (F.col("tag") == "svg") & ~hidden & (_sup("anc_skip", opts).isNull() | (_sup("anc_skip", opts) < rp))
-    cut = F.lit(False) if opts.depth is None else (rd == opts.depth)
-    ot = open_tag(opts)
-    close = F.concat(F.lit("</"), F.col("tag"), F.lit(">"))
-    text = escape_html(clean_text("text"))
-    pos, zero = F.col("pos"), F.lit(0)
-    html = (
-        F.when(~within, empty)
-        .when(~is_el, F.when(free & (text != ""), F.array(frag("clean-html", pos, 1, zero, text))).otherwise(empty))
-        .when(~free & svg_ok, F.array(frag("clean-html", pos, 1, zero, F.lit('<svg aria-label="vector graphic"></svg>'))))
-        .when(~free, empty)
-        .when(F.col("tag").isin(L.VOID_TAGS), F.array(frag("clean-html", pos, 1, zero, ot)))
-        .when(cut, F.array(frag("clean-html", pos, 1, zero, F.concat(ot, escape_html(F.col("preview")), close))))
-        .otherwise(F.array(frag("clean-html", pos, 1, zero, ot),
-                           frag("clean-html", F.col("end_pos"), 0, -F.col("depth"), close)))
-    )
-    # structure
-    free_s = _sup("sup_skip_nosvg", opts).isNull() | (_sup("sup_skip_nosvg", opts) < rp)
-    sline = F.concat(F.repeat(F.lit("  "), rd.cast("int")), F.col("summary"),
-                     F.when(F.col("preview") != "", F.concat(F.lit(' "'), F.col("preview"), F.lit('"')))
-                     .otherwise(F.lit("")))
-    struct_f = F.when(is_el & within & free_s, F.array(frag("structure", pos, 0, zero, sline))).otherwise(empty)
-    # accessibility
-    free_a = _sup("sup_hidden", opts).isNull() | (_sup("sup_hidden", opts) < rp)
-    aline = F.concat(F.repeat(F.lit("  "), rd.cast("int")), a11y_line())
-    a11y_f = F.when(is_el & within & free_a, F.array(frag("accessibility", pos, 0, zero, aline))).otherwise(empty)
-    f = p.select("page_id", "root_pos", F.inline(F.concat(html, struct_f, a11y_f)))
+    is_text = F.col("kind") == "text"
+    empty = F.array()
+
+    def frag(fmt):
+        return lambda k1, k2, k3, s: F.struct(F.lit(fmt).alias("format"), k1.alias("k1"), F.lit(k2).alias("k2"), k3.cast("long").alias("k3"), s.alias("frag"))
+
+    def line(fmt, name, text):
+        shown = ~is_text & _listed(opts) & _free(name, opts)
+        return F.when(shown, F.array(frag(fmt)(F.col("place"), 0, F.lit(0), text))).otherwise(empty)
+
+    f = pairs(nodes_text, roots).select("page_id", "root_pos", F.inline(F.concat(
+        _html_frags(opts, frag("clean-html")), line("structure", "n_hsn", _summary_line()), line("accessibility", "n_hid", _line(a11y_line())))))
     out = f.groupBy("page_id", "root_pos", "format").agg(
         F.expr("listagg(CASE WHEN format = 'clean-html' THEN frag END, '') "
                "WITHIN GROUP (ORDER BY k1, k2, k3)").alias("h"),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from weblens.functions import lists as L
 from weblens.functions.text import clean_text, finalize_output
+from weblens.operators.elements import in_document
 
 
 def _attr(name):
@@ -30,7 +31,7 @@ def missing_alt():
 def page_counts(pages: DataFrame, els: DataFrame) -> DataFrame:
     """``(page_id, buttons, links, forms, inputs, images_missing_alt)``; every
     element counted once per group, zeros for a page without elements."""
-    n = els.groupBy("page_id").agg(
+    n = in_document(els).groupBy("page_id").agg(
         F.count_if(is_button()).alias("buttons"),
         F.count_if((F.col("tag") == "a") & _attr("href").isNotNull()).alias("links"),
         F.count_if(F.col("tag") == "form").alias("forms"),
@@ -47,20 +48,20 @@ def first_k(df: DataFrame, k: int) -> DataFrame:
 
 def headings(els_text: DataFrame) -> DataFrame:
     """First 20 h1-h3 per page in document order: ``(page_id, rank, tag, text)``."""
-    h = els_text.filter(F.col("tag").isin(L.HEADING_TAGS)).select("page_id", "pos", "tag", "text")
+    h = in_document(els_text).filter(F.col("tag").isin(L.HEADING_TAGS)).select("page_id", "pos", "tag", "text")
     return first_k(h, L.SNAPSHOT_HEADINGS).select("page_id", "rank", "tag", clean_text("text").alias("text"))
 
 
 def landmarks(els: DataFrame) -> DataFrame:
     """First 25 landmark elements per page: ``(page_id, rank, summary)``."""
-    lm = els.filter(F.col("tag").isin(L.LANDMARK_TAGS)).select("page_id", "pos", "summary")
+    lm = in_document(els).filter(F.col("tag").isin(L.LANDMARK_TAGS)).select("page_id", "pos", "summary")
     return first_k(lm, L.SNAPSHOT_LANDMARKS).select("page_id", "rank", "summary")
 
 
 def page_title(pages: DataFrame, els_text: DataFrame) -> DataFrame:
     """``(page_id, url, title)``: text of the first ``title`` element with ASCII
     whitespace stripped and collapsed ('' without a title)."""
-    t = els_text.filter(F.col("tag") == "title").groupBy("page_id").agg(
+    t = in_document(els_text).filter(F.col("tag") == "title").groupBy("page_id").agg(
         F.min_by("text", "pos").alias("t"))
     title = F.trim(F.regexp_replace(F.coalesce(F.col("t"), F.lit("")), "[ \t\n\f\r]+", " "))
     return pages.select("page_id", "url").join(t, "page_id", "left").select("page_id", "url", title.alias("title"))

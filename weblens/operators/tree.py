@@ -19,20 +19,32 @@ partitioning already satisfies):
      the three kinds above (running depth, then ``last_value`` per depth).
 3. Clipping: an element never outlives its container. Pages where some element
    does (``<div><span></div></span>``) are found by the same running depth; their
-   ends are cut in one fold over the page's elements in document order.
-4. Content of a ``template`` without a shadow root is inert and leaves the table.
-5. One sweep over open/end/text events gives depth, the byte offsets of the
-   text inside each element and the SVG flag; parents come from
-   ``last_value`` per ``(page, depth)`` over container/child rows.
+   ends are cut by a stack over the page's elements in document order, each pushed
+   and popped once.
+4. One sweep over open/end/text events gives parents (``last_value`` per
+   ``(page, level)`` over container/child rows) and, with them, the declared shadow
+   roots: the first ``<template shadowrootmode>`` of an element that can hold one.
+   An open root becomes a ``shadow`` row whose content belongs to its host (one
+   level below it, in a tree scope of its own); content of a closed root or of any
+   other ``template`` leaves the table.
+5. Running sums over the same events give depth, numbers of enclosing elements
+   that hide or skip their subtree, the SVG flag and sizes; per scope level they
+   give the byte offsets of the text inside each element, so an element's text
+   holds none of the shadow roots below it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from weblens.functions import lists as L
 from weblens.functions.text import WS_RUN, decode_entities
+from weblens.operators.attrs import declared_visibility, first_wins, hides, parse_attrs, value_of
 
 RAW_TAGS = L.RAW_TEXT_TAGS + L.RCDATA_TAGS
 
@@ -52,9 +64,6 @@ _RAW_OPEN = r"<[A-Za-z]+(?:[\s/]" + _IN_TAG + ")?>"
 RAW_OPEN_RX = "(?s)^" + _RAW_OPEN
 RAW_INNER_RX = "(?s)^" + _RAW_OPEN + "(.*)</[A-Za-z]+" + _RAW_END + "$"
 RAW_END_RX = "</[A-Za-z]+" + _RAW_END + "$"
-ATTR_RX = r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?"""
-SHADOW_RX = r"(?i)\sshadowrootmode\s*="
-
 UNB = Window.unboundedPreceding
 CUR = Window.currentRow
 
@@ -179,85 +188,148 @@ def _weak_ends(t: DataFrame) -> DataFrame:
     return e.filter(role != "end").select("page_id", "pos", "kind", "tag", "raw", "text", "misnested", end.alias("end_pos"))
 
 
+@F.arrow_udf(ArrayType(LongType()))
+def _cut_ends(starts: pa.Array, ends: pa.Array) -> pa.Array:
+    """Ends of a page's elements (in document order), each cut to the end of the
+    innermost one still open: open ends only shrink up the stack, so every
+    element is pushed and popped once."""
+    out = []
+    for pos, end in zip(starts.to_pylist(), ends.to_pylist()):
+        stack: list[int] = []
+        cut = []
+        for p, e in zip(pos, end):
+            while stack and stack[-1] <= p:
+                stack.pop()
+            if stack and stack[-1] < e:
+                e = stack[-1]
+            stack.append(e)
+            cut.append(e)
+        out.append(cut)
+    return pa.array(out, pa.list_(pa.int64()))
+
+
 def _clip(nodes: DataFrame) -> DataFrame:
-    """Cut every end to the end of its container, on the pages that need it:
-    a fold in document order over a stack of the ends that are still open."""
+    """Cut every end to the end of its container, on the pages that need it."""
     at = F.struct("pos", "end_pos")
     opens = (
         nodes.filter(F.col("misnested") & (F.col("kind") == "open"))
         .groupBy("page_id").agg(F.array_sort(F.collect_list(at)).alias("els"))
     )
-    longs, pairs = "array<bigint>", "array<struct<pos:bigint,clipped:bigint>>"
+    pos, end = F.transform("els", lambda e: e["pos"]), F.transform("els", lambda e: e["end_pos"])
+    cuts = opens.select("page_id", pos.alias("starts"), _cut_ends(pos, end).alias("ends"))
+    cuts = cuts.select("page_id", F.inline(F.arrays_zip(F.col("starts").alias("pos"), F.col("ends").alias("clipped"))))
+    return nodes.join(cuts, ["page_id", "pos"], "left").withColumn("end_pos", F.coalesce("clipped", "end_pos")).drop("clipped", "misnested")
 
-    def step(acc, x):
-        live = F.filter(acc["stack"], lambda e: e > x["pos"])
-        end = F.least(x["end_pos"], F.array_min(live))
-        return F.struct(F.concat(live, F.array(end)).alias("stack"),
-                        F.concat(acc["out"], F.array(F.struct(x["pos"].alias("pos"), end.alias("clipped")))).alias("out"))
 
-    fold = F.aggregate("els", F.struct(F.array().cast(longs).alias("stack"), F.array().cast(pairs).alias("out")), step, lambda a: a["out"])
-    cuts = opens.select("page_id", F.inline(fold))
-    return nodes.join(cuts, ["page_id", "pos"], "left").withColumn("end_pos", F.coalesce("clipped", "end_pos")).drop("clipped", "misnested")
+def _flags(nodes: DataFrame) -> DataFrame:
+    """Attributes of open tags, and what they say about hiding and shadow roots."""
+    is_open = F.col("kind") == "open"
+    n = nodes.withColumn("attrs", F.when(is_open, first_wins(parse_attrs("raw"))))
+    a, tag = F.col("attrs"), F.col("tag")
+    template = is_open & (tag == "template")
+    mode = F.lower(value_of(a, "shadowrootmode"))
+    return n.select(
+        "*", template.alias("template"), F.when(template & mode.isin("open", "closed"), mode).alias("mode"),
+        F.when(is_open, hides(tag, a)).alias("hides"), F.when(is_open, value_of(a, "hidden").isNotNull()).alias("hidden_attr"),
+        F.when(is_open, declared_visibility(a)).alias("vis"), F.when(is_open, tag.isin(L.SKIP_TAGS)).alias("skip"),
+    )
+
+
+#: Running numbers of enclosing elements (the node itself included) that hide
+#: their subtree, hide or skip it, do so but for svg, skip it, skip it but for svg.
+SUPPRESSORS = ["n_hid", "n_hs", "n_hsn", "n_s", "n_sn"]
 
 
 def _sweep(nodes: DataFrame) -> DataFrame:
-    """Depth, parent, text byte offsets and SVG flag for elements and texts."""
+    """Depth, parent, scope, text byte offsets, suppressor counts and SVG flag
+    for elements, texts and shadow roots."""
     kind, pos = F.col("kind"), F.col("pos")
-    svg = F.when(F.col("tag") == "svg", 1).otherwise(0)
-    nbytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    zero = F.lit(0).cast("long")
+    nbytes = F.coalesce(F.octet_length("text"), zero).cast("long")
     ev = F.when(kind == "open", F.array(
-        _struct(ev_pos=pos, ord=F.lit(1), delta=F.lit(1), sdelta=svg, nbytes=F.lit(0).cast("long"), role0=F.lit("open")),
-        _struct(ev_pos=F.col("end_pos"), ord=F.lit(0), delta=F.lit(-1), sdelta=-svg, nbytes=F.lit(0).cast("long"),
-                role0=F.lit("end")),
-    )).otherwise(F.array(
-        _struct(ev_pos=pos, ord=F.lit(1), delta=F.lit(0), sdelta=F.lit(0), nbytes=nbytes, role0=F.lit("text")),
-    ))
-    w = Window.partitionBy("page_id").orderBy("ev_pos", "ord", F.desc("pos")).rowsBetween(UNB, CUR)
-    # template content is inert: neither counted nor listed
-    tpl = F.when((F.col("tag") == "template") & ~F.col("raw").rlike(SHADOW_RX), F.col("delta")).otherwise(0)
-    e = nodes.select("*", F.inline(ev)).withColumn("own", tpl)
-    e = e.withColumn("inert", F.sum("own").over(w) - F.greatest("own", F.lit(0)) > 0).filter("NOT inert").drop("own", "inert")
-    # page text with white space collapsed: a text node gives up its first space if
-    # the text before it ends in one
-    one = F.when(F.col("role0") == "text", F.regexp_replace("text", WS_RUN, " "))
-    e = e.withColumn("ctext0", one).withColumn("before", F.last(F.when(F.col("ctext0") != "", F.col("ctext0")), ignorenulls=True).over(w.rowsBetween(UNB, -1)))
-    e = e.withColumn("ctext", F.when(F.col("before").endswith(" ") & F.col("ctext0").startswith(" "), F.substring("ctext0", 2, 1 << 30)).otherwise(F.col("ctext0")))
-    e = e.withColumn("cbytes", F.coalesce(F.octet_length("ctext"), F.lit(0)).cast("long")).drop("ctext0", "before")
-    is_open_ev = F.col("role0") == "open"
-    e = e.select("*", F.sum("cbytes").over(w).alias("cb"), F.sum("delta").over(w).alias("cnt"), F.sum("nbytes").over(w).alias("tb"),
-                 F.sum("sdelta").over(w).alias("svgc"),
-                 F.sum(F.when(is_open_ev, 1).otherwise(0)).over(w).alias("ec"),
-                 F.sum(F.when(F.col("role0") == "text", 1).otherwise(0)).over(w).alias("tc"))
+        _struct(ev_pos=pos, ord=F.lit(1), delta=F.lit(1), nbytes=zero, role0=F.lit("open")),
+        _struct(ev_pos=F.col("end_pos"), ord=F.lit(0), delta=F.lit(-1), nbytes=zero, role0=F.lit("end")),
+    )).otherwise(F.array(_struct(ev_pos=pos, ord=F.lit(1), delta=F.lit(0), nbytes=nbytes, role0=F.lit("text"))))
+    order = ["ev_pos", "ord", F.desc("pos")]
+    w = Window.partitionBy("page_id").orderBy(*order).rowsBetween(UNB, CUR)
+    e = _flags(nodes).select("*", F.inline(ev)).withColumn("cnt", F.sum("delta").over(w))
+
+    # parents, and which templates are shadow roots
     role0 = F.col("role0")
     roles = (
-        F.when(role0 == "open", F.array(
-            _struct(role=F.lit("child"), key=F.col("cnt") - 1, cpos=_null_long()),
-            _struct(role=F.lit("cont"), key=F.col("cnt"), cpos=pos)))
-        .when(role0 == "text", F.array(_struct(role=F.lit("child"), key=F.col("cnt"), cpos=_null_long())))
-        .otherwise(F.array(_struct(role=F.lit("end"), key=_null_long(), cpos=_null_long())))
+        F.when(role0 == "open", F.array(_struct(role=F.lit("child"), key=F.col("cnt") - 1), _struct(role=F.lit("cont"), key=F.col("cnt"))))
+        .when(role0 == "text", F.array(_struct(role=F.lit("child"), key=F.col("cnt"))))
+        .otherwise(F.array(_struct(role=F.lit("end"), key=F.col("cnt"))))
     )
     r = e.select("*", F.inline(roles))
     w3 = Window.partitionBy("page_id", "key").orderBy("ev_pos", "ord").rowsBetween(UNB, CUR)
-    r = r.withColumn("parent", F.when(F.col("role") == "child", F.last("cpos", ignorenulls=True).over(w3)))
     child = F.col("role") == "child"
-    g = r.groupBy("page_id", "pos").agg(
-        F.max(F.when(child, kind)).alias("kind"),
-        F.max(F.when(child, F.col("tag"))).alias("tag"),
-        F.max(F.when(child, F.col("raw"))).alias("raw"),
-        F.max(F.when(child, F.col("text"))).alias("text"),
-        F.max(F.when(child, F.col("end_pos"))).alias("end_pos"),
-        F.max(F.when(child, F.col("parent"))).alias("parent_pos"),
-        F.max(F.when(child, F.when(role0 == "open", F.col("cnt") - 1).otherwise(F.col("cnt")))).alias("depth"),
-        F.max(F.when(child, F.col("tb") - F.col("nbytes"))).alias("text_start"),
-        F.max(F.when(F.col("role") == "end", F.col("tb"))).alias("text_end"),
-        F.max(F.when(child, F.col("ctext"))).alias("ctext"),
-        F.max(F.when(child, F.col("cb") - F.col("cbytes"))).alias("ctext_start"),
-        F.max(F.when(F.col("role") == "end", F.col("cb"))).alias("ctext_end"),
-        F.max(F.when(child, F.col("svgc") > 0)).alias("in_svg"),
-        (F.max(F.when(F.col("role") == "end", F.col("ec"))) - F.max(F.when(child, F.col("ec")))).alias("n_desc"),
-        (F.max(F.when(F.col("role") == "end", F.col("tc"))) - F.max(F.when(child, F.col("tc")))).alias("n_text_desc"),
+    r = r.withColumn("parent", F.last(F.when(F.col("role") == "cont", F.struct("pos", "tag")), ignorenulls=True).over(w3))
+    r = r.withColumn("rival", F.last(F.when(child & F.col("mode").isNotNull(), F.col("parent.pos")), ignorenulls=True).over(w3.rowsBetween(UNB, -1)))
+    host = F.col("parent.tag").isin(L.SHADOW_HOST_TAGS) | F.col("parent.tag").contains("-")
+    root = F.when(F.coalesce(host & ~F.col("rival").eqNullSafe(F.col("parent.pos")), F.lit(False)), F.col("mode"))
+    r = r.withColumn("root", F.when(child, root))
+    # the last child of the level before an end event is the element that ends
+    r = r.withColumn("root", F.when(F.col("role") == "end", F.last(F.when(child, F.struct("pos", "root")), ignorenulls=True).over(w3)["root"]).otherwise(F.col("root")))
+    e = r.filter("role <> 'cont'").drop("key", "rival").withColumn("parent_pos", F.when(child, F.col("parent.pos"))).drop("parent")
+
+    # content of closed roots and plain templates is inert: neither counted nor listed
+    open_root = F.coalesce(F.col("root") == "open", F.lit(False))
+    own = F.when(F.coalesce("template", F.lit(False)) & ~open_root, F.col("delta")).otherwise(0)
+    e = e.withColumn("own", own)
+    e = e.withColumn("inert", F.sum("own").over(w) - F.greatest("own", F.lit(0)) > 0)
+    e = e.filter(~F.col("inert") & ~F.coalesce(F.col("root") == "closed", F.lit(False))).drop("own", "inert")
+    e = e.withColumn("is_root", open_root)
+    element = (kind == "open") & ~F.col("is_root")
+    delta = F.when(element, F.col("delta")).otherwise(0)
+    e = e.select(
+        "*", F.sum(F.when(F.col("is_root"), F.col("delta")).otherwise(0)).over(w).alias("sl0"),
+        F.sum(F.when(F.col("tag") == "svg", delta).otherwise(0)).over(w).alias("svgc"),
+        F.sum(F.when(F.col("vis").isNotNull(), delta).otherwise(0)).over(w).alias("vlevel"),
+        F.sum(F.when(element & (role0 == "open"), 1).otherwise(0)).over(w).alias("ec"),
+        F.sum(F.when(role0 == "text", 1).otherwise(0)).over(w).alias("tc"))
+    # at its end event an svg element has just left the count
+    in_svg = F.col("svgc") - F.when((F.col("tag") == "svg") & (role0 == "end"), delta).otherwise(0) > 0
+    e = e.withColumn("in_svg", in_svg)
+    e = e.withColumn("own_hidden", F.coalesce(element & (F.col("hides") | (F.col("hidden_attr") & ~F.col("in_svg")) | F.coalesce(F.col("vis") == "hidden", F.lit(False))), F.lit(False)))
+    h, s = F.col("own_hidden"), F.coalesce(element & F.col("skip"), F.lit(False))
+    plain = s & (F.col("tag") != "svg")
+    for name, flag in zip(SUPPRESSORS, (h, h | s, h | plain, s, plain)):
+        e = e.withColumn(name, F.sum(F.when(flag, delta).otherwise(0)).over(w))
+    # a shadow root stands in its host's scope and opens the level of its own
+    e = e.withColumn("slevel", F.col("sl0") - F.when(F.col("is_root") & (role0 == "open"), 1).otherwise(0))
+    e = e.withColumn("sl", F.col("slevel") + F.when(F.col("is_root"), 1).otherwise(0))
+
+    # text offsets, per scope level; white space collapses across its text nodes: a
+    # text node gives up its first space if the text before it ends in one
+    ws = Window.partitionBy("page_id", "sl").orderBy(*order).rowsBetween(UNB, CUR)
+    one = F.when(role0 == "text", F.regexp_replace("text", WS_RUN, " "))
+    e = e.withColumn("ctext0", one).withColumn("before", F.last(F.when(F.col("ctext0") != "", F.col("ctext0")), ignorenulls=True).over(ws.rowsBetween(UNB, -1)))
+    e = e.withColumn("ctext", F.when(F.col("before").endswith(" ") & F.col("ctext0").startswith(" "), F.substring("ctext0", 2, 1 << 30)).otherwise(F.col("ctext0")))
+    e = e.withColumn("cbytes", F.coalesce(F.octet_length("ctext"), zero).cast("long")).drop("ctext0", "before")
+    scope = F.last(F.when(F.col("is_root") & (role0 == "open"), F.struct("pos", "parent_pos")), ignorenulls=True).over(ws)
+    e = e.select("*", F.sum("cbytes").over(ws).alias("cb"), F.sum("nbytes").over(ws).alias("tb"), scope.alias("scope0"))
+    here = F.when(~F.col("is_root"), F.col("scope0"))
+    e = e.withColumn("via_shadow", F.coalesce(F.col("parent_pos") == here["pos"], F.lit(False)))
+
+    end = role0 == "end"
+    keep = lambda c: F.max(F.when(~end, c))
+    at_end = lambda c: F.max(F.when(end & ~F.col("is_root"), c))
+    level = F.col("cnt") - F.when(role0 == "open", 1).otherwise(0) - F.col("slevel")
+    return e.groupBy("page_id", "pos").agg(
+        keep(F.when(F.col("is_root"), F.lit("shadow")).otherwise(kind)).alias("kind"),
+        keep(F.when(F.col("is_root"), F.lit("#shadow-root")).otherwise(F.col("tag"))).alias("tag"),
+        keep(F.when(F.col("is_root"), F.lit(None)).otherwise(F.col("attrs"))).alias("attrs"),
+        keep(F.col("text")).alias("text"), keep(F.col("end_pos")).alias("end_pos"),
+        keep(F.when(F.col("via_shadow"), here["parent_pos"]).otherwise(F.col("parent_pos"))).alias("parent_pos"),
+        keep(level).alias("depth"), keep(F.col("slevel")).alias("slevel"), keep(here["pos"]).alias("scope"),
+        keep(F.col("via_shadow")).alias("via_shadow"), keep(F.col("in_svg")).alias("in_svg"),
+        keep(F.col("own_hidden")).alias("own_hidden"), keep(F.col("vis")).alias("vis"), keep(F.col("vlevel")).alias("vlevel"),
+        *[keep(F.col(c)).alias(c) for c in SUPPRESSORS],
+        keep(F.col("tb") - F.col("nbytes")).alias("text_start"), at_end(F.col("tb")).alias("text_end"),
+        keep(F.col("ctext")).alias("ctext"), keep(F.col("cb") - F.col("cbytes")).alias("ctext_start"), at_end(F.col("cb")).alias("ctext_end"),
+        (at_end(F.col("ec")) - keep(F.col("ec"))).alias("n_desc"), (at_end(F.col("tc")) - keep(F.col("tc"))).alias("n_text_desc"),
     )
-    return g
 
 
 def partition_pages(pages: DataFrame, num_partitions: int | None = None) -> DataFrame:
@@ -267,8 +339,9 @@ def partition_pages(pages: DataFrame, num_partitions: int | None = None) -> Data
     return pages.repartition("page_id")
 
 
-def build(pages: DataFrame) -> DataFrame:
-    """``nodes``: elements and text nodes (``kind`` open|text) with tree columns,
-    computed in one chain of windows over the page partitioning."""
+def build(pages: DataFrame, hold: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """``nodes``: elements, text nodes and open shadow roots (``kind`` open|text|shadow)
+    with tree columns, in one chain of windows over the page partitioning. ``hold``
+    may keep the rows that clipping reads twice."""
     t = _with_ends(tokens(pages))
-    return _sweep(_clip(_weak_ends(t)))
+    return _sweep(_clip(hold(_weak_ends(t))))

@@ -10,6 +10,7 @@ need no further shuffle.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -18,14 +19,34 @@ from pyspark.sql import functions as F
 from weblens.operators import elements as E
 from weblens.operators import tree
 from weblens.operators.replay import selection_replay
-from weblens.session import ensure_checkpoint_dir, scratch_path
+from weblens.session import ensure_checkpoint_dir, scratch_path, ship
 from weblens.sources.log import read_log
 from weblens.sources.pages import read_pages, read_view
 
 _CACHE: dict = {}
+_VIEW = ["raw"]
 _TABLES: list[tuple[SparkSession, str]] = []
 
 
+@contextmanager
+def using(view: str):
+    """Build queries over another view of the pages: the named fixtures ``rich``
+    and ``malformed`` instead of the pages as they are (``raw``)."""
+    _VIEW.append(view)
+    try:
+        yield
+    finally:
+        _VIEW.pop()
+
+
+def current() -> str:
+    return _VIEW[-1]
+
+
+def _keep(df: DataFrame) -> DataFrame:
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _alive(spark: SparkSession) -> bool:
     return spark.sparkContext._jsc is not None
 
@@ -49,6 +70,7 @@ def configure(spark: SparkSession) -> None:
     ``spark.checkpoint.dir``; a local scratch directory only when unset)."""
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     ensure_checkpoint_dir(spark)
+    ship(spark)
 
 
 def _write_bucketed(spark: SparkSession, df: DataFrame, name: str, nparts: int) -> DataFrame:
@@ -83,11 +105,12 @@ def num_partitions(spark: SparkSession, sf_dir: str | None = None) -> int:
 def captured_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages that some tab has a selection on: cut down before tokenizing."""
     tabs = selection_replay(read_log(spark, sf_dir)).select(F.col("tab").alias("page_id")).distinct()
-    return read_view(spark, sf_dir, "rich").join(tabs, "page_id", "left_semi")
+    return read_view(spark, sf_dir, current()).join(tabs, "page_id", "left_semi")
 
 
-def core(spark: SparkSession, sf_dir: str, view: str = "rich") -> DataFrame:
+def core(spark: SparkSession, sf_dir: str, view: str | None = None) -> DataFrame:
     """The slim node table (tokens, tree, attributes), written once."""
+    view = view or current()
     key = (_input(spark, sf_dir), view, "core")
     if key not in _CACHE:
         configure(spark)
@@ -96,43 +119,71 @@ def core(spark: SparkSession, sf_dir: str, view: str = "rich") -> DataFrame:
         else:
             p = read_view(spark, sf_dir, view)
         nparts = num_partitions(spark, sf_dir)
-        n = _write_bucketed(spark, E.core_nodes(tree.build(tree.partition_pages(p, nparts))), "nodes", nparts)
-        _CACHE[key] = n.persist(StorageLevel.MEMORY_AND_DISK)
+        held: list[DataFrame] = []
+
+        def hold(df: DataFrame) -> DataFrame:
+            held.append(_keep(df))
+            return held[-1]
+
+        n = _write_bucketed(spark, E.core_nodes(tree.build(tree.partition_pages(p, nparts), hold)), "nodes", nparts)
+        for df in held:
+            df.unpersist()
+        _CACHE[key] = _keep(n)
     return _CACHE[key]
 
 
-def core_elements(spark: SparkSession, sf_dir: str, view: str = "rich") -> DataFrame:
+def core_elements(spark: SparkSession, sf_dir: str, view: str | None = None) -> DataFrame:
     return core(spark, sf_dir, view).filter(F.col("kind") == "open").drop("text")
 
 
-def texts(spark: SparkSession, sf_dir: str, view: str = "rich") -> DataFrame:
+def texts(spark: SparkSession, sf_dir: str, view: str | None = None) -> DataFrame:
     return core(spark, sf_dir, view).filter(F.col("kind") == "text")
 
 
-def nodes(spark: SparkSession, sf_dir: str, view: str = "rich") -> DataFrame:
+def nodes(spark: SparkSession, sf_dir: str, view: str | None = None) -> DataFrame:
     """Core nodes with ancestor columns and previews: for the queries that
     need paths, contexts, suppression or rendered text. ``text`` is a text
     node's own; no element's textContent is kept."""
+    view = view or current()
     key = (_input(spark, sf_dir), view, "nodes")
     if key not in _CACHE:
         n = E.build_nodes(E.with_preview(core(spark, sf_dir, view), texts(spark, sf_dir, view)))
-        _CACHE[key] = n.persist(StorageLevel.MEMORY_AND_DISK)
+        _CACHE[key] = _keep(n)
     return _CACHE[key]
 
 
-def elements(spark: SparkSession, sf_dir: str, view: str = "rich") -> DataFrame:
+def elements(spark: SparkSession, sf_dir: str, view: str | None = None) -> DataFrame:
     return nodes(spark, sf_dir, view).filter(F.col("kind") == "open").drop("text")
 
 
-def with_text(spark: SparkSession, sf_dir: str, els: DataFrame, view: str = "rich") -> DataFrame:
+def paths(spark: SparkSession, sf_dir: str, view: str | None = None) -> DataFrame:
+    """Elements with their CSS path and absolute XPath, made when first asked for."""
+    view = view or current()
+    key = (_input(spark, sf_dir), view, "paths")
+    if key not in _CACHE:
+        rounds: list[DataFrame] = []
+
+        def hold(df: DataFrame) -> DataFrame:
+            rounds.append(_keep(df))
+            return rounds[-1]
+
+        p = _keep(E.with_paths(elements(spark, sf_dir, view), hold))
+        p.count()
+        for df in rounds:
+            df.unpersist()
+        _CACHE[key] = p
+    return _CACHE[key]
+
+
+def with_text(spark: SparkSession, sf_dir: str, els: DataFrame, view: str | None = None) -> DataFrame:
     """Elements with their textContent, made for the given ones only."""
     return E.with_text(els, texts(spark, sf_dir, view))
 
 
-def pages(spark: SparkSession, sf_dir: str, view: str = "rich") -> DataFrame:
+def pages(spark: SparkSession, sf_dir: str, view: str | None = None) -> DataFrame:
     """``(page_id, url)``, hash-partitioned by page_id like the node table, so
     joining page-level results to it needs no further shuffle."""
-    key = (_input(spark, sf_dir), view, "pages")
+    key = (_input(spark, sf_dir), view or current(), "pages")
     if key not in _CACHE:
         configure(spark)
         p = read_pages(spark, sf_dir).select("page_id", "url")
@@ -161,7 +212,7 @@ class Tables:
         self.texts = core.filter(F.col("kind") == "text")
         self.nodes = E.build_nodes(E.with_preview(core, self.texts)).cache()
         self.elements = self.nodes.filter(F.col("kind") == "open").drop("text")
-        self.nodes_text = E.with_text(self.nodes, self.texts).cache()
+        self.nodes_text = E.with_paths(E.with_text(self.nodes, self.texts)).cache()
         self.elements_text = self.nodes_text.filter(F.col("kind") == "open")
 
     def element(self, page_id: int, tag: str, nth: int = 1):
@@ -174,10 +225,10 @@ class Tables:
 
 
 def memo(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """Build once per (session, input, name) and keep it (MEMORY_AND_DISK):
+    """Build once per (session, input, view, name) and keep it (MEMORY_AND_DISK):
     shared intermediates used by several queries or several branches of one
     plan are not recomputed."""
-    key = (_input(spark, sf_dir), name)
+    key = (_input(spark, sf_dir), current(), name)
     if key not in _CACHE:
-        _CACHE[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
+        _CACHE[key] = _keep(build())
     return _CACHE[key]

@@ -49,26 +49,34 @@ def js_trim_sql(e: str) -> str:
     return f"regexp_replace({e}, {q('^' + WS + '|' + WS + '$')}, '', 'g')"
 
 
-ENTITY_RX = "(?s)&[A-Za-z][A-Za-z0-9]*;|&#[0-9]+;|&#[xX][0-9A-Fa-f]+;|&|[^&]+"
+ENTITY_RX = "(?s)&[A-Za-z][A-Za-z0-9]*[;=]?|&#[0-9]+[;=]?|&#[xX][0-9A-Fa-f]+[;=]?|&|[^&]+"
 
 
-def decode_cte(name: str, strings: str) -> str:
+def decode_cte(name: str, strings: str, attribute: bool = False) -> str:
     """CTE (s, d) of the strings of a select (column s) that hold a reference:
-    the pieces of a string as rows, joined with the table of names, put together
+    the pieces of a string as rows, joined with the tables of names, put together
     again in order."""
     def cp(n):
         return (f"CASE WHEN {n} > 0 AND {n} <= 1114111 AND NOT ({n} BETWEEN 55296 AND 57343) "
                 f"THEN translate(chr({n}::INTEGER), {q(L.CP1252_FROM)}, {q(L.CP1252_TO)}) ELSE '\ufffd' END")
-    dec = "coalesce(TRY_CAST(substr(t, 3, length(t) - 3) AS HUGEINT), 0)"
-    hexa = ("(CASE WHEN length(ltrim(substr(t, 4, length(t) - 4), '0')) BETWEEN 1 AND 6 "
-            "THEN TRY_CAST('0x' || substr(t, 4, length(t) - 4) AS BIGINT) ELSE 0 END)")
-    return f"""{name} AS (
-  SELECT s, string_agg(CASE WHEN regexp_matches(t, '^&#[xX].*;$') THEN {cp(hexa)}
-                            WHEN regexp_matches(t, '^&#[0-9]+;$') THEN {cp(dec)}
-                            ELSE coalesce(ent.ch, t) END, '' ORDER BY i) AS d
-  FROM (SELECT s, unnest(p) AS t, generate_subscripts(p, 1) AS i
-        FROM (SELECT DISTINCT s, regexp_extract_all(s, {q(ENTITY_RX)}) AS p FROM ({strings}) WHERE strpos(s, '&') > 0))
-  LEFT JOIN ent ON t = '&' || ent.name GROUP BY s),"""
+    body = "rtrim(t, ';=')"
+    dec = f"coalesce(TRY_CAST(substr({body}, 3) AS HUGEINT), 0)"
+    hexa = (f"(CASE WHEN length(ltrim(substr({body}, 4), '0')) BETWEEN 1 AND 6 "
+            f"THEN TRY_CAST('0x' || substr({body}, 4) AS BIGINT) ELSE 0 END)")
+    tail = "CASE WHEN ends_with(t, '=') THEN '=' ELSE '' END"
+    # in an attribute a name without semicolon must be all that stands there
+    whole = f" AND rtrim(t, ';') = '&' || n.name" if attribute else ""
+    return f"""{name}_p AS (
+  SELECT s, unnest(p) AS t, generate_subscripts(p, 1) AS i
+  FROM (SELECT DISTINCT s, regexp_extract_all(s, {q(ENTITY_RX)}) AS p FROM ({strings}) WHERE strpos(s, '&') > 0)),
+{name}_l AS (
+  SELECT t, arg_max(n.ch || substr(t, length(n.name) + 2), length(n.name)) AS d
+  FROM (SELECT DISTINCT t FROM {name}_p WHERE regexp_matches(t, '^&[A-Za-z]')) JOIN leg n ON starts_with(t, '&' || n.name){whole} GROUP BY t),
+{name} AS (
+  SELECT s, string_agg(CASE WHEN regexp_matches(t, '^&#[xX][0-9A-Fa-f]') THEN {cp(hexa)} || {tail}
+                            WHEN regexp_matches(t, '^&#[0-9]') THEN {cp(dec)} || {tail}
+                            ELSE coalesce(ent.ch, {name}_l.d, t) END, '' ORDER BY i) AS d
+  FROM {name}_p LEFT JOIN ent ON t = '&' || ent.name LEFT JOIN {name}_l USING (t) GROUP BY s),"""
 
 
 def decoded(name: str, e: str) -> str:
@@ -77,7 +85,8 @@ def decoded(name: str, e: str) -> str:
 
 def ent_cte() -> str:
     rows = ", ".join(f"({q(n)}, {q(c)})" for n, c in zip(L.ENTITY_NAMES, L.ENTITY_CHARS))
-    return f"ent(name, ch) AS (VALUES {rows}),"
+    short = ", ".join(f"({q(n)}, {q(c)})" for n, c in zip(L.LEGACY_NAMES, L.LEGACY_CHARS))
+    return f"ent(name, ch) AS (VALUES {rows}),\nleg(name, ch) AS (VALUES {short}),"
 
 
 def escape_html_sql(e: str) -> str:
@@ -125,11 +134,13 @@ def acol(name: str) -> str:
 
 
 STYLE_DISPLAY_NONE = r"(?i)(^|;)\s*display\s*:\s*none\s*(!\s*important\s*)?(;|$)"
-STYLE_VIS_HIDDEN = r"(?i)(^|;)\s*visibility\s*:\s*hidden\s*(!\s*important\s*)?(;|$)"
+# values that set the visibility; the rest hand on the parent's
+_SETS = "hidden|visible|collapse|initial"
+_HANDS_ON = "inherit|unset|revert|revert-layer"
 STYLE_OPACITY_0 = r"(?i)(^|;)\s*opacity\s*:\s*(0+\.?0*|\.0+)%?\s*(!\s*important\s*)?(;|$)"
 
 
-def base_ctes(view: str = "rich") -> str:
+def base_ctes(view: str = "raw") -> str:
     """CTEs: pr (pages), tok, el (elements with end, depth, parent), txt,
     at (attribute rows), elx (elements + attributes + derived columns)."""
     src = pages_sql(view)
@@ -145,14 +156,18 @@ def base_ctes(view: str = "rich") -> str:
         f"max(CASE WHEN name = {q(n)} THEN value END) AS {acol(n)}" for n in ATTR_NAMES)
     class_tokens = (f"list_filter(string_split_regex({js_trim_sql('coalesce(a_class, ' + q('') + ')')}, {q(WS)}), "
                     "lambda c: c <> '')")
-    hidden = (
+    own_hidden = (
         f"((a_hidden IS NOT NULL AND NOT in_svg) OR coalesce(a_aria_hidden, '') = 'true' "
         f"OR regexp_matches(coalesce(a_style, ''), {q(STYLE_DISPLAY_NONE)}) "
-        f"OR regexp_matches(coalesce(a_style, ''), {q(STYLE_VIS_HIDDEN)}) "
         f"OR regexp_matches(coalesce(a_style, ''), {q(STYLE_OPACITY_0)}) "
-        f"OR (tag IN {qlist(L.UA_HIDDEN_TAGS)} AND NOT (tag = 'template' AND a_shadowrootmode IS NOT NULL)) "
+        f"OR tag IN {qlist(L.UA_HIDDEN_TAGS)} "
         f"OR (tag = 'input' AND lower(coalesce(a_type, '')) = 'hidden') OR (tag = 'dialog' AND a_open IS NULL))"
     )
+    decl = f"regexp_extract_all(lower(a_style), '(?:^|;)\\s*visibility\\s*:\\s*(?:{_SETS}|{_HANDS_ON})\\s*(?:!\\s*important|;|$|\\s)')"
+    loud = f"list_filter({decl}, lambda d: contains(d, 'important'))"
+    last = f"(CASE WHEN len({loud}) > 0 THEN {loud} ELSE {decl} END)[-1]"
+    vis = f"CASE WHEN regexp_matches({last}, ':\\s*hidden') THEN 'hidden' WHEN regexp_matches({last}, ':\\s*(?:{_SETS})') THEN 'visible' END"
+    hosts = qlist(L.SHADOW_HOST_TAGS)
     return f"""
 {ent_cte()}
 pr AS ({src}),
@@ -227,25 +242,46 @@ clip(page_id, i, pos, end_pos, stack) AS (
     list_append(list_filter(c.stack, lambda x: x > o.pos), least(o.end_pos, list_min(list_filter(c.stack, lambda x: x > o.pos))))
   FROM clip c JOIN endn o ON o.page_id = c.page_id AND o.i = c.i + 1),
 enda AS (
-  SELECT e.page_id, e.pos, e.tag, e.raw, e.raw_el, c.end_pos,
-    e.tag = 'template' AND NOT regexp_matches(e.raw, '(?i)\\sshadowrootmode\\s*=') AS tpl
+  SELECT e.page_id, e.pos, e.tag, e.raw, e.raw_el, c.end_pos, e.tag = 'template' AS template,
+    CASE WHEN e.tag = 'template' THEN nullif(regexp_extract(e.raw, '(?i)\\sshadowrootmode\\s*=\\s*["'']?(open|closed)["''\\s/>]', 1), '') END AS mode
   FROM ends0 e JOIN clip c USING (page_id, pos)),
+hst AS (
+  SELECT t.page_id, t.pos, lower(t.mode) AS mode, max(a.pos) AS host
+  FROM enda t JOIN enda a ON a.page_id = t.page_id AND a.pos < t.pos AND a.end_pos > t.pos
+  WHERE t.mode IS NOT NULL GROUP BY ALL),
+rts AS (
+  SELECT h.*, a.end_pos FROM hst h JOIN enda a USING (page_id, pos) JOIN enda o ON o.page_id = h.page_id AND o.pos = h.host
+  WHERE (o.tag IN {hosts} OR contains(o.tag, '-'))
+    AND NOT EXISTS (SELECT 1 FROM hst b WHERE b.page_id = h.page_id AND b.host = h.host AND b.pos < h.pos)),
+inr AS (
+  SELECT page_id, pos, end_pos FROM enda t WHERE t.template
+    AND NOT EXISTS (SELECT 1 FROM rts r WHERE r.page_id = t.page_id AND r.pos = t.pos AND r.mode = 'open')),
+sh AS (
+  SELECT r.page_id, r.pos, r.end_pos, r.host FROM rts r WHERE r.mode = 'open'
+    AND NOT EXISTS (SELECT 1 FROM inr a WHERE a.page_id = r.page_id AND a.pos < r.pos AND a.end_pos > r.pos)),
 ends AS (
-  SELECT * EXCLUDE (tpl) FROM enda e WHERE NOT EXISTS (
-    SELECT 1 FROM enda a WHERE a.page_id = e.page_id AND a.tpl AND a.pos < e.pos AND a.end_pos > e.pos)),
-el AS (
+  SELECT * EXCLUDE (template, mode) FROM enda e WHERE NOT EXISTS (
+    SELECT 1 FROM inr a WHERE a.page_id = e.page_id AND a.pos < e.pos AND a.end_pos > e.pos)
+    AND NOT EXISTS (SELECT 1 FROM rts r WHERE r.page_id = e.page_id AND r.pos = e.pos)),
+el0 AS (
   SELECT e.*,
     (SELECT count(*) FROM ends a WHERE a.page_id = e.page_id AND a.pos < e.pos AND a.end_pos > e.pos) AS depth,
     (SELECT max(a.pos) FROM ends a WHERE a.page_id = e.page_id AND a.pos < e.pos AND a.end_pos > e.pos) AS parent_pos,
+    (SELECT count(*) FROM sh a WHERE a.page_id = e.page_id AND a.pos < e.pos AND a.end_pos > e.pos) AS slevel,
+    (SELECT max(a.pos) FROM sh a WHERE a.page_id = e.page_id AND a.pos < e.pos AND a.end_pos > e.pos) AS scope,
     EXISTS (SELECT 1 FROM ends a WHERE a.page_id = e.page_id AND a.tag = 'svg' AND a.pos <= e.pos
             AND a.end_pos > e.pos) AS in_svg
   FROM ends e),
-txt AS (
+el AS (SELECT *, coalesce(scope > parent_pos, false) AS via_shadow FROM el0),
+txt0 AS (
   SELECT t.page_id, t.pos, t.text,
     (SELECT max(a.pos) FROM ends a WHERE a.page_id = t.page_id AND a.pos < t.pos AND a.end_pos > t.pos) AS parent_pos,
-    (SELECT count(*) FROM ends a WHERE a.page_id = t.page_id AND a.pos < t.pos AND a.end_pos > t.pos) AS depth
+    (SELECT count(*) FROM ends a WHERE a.page_id = t.page_id AND a.pos < t.pos AND a.end_pos > t.pos) AS depth,
+    (SELECT count(*) FROM sh a WHERE a.page_id = t.page_id AND a.pos < t.pos AND a.end_pos > t.pos) AS slevel,
+    (SELECT max(a.pos) FROM sh a WHERE a.page_id = t.page_id AND a.pos < t.pos AND a.end_pos > t.pos) AS scope
   FROM tok t WHERE t.kind = 'text' AND NOT EXISTS (
-    SELECT 1 FROM enda a WHERE a.page_id = t.page_id AND a.tpl AND a.pos < t.pos AND a.end_pos > t.pos)),
+    SELECT 1 FROM inr a WHERE a.page_id = t.page_id AND a.pos < t.pos AND a.end_pos > t.pos)),
+txt AS (SELECT *, coalesce(scope > parent_pos, false) AS via_shadow FROM txt0),
 at0 AS (
   SELECT page_id, pos, regexp_replace(regexp_replace(raw, {q(r'^<[A-Za-z][^\s/>]*')}, ''), '>$', '') AS body
   FROM el),
@@ -257,7 +293,7 @@ at1 AS (
 at2 AS (
   SELECT page_id, pos, i, lower(n[i]) AS name, coalesce(v2[i], '') || coalesce(v3[i], '') || coalesce(v4[i], '') AS raw_value
   FROM (SELECT *, unnest(generate_series(1, len(n))) AS i FROM at1)),
-{decode_cte("deca", "SELECT raw_value AS s FROM at2")}
+{decode_cte("deca", "SELECT raw_value AS s FROM at2", True)}
 at3 AS (SELECT page_id, pos, i, name, {decoded('deca', 'at2.raw_value')} AS value FROM at2),
 atr AS (
   SELECT page_id, pos, i, name, value FROM (
@@ -270,17 +306,22 @@ elx0 AS (
   SELECT el.*, {", ".join(acol(n) for n in ATTR_NAMES)},
     coalesce(a_id, '') AS id,
     {class_tokens} AS class_tokens,
-    row_number() OVER (PARTITION BY el.page_id, parent_pos, tag ORDER BY el.pos) AS nth_of_type,
-    count(*) OVER (PARTITION BY el.page_id, parent_pos, tag) AS n_same_tag
+    row_number() OVER (PARTITION BY el.page_id, parent_pos, scope, tag ORDER BY el.pos) AS nth_of_type,
+    count(*) OVER (PARTITION BY el.page_id, parent_pos, scope, tag) AS n_same_tag
   FROM el LEFT JOIN ea USING (page_id, pos)),
+elv AS (SELECT page_id, pos, end_pos, {vis} AS vis FROM elx0 WHERE a_style IS NOT NULL),
+elx1 AS (
+  SELECT *, {own_hidden} OR coalesce((
+    SELECT arg_max(v.vis, v.pos) FROM elv v WHERE v.page_id = elx0.page_id AND v.vis IS NOT NULL AND v.pos <= elx0.pos AND v.end_pos > elx0.pos) = 'hidden', false) AS hidden
+  FROM elx0),
 elx AS (
-  SELECT *, list_distinct_ordered AS classes, {hidden} AS hidden,
+  SELECT *, list_distinct_ordered AS classes,
     tag IN {qlist(L.SKIP_TAGS)} AS skip,
     tag || CASE WHEN id <> '' THEN '#' || id ELSE '' END
         || CASE WHEN in_svg THEN '' ELSE array_to_string(list_transform(class_tokens[1:3], lambda c: '.' || c), '') END
       AS summary
   FROM (SELECT *, list_filter(class_tokens, lambda c, i: list_position(class_tokens, c) = i) AS list_distinct_ordered
-        FROM elx0))
+        FROM elx1))
 """
 
 
@@ -297,7 +338,7 @@ def derived_ctes() -> str:
     return f""",
 tc AS (
   SELECT e.page_id, e.pos, coalesce(string_agg(t.text, '' ORDER BY t.pos), '') AS text
-  FROM el e LEFT JOIN txt t ON t.page_id = e.page_id AND t.pos > e.pos AND t.pos < e.end_pos
+  FROM el e LEFT JOIN txt t ON t.page_id = e.page_id AND t.pos > e.pos AND t.pos < e.end_pos AND t.slevel = e.slevel
   GROUP BY e.page_id, e.pos),
 elq AS (
   SELECT *, {sel_part} AS sel_part, {css_part} AS css_part, {xpath_part} AS xpath_part FROM elx),
@@ -334,7 +375,7 @@ txs AS (
 """
 
 
-def with_base(select: str, view: str = "rich", derived: bool = True) -> str:
+def with_base(select: str, view: str = "raw", derived: bool = True) -> str:
     return "WITH RECURSIVE " + base_ctes(view) + (derived_ctes() if derived else "") + "\n" + select
 
 
@@ -361,18 +402,29 @@ kept AS (
   SELECT page_id, pos, string_agg(name || '="' || {escape_html_sql('value')} || '"', ' ' ORDER BY i) AS kattrs
   FROM atr WHERE {keep} GROUP BY page_id, pos),
 roots AS (SELECT e.*, g.ctx6 AS root_ctx FROM elp e JOIN ancg g USING (page_id, pos)
-          WHERE e.tag IN {qlist(REGION_TAGS)}),
-nd AS (
-  SELECT e.page_id, e.pos, 'open' AS kind, e.tag, e.depth, e.end_pos, e.hidden, e.sup_skip, e.sup_skip_nosvg,
+          WHERE e.tag IN {qlist(REGION_TAGS)} OR (e.depth = 0 AND NOT EXISTS (
+            SELECT 1 FROM el o WHERE o.page_id = e.page_id AND o.tag IN {qlist(REGION_TAGS)}))),
+nd0 AS (
+  SELECT e.page_id, e.pos, 'open' AS kind, e.tag, e.depth, e.slevel, e.via_shadow, e.end_pos, e.hidden, e.sup_skip, e.sup_skip_nosvg,
     e.sup_hidden, e.anc_skip, e.preview, NULL::VARCHAR AS ntext, e.summary,
     '<' || e.tag || CASE WHEN coalesce(k.kattrs, '') <> '' THEN ' ' || k.kattrs ELSE '' END || '>' AS otag
   FROM elp e LEFT JOIN kept k USING (page_id, pos)
   UNION ALL
-  SELECT page_id, pos, 'text', NULL, depth, NULL, NULL, sup_skip, sup_skip_nosvg, sup_hidden, NULL, NULL, text,
+  SELECT page_id, pos, 'text', NULL, depth, slevel, via_shadow, NULL, NULL, sup_skip, sup_skip_nosvg, sup_hidden, NULL, NULL, text,
     NULL, NULL
-  FROM txs),
+  FROM txs
+  UNION ALL
+  SELECT s.page_id, s.pos, 'shadow', '#shadow-root', h.depth + 1, h.slevel, false, s.end_pos, NULL, h.sup_skip, h.sup_skip_nosvg, h.sup_hidden, NULL, NULL, NULL,
+    NULL, '<template shadowrootmode="open">'
+  FROM sh s JOIN elp h ON h.page_id = s.page_id AND h.pos = s.host),
+hch AS (SELECT n.page_id, n.pos, list(s.host ORDER BY s.pos) AS hosts, max(CASE WHEN n.kind = 'shadow' THEN n.pos END) AS own
+        FROM nd0 n JOIN sh s ON s.page_id = n.page_id AND s.pos < n.pos AND s.end_pos > n.pos GROUP BY n.page_id, n.pos),
+nd AS (
+  SELECT n.*, coalesce(h.hosts, []) AS hosts,
+    coalesce(h.hosts, []) || CASE WHEN n.kind = 'shadow' THEN [(SELECT s.host FROM sh s WHERE s.page_id = n.page_id AND s.pos = n.pos), -1] ELSE [n.pos] END AS place
+  FROM nd0 n LEFT JOIN hch h USING (page_id, pos)),
 rp AS (
-  SELECT r.page_id, r.pos AS root_pos, n.*, n.depth - r.depth AS rd
+  SELECT r.page_id, r.pos AS root_pos, n.*, n.depth - r.depth AS rd, n.depth - r.depth + n.slevel - r.slevel AS od
   FROM roots r JOIN nd n ON n.page_id = r.page_id AND n.pos >= r.pos AND n.pos < r.end_pos)
 """
 

@@ -15,13 +15,13 @@ def ctes() -> str:
     first text), par (parent info), src (text XPath source)."""
     return f""",
 ft AS (SELECT page_id, parent_pos AS pos, arg_min(text, pos) AS first_text FROM txt
-       WHERE parent_pos IS NOT NULL GROUP BY page_id, parent_pos),
+       WHERE parent_pos IS NOT NULL AND NOT via_shadow GROUP BY page_id, parent_pos),
 dt AS (SELECT page_id, parent_pos AS pos, string_agg(t, ' ' ORDER BY pos) AS direct_text FROM (
-         SELECT page_id, parent_pos, pos, {O.js_trim_sql('text')} AS t FROM txt)
+         SELECT page_id, parent_pos, pos, {O.js_trim_sql('text')} AS t FROM txt WHERE NOT via_shadow)
        WHERE t <> '' AND parent_pos IS NOT NULL GROUP BY page_id, parent_pos),
 nft AS (SELECT e.page_id, e.pos, e.tag,
           trim(regexp_replace(coalesce(ft.first_text, ''), '[ \t\r\n]+', ' ', 'g'), ' ') AS nt
-        FROM el e LEFT JOIN ft USING (page_id, pos) WHERE NOT e.in_svg),
+        FROM el e LEFT JOIN ft USING (page_id, pos) WHERE NOT e.in_svg AND e.slevel = 0),
 par AS (SELECT c.page_id, c.pos, p.id AS pid, p.classes AS pcls, p.tag AS ptag
         FROM elx c JOIN elx p ON p.page_id = c.page_id AND p.pos = c.parent_pos),
 src AS (SELECT e.*, CASE WHEN coalesce(dt.direct_text, '') <> '' THEN dt.direct_text
@@ -32,7 +32,7 @@ src AS (SELECT e.*, CASE WHEN coalesce(dt.direct_text, '') <> '' THEN dt.direct_
 
 def _count_attr(name: str, value: str, xpath: bool = False) -> str:
     return (f"(SELECT count(*) FROM elx o JOIN atr x ON x.page_id = o.page_id AND x.pos = o.pos "
-            f"WHERE o.page_id = e.page_id AND o.tag = e.tag AND x.name = {O.q(name)} AND x.value = {value}" + (" AND NOT o.in_svg)" if xpath else ")"))
+            f"WHERE o.page_id = e.page_id AND o.slevel = 0 AND o.tag = e.tag AND x.name = {O.q(name)} AND x.value = {value}" + (" AND NOT o.in_svg)" if xpath else ")"))
 
 
 def _qual_match(p: str) -> str:
@@ -50,10 +50,10 @@ def _qual_text() -> str:
 def css_candidates_sql() -> str:
     parts = [
         f"SELECT e.page_id, e.pos, 1 AS ordinal, '#' || {esc('e.id')} AS value, "
-        f"(SELECT count(*) FROM elx o WHERE o.page_id = e.page_id AND o.id = e.id) AS matches "
+        f"(SELECT count(*) FROM elx o WHERE o.page_id = e.page_id AND o.slevel = 0 AND o.id = e.id) AS matches "
         f"FROM elx e WHERE e.id <> ''",
         f"SELECT page_id, pos, 99 + i AS ordinal, tag || '.' || {esc('c')} AS value, "
-        f"(SELECT count(*) FROM elx o WHERE o.page_id = e.page_id AND o.tag = e.tag AND list_contains(o.classes, c)) "
+        f"(SELECT count(*) FROM elx o WHERE o.page_id = e.page_id AND o.slevel = 0 AND o.tag = e.tag AND list_contains(o.classes, c)) "
         f"FROM (SELECT *, unnest(classes) AS c, generate_subscripts(classes, 1) AS i FROM elx) e",
     ]
     for j, a in enumerate(L.SHORTEST_ATTRS):
@@ -66,18 +66,18 @@ def css_candidates_sql() -> str:
             ci, cj = f"e.classes[{i + 1}]", f"e.classes[{j + 1}]"
             parts.append(
                 f"SELECT e.page_id, e.pos, {300 + 3 * i + j}, e.tag || '.' || {esc(ci)} || '.' || {esc(cj)}, "
-                f"(SELECT count(*) FROM elx o WHERE o.page_id = e.page_id AND o.tag = e.tag "
+                f"(SELECT count(*) FROM elx o WHERE o.page_id = e.page_id AND o.slevel = 0 AND o.tag = e.tag "
                 f"AND list_contains(o.classes, {ci}) AND list_contains(o.classes, {cj})) "
                 f"FROM elx e WHERE len(e.classes) >= 2 AND len(e.classes[1:3]) > {j}")
     parts.append(
         f"SELECT e.page_id, e.pos, 400, {_qual_text()} || ' > ' || e.tag, "
         f"(SELECT count(*) FROM elx o JOIN elx p ON p.page_id = o.page_id AND p.pos = o.parent_pos "
-        f"WHERE o.page_id = e.page_id AND o.tag = e.tag AND {_qual_match('p')}) "
+        f"WHERE o.page_id = e.page_id AND o.slevel = 0 AND o.tag = e.tag AND {_qual_match('p')}) "
         f"FROM elx e JOIN par q USING (page_id, pos)")
     parts.append(
         f"SELECT e.page_id, e.pos, 499 + e.i, {_qual_text()} || ' > ' || e.tag || '.' || {esc('e.c')}, "
         f"(SELECT count(*) FROM elx o JOIN elx p ON p.page_id = o.page_id AND p.pos = o.parent_pos "
-        f"WHERE o.page_id = e.page_id AND o.tag = e.tag AND list_contains(o.classes, e.c) AND {_qual_match('p')}) "
+        f"WHERE o.page_id = e.page_id AND o.slevel = 0 AND o.tag = e.tag AND list_contains(o.classes, e.c) AND {_qual_match('p')}) "
         f"FROM (SELECT *, unnest(classes) AS c, generate_subscripts(classes, 1) AS i FROM elx) e "
         f"JOIN par q USING (page_id, pos)")
     return "\nUNION ALL\n".join(parts)
@@ -87,7 +87,7 @@ def shortest_unique_sql() -> str:
     return f"""
 SELECT c.page_id, c.pos, arg_min(c.value, (length(c.value), c.ordinal)) AS shortest_unique
 FROM ({css_candidates_sql()}) c JOIN elx s ON s.page_id = c.page_id AND s.pos = c.pos AND s.{SCOPE}
-WHERE c.matches = 1 GROUP BY c.page_id, c.pos"""
+WHERE c.matches = 1 AND s.slevel = 0 GROUP BY c.page_id, c.pos"""
 
 
 XATTRS = [("data-testid", 1), ("aria-label", 2), ("id", 3), ("name", 4), ("placeholder", 6)]
@@ -104,7 +104,7 @@ def xpath_relative_sql() -> str:
     parts.append(
         "SELECT e.page_id, e.pos, 5, '//' || e.tag || '[@role=\"' || e.a_role || '\" and @aria-label=\"' "
         "|| e.a_aria_label || '\"]', CASE WHEN strpos(e.a_role, '\"') > 0 OR strpos(e.a_aria_label, '\"') > 0 "
-        "THEN -1 ELSE (SELECT count(*) FROM elx o WHERE o.page_id = e.page_id AND o.tag = e.tag "
+        "THEN -1 ELSE (SELECT count(*) FROM elx o WHERE o.page_id = e.page_id AND o.slevel = 0 AND o.tag = e.tag "
         "AND o.a_role = e.a_role AND o.a_aria_label = e.a_aria_label AND NOT o.in_svg) END "
         f"FROM elx e WHERE coalesce(e.a_role, '') <> '' AND coalesce(e.a_aria_label, '') <> '' AND e.{SCOPE}")
     u = "\nUNION ALL\n".join(parts)
@@ -177,10 +177,10 @@ UNION ALL
 SELECT page_id, pos, 'xpath-text', text_selector, 'stable', matches FROM ({xpath_text_sql()})
 UNION ALL
 SELECT e.page_id, e.pos, 'css-path', e.css_path, 'positional',
-  (SELECT count(*) FROM elp o WHERE o.page_id = e.page_id AND o.css_path = e.css_path) FROM elp e WHERE e.{SCOPE}
+  (SELECT count(*) FROM elp o WHERE o.page_id = e.page_id AND o.slevel = 0 AND o.css_path = e.css_path) FROM elp e WHERE e.{SCOPE}
 UNION ALL
 SELECT e.page_id, e.pos, 'xpath-absolute', e.xpath_absolute, 'fragile',
-  CASE WHEN e.in_svg THEN 0 ELSE (SELECT count(*) FROM elp o WHERE o.page_id = e.page_id AND o.xpath_absolute = e.xpath_absolute) END
+  CASE WHEN e.in_svg THEN 0 ELSE (SELECT count(*) FROM elp o WHERE o.page_id = e.page_id AND o.slevel = 0 AND o.xpath_absolute = e.xpath_absolute) END
 FROM elp e WHERE e.{SCOPE}"""
 
 

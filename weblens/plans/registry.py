@@ -1,8 +1,9 @@
 """Registered queries: name -> Spark builder ``(spark, sf_dir) -> DataFrame``,
 and name -> DuckDB oracle SQL for the value-checked ones.
 
-Every query reads the driver's ``pages`` table (through the deterministic
-``pages_rich`` replace() view) or the ``events`` table, over whole tables.
+Every query reads the driver's ``pages`` table as it is or the ``events`` table,
+over whole tables. ``rich_*`` queries run some of them over pages with more markup
+(the fixture view ``rich``), ``malformed_*`` over broken markup.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weblens.functions import lists as L
+from weblens.operators import elements as E
 from weblens.plans import context as C
 from weblens.plans import oracle as O
 
@@ -29,7 +31,7 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-def W(select: str, derived: bool = True, view: str = "rich") -> str:  # noqa: N802
+def W(select: str, derived: bool = True, view: str = "raw") -> str:  # noqa: N802
     return O.with_base(select, view=view, derived=derived)
 
 
@@ -39,10 +41,10 @@ def W(select: str, derived: bool = True, view: str = "rich") -> str:  # noqa: N8
 from weblens.operators import snapshot as S  # noqa: E402
 
 
-def titles(spark, sf, view="rich"):
+def titles(spark, sf, view=None):
     """Headings and titles with their whole text."""
     e = C.core_elements(spark, sf, view)
-    return C.with_text(spark, sf, e.filter(F.col("tag").isin([*L.HEADING_TAGS, "title"])), view)
+    return C.with_text(spark, sf, E.in_document(e).filter(F.col("tag").isin([*L.HEADING_TAGS, "title"])), view)
 
 
 @query("page_counts", W("""
@@ -52,7 +54,7 @@ SELECT pr.page_id,
   count(*) FILTER (WHERE tag = 'form') AS forms,
   count(*) FILTER (WHERE tag IN ('input', 'textarea', 'select')) AS inputs,
   count(*) FILTER (WHERE tag = 'img' AND coalesce(a_alt, '') = '') AS images_missing_alt
-FROM pr LEFT JOIN elx ON elx.page_id = pr.page_id GROUP BY pr.page_id""", derived=False))
+FROM pr LEFT JOIN elx ON elx.page_id = pr.page_id AND elx.slevel = 0 GROUP BY pr.page_id""", derived=False))
 def q_page_counts(spark, sf):
     return S.page_counts(C.pages(spark, sf), C.core_elements(spark, sf))
 
@@ -60,7 +62,7 @@ def q_page_counts(spark, sf):
 @query("headings", W(f"""
 SELECT page_id, rank, tag, {O.clean_sql('text')} AS text FROM (
   SELECT e.page_id, e.tag, tc.text, row_number() OVER (PARTITION BY e.page_id ORDER BY e.pos) AS rank
-  FROM el e JOIN tc USING (page_id, pos) WHERE e.tag IN ('h1', 'h2', 'h3'))
+  FROM el e JOIN tc USING (page_id, pos) WHERE e.slevel = 0 AND e.tag IN ('h1', 'h2', 'h3'))
 WHERE rank <= 20"""))
 def q_headings(spark, sf):
     return S.headings(titles(spark, sf))
@@ -69,7 +71,7 @@ def q_headings(spark, sf):
 @query("landmarks", W("""
 SELECT page_id, rank, summary FROM (
   SELECT page_id, summary, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank
-  FROM elx WHERE tag IN ('header', 'nav', 'main', 'section', 'aside', 'footer'))
+  FROM elx WHERE slevel = 0 AND tag IN ('header', 'nav', 'main', 'section', 'aside', 'footer'))
 WHERE rank <= 25""", derived=False))
 def q_landmarks(spark, sf):
     return S.landmarks(C.core_elements(spark, sf))
@@ -79,7 +81,7 @@ TITLE_SQL = """
 ttl AS (
   SELECT pr.page_id, pr.url,
     trim(regexp_replace(coalesce((SELECT arg_min(tc.text, tc.pos) FROM el e JOIN tc USING (page_id, pos)
-                                  WHERE e.page_id = pr.page_id AND e.tag = 'title'), ''), '[ \t\n\f\r]+', ' ', 'g'),
+                                  WHERE e.page_id = pr.page_id AND e.slevel = 0 AND e.tag = 'title'), ''), '[ \t\n\f\r]+', ' ', 'g'),
          ' ') AS title
   FROM pr)"""
 
@@ -96,12 +98,12 @@ SELECT t.page_id, 'PAGE: ' || t.url || chr(10) || 'TITLE: ' || t.title || chr(10
   || c.inputs || ' inputs' || chr(10)
   || 'A11Y: ' || c.images_missing_alt || ' images missing alt text' || chr(10) || chr(10)
   || 'LANDMARKS:' || coalesce((SELECT string_agg(chr(10) || '  ' || summary, '' ORDER BY pos) FROM (
-        SELECT pos, summary FROM elx x WHERE x.page_id = t.page_id AND x.tag IN {O.qlist(L.LANDMARK_TAGS)}
+        SELECT pos, summary FROM elx x WHERE x.page_id = t.page_id AND x.slevel = 0 AND x.tag IN {O.qlist(L.LANDMARK_TAGS)}
         ORDER BY pos LIMIT 25)), '')
   || chr(10) || chr(10) || 'HEADINGS:' || coalesce((SELECT string_agg(chr(10) || '  ' || tag || ' "' || htext || '"', ''
         ORDER BY pos) FROM (
         SELECT x.pos, x.tag, {O.clean_sql('tc.text')} AS htext FROM el x JOIN tc USING (page_id, pos)
-        WHERE x.page_id = t.page_id AND x.tag IN ('h1', 'h2', 'h3') ORDER BY x.pos LIMIT 20)), '')
+        WHERE x.page_id = t.page_id AND x.slevel = 0 AND x.tag IN ('h1', 'h2', 'h3') ORDER BY x.pos LIMIT 20)), '')
   || chr(10) || chr(10) || 'CURRENT_SELECTION: '
   || coalesce((SELECT arg_min(summary, pos) FROM elx x WHERE x.page_id = t.page_id AND x.tag = 'body'),
               (SELECT arg_min(summary, pos) FROM elx x WHERE x.page_id = t.page_id), '') AS snapshot
@@ -112,7 +114,7 @@ FROM ttl t JOIN (
     count(*) FILTER (WHERE tag = 'form') AS forms,
     count(*) FILTER (WHERE tag IN ('input', 'textarea', 'select')) AS inputs,
     count(*) FILTER (WHERE tag = 'img' AND coalesce(a_alt, '') = '') AS images_missing_alt
-  FROM elx GROUP BY page_id) c USING (page_id)"""
+  FROM elx WHERE slevel = 0 GROUP BY page_id) c USING (page_id)"""
 
 
 @query("page_snapshot")
@@ -194,12 +196,12 @@ def q_context_chain(spark, sf):
 
 @query("css_path", W("SELECT page_id, pos, css_path FROM ancg"))
 def q_css_path(spark, sf):
-    return C.elements(spark, sf).select("page_id", "pos", "css_path")
+    return C.paths(spark, sf).select("page_id", "pos", "css_path")
 
 
 @query("xpath_absolute", W("SELECT page_id, pos, xpath_absolute FROM ancg"))
 def q_xpath_absolute(spark, sf):
-    return C.elements(spark, sf).select("page_id", "pos", "xpath_absolute")
+    return C.paths(spark, sf).select("page_id", "pos", "xpath_absolute")
 
 
 @query("class_selector", W("SELECT page_id, pos, selector FROM elp"))
@@ -223,7 +225,7 @@ def q_text_content(spark, sf):
 
 @query("direct_text", W(f"""
 SELECT page_id, parent_pos AS pos, string_agg(t, ' ' ORDER BY pos) AS direct_text FROM (
-  SELECT page_id, parent_pos, pos, {O.js_trim_sql('text')} AS t FROM txt)
+  SELECT page_id, parent_pos, pos, {O.js_trim_sql('text')} AS t FROM txt WHERE NOT via_shadow)
 WHERE t <> '' AND parent_pos IS NOT NULL GROUP BY page_id, parent_pos""", derived=False))
 def q_direct_text(spark, sf):
     from weblens.operators.text_ops import direct_text
@@ -273,7 +275,7 @@ def RW(select: str) -> str:  # noqa: N802
     return O.with_base("", derived=True).rstrip() + O.render_ctes() + "\n" + select
 
 
-def nodes_text(spark, sf, view="rich"):
+def nodes_text(spark, sf, view=None):
     return C.nodes(spark, sf, view)
 
 
@@ -287,19 +289,23 @@ def clean_frags(depth: int | None = None) -> str:
         f"WHEN rd = {depth} AND NOT {void} THEN otag || {O.escape_html_sql('preview')} || '</' || tag || '>'")
     within, inner = ("true", "true") if depth is None else (f"rd <= {depth}", f"rd < {depth}")
     return f"""
-SELECT page_id, root_pos, pos AS k1, 1 AS k2, 0 AS k3,
+SELECT page_id, root_pos, place AS k1, 1 AS k2, 0 AS k3,
   CASE WHEN kind = 'text' THEN {O.escape_html_sql(O.clean_sql('ntext'))}
        WHEN NOT (sup_skip IS NULL OR sup_skip < root_pos) THEN '<svg aria-label="vector graphic"></svg>'
+       WHEN kind = 'shadow' THEN otag
        {cut}
        ELSE otag END AS frag
 FROM rp
 WHERE {within} AND (
    (kind = 'text' AND (sup_skip IS NULL OR sup_skip < root_pos) AND {O.clean_sql('ntext')} <> '')
-   OR (kind = 'open' AND (sup_skip IS NULL OR sup_skip < root_pos))
+   OR (kind IN ('open', 'shadow') AND (sup_skip IS NULL OR sup_skip < root_pos))
    OR (kind = 'open' AND tag = 'svg' AND NOT hidden AND (anc_skip IS NULL OR anc_skip < root_pos)))
 UNION ALL
-SELECT page_id, root_pos, end_pos, 0, -depth, '</' || tag || '>'
-FROM rp WHERE {inner} AND kind = 'open' AND (sup_skip IS NULL OR sup_skip < root_pos) AND NOT {void}"""
+SELECT page_id, root_pos, hosts || [end_pos], 0, -depth, '</' || tag || '>'
+FROM rp WHERE {inner} AND kind = 'open' AND (sup_skip IS NULL OR sup_skip < root_pos) AND NOT {void}
+UNION ALL
+SELECT page_id, root_pos, place[:-2] || [4611686018427387904], 0, 0, '</template>'
+FROM rp WHERE {within} AND kind = 'shadow' AND (sup_skip IS NULL OR sup_skip < root_pos)"""
 
 
 CLEAN_FRAGS = clean_frags()
@@ -319,16 +325,20 @@ def q_clean_html(spark, sf):
     return R.clean_html(nodes_text(spark, sf), roots(spark, sf))
 
 
+def outline_cut(depth: int | None) -> str:
+    """A line is listed if the element (or shadow root line) it hangs below is not cut."""
+    return "" if depth is None else f" AND (p.rd = 0 OR p.od - CASE WHEN p.via_shadow THEN 2 ELSE 1 END < {depth})"
+
+
 def structure_frags(depth: int | None = None) -> str:
-    cut = "" if depth is None else f" AND rd <= {depth}"
-    return (f"SELECT page_id, root_pos, pos AS k1, 0 AS k2, 0 AS k3, repeat('  ', rd::INTEGER) || summary || "
-            f"CASE WHEN preview <> '' THEN ' \"' || preview || '\"' ELSE '' END AS frag FROM rp "
-            f"WHERE kind = 'open' AND (sup_skip_nosvg IS NULL OR sup_skip_nosvg < root_pos){cut}")
+    return (f"SELECT page_id, root_pos, place AS k1, 0 AS k2, 0 AS k3, repeat('  ', od::INTEGER) || CASE WHEN kind = 'shadow' THEN tag ELSE summary || "
+            f"CASE WHEN preview <> '' THEN ' \"' || preview || '\"' ELSE '' END END AS frag FROM rp p "
+            f"WHERE kind <> 'text' AND (sup_skip_nosvg IS NULL OR sup_skip_nosvg < root_pos){outline_cut(depth)}")
 
 
 @query("structure", RW(render_select(structure_frags(), "chr(10)", "structure")))
 def q_structure(spark, sf):
-    return R.structure(C.elements(spark, sf), roots(spark, sf))
+    return R.structure(nodes_text(spark, sf), roots(spark, sf))
 
 
 A11Y_LINE = f"""
@@ -356,16 +366,15 @@ A11Y_WARNS = """
 
 
 def a11y_frags(depth: int | None = None) -> str:
-    cut = "" if depth is None else f" AND p.rd <= {depth}"
-    return (f"SELECT p.page_id, p.root_pos, p.pos AS k1, 0 AS k2, 0 AS k3, repeat('  ', p.rd::INTEGER) || "
-            f"{A11Y_LINE} AS frag FROM rp p JOIN (SELECT *, {A11Y_WARNS} AS warns FROM elp) e "
-            f"ON e.page_id = p.page_id AND e.pos = p.pos "
-            f"WHERE p.kind = 'open' AND (p.sup_hidden IS NULL OR p.sup_hidden < p.root_pos){cut}")
+    return (f"SELECT p.page_id, p.root_pos, p.place AS k1, 0 AS k2, 0 AS k3, repeat('  ', p.od::INTEGER) || "
+            f"CASE WHEN p.kind = 'shadow' THEN p.tag ELSE {A11Y_LINE} END AS frag "
+            f"FROM rp p LEFT JOIN (SELECT *, {A11Y_WARNS} AS warns FROM elp) e ON e.page_id = p.page_id AND e.pos = p.pos "
+            f"WHERE p.kind <> 'text' AND (p.sup_hidden IS NULL OR p.sup_hidden < p.root_pos){outline_cut(depth)}")
 
 
 @query("a11y_outline", RW(render_select(a11y_frags(), "chr(10)", "accessibility")))
 def q_a11y_outline(spark, sf):
-    return R.a11y_outline(C.elements(spark, sf), roots(spark, sf))
+    return R.a11y_outline(nodes_text(spark, sf), roots(spark, sf))
 
 
 @query("a11y_findings", W(f"""
@@ -404,25 +413,25 @@ def _scope(df):
     return df.filter(~F.col("tag").isin(L.UNSELECTABLE_TAGS))
 
 
-def _in_scope(spark, sf, df, view="rich"):
+def _in_scope(spark, sf, df, view=None):
     s = _scope(C.elements(spark, sf, view)).select("page_id", "pos")
     return df.join(s, ["page_id", "pos"], "left_semi")
 
 
-def els_src(spark, sf, view="rich"):
+def els_src(spark, sf, view=None):
     t = C.texts(spark, sf, view)
 
     def build():
-        e = C.elements(spark, sf, view)
+        e = C.paths(spark, sf, view)
         # a longer collapsed text is over the limit of the text XPath anyway
         short = e.filter(F.col("ctext_end") - F.col("ctext_start") <= 4 * L.TEXT_XPATH_MAX + 8)
-        content = C.with_text(spark, sf, short.select("page_id", "pos", "text_start", "text_end"), view).select("page_id", "pos", "text")
+        content = C.with_text(spark, sf, short.select("page_id", "pos", "slevel", "text_start", "text_end"), view).select("page_id", "pos", "text")
         e = e.join(content, ["page_id", "pos"], "left").withColumn("text", F.coalesce("text", F.lit("")))
         return LC.text_source(e, _direct(t), _first(t))
     return C.memo(spark, sf, f"els_src-{view}", build)
 
 
-def first_texts(spark, sf, view="rich"):
+def first_texts(spark, sf, view=None):
     return C.memo(spark, sf, f"first_text-{view}", lambda: _first(C.texts(spark, sf, view)))
 
 
@@ -451,7 +460,7 @@ def q_xpath_text(spark, sf):
     return _in_scope(spark, sf, LC.xpath_text(els_src(spark, sf), first_texts(spark, sf)))
 
 
-def _locators(spark, sf, view="rich"):
+def _locators(spark, sf, view=None):
     return C.memo(spark, sf, f"locators-{view}", lambda: _in_scope(
         spark, sf, LC.locator_matches(els_src(spark, sf, view), first_texts(spark, sf, view)), view))
 
@@ -534,11 +543,10 @@ lastsel AS (SELECT * FROM live l WHERE sel_order = (SELECT max(sel_order) FROM l
 def LVW(select: str, render: bool = False) -> str:  # noqa: N802
     base = O.with_base("", derived=True).rstrip() + "," + O.log_ctes() + live_sql_ctes()
     if render:
-        base += O.render_ctes().replace(
-            f"roots AS (SELECT e.*, g.ctx6 AS root_ctx FROM elp e JOIN ancg g USING (page_id, pos)\n"
-            f"          WHERE e.tag IN {O.qlist(O.REGION_TAGS)}),",
-            "roots AS (SELECT DISTINCT e.*, g.ctx6 AS root_ctx FROM elp e JOIN ancg g USING (page_id, pos)\n"
-            "          JOIN live l ON l.page_id = e.page_id AND l.pos = e.pos),")
+        body = O.render_ctes()
+        a, b = body.index("roots AS ("), body.index("nd0 AS (")
+        base += body[:a] + ("roots AS (SELECT DISTINCT e.*, g.ctx6 AS root_ctx FROM elp e JOIN ancg g USING (page_id, pos) "
+                            "JOIN live l ON l.page_id = e.page_id AND l.pos = e.pos),\n") + body[b:]
     return base + "\n" + select
 
 
@@ -571,7 +579,7 @@ from weblens.operators import payload as PL  # noqa: E402
 from weblens.operators import prompt as PR  # noqa: E402
 
 STYLE_FRAGS = """
-SELECT p.page_id, p.root_pos, p.pos AS k1, 0 AS k2, 0 AS k3,
+SELECT p.page_id, p.root_pos, p.place AS k1, 0 AS k2, 0 AS k3,
   CASE WHEN strpos(regexp_replace(e.summary, '\\s+', '', 'g'), '#') > 0 THEN regexp_replace(e.summary, '\\s+', '', 'g')
        ELSE e.selector END || ' {' || chr(10) || '  ' || array_to_string(s.lines, chr(10) || '  ') || chr(10) || '}'
     AS frag
@@ -615,11 +623,11 @@ def _depth_limited(depth: int) -> None:
 
     @query(f"structure_depth{depth}", RW(render_select(structure_frags(depth), "chr(10)", "structure")))
     def structure(spark, sf):
-        return R.structure(C.elements(spark, sf), roots(spark, sf), opts)
+        return R.structure(nodes_text(spark, sf), roots(spark, sf), opts)
 
     @query(f"a11y_depth{depth}", RW(render_select(a11y_frags(depth), "chr(10)", "accessibility")))
     def a11y(spark, sf):
-        return R.a11y_outline(C.elements(spark, sf), roots(spark, sf), opts)
+        return R.a11y_outline(nodes_text(spark, sf), roots(spark, sf), opts)
 
     styles = raw_select(f"{STYLE_FRAGS} AND p.rd <= {depth}", "chr(10) || chr(10)")
 
@@ -710,7 +718,7 @@ FROM ({six_formats_sql()})"""
 
 def region_formats(spark, sf):
     """All six formats of every page region."""
-    return C.memo(spark, sf, "region_formats", lambda: all_outputs(spark, sf, roots(spark, sf), "rich"))
+    return C.memo(spark, sf, "region_formats", lambda: all_outputs(spark, sf, roots(spark, sf), None))
 
 
 @query("token_costs", RSW(tokens_sql(L.DEFAULTS["maxTokenWarning"])))
@@ -816,3 +824,27 @@ def q_selection_replay_stream(spark, sf):
 
 
 ORACLE["selection_replay_stream"] = ORACLE["selection_replay"]
+
+
+# ---------------------------------------------------------------------------
+# the fixture view with more markup: ids, ARIA, forms, hidden subtrees, shadow roots
+# ---------------------------------------------------------------------------
+RICH = [
+    "page_counts", "page_snapshot", "headings", "landmarks", "element_tree", "text_nodes", "attributes", "kept_attributes", "nth_of_type", "context_chain",
+    "css_path", "xpath_absolute", "class_selector", "text_content", "direct_text", "hidden_elements", "images_missing_alt", "clean_html", "structure",
+    "a11y_outline", "a11y_findings", "clean_html_depth1", "structure_depth1", "a11y_depth1", "styles_depth1", "html_css", "ranked_selectors",
+    "shortest_unique", "xpath_relative", "xpath_text", "locator_matches", "token_costs",
+]
+
+
+def _rich(name: str) -> None:
+    def build(spark, sf):
+        with C.using("rich"):
+            return QUERIES[name](spark, sf)
+
+    QUERIES[f"rich_{name}"] = build
+    ORACLE[f"rich_{name}"] = ORACLE[name].replace(O.pages_sql("raw"), O.pages_sql("rich"))
+
+
+for _n in RICH:
+    _rich(_n)

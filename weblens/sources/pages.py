@@ -18,7 +18,15 @@ RICH_REPLACEMENTS = [
     ("<article>", '<article data-v-1f="" style="color: red; margin: 0px"><form class="login card">'
                   '<input name="q" placeholder="Find"><button class="go"></button>'
                   '<button class="go" aria-label="Go">Go</button></form><img src="a.png">'
-                  '<img src="b.png" alt="B &amp; C">'),
+                  '<img src="b.png" alt="B &amp; C">'
+                  # an open root behind a light child, one in it, a second template, references without semicolon
+                  '<x-card id="card" class="host"><b>light &copy 2024 &notit; &ampx &#65</b><template shadowrootmode="open">'
+                  '<h2 class="sh">shadow <i>head</i></h2><button></button><div style="color: blue"><template shadowrootmode=open>'
+                  '<span>deep</span></template>inner</div> tail</template><b title="?x=1&copy=2&lt=3&amp">light2</b>'
+                  '<template shadowrootmode="open"><img src="never.png"></template></x-card>'
+                  '<section><template shadowrootmode="closed"><button>closed</button></template><div style="visibility:hidden">gone '
+                  '<b style="visibility: visible !important; visibility: hidden">back</b><main>inherits</main><nav style="visibility:visible">nav</nav></div></section>'
+                  '<x-void><template shadowrootmode="open"></template></x-void><b><template shadowrootmode="open">no host</template></b>'),
     ("<footer>", '<footer aria-hidden="true"><svg class="i"><path d="M0" aria-label="dot"/></svg>'),
     ("<h1>", '<h1 id="a\tb" style="background: url(data:image/png;base64,AA==); color: red !important; color: blue">'
              '<dialog><p>closed</p></dialog><dialog open>&eacute;&#146;&#38;lt;</dialog>'),

@@ -37,7 +37,7 @@ def snapshot_batch(pages: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def run_page_feed(spark: SparkSession, source_dir: str, sink_dir: str | None = None,
-                  checkpoint: str | None = None, rich: bool = True, glob: str | None = None) -> str:
+                  checkpoint: str | None = None, rich: bool = False, glob: str | None = None) -> str:
     """Process every file currently in ``source_dir`` (optionally only names
     matching ``glob``; trigger availableNow) and return the sink directory."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
