@@ -9,7 +9,8 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _PKG = os.path.dirname(os.path.abspath(__file__))
 _SHIPPED: set[str] = set()
@@ -79,6 +80,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame, **keys: Column) -> DataFrame:
+    """Whole rows as one struct column ``row`` beside computed keys, so that a join
+    can name its keys freely whatever the columns of ``df`` are called."""
+    names = [f"`{c.replace('`', '``')}`" for c in df.columns]
+    return df.select(F.struct(*names).alias("row"), *[c.alias(k) for k, c in keys.items()])
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers (once per application), so that
     functions which run there import it whatever folder the driver started in."""
