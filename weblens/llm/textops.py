@@ -1,7 +1,11 @@
 """Word hashing over UTF-8 buffers with numpy, and Arrow column access.
 
 Every hash is 64 bits and depends on the bytes of the word only, never on the
-process, the batch or the partition, so equal words hash alike everywhere.
+process, the batch or the partition, so equal words hash alike everywhere. A word
+is read in blocks of eight bytes; each block goes through a bijective mixing step
+with a key of its place, so words of one length up to eight bytes never share a
+hash, and longer ones only by chance (2 ** -64 a pair): no letter pattern cancels
+out as it would in a polynomial.
 """
 
 from __future__ import annotations
@@ -27,27 +31,14 @@ for _c in range(0x41, 0x5B):
     _t[_c] = _c + 32
 ALNUM_LOWER = bytes(_t)
 
-_KEEP = np.arange(256, dtype=np.uint64) + np.uint64(1)
-_LOWER = _KEEP.copy()
-_LOWER[0x41:0x5B] += np.uint64(32)
-
-_P = 0x9E3779B97F4A7C15
-_P_INV = pow(_P, -1, 1 << 64)
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[0x41:0x5B] += 32
 _Q = np.uint64(0xD6E8FEB86659FD93)
 _SLICE = 1 << 20
-_pow = _inv = np.ones(1, dtype=np.uint64)
 
 U = np.uint64
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _pow, _inv
-    if len(_pow) < n:
-        m = max(n, 1 << 16)
-        a, b = np.full(m, _P, dtype=U), np.full(m, _P_INV, dtype=U)
-        a[0] = b[0] = 1
-        _pow, _inv = np.cumprod(a, dtype=U), np.cumprod(b, dtype=U)
-    return _pow, _inv
+#: Mask of the first n bytes of a block.
+_FIRST = np.array([(1 << (8 * n)) - 1 for n in range(9)], dtype=U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -79,26 +70,33 @@ def words(data: np.ndarray, is_word: np.ndarray = NOT_SPACE, lower: bool = False
     starts, ends = _spans(data, is_word)
     if len(starts) == 0:
         return starts, ends, np.empty(0, dtype=U)
-    fold = _LOWER if lower else _KEEP
     if n <= _SLICE:
-        return starts, ends, _hash(data, starts, ends, fold)
+        return starts, ends, _hash(_FOLD[data] if lower else data, starts, ends)
     out, i = np.empty(len(starts), dtype=U), 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + _SLICE, side="right")))
         lo, hi = int(starts[i]), int(ends[j - 1])
-        out[i:j] = _hash(data[lo:hi], starts[i:j] - lo, ends[i:j] - lo, fold)
+        part = data[lo:hi]
+        out[i:j] = _hash(_FOLD[part] if lower else part, starts[i:j] - lo, ends[i:j] - lo)
         i = j
     return starts, ends, out
 
 
-def _hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray) -> np.ndarray:
-    n = len(data)
-    p, q = _powers(n + 1)
-    c = np.zeros(n + 1, dtype=U)
-    np.cumsum(fold[data] * p[:n], out=c[1:])
-    h = (c[ends] - c[starts]) * q[starts]
-    h += (ends - starts).astype(U) * _Q
-    return mix(h)
+def _hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[:len(data)] = data
+    at_byte = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded.data, strides=(1,))  # the eight bytes from each one on
+    size = ends - starts
+    h = mix(at_byte[starts] & _FIRST[np.minimum(size, 8)])
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        n = (size[long] + 7) >> 3
+        first = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) - np.repeat(first, n)
+        at = np.repeat(starts[long], n) + 8 * place
+        block = at_byte[at] & _FIRST[np.minimum(np.repeat(ends[long], n) - at, 8)]
+        h[long] = np.add.reduceat(mix(block ^ mix(place.astype(U) * _Q)), first)
+    return mix(h + size.astype(U) * _Q)
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
@@ -121,13 +119,6 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
     return np.unique(grams(h, min(k, len(h))))
 
 
-def seq_hash(h: np.ndarray) -> int:
-    """Hash of a whole word sequence."""
-    n = len(h)
-    p, _ = _powers(n + 1)
-    return int(mix(np.array([(h * p[:n]).sum(dtype=U) + U(n)], dtype=U))[0])
-
-
 def winnow(g: np.ndarray, w: int) -> np.ndarray:
     """Positions of the k-grams that are the minimum of some window of ``w``
     consecutive ones (ties: all of them, so the choice depends on content
