@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weblens.llm.textops import ALNUM, U, buffers, grams, mix, signed, winnow, words
-from weblens.session import ship
+from weblens.session import packed, ship
 
 WINDOW = 10
 SALTS = 16
@@ -180,5 +180,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col: st
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without a hit, with all their columns."""
-    hit = decontaminate(docs, items, n, id_col, text_col).filter("n_hit > 0").select(F.col("doc_id").alias("__doc_id"), F.col("dig").alias("__dig")).distinct()
-    return docs.join(hit, docs[id_col].cast("long").eqNullSafe(F.col("__doc_id")) & (text_digest(text_col) == F.col("__dig")), "left_anti")
+    hit = decontaminate(docs, items, n, id_col, text_col).filter("n_hit > 0").select("doc_id", "dig").distinct().alias("hit")
+    rows = packed(docs, id=F.col(id_col).cast("long"), dig=text_digest(text_col)).alias("rows")
+    return rows.join(hit, F.col("rows.id").eqNullSafe(F.col("hit.doc_id")) & (F.col("rows.dig") == F.col("hit.dig")), "left_anti").select("row.*")

@@ -2,7 +2,7 @@
 
 Each row is reduced to its digest (SHA-256, byte length and a second,
 independent 64-bit hash, all of which must agree) and dealt to one of
-``fanout ** rounds`` slots. A slot's rows form a run: one entry per digest with
+``fanout ** rounds`` slots, as many rounds as the number of rows asks for. A slot's rows form a run: one entry per digest with
 the best id and the number of rows. In round r, runs whose slot numbers differ
 in digit r only exchange entries: an entry goes to the run whose digit r is the
 digest's own. Entries that meet are merged at every level, so ``n`` copies
@@ -19,12 +19,14 @@ read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weblens.session import cut
+from weblens.session import cut, packed
 
 KEY = ["sha", "n_bytes", "chk"]
+#: Rows of a slot, at most, when the digests are spread evenly.
+SLOT_ROWS = 2_000_000
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -36,14 +38,21 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fanout_bits: int = 3, rounds: int = 2) -> DataFrame:
+def rounds_for(rows: int, fanout_bits: int = 3) -> int:
+    """Rounds after which a slot holds at most ``SLOT_ROWS`` of evenly spread rows; two at least."""
+    rounds = 2
+    while rows > SLOT_ROWS << (fanout_bits * rounds):
+        rounds += 1
+    return rounds
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fanout_bits: int = 3, rounds: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, sha, n_bytes, chk."""
+    base = cut(digests(docs, id_col, text_col).withColumn("rid", F.monotonically_increasing_id()), "digests")
+    if rounds is None:
+        rounds = rounds_for(base.count(), fanout_bits)
     fan, slots = 1 << fanout_bits, 1 << (fanout_bits * rounds)
-    base = cut(
-        digests(docs, id_col, text_col).withColumn("rid", F.monotonically_increasing_id())
-        .withColumn("slot0", F.pmod(F.xxhash64("rid"), F.lit(slots)).cast("int")),
-        "digests",
-    )
+    base = base.withColumn("slot0", F.pmod(F.xxhash64("rid"), F.lit(slots)).cast("int"))
     best = F.max(F.struct("doc_id", "rid")).alias("best")
     levels = [base.groupBy("slot0", *KEY).agg(best, F.count("*").alias("n"))]
     for r in range(rounds):
@@ -68,23 +77,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    Rows are matched to their decision by id and digest. Rows that repeat both
-    are copies too; they are told apart by their number within the pair."""
-    gone = (
+    Rows are matched to their decision by id and digest, in one join. Rows that
+    repeat both are copies too: one of them stays."""
+    kept = (
         exact_groups(docs, id_col, text_col).groupBy("doc_id", *KEY)
-        .agg(F.sum(F.col("kept").cast("long")).alias("stay"), F.count("*").alias("rows"))
+        .agg(F.max("kept").alias("kept"), F.count("*").alias("twins")).filter("kept").alias("kept")
     )
-    never = gone.filter("stay = 0").select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", *KEY)])
-    once = gone.filter("stay > 0 AND rows > 1").select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", *KEY)])
     t = F.coalesce(F.col(text_col), F.lit(""))
-
-    def same():
-        return (
-            F.unhex(F.sha2(t, 256)).eqNullSafe(F.col("__sha")) & docs[id_col].cast("long").eqNullSafe(F.col("__doc_id"))
-            & (F.octet_length(t) == F.col("__n_bytes")) & (F.xxhash64(t) == F.col("__chk"))
-        )
-
-    kept = docs.join(never, same(), "left_anti")
-    single = kept.join(once, same(), "left_anti")
-    repeated = kept.join(once, same(), "left_semi")
-    return single.unionByName(repeated.dropDuplicates([id_col, text_col]))
+    rows = packed(docs, id=F.col(id_col).cast("long"), sha=F.unhex(F.sha2(t, 256)), n_bytes=F.octet_length(t), chk=F.xxhash64(t)).alias("rows")
+    same = F.col("rows.id").eqNullSafe(F.col("kept.doc_id"))
+    for c in KEY:
+        same = same & (F.col(f"rows.{c}") == F.col(f"kept.{c}"))
+    found = rows.join(kept, same).select("row", "rows.id", *[f"rows.{c}" for c in KEY], "twins")
+    # only rows with twins are told apart, by their number within the pair
+    nth = F.row_number().over(Window.partitionBy("id", *KEY).orderBy("twins"))
+    return found.withColumn("nth", F.when(F.col("twins") > 1, nth).otherwise(1)).filter("nth = 1").select("row.*")

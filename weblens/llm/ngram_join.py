@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from weblens.llm.graph import components
 from weblens.llm.textops import U, buffers, shingles, signed, words
-from weblens.session import cut, ship
+from weblens.session import cut, packed, ship
 
 SHINGLE = 5
 #: Threshold as a fraction: NUM * |union| <= DEN * |intersection|.
@@ -441,8 +441,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their component."""
-    gone = (
-        near_duplicates(docs, id_col, text_col).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select(F.col("doc_id").alias("__doc_id"), F.col("th").alias("__th")).distinct()
-    )
-    return docs.join(gone, docs[id_col].cast("long").eqNullSafe(F.col("__doc_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__th")), "left_anti")
+    gone = near_duplicates(docs, id_col, text_col).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "th").distinct().alias("gone")
+    rows = packed(docs, id=F.col(id_col).cast("long"), th=F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).alias("rows")
+    return rows.join(gone, F.col("rows.id").eqNullSafe(F.col("gone.doc_id")) & (F.col("rows.th") == F.col("gone.th")), "left_anti").select("row.*")
