@@ -19,6 +19,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -34,8 +35,34 @@ NOTICES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
+#: Further short notices, with labels of their own: names, first words of licence
+#: texts and SPDX lines as they read once lower-cased and without punctuation.
+MORE_NOTICES = {
+    "gnu lesser general public license": "lgpl",
+    "gnu affero general public license": "agpl",
+    "gnu free documentation license": "gfdl",
+    "mozilla public license": "mpl",
+    "eclipse public license": "epl",
+    "boost software license": "bsl",
+    "bsd 2 clause license": "bsd",
+    "bsd 3 clause license": "bsd",
+    "redistribution and use in source and binary forms": "bsd",
+    "permission is hereby granted free of charge": "mit",
+    "permission to use copy modify and or distribute": "isc",
+    "isc license": "isc",
+    "creative commons attribution": "cc-by",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons zero": "cc0",
+    "released into the public domain": "public-domain",
+    "spdx license identifier mit": "mit",
+    "spdx license identifier apache 2 0": "apache",
+    "spdx license identifier gpl": "gpl",
+    "spdx license identifier bsd": "bsd",
+    "spdx license identifier mpl": "mpl",
+}
 #: Characters per allowed edit: a notice of n characters may differ by n // 8.
 CHARS_PER_EDIT = 8
+_SEEN_MAX = 10_000
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first_word:bigint,last_word:bigint,edits:int>>"
 
@@ -78,18 +105,25 @@ def _fuzzy(norm: bytes, phrase: str, k: int, seeds: list, rx) -> list[tuple[int,
             near[-1][1] = at
         else:
             near.append([at, at])
-    found = set()
+    found: set[tuple[int, int, int]] = set()
+    seen: dict[bytes, list] = {}
     for first, last in near:
         # whole words only: widen to the spaces around
         lo, hi = max(0, first - k - 1), min(len(norm), last + len(phrase) + k + 2)
         lo, hi = max(0, norm.rfind(b" ", 0, lo + 1)), norm.find(b" ", hi - 1)
-        parts = [(lo, len(norm) if hi < 0 else hi + 1)]
-        while parts:
-            lo, hi = parts.pop()
-            m = rx.search(norm, lo, hi)
-            if m and m.start() + 1 < m.end():
-                found.add((sum(m.fuzzy_counts), m.start(), m.end()))
-                parts += [(lo, m.start() + 1), (m.end(), hi)]
+        around = norm[lo:len(norm) if hi < 0 else hi + 1]
+        hits = seen.get(around)  # texts that are dense in notices repeat their neighbourhoods
+        if hits is None:
+            hits, parts = [], [(0, len(around))]
+            while parts:
+                a, z = parts.pop()
+                m = rx.search(around, a, z)
+                if m and m.start() + 1 < m.end():
+                    hits.append((sum(m.fuzzy_counts), m.start(), m.end()))
+                    parts += [(a, m.start() + 1), (m.end(), z)]
+            if len(seen) < _SEEN_MAX:
+                seen[around] = hits
+        found.update((e, lo + a, lo + z) for e, a, z in hits)
     out: list[tuple[int, int, int]] = []
     for e, a, z in sorted(found):
         i = bisect_left(out, (a, z, e))
@@ -98,23 +132,33 @@ def _fuzzy(norm: bytes, phrase: str, k: int, seeds: list, rx) -> list[tuple[int,
     return [(a + 1, z, e) for a, z, e in out if e]
 
 
-def scan_text(data: bytes, notices: tuple[tuple[str, str], ...]) -> tuple:
-    """(n_words, n_base, first, last, base labels, labels, score, spans) of one text."""
+def scan_text(data: bytes, notices: tuple[tuple[str, str], ...], more: tuple[tuple[str, str], ...] = ()) -> tuple:
+    """(n_words, n_base, first, last, base labels, labels, score, spans) of one
+    text; the places of ``more`` count for labels, score and spans only."""
     ws = data.translate(ALNUM_LOWER).split()
     norm = b" " + b" ".join(ws) + b" "
     base, score, spans, exact = set(), 0.0, [], []
-    for phrase, label, k, seeds, rx in _compiled(notices):
+    spaces: list[np.ndarray] = []
+
+    def word_at(at: int) -> int:
+        """Number of the word behind the space at ``at``; the spaces are listed once."""
+        if not spaces:
+            spaces.append(np.flatnonzero(np.frombuffer(norm, dtype=np.uint8) == 0x20))
+        return int(np.searchsorted(spaces[0], at))
+
+    for i, (phrase, label, k, seeds, rx) in enumerate(_compiled(notices + more)):
         size = phrase.count(" ") + 1
         for at in _places(norm, b" %s " % phrase.encode()):
-            w = norm.count(b" ", 0, at)
-            exact.append(w)
-            base.add(label)
+            w = word_at(at)
+            if i < len(notices):
+                exact.append(w)
+                base.add(label)
             spans.append((label, w, w + size - 1, 0))
             score = 1.0
         if rx is None or not any(s in norm for _, s in seeds):
             continue
         for a, b, e in _fuzzy(norm, phrase, k, seeds, rx):
-            w = norm.count(b" ", 0, a) - 1
+            w = word_at(a) - 1
             spans.append((label, w, w + norm.count(b" ", a, b), e))
             score = max(score, 1.0 - e / len(phrase))
     labels = {s[0] for s in spans}
@@ -122,19 +166,20 @@ def scan_text(data: bytes, notices: tuple[tuple[str, str], ...]) -> tuple:
     return len(ws), len(exact), min(exact, default=None), max(exact, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, spans
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices: dict[str, str] | None = None) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices: dict[str, str] | None = None,
+         more: dict[str, str] | None = None) -> DataFrame:
     """One row per document: word count, exact places, labels (exact and
     fuzzy), score (1 for an exact place, else 1 - edits / length of the best
     fuzzy one) and all spans in words."""
     ship(docs.sparkSession)
-    table = tuple((notices or NOTICES).items())
+    table, further = tuple((notices or NOTICES).items()), tuple((MORE_NOTICES if more is None else more).items())
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(),
              pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("edits", pa.int32())]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [scan_text(x.tobytes(), table) for x in buffers(b.column(1))]
+            rows = [scan_text(x.tobytes(), table, further) for x in buffers(b.column(1))]
             cols = list(zip(*rows)) if rows else [[]] * len(names)
             cols[-1] = [[dict(zip(("label", "first_word", "last_word", "edits"), s)) for s in r] for r in cols[-1]]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(cols, kinds)]], ["doc_id", *names])
