@@ -274,3 +274,29 @@ def test_needles_meet_texts_by_rare_pieces(spark):
     got = {x["needle"]: x["n_in"] for x in LC.containing(a, b).collect()}
     want = {x: sum(1 + i % 3 for i, t in enumerate(dict.fromkeys(texts)) if x in t) for x in needles}
     assert got == {k: v for k, v in want.items() if v}
+
+
+def test_one_plan_serves_roots_with_their_own_options(spark):
+    """Each root by its own options gives what a job with those options as constants gives."""
+    import dataclasses
+
+    t = tables(spark)
+    choices = [R.Options(), R.Options(depth=0, include_context=False), R.Options(depth=1, strip_noise=False), R.Options(include_hidden=True, truncation=3),
+               R.Options(include_css=False, keep_test_ids=False)]
+    roots = t.elements_text.filter("tag IN ('main', 'form', 'header', 'div', 'article', 'ul')").collect()
+    pick = {(r["page_id"], r["pos"]): choices[i % len(choices)] for i, r in enumerate(sorted(roots, key=lambda r: (r["page_id"], r["pos"])))}
+    names = [f.name for f in dataclasses.fields(R.Options) if f.name != "per_root"]
+    rows = [(k[0], k[1], *[getattr(o, n) for n in names]) for k, o in pick.items()]
+    kinds = {"depth": "int", "truncation": "int"}
+    opts = spark.createDataFrame(rows, "page_id long, pos long, " + ", ".join(f"opt_{n} {kinds.get(n, 'boolean')}" for n in names))
+    mine = t.elements_text.join(opts, ["page_id", "pos"])
+    own = R.Options(per_root=True)
+    got = {(r["page_id"], r["pos"], r["format"]): r["output"]
+           for df in (R.multi_format(t.nodes_text, mine, own), R.html_css(t.nodes_text, t.elements_text, mine, own)) for r in df.collect()}
+    want = {}
+    for o in choices:
+        keys = [k for k, c in pick.items() if c is o]
+        some = t.elements_text.join(spark.createDataFrame(keys, "page_id long, pos long"), ["page_id", "pos"])
+        for df in (R.multi_format(t.nodes_text, some, o), R.html_css(t.nodes_text, t.elements_text, some, o)):
+            want.update({(r["page_id"], r["pos"], r["format"]): r["output"] for r in df.collect()})
+    assert got == want and len(got) == 4 * len(pick)

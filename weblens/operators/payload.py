@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weblens.functions.text import finalize_output
 from weblens.operators import locators as LC
+from weblens.operators.render import Options, finalized
 
 
 def selector_payload(els_text: DataFrame, loc: DataFrame) -> DataFrame:
@@ -36,11 +36,11 @@ def selector_payload(els_text: DataFrame, loc: DataFrame) -> DataFrame:
     return j.select("page_id", "pos", payload.alias("payload"))
 
 
-def selector_document(payloads: DataFrame, pages_title: DataFrame, roots: DataFrame) -> DataFrame:
+def selector_document(payloads: DataFrame, pages_title: DataFrame, roots: DataFrame, opts: Options = Options()) -> DataFrame:
     """One JSON document per root ``{url, title, elements: [payload]}``,
     finalized like every other output: ``(page_id, pos, format, output)``."""
-    j = roots.select("page_id", "pos", "context").join(payloads, ["page_id", "pos"]).join(
+    j = roots.select("page_id", "pos", F.col("context").alias("root_context"), *opts.columns()).join(payloads, ["page_id", "pos"]).join(
         pages_title, "page_id", "left")
     doc = F.to_json(F.struct(F.col("url"), F.col("title"), F.array(F.col("payload")).alias("elements")))
     return j.select("page_id", "pos", F.lit("selectors").alias("format"),
-                    finalize_output(doc, F.col("context")).alias("output"))
+                    finalized(doc, opts).alias("output"))

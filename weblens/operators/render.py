@@ -11,7 +11,7 @@ Fragments are assembled per root in walking order (``place``) with a ``listagg``
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,35 +29,46 @@ NOISE_RX = "^(?:" + "|".join(p.replace("-", "\\-") for p in L.NOISE_PREFIXES) +
 
 @dataclass(frozen=True)
 class Options:
+    """Options of an output job. With ``per_root`` each root brings its own, as
+    columns ``opt_depth``, ``opt_strip_noise``, ... (see ``replay.options``), so one
+    plan serves roots of different settings."""
+
     depth: int | None = None          # None = full subtree
     strip_noise: bool = True
     keep_test_ids: bool = True
     include_context: bool = True
     truncation: int = L.DEFAULTS["truncationThreshold"]
     include_hidden: bool = False
+    include_css: bool = True
+    per_root: bool = False
+
+    def col(self, name: str) -> F.Column:
+        return F.col(f"opt_{name}") if self.per_root else F.lit(getattr(self, name))
+
+    def columns(self) -> list[str]:
+        return [f"opt_{f.name}" for f in fields(self) if f.name != "per_root"] if self.per_root else []
 
 
 def _free(name: str, opts: Options, but: int = 0) -> F.Column:
     """Whether nothing between root and node (``but`` suppressors of the node
     itself aside) suppresses it; with include_hidden only skip tags count."""
-    if opts.include_hidden:
-        name = {"n_hs": "n_s", "n_hsn": "n_sn", "n_hid": None}[name]
-        return F.lit(True) if name is None else F.col(name) - but == F.col(f"r_{name}")
-    return (F.col(name) - but == F.col(f"r_{name}")) & ~F.col("r_unseen")
+    skip = {"n_hs": "n_s", "n_hsn": "n_sn", "n_hid": None}[name]
+    shown = F.lit(True) if skip is None else F.col(skip) - but == F.col(f"r_{skip}")
+    free = (F.col(name) - but == F.col(f"r_{name}")) & ~F.col("r_unseen")
+    if not opts.per_root:
+        return shown if opts.include_hidden else free
+    return F.when(opts.col("include_hidden"), shown).otherwise(free)
 
 
-def keep_attribute(name, strip_noise: bool = True, keep_test_ids: bool = True):
+def keep_attribute(name, strip_noise=True, keep_test_ids=True):
+    """The keep rule of an attribute name; both options may be columns."""
     name = F.col(name) if isinstance(name, str) else name
-    keep = name.isin(L.KEEP_ATTRS)
-    if not strip_noise:
-        return keep | F.lit(True)
-    if keep_test_ids:
-        keep = keep | (name == "data-testid")
-    return keep | ~name.rlike(NOISE_RX)
+    strip, ids = (c if isinstance(c, F.Column) else F.lit(c) for c in (strip_noise, keep_test_ids))
+    return name.isin(L.KEEP_ATTRS) | ~strip | (ids & (name == "data-testid")) | ~name.rlike(NOISE_RX)
 
 
 def kept_attrs(opts: Options = Options()):
-    return F.filter("attrs", lambda a: keep_attribute(a["name"], opts.strip_noise, opts.keep_test_ids))
+    return F.filter("attrs", lambda a: keep_attribute(a["name"], opts.col("strip_noise"), opts.col("keep_test_ids")))
 
 
 def open_tag(opts: Options = Options()):
@@ -67,6 +78,14 @@ def open_tag(opts: Options = Options()):
                     F.lit(">"))
 
 
+def finalized(raw, opts: Options) -> F.Column:
+    """Context header and line limit of an output, by the root's options."""
+    context = F.col("root_context")
+    if opts.per_root:
+        context = F.when(opts.col("include_context"), context)
+    return finalize_output(raw, F.coalesce(context, F.array().cast("array<string>")), opts.per_root or opts.include_context, opts.col("truncation"))
+
+
 def region_roots(els: DataFrame) -> DataFrame:
     """Element rows of page regions (body and landmark-like containers); of a page
     without any, its top elements."""
@@ -75,7 +94,7 @@ def region_roots(els: DataFrame) -> DataFrame:
     return els.withColumn("some", some).filter(region | (~F.col("some") & (F.col("depth") == 0))).drop("some")
 
 
-def root_columns(roots: DataFrame) -> DataFrame:
+def root_columns(roots: DataFrame, opts: Options = Options()) -> DataFrame:
     """What the pairs know of a root: suppressors are counted above it only."""
     h, s = F.col("own_hidden"), F.col("tag").isin(L.SKIP_TAGS)
     plain = s & (F.col("tag") != "svg")
@@ -83,13 +102,13 @@ def root_columns(roots: DataFrame) -> DataFrame:
     return roots.select(
         "page_id", "pos", F.struct(
             F.col("pos").alias("root_pos"), F.col("depth").alias("root_depth"), F.col("slevel").alias("root_slevel"),
-            (F.col("hidden") & ~h).alias("r_unseen"), *[(F.col(c) - own[c].cast("int")).alias(f"r_{c}") for c in SUPPRESSORS]).alias("root"))
+            (F.col("hidden") & ~h).alias("r_unseen"), *opts.columns(), *[(F.col(c) - own[c].cast("int")).alias(f"r_{c}") for c in SUPPRESSORS]).alias("root"))
 
 
-def pairs(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+def pairs(nodes: DataFrame, roots: DataFrame, opts: Options = Options()) -> DataFrame:
     """(root, node-in-subtree) pairs with ``rd`` = depth below the root and ``od``
     = depth in an outline, where a shadow root takes a level of its own."""
-    n = nodes.join(root_columns(roots), ["page_id", "pos"], "left")
+    n = nodes.join(root_columns(roots, opts), ["page_id", "pos"], "left")
     cols = [c for c in nodes.columns if c != "page_id"]
     is_root = F.col("root").isNotNull()
     pos = F.col("pos")
@@ -110,15 +129,17 @@ def pairs(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _within(opts: Options):
+    if opts.per_root:
+        return F.col("opt_depth").isNull() | (F.col("rd") <= F.col("opt_depth"))
     return F.lit(True) if opts.depth is None else (F.col("rd") <= opts.depth)
 
 
 def _listed(opts: Options):
     """Depth cut of an outline: a line is there if the one it hangs below is not cut."""
-    if opts.depth is None:
+    if opts.depth is None and not opts.per_root:
         return F.lit(True)
     step = F.when(F.col("via_shadow"), 2).otherwise(1)
-    return (F.col("rd") == 0) | (F.col("od") - step < opts.depth)
+    return opts.col("depth").isNull() | (F.col("rd") == 0) | (F.col("od") - step < opts.col("depth"))
 
 
 def _assemble(frags: DataFrame, roots_info: DataFrame, sep: str, opts: Options, fmt: str,
@@ -128,24 +149,22 @@ def _assemble(frags: DataFrame, roots_info: DataFrame, sep: str, opts: Options,
     j = roots_info.join(out, ["page_id", "root_pos"], "left")
     if not finalize:
         return j.select("page_id", F.col("root_pos").alias("pos"), F.coalesce("raw_output", F.lit("")).alias("raw"),
-                        "root_context")
-    return j.select(
-        "page_id", F.col("root_pos").alias("pos"), F.lit(fmt).alias("format"),
-        finalize_output(F.coalesce("raw_output", F.lit("")), F.col("root_context"), opts.include_context,
-                        opts.truncation).alias("output"))
+                        "root_context", *opts.columns())
+    return j.select("page_id", F.col("root_pos").alias("pos"), F.lit(fmt).alias("format"),
+                    finalized(F.coalesce("raw_output", F.lit("")), opts).alias("output"))
 
 
-def _root_info(roots: DataFrame) -> DataFrame:
-    return roots.select("page_id", F.col("pos").alias("root_pos"), F.col("context").alias("root_context"))
+def _root_info(roots: DataFrame, opts: Options = Options()) -> DataFrame:
+    return roots.select("page_id", F.col("pos").alias("root_pos"), F.col("context").alias("root_context"), *opts.columns())
 
 
 def _html_frags(opts: Options, frag) -> F.Column:
     """Markup fragments of a pair: start and end tags, texts, shadow root templates."""
     is_el, is_root = F.col("kind") == "open", F.col("kind") == "shadow"
     free = _free("n_hs", opts)
-    hidden = F.lit(False) if opts.include_hidden else F.col("hidden")
+    hidden = F.col("hidden") & ~opts.col("include_hidden")
     svg_ok = (F.col("tag") == "svg") & ~hidden & _free("n_hs", opts, 1)
-    cut = F.lit(False) if opts.depth is None else (F.col("rd") == opts.depth)
+    cut = F.coalesce(F.col("rd") == opts.col("depth"), F.lit(False))
     ot = open_tag(opts)
     close = F.concat(F.lit("</"), F.col("tag"), F.lit(">"))
     text = escape_html(clean_text("text"))
@@ -176,9 +195,9 @@ def _summary_line() -> F.Column:
 
 
 def _lines(nodes: DataFrame, roots: DataFrame, name: str, line, sep: str, opts: Options, fmt: str) -> DataFrame:
-    f = pairs(nodes.filter("kind <> 'text'"), roots).filter(_free(name, opts) & _listed(opts)).select(
+    f = pairs(nodes.filter("kind <> 'text'"), roots, opts).filter(_free(name, opts) & _listed(opts)).select(
         "page_id", "root_pos", F.col("place").alias("k1"), F.lit(0).alias("k2"), F.lit(0).alias("k3"), line.alias("frag"))
-    return _assemble(f, _root_info(roots), sep, opts, fmt)
+    return _assemble(f, _root_info(roots, opts), sep, opts, fmt)
 
 
 def clean_html(nodes_text: DataFrame, roots: DataFrame, opts: Options = Options(), finalize: bool = True) -> DataFrame:
@@ -188,8 +207,8 @@ def clean_html(nodes_text: DataFrame, roots: DataFrame, opts: Options = Options(
     def frag(k1, k2, k3, s):
         return F.struct(k1.alias("k1"), F.lit(k2).alias("k2"), k3.cast("long").alias("k3"), s.alias("frag"))
 
-    f = pairs(nodes_text, roots).select("page_id", "root_pos", F.inline(_html_frags(opts, frag)))
-    return _assemble(f, _root_info(roots), "", opts, "clean-html", finalize)
+    f = pairs(nodes_text, roots, opts).select("page_id", "root_pos", F.inline(_html_frags(opts, frag)))
+    return _assemble(f, _root_info(roots, opts), "", opts, "clean-html", finalize)
 
 
 def structure(nodes_text: DataFrame, roots: DataFrame, opts: Options = Options()) -> DataFrame:
@@ -261,27 +280,26 @@ def declared_styles(els_text: DataFrame, roots: DataFrame, opts: Options = Optio
     styles of visible elements in the subtree, tree order)."""
     # the roots stay among the nodes, whatever they declare
     p = pairs(els_text.join(roots.select("page_id", "pos", F.lit(True).alias("is_root")), ["page_id", "pos"], "left")
-              .filter(F.col("attr")["style"].isNotNull() | F.col("is_root")).drop("is_root"), roots)
+              .filter(F.col("attr")["style"].isNotNull() | F.col("is_root")).drop("is_root"), roots, opts)
     lines = style_lines()
     block = F.concat(rule_selector(), F.lit(" {\n  "), F.array_join(lines, "\n  "), F.lit("\n}"))
     f = p.filter(_free("n_hid", opts) & _within(opts) & (F.size(lines) > 0)).select(
         "page_id", "root_pos", F.col("place").alias("k1"), F.lit(0).alias("k2"), F.lit(0).alias("k3"),
         block.alias("frag"))
-    return _assemble(f, _root_info(roots), "\\n\\n", opts, "css", finalize)
+    return _assemble(f, _root_info(roots, opts), "\\n\\n", opts, "css", finalize)
 
 
-def html_css(nodes_text: DataFrame, els_text: DataFrame, roots: DataFrame, opts: Options = Options(),
-             include_css: bool = True) -> DataFrame:
-    """Cleaned markup followed by a ``<style>`` block of the subtree's rules."""
+def html_css(nodes_text: DataFrame, els_text: DataFrame, roots: DataFrame, opts: Options = Options()) -> DataFrame:
+    """Cleaned markup followed by a ``<style>`` block of the subtree's rules,
+    where the options include it."""
     h = clean_html(nodes_text, roots, opts, finalize=False)
-    if include_css:
+    raw = F.col("raw")
+    if opts.per_root or opts.include_css:
         st = declared_styles(els_text, roots, opts, finalize=False).select("page_id", "pos", F.col("raw").alias("css"))
         h = h.join(st, ["page_id", "pos"], "left")
-        raw = F.concat(F.col("raw"), F.lit("\n\n<style>\n"), F.coalesce("css", F.lit("")), F.lit("\n</style>"))
-    else:
-        raw = F.col("raw")
-    return h.select("page_id", "pos", F.lit("html-css").alias("format"),
-                    finalize_output(raw, F.col("root_context"), opts.include_context, opts.truncation).alias("output"))
+        block = F.concat(F.lit("\n\n<style>\n"), F.coalesce("css", F.lit("")), F.lit("\n</style>"))
+        raw = F.concat(raw, F.when(opts.col("include_css"), block).otherwise(F.lit("")))
+    return h.select("page_id", "pos", F.lit("html-css").alias("format"), finalized(raw, opts).alias("output"))
 
 
 def multi_format(nodes_text: DataFrame, roots: DataFrame, opts: Options = Options()) -> DataFrame:
@@ -299,7 +317,7 @@ def multi_format(nodes_text: DataFrame, roots: DataFrame, opts: Options = Option
         shown = ~is_text & _listed(opts) & _free(name, opts)
         return F.when(shown, F.array(frag(fmt)(F.col("place"), 0, F.lit(0), text))).otherwise(empty)
 
-    f = pairs(nodes_text, roots).select("page_id", "root_pos", F.inline(F.concat(
+    f = pairs(nodes_text, roots, opts).select("page_id", "root_pos", F.inline(F.concat(
         _html_frags(opts, frag("clean-html")), line("structure", "n_hsn", _summary_line()), line("accessibility", "n_hid", _line(a11y_line())))))
     out = f.groupBy("page_id", "root_pos", "format").agg(
         F.expr("listagg(CASE WHEN format = 'clean-html' THEN frag END, '') "
@@ -307,9 +325,7 @@ def multi_format(nodes_text: DataFrame, roots: DataFrame, opts: Options = Option
         F.expr("listagg(CASE WHEN format <> 'clean-html' THEN frag END, '\\n') "
                "WITHIN GROUP (ORDER BY k1, k2, k3)").alias("l"))
     fmts = F.explode(F.array(*[F.lit(x) for x in ("clean-html", "structure", "accessibility")]))
-    ri = _root_info(roots).select("*", fmts.alias("format"))
+    ri = _root_info(roots, opts).select("*", fmts.alias("format"))
     j = ri.join(out.select("page_id", "root_pos", "format", F.coalesce("h", "l").alias("raw_output")),
                 ["page_id", "root_pos", "format"], "left")
-    return j.select("page_id", F.col("root_pos").alias("pos"), "format",
-                    finalize_output(F.coalesce("raw_output", F.lit("")), F.col("root_context"),
-                                    opts.include_context, opts.truncation).alias("output"))
+    return j.select("page_id", F.col("root_pos").alias("pos"), "format", finalized(F.coalesce("raw_output", F.lit("")), opts).alias("output"))

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weblens.functions import lists as L
-from weblens.sources.log import format_of
 
 ORDER = ["ts", "event_id"]
 SALTS = 16
@@ -49,12 +48,32 @@ def selection_replay(log: DataFrame) -> DataFrame:
 
 def settings_replay(log: DataFrame) -> DataFrame:
     """Last value per (tab, key): ``(tab, key, value, ts)``."""
-    s = log.filter(F.col("type") == "set_format").select(
-        "tab", F.lit("format").alias("key"), format_of("element").alias("value"), *ORDER)
+    s = log.filter(F.col("type") == "set")
     return s.groupBy("tab", "key").agg(F.max_by(F.struct("value", "ts"), _key()).alias("v")).select(
         "tab", "key", F.col("v.value").alias("value"), F.col("v.ts").alias("ts"))
 
 
+def options(log: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """The effective settings of each tab as typed columns, one row a tab: its own
+    last values over per-site ``overrides`` (tab, key, value) over the defaults.
+    ``opt_depth`` is null for the whole subtree."""
+    s = settings_replay(log).select("tab", "key", "value", F.lit(1).alias("near"))
+    if overrides is not None:
+        s = s.unionByName(overrides.select("tab", "key", "value", F.lit(0).alias("near")))
+    s = log.select("tab").distinct().join(s, "tab", "left")
+
+    def value(key):
+        mine = F.col("key") == key
+        return F.coalesce(F.max_by(F.when(mine, F.col("value")), F.when(mine, F.col("near"))), F.lit(dict(DEFAULT_ROWS)[key]))
+
+    cols = {"opt_format": value("format"), "opt_depth": F.try_to_number(F.nullif(value("depth"), F.lit("Infinity")), F.lit("999")).cast("int")}
+    for key in ("includeContext", "includeCSS", "stripNoise", "keepTestIds", "includeHidden", "promptWrapper"):
+        cols[OPTION_NAMES[key]] = value(key) == "true"
+    for key in ("truncationThreshold", "maxTokenWarning"):
+        cols[OPTION_NAMES[key]] = value(key).cast("int")
+    return s.groupBy("tab").agg(*[c.alias(n) for n, c in cols.items()])
+
+
 def _default_str(v) -> str:
     if v is None:
         return "Infinity"
@@ -64,6 +83,10 @@ def _default_str(v) -> str:
 
 
 DEFAULT_ROWS = [(k, _default_str(v)) for k, v in L.DEFAULTS.items()]
+OPTION_NAMES = {
+    "includeContext": "opt_include_context", "includeCSS": "opt_include_css", "stripNoise": "opt_strip_noise", "keepTestIds": "opt_keep_test_ids",
+    "includeHidden": "opt_include_hidden", "promptWrapper": "opt_prompt_wrapper", "truncationThreshold": "opt_truncation", "maxTokenWarning": "opt_max_tokens",
+}
 
 
 def effective_settings(log: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
@@ -83,12 +106,6 @@ def effective_settings(log: DataFrame, overrides: DataFrame | None = None) -> Da
                     .otherwise("default").alias("source"))
 
 
-def current_format(log: DataFrame) -> DataFrame:
-    """``(tab, format)`` for every tab in the log."""
-    e = effective_settings(log).filter(F.col("key") == "format")
-    return e.select("tab", F.col("value").alias("format"))
-
-
 def inspector_state(log: DataFrame) -> DataFrame:
     """Inspector on/off per tab after replaying its toggles (starts off)."""
     return log.filter(F.col("type") == "inspector").groupBy("tab").agg(

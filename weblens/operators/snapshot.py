@@ -99,12 +99,14 @@ def snapshot_text(current) -> F.Column:
     return F.array_join(lines, "\n")
 
 
-def snapshot_for_roots(parts: DataFrame, roots: DataFrame) -> DataFrame:
+def snapshot_for_roots(parts: DataFrame, roots: DataFrame, opts=None) -> DataFrame:
     """Snapshot output (finalized) for each root element: ``(page_id, pos, output)``."""
-    r = roots.select("page_id", "pos", F.col("summary").alias("current"), F.col("context").alias("chain"))
+    from weblens.operators.render import Options, finalized
+
+    opts = opts or Options()
+    r = roots.select("page_id", "pos", F.col("summary").alias("current"), F.col("context").alias("root_context"), *opts.columns())
     j = r.join(parts, "page_id", "left")
-    return j.select("page_id", "pos", F.lit("page-snapshot").alias("format"),
-                    finalize_output(snapshot_text(F.col("current")), F.col("chain")).alias("output"))
+    return j.select("page_id", "pos", F.lit("page-snapshot").alias("format"), finalized(snapshot_text(F.col("current")), opts).alias("output"))
 
 
 def page_snapshot(pages: DataFrame, els: DataFrame, els_text: DataFrame, target_tag: str = "body") -> DataFrame:

@@ -10,6 +10,7 @@ window sweeps), so the check exercises the Spark plan, not a copy of it.
 from __future__ import annotations
 
 from weblens.functions import lists as L
+from weblens.sources.log import OPTION_VALUES
 from weblens.sources.pages import MALFORMED_REPLACEMENTS, RICH_REPLACEMENTS
 
 
@@ -352,6 +353,8 @@ ancg AS (
     max(CASE WHEN ahidden OR askip THEN apos END) AS sup_skip,
     max(CASE WHEN ahidden OR (askip AND atag <> 'svg') THEN apos END) AS sup_skip_nosvg,
     max(CASE WHEN (ahidden OR askip) AND apos < pos THEN apos END) AS anc_skip,
+    max(CASE WHEN askip THEN apos END) AS sup_s, max(CASE WHEN askip AND atag <> 'svg' THEN apos END) AS sup_sn,
+    max(CASE WHEN askip AND apos < pos THEN apos END) AS anc_s,
     string_agg(css_part, ' > ' ORDER BY adepth) AS css_path,
     string_agg(xpath_part, '/' ORDER BY adepth) AS xpath_absolute,
     string_agg(CASE WHEN adepth >= edepth - 4 THEN sel_part END, ' > ' ORDER BY adepth) AS class_chain,
@@ -359,7 +362,7 @@ ancg AS (
                           AND (adepth >= edepth - 6) THEN asummary END, ' > ' ORDER BY adepth), '') AS ctx6
   FROM anc GROUP BY page_id, pos),
 elp AS (
-  SELECT e.*, g.sup_hidden, g.sup_skip, g.sup_skip_nosvg, g.anc_skip, g.css_path, g.xpath_absolute,
+  SELECT e.*, g.sup_hidden, g.sup_skip, g.sup_skip_nosvg, g.anc_skip, g.sup_s, g.sup_sn, g.anc_s, g.css_path, g.xpath_absolute,
     CASE WHEN e.id <> '' THEN '#' || {css_escape_sql('e.id')} ELSE g.class_chain END AS selector,
     tc.text, substr({clean_sql('tc.text')}, 1, {L.PREVIEW_CHARS}) AS preview
   FROM elq e JOIN ancg g USING (page_id, pos) JOIN tc USING (page_id, pos)),
@@ -370,7 +373,9 @@ txs AS (
     (SELECT max(h.pos) FROM elx h WHERE h.page_id = t.page_id AND (h.hidden OR h.skip) AND h.pos < t.pos
        AND h.end_pos > t.pos) AS sup_skip,
     (SELECT max(h.pos) FROM elx h WHERE h.page_id = t.page_id AND (h.hidden OR (h.skip AND h.tag <> 'svg'))
-       AND h.pos < t.pos AND h.end_pos > t.pos) AS sup_skip_nosvg
+       AND h.pos < t.pos AND h.end_pos > t.pos) AS sup_skip_nosvg,
+    (SELECT max(h.pos) FROM elx h WHERE h.page_id = t.page_id AND h.skip AND h.pos < t.pos AND h.end_pos > t.pos) AS sup_s,
+    (SELECT max(h.pos) FROM elx h WHERE h.page_id = t.page_id AND h.skip AND h.tag <> 'svg' AND h.pos < t.pos AND h.end_pos > t.pos) AS sup_sn
   FROM txt t)
 """
 
@@ -383,39 +388,55 @@ NOISE_RX = "^(?:" + "|".join(p.replace("-", "\\-") for p in L.NOISE_PREFIXES) +
 REGION_TAGS = ["body", "header", "nav", "main", "article", "section", "aside", "footer", "form"]
 
 
-def truncate_sql(x: str, n: int = L.DEFAULTS["truncationThreshold"]) -> str:
+def truncate_sql(x: str, n) -> str:
     parts = f"string_split({x}, chr(10))"
     return (f"CASE WHEN len({parts}) <= {n} THEN {x} ELSE array_to_string({parts}[1:{n}], chr(10)) || chr(10) "
             f"|| '... [truncated ' || (len({parts}) - {n}) || ' more lines]' END")
 
 
-def finalize_sql(x: str, ctx: str) -> str:
-    y = f"CASE WHEN coalesce({ctx}, '') <> '' THEN 'CONTEXT: ' || {ctx} || chr(10) || chr(10) || {x} ELSE {x} END"
-    return truncate_sql(y)
+def finalize_sql(x: str, root: str) -> str:
+    """Context header and line limit by the options of the root row ``root``."""
+    ctx = f"CASE WHEN {root}.o_ctx THEN coalesce({root}.root_ctx, '') ELSE '' END"
+    y = f"CASE WHEN {ctx} <> '' THEN 'CONTEXT: ' || {ctx} || chr(10) || chr(10) || {x} ELSE {x} END"
+    return f"(SELECT {truncate_sql('y_.y', f'{root}.o_trunc')} FROM (SELECT {y} AS y) y_)"
 
 
-def render_ctes() -> str:
+OPTIONS = ["o_depth", "o_strip", "o_ids", "o_ctx", "o_css", "o_trunc", "o_hidden"]
+
+
+def option_literals(depth: int | None) -> str:
+    return (f"{'NULL' if depth is None else depth}::INTEGER AS o_depth, true AS o_strip, true AS o_ids, true AS o_ctx, true AS o_css, "
+            f"{L.DEFAULTS['truncationThreshold']} AS o_trunc, false AS o_hidden")
+
+
+def render_ctes(depth: int | None = None) -> str:
     """Roots (page regions), kept-attribute open tags, and (root, node) pairs."""
-    keep = f"(name IN {qlist(L.KEEP_ATTRS)} OR name = 'data-testid' OR NOT regexp_matches(name, {q(NOISE_RX)}))"
+    noise = f"regexp_matches(name, {q(NOISE_RX)})"
+
+    def kept(name: str, rule: str) -> str:
+        return f"""string_agg(CASE WHEN {rule} THEN name || '="' || {escape_html_sql('value')} || '"' END, ' ' ORDER BY i) AS {name}"""
+
+    listed = f"name IN {qlist(L.KEEP_ATTRS)}"
+    tag = lambda k: f"'<' || e.tag || CASE WHEN coalesce(k.{k}, '') <> '' THEN ' ' || k.{k} ELSE '' END || '>'"
     return f""",
 kept AS (
-  SELECT page_id, pos, string_agg(name || '="' || {escape_html_sql('value')} || '"', ' ' ORDER BY i) AS kattrs
-  FROM atr WHERE {keep} GROUP BY page_id, pos),
-roots AS (SELECT e.*, g.ctx6 AS root_ctx FROM elp e JOIN ancg g USING (page_id, pos)
+  SELECT page_id, pos, {kept('kids', f"{listed} OR name = 'data-testid' OR NOT {noise}")}, {kept('knoids', f"{listed} OR NOT {noise}")}, {kept('kall', 'true')}
+  FROM atr GROUP BY page_id, pos),
+roots AS (SELECT e.*, g.ctx6 AS root_ctx, {option_literals(depth)} FROM elp e JOIN ancg g USING (page_id, pos)
           WHERE e.tag IN {qlist(REGION_TAGS)} OR (e.depth = 0 AND NOT EXISTS (
             SELECT 1 FROM el o WHERE o.page_id = e.page_id AND o.tag IN {qlist(REGION_TAGS)}))),
 nd0 AS (
   SELECT e.page_id, e.pos, 'open' AS kind, e.tag, e.depth, e.slevel, e.via_shadow, e.end_pos, e.hidden, e.sup_skip, e.sup_skip_nosvg,
     e.sup_hidden, e.anc_skip, e.preview, NULL::VARCHAR AS ntext, e.summary,
-    '<' || e.tag || CASE WHEN coalesce(k.kattrs, '') <> '' THEN ' ' || k.kattrs ELSE '' END || '>' AS otag
+    {tag('kids')} AS otag, {tag('knoids')} AS otag_noids, {tag('kall')} AS otag_all, e.sup_s, e.sup_sn, e.anc_s
   FROM elp e LEFT JOIN kept k USING (page_id, pos)
   UNION ALL
   SELECT page_id, pos, 'text', NULL, depth, slevel, via_shadow, NULL, NULL, sup_skip, sup_skip_nosvg, sup_hidden, NULL, NULL, text,
-    NULL, NULL
+    NULL, NULL, NULL, NULL, sup_s, sup_sn, NULL
   FROM txs
   UNION ALL
   SELECT s.page_id, s.pos, 'shadow', '#shadow-root', h.depth + 1, h.slevel, false, s.end_pos, NULL, h.sup_skip, h.sup_skip_nosvg, h.sup_hidden, NULL, NULL, NULL,
-    NULL, '<template shadowrootmode="open">'
+    NULL, '<template shadowrootmode="open">', '<template shadowrootmode="open">', '<template shadowrootmode="open">', h.sup_s, h.sup_sn, NULL
   FROM sh s JOIN elp h ON h.page_id = s.page_id AND h.pos = s.host),
 hch AS (SELECT n.page_id, n.pos, list(s.host ORDER BY s.pos) AS hosts, max(CASE WHEN n.kind = 'shadow' THEN n.pos END) AS own
         FROM nd0 n JOIN sh s ON s.page_id = n.page_id AND s.pos < n.pos AND s.end_pos > n.pos GROUP BY n.page_id, n.pos),
@@ -424,29 +445,48 @@ nd AS (
     coalesce(h.hosts, []) || CASE WHEN n.kind = 'shadow' THEN [(SELECT s.host FROM sh s WHERE s.page_id = n.page_id AND s.pos = n.pos), -1] ELSE [n.pos] END AS place
   FROM nd0 n LEFT JOIN hch h USING (page_id, pos)),
 rp AS (
-  SELECT r.page_id, r.pos AS root_pos, n.*, n.depth - r.depth AS rd, n.depth - r.depth + n.slevel - r.slevel AS od
+  SELECT r.page_id, r.pos AS root_pos, {", ".join("r." + o for o in OPTIONS)}, n.* REPLACE (
+      CASE WHEN r.o_hidden THEN n.sup_s ELSE n.sup_skip END AS sup_skip, CASE WHEN r.o_hidden THEN n.sup_sn ELSE n.sup_skip_nosvg END AS sup_skip_nosvg,
+      CASE WHEN r.o_hidden THEN NULL ELSE n.sup_hidden END AS sup_hidden, CASE WHEN r.o_hidden THEN n.anc_s ELSE n.anc_skip END AS anc_skip,
+      n.hidden AND NOT r.o_hidden AS hidden,
+      CASE WHEN NOT r.o_strip THEN n.otag_all WHEN NOT r.o_ids THEN n.otag_noids ELSE n.otag END AS otag), n.depth - r.depth AS rd, n.depth - r.depth + n.slevel - r.slevel AS od
   FROM roots r JOIN nd n ON n.page_id = r.page_id AND n.pos >= r.pos AND n.pos < r.end_pos)
 """
 
 
 def log_ctes() -> str:
     fmts = "[" + ", ".join(q(f) for f in L.FORMATS) + "]"
+    n = len(OPTION_VALUES)
+    keys = " ".join(f"WHEN ((element % {n}) + {n}) % {n} = {i} THEN {q(name)}" for i, name in enumerate(OPTION_VALUES))
+    turn = f"((element - ((element % {n}) + {n}) % {n}) // {n})"
+    values = " ".join(f"WHEN ((element % {n}) + {n}) % {n} = {i} THEN [{', '.join(map(q, vs))}][({turn} % {len(vs)} + {len(vs)}) % {len(vs)} + 1]"
+                      for i, vs in enumerate(OPTION_VALUES.values()))
+
+    def opt(key: str, default: str) -> str:
+        return f"coalesce(max(CASE WHEN s.key = {q(key)} THEN s.value END), {q(default)})"
+
+    flags = ", ".join(f"{opt(k, str(L.DEFAULTS[k]).lower())} = 'true' AS {o}" for k, o in
+                      (("stripNoise", "o_strip"), ("keepTestIds", "o_ids"), ("includeContext", "o_ctx"), ("includeCSS", "o_css"), ("includeHidden", "o_hidden")))
     return f"""
 lg AS (
-  SELECT user_id AS tab, ts, event_id,
+  SELECT *, CASE WHEN event_type = 'purchase' THEN 'format' WHEN event_type = 'view' THEN CASE {keys} END END AS key,
+    CASE WHEN event_type = 'purchase' THEN {fmts}[(element % 6 + 6) % 6 + 1] WHEN event_type = 'view' THEN CASE {values} END END AS value
+  FROM (SELECT user_id AS tab, ts, event_id, event_type,
     CASE event_type WHEN 'click' THEN 'toggle' WHEN 'error' THEN 'clear' WHEN 'signup' THEN 'inspector'
-      WHEN 'purchase' THEN 'set_format' ELSE 'ignore' END AS type,
+      WHEN 'purchase' THEN 'set' WHEN 'view' THEN 'set' ELSE 'ignore' END AS type,
     CAST(json_extract_string(props, '$.k') AS BIGINT) AS element
-  FROM events),
+  FROM events)),
 sel AS (
   SELECT tab, element, count(*) AS toggles, max((ts, event_id)) AS last FROM lg t
   WHERE type = 'toggle' AND element IS NOT NULL
     AND NOT EXISTS (SELECT 1 FROM lg c WHERE c.tab = t.tab AND c.type = 'clear' AND (c.ts, c.event_id) > (t.ts, t.event_id))
   GROUP BY tab, element HAVING count(*) % 2 = 1),
 selr AS (SELECT tab, element, toggles, row_number() OVER (PARTITION BY tab ORDER BY last) AS sel_order FROM sel),
-stg AS (
-  SELECT tab, 'format' AS key, arg_max({fmts}[(element % 6 + 6) % 6 + 1], (ts, event_id)) AS value
-  FROM lg WHERE type = 'set_format' GROUP BY tab)"""
+stg AS (SELECT tab, key, arg_max(value, (ts, event_id)) AS value FROM lg WHERE type = 'set' GROUP BY tab, key),
+opt AS (
+  SELECT t.tab, {opt('format', L.DEFAULTS['format'])} AS o_format, TRY_CAST(nullif({opt('depth', 'Infinity')}, 'Infinity') AS INTEGER) AS o_depth, {flags},
+    CAST({opt('truncationThreshold', str(L.DEFAULTS['truncationThreshold']))} AS INTEGER) AS o_trunc
+  FROM (SELECT DISTINCT tab FROM lg) t LEFT JOIN stg s ON s.tab = t.tab GROUP BY t.tab)"""
 
 
 DECLARATION_RX = r"""(?:[^;"'()]+|"[^"]*"|'[^']*'|\((?:[^()"']+|"[^"]*"|'[^']*')*\)|["'()])+"""

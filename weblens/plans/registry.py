@@ -271,8 +271,8 @@ from weblens.operators import render as R  # noqa: E402
 from weblens.operators.a11y import a11y_findings  # noqa: E402
 
 
-def RW(select: str) -> str:  # noqa: N802
-    return O.with_base("", derived=True).rstrip() + O.render_ctes() + "\n" + select
+def RW(select: str, depth: int | None = None) -> str:  # noqa: N802
+    return O.with_base("", derived=True).rstrip() + O.render_ctes(depth) + "\n" + select
 
 
 def nodes_text(spark, sf, view=None):
@@ -283,11 +283,10 @@ def roots(spark, sf):
     return R.region_roots(C.elements(spark, sf))
 
 
-def clean_frags(depth: int | None = None) -> str:
+def clean_frags() -> str:
     void = f"tag IN {O.qlist(L.VOID_TAGS)}"
-    cut = "" if depth is None else (
-        f"WHEN rd = {depth} AND NOT {void} THEN otag || {O.escape_html_sql('preview')} || '</' || tag || '>'")
-    within, inner = ("true", "true") if depth is None else (f"rd <= {depth}", f"rd < {depth}")
+    cut = f"WHEN rd = o_depth AND NOT {void} THEN otag || {O.escape_html_sql('preview')} || '</' || tag || '>'"
+    within, inner = "(o_depth IS NULL OR rd <= o_depth)", "(o_depth IS NULL OR rd < o_depth)"
     return f"""
 SELECT page_id, root_pos, place AS k1, 1 AS k2, 0 AS k3,
   CASE WHEN kind = 'text' THEN {O.escape_html_sql(O.clean_sql('ntext'))}
@@ -312,9 +311,9 @@ CLEAN_FRAGS = clean_frags()
 
 
 def render_select(frags: str, sep: str, fmt: str) -> str:
-    out = f"coalesce(o.raw_output, '')"
+    out = "coalesce(o.raw_output, '')"
     return f"""
-SELECT r.page_id, r.pos, '{fmt}' AS format, {O.finalize_sql(out, 'r.root_ctx')} AS output
+SELECT r.page_id, r.pos, '{fmt}' AS format, {O.finalize_sql(out, 'r')} AS output
 FROM roots r LEFT JOIN (
   SELECT page_id, root_pos, string_agg(frag, {sep} ORDER BY k1, k2, k3) AS raw_output FROM ({frags})
   GROUP BY page_id, root_pos) o ON o.page_id = r.page_id AND o.root_pos = r.pos"""
@@ -325,15 +324,14 @@ def q_clean_html(spark, sf):
     return R.clean_html(nodes_text(spark, sf), roots(spark, sf))
 
 
-def outline_cut(depth: int | None) -> str:
-    """A line is listed if the element (or shadow root line) it hangs below is not cut."""
-    return "" if depth is None else f" AND (p.rd = 0 OR p.od - CASE WHEN p.via_shadow THEN 2 ELSE 1 END < {depth})"
+# a line is listed if the element (or shadow root line) it hangs below is not cut
+OUTLINE_CUT = " AND (p.o_depth IS NULL OR p.rd = 0 OR p.od - CASE WHEN p.via_shadow THEN 2 ELSE 1 END < p.o_depth)"
 
 
-def structure_frags(depth: int | None = None) -> str:
+def structure_frags() -> str:
     return (f"SELECT page_id, root_pos, place AS k1, 0 AS k2, 0 AS k3, repeat('  ', od::INTEGER) || CASE WHEN kind = 'shadow' THEN tag ELSE summary || "
             f"CASE WHEN preview <> '' THEN ' \"' || preview || '\"' ELSE '' END END AS frag FROM rp p "
-            f"WHERE kind <> 'text' AND (sup_skip_nosvg IS NULL OR sup_skip_nosvg < root_pos){outline_cut(depth)}")
+            f"WHERE kind <> 'text' AND (sup_skip_nosvg IS NULL OR sup_skip_nosvg < root_pos){OUTLINE_CUT}")
 
 
 @query("structure", RW(render_select(structure_frags(), "chr(10)", "structure")))
@@ -365,11 +363,11 @@ A11Y_WARNS = """
     lambda x: x IS NOT NULL), ', ')"""
 
 
-def a11y_frags(depth: int | None = None) -> str:
+def a11y_frags() -> str:
     return (f"SELECT p.page_id, p.root_pos, p.place AS k1, 0 AS k2, 0 AS k3, repeat('  ', p.od::INTEGER) || "
             f"CASE WHEN p.kind = 'shadow' THEN p.tag ELSE {A11Y_LINE} END AS frag "
             f"FROM rp p LEFT JOIN (SELECT *, {A11Y_WARNS} AS warns FROM elp) e ON e.page_id = p.page_id AND e.pos = p.pos "
-            f"WHERE p.kind <> 'text' AND (p.sup_hidden IS NULL OR p.sup_hidden < p.root_pos){outline_cut(depth)}")
+            f"WHERE p.kind <> 'text' AND (p.sup_hidden IS NULL OR p.sup_hidden < p.root_pos){OUTLINE_CUT}")
 
 
 @query("a11y_outline", RW(render_select(a11y_frags(), "chr(10)", "accessibility")))
@@ -545,8 +543,8 @@ def LVW(select: str, render: bool = False) -> str:  # noqa: N802
     if render:
         body = O.render_ctes()
         a, b = body.index("roots AS ("), body.index("nd0 AS (")
-        base += body[:a] + ("roots AS (SELECT DISTINCT e.*, g.ctx6 AS root_ctx FROM elp e JOIN ancg g USING (page_id, pos) "
-                            "JOIN live l ON l.page_id = e.page_id AND l.pos = e.pos),\n") + body[b:]
+        base += body[:a] + (f"roots AS (SELECT DISTINCT e.*, g.ctx6 AS root_ctx, {', '.join('o.' + c for c in O.OPTIONS)} FROM elp e JOIN ancg g USING (page_id, pos) "
+                            "JOIN live l ON l.page_id = e.page_id AND l.pos = e.pos JOIN opt o ON o.tab = l.tab),\n") + body[b:]
     return base + "\n" + select
 
 
@@ -584,27 +582,26 @@ SELECT p.page_id, p.root_pos, p.place AS k1, 0 AS k2, 0 AS k3,
        ELSE e.selector END || ' {' || chr(10) || '  ' || array_to_string(s.lines, chr(10) || '  ') || chr(10) || '}'
     AS frag
 FROM rp p JOIN stl s ON s.page_id = p.page_id AND s.pos = p.pos JOIN elp e ON e.page_id = p.page_id AND e.pos = p.pos
-WHERE p.kind = 'open' AND (p.sup_hidden IS NULL OR p.sup_hidden < p.root_pos) AND len(s.lines) > 0"""
+WHERE p.kind = 'open' AND (p.sup_hidden IS NULL OR p.sup_hidden < p.root_pos) AND len(s.lines) > 0 AND (p.o_depth IS NULL OR p.rd <= p.o_depth)"""
 
 
 def raw_select(frags: str, sep: str) -> str:
     return f"""
-SELECT r.page_id, r.pos, r.root_ctx, coalesce(o.raw_output, '') AS raw
+SELECT r.page_id, r.pos, r.root_ctx, r.o_ctx, r.o_css, r.o_trunc, coalesce(o.raw_output, '') AS raw
 FROM roots r LEFT JOIN (
   SELECT page_id, root_pos, string_agg(frag, {sep} ORDER BY k1, k2, k3) AS raw_output FROM ({frags})
   GROUP BY page_id, root_pos) o ON o.page_id = r.page_id AND o.root_pos = r.pos"""
 
 
 def html_css_select() -> str:
+    block = "h.raw || CASE WHEN h.o_css THEN chr(10) || chr(10) || '<style>' || chr(10) || s.raw || chr(10) || '</style>' ELSE '' END"
     return f"""
-SELECT h.page_id, h.pos, 'html-css' AS format,
-  {O.finalize_sql("h.raw || chr(10) || chr(10) || '<style>' || chr(10) || s.raw || chr(10) || '</style>'", 'h.root_ctx')}
-    AS output
+SELECT h.page_id, h.pos, 'html-css' AS format, {O.finalize_sql(block, 'h')} AS output
 FROM ({raw_select(CLEAN_FRAGS, "''")}) h JOIN ({raw_select(STYLE_FRAGS, "chr(10) || chr(10)")}) s USING (page_id, pos)"""
 
 
-def SW(select: str) -> str:  # noqa: N802
-    return O.with_base("", derived=True).rstrip() + O.render_ctes().rstrip() + O.styles_cte() + "\n" + select
+def SW(select: str, depth: int | None = None) -> str:  # noqa: N802
+    return O.with_base("", derived=True).rstrip() + O.render_ctes(depth).rstrip() + O.styles_cte() + "\n" + select
 
 
 @query("declared_styles", SW(f"SELECT page_id, pos, raw AS styles FROM ({raw_select(STYLE_FRAGS, 'chr(10) || chr(10)')})"))
@@ -617,21 +614,21 @@ def _depth_limited(depth: int) -> None:
     """The outputs cut at a depth below the root."""
     opts = R.Options(depth=depth)
 
-    @query(f"clean_html_depth{depth}", RW(render_select(clean_frags(depth), "''", "clean-html")))
+    @query(f"clean_html_depth{depth}", RW(render_select(clean_frags(), "''", "clean-html"), depth))
     def clean(spark, sf):
         return R.clean_html(nodes_text(spark, sf), roots(spark, sf), opts)
 
-    @query(f"structure_depth{depth}", RW(render_select(structure_frags(depth), "chr(10)", "structure")))
+    @query(f"structure_depth{depth}", RW(render_select(structure_frags(), "chr(10)", "structure"), depth))
     def structure(spark, sf):
         return R.structure(nodes_text(spark, sf), roots(spark, sf), opts)
 
-    @query(f"a11y_depth{depth}", RW(render_select(a11y_frags(depth), "chr(10)", "accessibility")))
+    @query(f"a11y_depth{depth}", RW(render_select(a11y_frags(), "chr(10)", "accessibility"), depth))
     def a11y(spark, sf):
         return R.a11y_outline(nodes_text(spark, sf), roots(spark, sf), opts)
 
-    styles = raw_select(f"{STYLE_FRAGS} AND p.rd <= {depth}", "chr(10) || chr(10)")
+    styles = raw_select(STYLE_FRAGS, "chr(10) || chr(10)")
 
-    @query(f"styles_depth{depth}", SW(f"SELECT page_id, pos, raw AS styles FROM ({styles})"))
+    @query(f"styles_depth{depth}", SW(f"SELECT page_id, pos, raw AS styles FROM ({styles})", depth))
     def declared(spark, sf):
         d = R.declared_styles(C.elements(spark, sf), roots(spark, sf), opts, finalize=False)
         return d.select("page_id", "pos", F.col("raw").alias("styles"))
@@ -658,34 +655,35 @@ def _formats_union_sql() -> str:
             f"{render_select(a11y_frags(), 'chr(10)', 'accessibility')}")
 
 
-def all_outputs(spark, sf, r, view):
+def all_outputs(spark, sf, r, view, opts=R.Options()):
     """All six formats of the root elements ``r``: ``(page_id, pos, format, output)``."""
     e, nt = C.elements(spark, sf, view), nodes_text(spark, sf, view)
     pages, tt = C.pages(spark, sf, view), titles(spark, sf, view)
     parts = S.page_parts(pages, e, tt)
     pay = PL.selector_payload(_scope(e).join(r.select("page_id", "pos"), ["page_id", "pos"], "left_semi"), _locators(spark, sf, view))
-    docs = PL.selector_document(pay, S.page_title(pages, tt), r)
-    return (R.multi_format(nt, r).unionByName(R.html_css(nt, e, r)).unionByName(S.snapshot_for_roots(parts, r)).unionByName(docs))
+    docs = PL.selector_document(pay, S.page_title(pages, tt), r, opts)
+    return (R.multi_format(nt, r, opts).unionByName(R.html_css(nt, e, r, opts)).unionByName(S.snapshot_for_roots(parts, r, opts)).unionByName(docs))
 
 
 def capture_outputs(spark, sf):
-    """Outputs of every live capture in the six formats:
-    ``(tab, sel_order, page_id, pos, format, output)``."""
+    """Outputs of every live capture in the six formats, each by the options of its
+    tab: ``(tab, sel_order, page_id, pos, format, output)``."""
     def build():
         lv = live(spark, sf)
-        r = lv.select(*[c for c in lv.columns if c not in ("tab", "sel_order")]).dropDuplicates(["page_id", "pos"])
-        return lv.select("tab", "sel_order", "page_id", "pos").join(all_outputs(spark, sf, r, CAP), ["page_id", "pos"])
+        # a page has one tab, so a root has one set of options
+        r = lv.drop("sel_order").dropDuplicates(["page_id", "pos"]).join(RP.options(read_log(spark, sf)), "tab").drop("tab")
+        return lv.select("tab", "sel_order", "page_id", "pos").join(all_outputs(spark, sf, r, CAP, R.Options(per_root=True)), ["page_id", "pos"])
     return C.memo(spark, sf, "capture_outputs", build)
 
 
 def six_formats_sql() -> str:
     snap = f"""
-SELECT r.page_id, r.pos, 'page-snapshot' AS format, {O.finalize_sql("sp.body || r.summary", "r.root_ctx")} AS output
+SELECT r.page_id, r.pos, 'page-snapshot' AS format, {O.finalize_sql("sp.body || r.summary", "r")} AS output
 FROM roots r JOIN (SELECT t.page_id, replace(s.snapshot, 'CURRENT_SELECTION: ' || s.cur, 'CURRENT_SELECTION: ') AS body
   FROM ttl t JOIN ({snapshot_sql().replace("AS snapshot", "AS snapshot, (SELECT arg_min(summary, pos) FROM elx x WHERE x.page_id = t.page_id AND x.tag = 'body') AS cur")}) s
   USING (page_id)) sp USING (page_id)"""
     doc = f"""
-SELECT r.page_id, r.pos, 'selectors' AS format, {O.finalize_sql("d.doc", "r.root_ctx")} AS output
+SELECT r.page_id, r.pos, 'selectors' AS format, {O.finalize_sql("d.doc", "r")} AS output
 FROM roots r JOIN ({OL.document_sql()}) d USING (page_id, pos)"""
     return f"{_formats_union_sql()} UNION ALL {html_css_select()} UNION ALL {snap} UNION ALL {doc}"
 
@@ -763,6 +761,20 @@ def q_combined_output(spark, sf):
     return PR.combined_output(capture_outputs(spark, sf))
 
 
+@query("current_output", CW(f"""
+SELECT o.tab, o.o_format AS format, coalesce(c.output, '') AS output FROM opt o LEFT JOIN ({COMBINED_SQL}) c ON c.tab = o.tab AND c.format = o.o_format"""))
+def q_current_output(spark, sf):
+    """What each tab shows: its combined output in its current format."""
+    o = RP.options(read_log(spark, sf)).select("tab", F.col("opt_format").alias("format"))
+    return o.join(PR.combined_output(capture_outputs(spark, sf)).drop("items"), ["tab", "format"], "left").fillna("", ["output"])
+
+
+@query("tab_options", GW("SELECT tab, o_format AS format, o_depth AS depth, o_strip AS strip_noise, o_ctx AS include_context, o_css AS include_css, o_hidden AS include_hidden, o_trunc AS truncation FROM opt"))
+def q_tab_options(spark, sf):
+    o = RP.options(read_log(spark, sf))
+    return o.select("tab", *[F.col(f"opt_{c}").alias(c) for c in ("format", "depth", "strip_noise", "include_context", "include_css", "include_hidden", "truncation")])
+
+
 def prompt_sql() -> str:
     def tmpl(lines):
         parts = []
