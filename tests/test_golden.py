@@ -300,3 +300,22 @@ def test_one_plan_serves_roots_with_their_own_options(spark):
         for df in (R.multi_format(t.nodes_text, some, o), R.html_css(t.nodes_text, t.elements_text, some, o)):
             want.update({(r["page_id"], r["pos"], r["format"]): r["output"] for r in df.collect()})
     assert got == want and len(got) == 4 * len(pick)
+
+
+def test_a_job_brings_its_own_lists_and_templates(spark):
+    import pytest
+
+    from weblens.functions.lists import names_of
+    from weblens.operators.prompt import build_prompt
+
+    t = tables(spark)
+    keep = names_of(spark.createDataFrame([("data-foo",), ("style",), (None,), ("style",)], "name string"))
+    noise = names_of(spark.createDataFrame([("data-",), ("_ng",), ("js",)], "prefix string"))
+    opts = R.Options(include_context=False, keep=keep, noise=noise, keep_test_ids=False)
+    assert out(R.clean_html(t.nodes_text, t.roots(2, "div"), opts)) == '<div style="color: red" data-foo="k">xy</div>'
+    with pytest.raises(ValueError):
+        names_of(spark.range(12).select(F.col("id").cast("string")), limit=10)
+    df = spark.createDataFrame([("x", "T", "u", 2, "o"), ("y", "T", "u", 3, "o"), ("z", "T", "u", 4, "o")], "f string, t string, u string, n int, o string")
+    own = {"x": ["{title}: {count}", "{output}"], "y": lambda c: F.concat(c["count"], F.lit("/"), c["url"])}
+    got = df.select(build_prompt(*[F.col(c) for c in "ftuno"], templates=own, fallback=["{format}?"]).alias("p")).collect()
+    assert [r["p"] for r in got] == ["T: 2\no", "3/u", "z?"]

@@ -11,19 +11,29 @@ def test_capturable_urls(spark):
     assert sorted(r["page_id"] for r in capturable_pages(df).collect()) == [1, 8, 9, 10]
 
 
-def test_capture_rows_round_trip_through_the_sink(spark, tmp_path):
-    """Outputs of all captures written partitioned by format, and read back by format."""
+def test_outputs_through_the_sink(spark, tmp_path):
+    """Written by format, read with the other formats pruned, rewritten format by format."""
     from conftest import SF_SMALL
     from weblens.functions import lists as L
     from weblens.plans.registry import capture_outputs
-    from weblens.sources.sinks import write_outputs
+    from weblens.sources.sinks import read_outputs, write_outputs
 
+    path, key = str(tmp_path / "out"), ["tab", "sel_order", "format", "output"]
     out = capture_outputs(spark, SF_SMALL)
-    write_outputs(out, str(tmp_path / "out"))
-    back = spark.read.parquet(str(tmp_path / "out"))
+    rows = sorted(map(tuple, out.select(key).collect()))
+    write_outputs(out, path)
+    write_outputs(out, path)  # a job that runs again replaces its rows
+    back = read_outputs(spark, path)
     assert {r.format for r in back.select("format").distinct().collect()} == set(L.FORMATS)
-    key = ["tab", "sel_order", "format", "output"]
-    assert sorted(map(tuple, back.select(key).collect())) == sorted(map(tuple, out.select(key).collect()))
+    assert sorted(map(tuple, back.select(key).collect())) == rows
+    some = read_outputs(spark, path, ["structure"])
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "structure" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert len(some.inputFiles()) >= 1 and {r.format for r in some.select("format").distinct().collect()} == {"structure"}
+    write_outputs(some.limit(1).cache(), path)
+    now = {r.format: r["count"] for r in read_outputs(spark, path).groupBy("format").count().collect()}
+    before = len(rows) // len(L.FORMATS)
+    assert now.pop("structure") == 1 and set(now.values()) == {before}
 
 
 def test_missing_shared_folder_raises_off_local_masters(monkeypatch):

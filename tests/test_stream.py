@@ -84,3 +84,41 @@ def test_late_clear_is_dropped_and_counted(spark):
     on_time = spark.createDataFrame(files[0] + files[1], schema)
     assert _rows(got) == _rows(selection_replay(log_from_events(on_time))) == [(1, 5, 5, 1)]
     assert [r.late for r in got.collect()] == [1]
+
+
+def test_settings_stream_in_any_order(spark):
+    """Last writer by event order, whichever micro-batch brings it."""
+    from weblens.operators.replay import settings_replay
+    from weblens.streaming.settings_stream import run_settings_stream
+
+    want = sorted(tuple(r) for r in settings_replay(read_log(spark, SF_SMALL)).select("tab", "key", "value").collect())
+    flat = _split(spark, 2 - F.col("event_id") % 3, 3)
+    assert sorted(tuple(r) for r in run_settings_stream(spark, flat, glob="*.parquet").collect()) == want and len({k for _, k, _ in want}) == 8
+
+
+def test_state_per_element_in_any_order(spark):
+    from weblens.streaming.selection_state import run_selection_state
+
+    batch = _rows(selection_replay(read_log(spark, SF_SMALL)))
+    flat = _split(spark, F.col("event_id") % 3, 3)
+    assert _rows(run_selection_state(spark, flat, glob="*.parquet", watermark="36500 days")) == batch
+
+
+def test_state_per_element_folds_behind_the_watermark(spark):
+    """In order over several micro-batches: what the watermark has passed is folded by timers."""
+    from pyspark.sql import Window
+
+    from weblens.streaming.selection_state import run_selection_state
+
+    batch = _rows(selection_replay(read_log(spark, SF_SMALL)))
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet").withColumn("chunk", F.ntile(4).over(Window.orderBy("ts", "event_id")) - 1)
+    d = tempfile.mkdtemp(prefix="weblens-state-")
+    for i in range(4):
+        out = tempfile.mkdtemp(prefix="weblens-ev-")
+        ev.filter(F.col("chunk") == i).drop("chunk").coalesce(1).write.mode("overwrite").parquet(out)
+        import glob
+        import shutil
+        import time
+        shutil.copy(glob.glob(f"{out}/*.parquet")[0], f"{d}/chunk{i}.parquet")
+        time.sleep(0.05)
+    assert _rows(run_selection_state(spark, d, glob="*.parquet", watermark="1 hour")) == batch

@@ -12,6 +12,20 @@ content, which are raw text), used by our tree builder.
 
 from html.entities import html5
 
+from pyspark.sql import DataFrame
+
+
+def names_of(table: DataFrame, limit: int = 10_000) -> tuple[str, ...]:
+    """The values of a table's first column, sorted, as a job's own list (attribute
+    names to keep, beginnings of noise). They go into the plan, so a table of more
+    than ``limit`` different values is refused."""
+    column = table.columns[0]
+    rows = table.select(column).filter(f"`{column}` IS NOT NULL").distinct().limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} names: too many for a list in the plan")
+    return tuple(sorted(r[0] for r in rows))
+
+
 # ---------------------------------------------------------------------------
 # FIXED VALUES (must equal the reference behaviour)
 # ---------------------------------------------------------------------------

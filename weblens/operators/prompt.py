@@ -89,6 +89,7 @@ PROMPT_TEMPLATES = {
         "```",
     ],
 }
+# FIXED VALUES: the template of any other format.
 FALLBACK_TEMPLATE = [
     'DOM capture from "{title}"',
     "URL: {url}",
@@ -114,14 +115,20 @@ def _fill(line: str, fields: dict) -> F.Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
-def build_prompt(fmt, title, url, count, output) -> F.Column:
-    """``CASE format WHEN ... THEN template`` with a fallback."""
+def build_prompt(fmt, title, url, count, output, templates: dict | None = None, fallback: list[str] | None = None) -> F.Column:
+    """``CASE format WHEN ... THEN template`` with a fallback. A job may bring its own
+    ``templates``: by format, lines with ``{title}``, ``{url}``, ``{count}``, ``{output}`` and
+    ``{format}``, or a function from these columns (by name) to a column."""
     fields = {"title": title, "url": url, "count": count.cast("string"), "output": output, "format": fmt}
+
+    def body(template) -> F.Column:
+        return template(fields) if callable(template) else F.concat_ws("\n", *[_fill(x, fields) for x in template])
+
     expr = None
-    for name, lines in PROMPT_TEMPLATES.items():
-        body = F.concat_ws("\n", *[_fill(x, fields) for x in lines])
-        expr = F.when(fmt == name, body) if expr is None else expr.when(fmt == name, body)
-    return expr.otherwise(F.concat_ws("\n", *[_fill(x, fields) for x in FALLBACK_TEMPLATE]))
+    for name, template in (PROMPT_TEMPLATES if templates is None else templates).items():
+        expr = F.when(fmt == name, body(template)) if expr is None else expr.when(fmt == name, body(template))
+    last = body(fallback or FALLBACK_TEMPLATE)
+    return last if expr is None else expr.otherwise(last)
 
 
 def token_costs(outputs: DataFrame, budget: int = L.DEFAULTS["maxTokenWarning"]) -> DataFrame:

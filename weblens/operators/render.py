@@ -24,9 +24,6 @@ from weblens.operators.tree import SUPPRESSORS
 # Capture roots used by the registered format queries: page regions.
 REGION_TAGS = ["body", "header", "nav", "main", "article", "section", "aside", "footer", "form"]
 
-NOISE_RX = "^(?:" + "|".join(p.replace("-", "\\-") for p in L.NOISE_PREFIXES) + ")"
-
-
 @dataclass(frozen=True)
 class Options:
     """Options of an output job. With ``per_root`` each root brings its own, as
@@ -41,12 +38,16 @@ class Options:
     include_hidden: bool = False
     include_css: bool = True
     per_root: bool = False
+    # the job's own lists (see ``functions.lists.names_of``): attribute names that are
+    # kept, beginnings of names that are noise
+    keep: tuple[str, ...] = tuple(L.KEEP_ATTRS)
+    noise: tuple[str, ...] = tuple(L.NOISE_PREFIXES)
 
     def col(self, name: str) -> F.Column:
         return F.col(f"opt_{name}") if self.per_root else F.lit(getattr(self, name))
 
     def columns(self) -> list[str]:
-        return [f"opt_{f.name}" for f in fields(self) if f.name != "per_root"] if self.per_root else []
+        return [f"opt_{f.name}" for f in fields(self) if f.name not in ("per_root", "keep", "noise")] if self.per_root else []
 
 
 def _free(name: str, opts: Options, but: int = 0) -> F.Column:
@@ -60,15 +61,17 @@ def _free(name: str, opts: Options, but: int = 0) -> F.Column:
     return F.when(opts.col("include_hidden"), shown).otherwise(free)
 
 
-def keep_attribute(name, strip_noise=True, keep_test_ids=True):
-    """The keep rule of an attribute name; both options may be columns."""
+def keep_attribute(name, opts: Options = Options()) -> F.Column:
+    """The keep rule of an attribute name."""
     name = F.col(name) if isinstance(name, str) else name
-    strip, ids = (c if isinstance(c, F.Column) else F.lit(c) for c in (strip_noise, keep_test_ids))
-    return name.isin(L.KEEP_ATTRS) | ~strip | (ids & (name == "data-testid")) | ~name.rlike(NOISE_RX)
+    noise = F.lit(False)
+    for prefix in opts.noise:
+        noise = noise | name.startswith(prefix)
+    return name.isin(*opts.keep) | ~opts.col("strip_noise") | (opts.col("keep_test_ids") & (name == "data-testid")) | ~noise
 
 
 def kept_attrs(opts: Options = Options()):
-    return F.filter("attrs", lambda a: keep_attribute(a["name"], opts.col("strip_noise"), opts.col("keep_test_ids")))
+    return F.filter("attrs", lambda a: keep_attribute(a["name"], opts))
 
 
 def open_tag(opts: Options = Options()):

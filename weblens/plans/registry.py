@@ -483,7 +483,9 @@ def q_fingerprint(spark, sf):
 # ---------------------------------------------------------------------------
 from weblens.operators import captures as CP  # noqa: E402
 from weblens.operators import replay as RP  # noqa: E402
+from weblens.session import scratch_path  # noqa: E402
 from weblens.sources.log import read_log  # noqa: E402
+from weblens.sources.sinks import read_outputs, write_outputs  # noqa: E402
 
 
 def GW(select: str) -> str:  # noqa: N802
@@ -761,6 +763,14 @@ def q_combined_output(spark, sf):
     return PR.combined_output(capture_outputs(spark, sf))
 
 
+@query("capture_sink", CW(f"SELECT tab, sel_order, format, output FROM ({capture_outputs_sql()}) WHERE format IN ('structure', 'html-css')"))
+def q_capture_sink(spark, sf):
+    """All outputs written partitioned by format; two of the formats read back."""
+    path = scratch_path(spark, "captures")
+    write_outputs(capture_outputs(spark, sf), path)
+    return read_outputs(spark, path, ["structure", "html-css"]).select("tab", "sel_order", "format", "output")
+
+
 @query("current_output", CW(f"""
 SELECT o.tab, o.o_format AS format, coalesce(c.output, '') AS output FROM opt o LEFT JOIN ({COMBINED_SQL}) c ON c.tab = o.tab AND c.format = o.o_format"""))
 def q_current_output(spark, sf):
@@ -838,6 +848,24 @@ def q_selection_replay_stream(spark, sf):
 ORACLE["selection_replay_stream"] = ORACLE["selection_replay"]
 
 
+@query("selection_state_stream")
+def q_selection_state_stream(spark, sf):
+    from weblens.streaming.selection_state import run_selection_state
+    return run_selection_state(spark, sf)
+
+
+ORACLE["selection_state_stream"] = ORACLE["selection_replay"]
+
+
+@query("settings_replay_stream")
+def q_settings_replay_stream(spark, sf):
+    from weblens.streaming.settings_stream import run_settings_stream
+    return run_settings_stream(spark, sf)
+
+
+ORACLE["settings_replay_stream"] = ORACLE["settings_replay"]
+
+
 # ---------------------------------------------------------------------------
 # the fixture view with more markup: ids, ARIA, forms, hidden subtrees, shadow roots
 # ---------------------------------------------------------------------------
