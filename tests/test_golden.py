@@ -183,7 +183,7 @@ def test_multi_format_equals_single_formats(spark):
     got = {(r["page_id"], r["pos"], r["format"]): r["output"] for r in R.multi_format(t.nodes_text, roots).collect()}
     want = {}
     for df in (R.clean_html(t.nodes_text, roots), R.structure(t.elements_text, roots),
-               R.a11y_outline(t.elements_text, roots)):
+               R.a11y_outline(t.elements_text, roots), R.html_css(t.nodes_text, t.elements_text, roots)):
         want.update({(r["page_id"], r["pos"], r["format"]): r["output"] for r in df.collect()})
     assert got == want and len(got) > 0
 
@@ -292,12 +292,12 @@ def test_one_plan_serves_roots_with_their_own_options(spark):
     mine = t.elements_text.join(opts, ["page_id", "pos"])
     own = R.Options(per_root=True)
     got = {(r["page_id"], r["pos"], r["format"]): r["output"]
-           for df in (R.multi_format(t.nodes_text, mine, own), R.html_css(t.nodes_text, t.elements_text, mine, own)) for r in df.collect()}
+           for df in (R.multi_format(t.nodes_text, mine, own),) for r in df.collect()}
     want = {}
     for o in choices:
         keys = [k for k, c in pick.items() if c is o]
         some = t.elements_text.join(spark.createDataFrame(keys, "page_id long, pos long"), ["page_id", "pos"])
-        for df in (R.multi_format(t.nodes_text, some, o), R.html_css(t.nodes_text, t.elements_text, some, o)):
+        for df in (R.clean_html(t.nodes_text, some, o), R.structure(t.nodes_text, some, o), R.a11y_outline(t.nodes_text, some, o), R.html_css(t.nodes_text, t.elements_text, some, o)):
             want.update({(r["page_id"], r["pos"], r["format"]): r["output"] for r in df.collect()})
     assert got == want and len(got) == 4 * len(pick)
 

@@ -131,11 +131,16 @@ def _counts(keys: DataFrame) -> DataFrame:
     return keys.groupBy("page_id", "key").agg(F.count("*").alias("matches"))
 
 
-def shortest_unique(els: DataFrame) -> DataFrame:
+def _of(els: DataFrame, targets: DataFrame | None) -> DataFrame:
+    """The elements that locators are made for; all of them match."""
+    return els if targets is None else els.join(targets.select("page_id", "pos"), ["page_id", "pos"], "left_semi")
+
+
+def shortest_unique(els: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """Shortest candidate selector matching exactly this element:
     ``(page_id, pos, shortest_unique)``; ties go to the earlier candidate."""
     els = in_document(els)
-    c = css_candidates(els)
+    c = css_candidates(_of(els, targets))
     keys = css_match_keys(els).unionByName(pair_match_keys(els, c))
     j = c.join(_counts(keys), ["page_id", "key"], "left").filter(F.col("matches") == 1)
     return j.groupBy("page_id", "pos").agg(
@@ -175,10 +180,10 @@ def xpath_match_keys(els: DataFrame) -> DataFrame:
     return in_document(els).filter(~F.col("in_svg")).select("page_id", F.explode(keys).alias("key"))
 
 
-def xpath_relative(els: DataFrame) -> DataFrame:
+def xpath_relative(els: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """First candidate with exactly one match, else the first candidate:
     ``(page_id, pos, xpath_relative, matches)``."""
-    c = xpath_candidates(els).join(_counts(xpath_match_keys(els)), ["page_id", "key"], "left")
+    c = xpath_candidates(_of(els, targets)).join(_counts(xpath_match_keys(els)), ["page_id", "key"], "left")
     m = F.when(F.col("invalid"), F.lit(-1)).otherwise(F.coalesce(F.col("matches"), F.lit(0)))
     c = c.withColumn("m", m.cast("long"))
     return c.groupBy("page_id", "pos").agg(
@@ -222,13 +227,13 @@ def containing(texts: DataFrame, needles: DataFrame) -> DataFrame:
     return found.select("page_id", "tag", "needle", "nt", "n").distinct().groupBy("page_id", "tag", "needle").agg(F.sum("n").alias("n_in"))
 
 
-def xpath_text(els_src: DataFrame, first: DataFrame | None = None) -> DataFrame:
+def xpath_text(els_src: DataFrame, first: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
     """Text XPath and its match count: ``(page_id, pos, text_selector, matches)``.
     Exact form compares the normalized *first* text node; the contains form
     looks for the first 40 characters inside it."""
     s = F.col("xt_source")
     tag = F.col("tag")
-    c = els_src.filter((s != "") & (F.length(s) <= L.TEXT_XPATH_MAX)).select(
+    c = _of(els_src, targets).filter((s != "") & (F.length(s) <= L.TEXT_XPATH_MAX)).select(
         "page_id", "pos", "tag", s.alias("src"))
     exact = F.length("src") <= L.TEXT_XPATH_EXACT
     snippet = F.substring("src", 1, L.TEXT_XPATH_EXACT)
@@ -302,30 +307,30 @@ def best_selector(els_text: DataFrame) -> DataFrame:
     )
 
 
-def path_matches(els: DataFrame) -> DataFrame:
+def path_matches(els: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """Match counts of the css path and absolute XPath (grouped counts)."""
     doc = in_document(els)
     cp = doc.groupBy("page_id", "css_path").agg(F.count("*").alias("css_matches"))
     xp = doc.groupBy("page_id", "xpath_absolute").agg(F.count("*").alias("xpath_matches"))
     xm = F.when(F.col("in_svg"), F.lit(0)).otherwise(F.coalesce("xpath_matches", F.lit(0))).cast("long")  # no SVG names in XPath
-    return els.select("page_id", "pos", "css_path", "xpath_absolute", "in_svg") \
+    return _of(els, targets).select("page_id", "pos", "css_path", "xpath_absolute", "in_svg") \
         .join(cp, ["page_id", "css_path"], "left").join(xp, ["page_id", "xpath_absolute"], "left") \
         .withColumn("xpath_matches", xm).withColumn("css_matches", F.coalesce("css_matches", F.lit(0)).cast("long")).drop("in_svg")
 
 
-def locator_matches(els_src: DataFrame, first: DataFrame | None = None) -> DataFrame:
-    """The five fingerprint locators with match counts and tier:
+def locator_matches(els_src: DataFrame, first: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
+    """The five fingerprint locators (of ``targets`` only, if given) with match counts and tier:
     ``(page_id, pos, strategy, value, tier, matches, unique)``."""
-    su = shortest_unique(els_src).select("page_id", "pos", F.lit("shortest-unique").alias("strategy"),
+    su = shortest_unique(els_src, targets).select("page_id", "pos", F.lit("shortest-unique").alias("strategy"),
                                          F.col("shortest_unique").alias("value"), F.lit("stable").alias("tier"),
                                          F.lit(1).cast("long").alias("matches"), F.lit(0).alias("o"))
-    xr = xpath_relative(els_src).select("page_id", "pos", F.lit("xpath-relative").alias("strategy"),
+    xr = xpath_relative(els_src, targets).select("page_id", "pos", F.lit("xpath-relative").alias("strategy"),
                                         F.col("xpath_relative").alias("value"), F.lit("stable").alias("tier"),
                                         "matches", F.lit(1).alias("o"))
-    xt = xpath_text(els_src, first).select("page_id", "pos", F.lit("xpath-text").alias("strategy"),
+    xt = xpath_text(els_src, first, targets).select("page_id", "pos", F.lit("xpath-text").alias("strategy"),
                                            F.col("text_selector").alias("value"), F.lit("stable").alias("tier"),
                                            "matches", F.lit(2).alias("o"))
-    pm = path_matches(els_src)
+    pm = path_matches(els_src, targets)
     cp = pm.select("page_id", "pos", F.lit("css-path").alias("strategy"), F.col("css_path").alias("value"),
                    F.lit("positional").alias("tier"), F.col("css_matches").alias("matches"), F.lit(3).alias("o"))
     xa = pm.select("page_id", "pos", F.lit("xpath-absolute").alias("strategy"), F.col("xpath_absolute").alias("value"),

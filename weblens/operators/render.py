@@ -277,6 +277,16 @@ def rule_selector():
     return F.when(F.instr(s, "#") > 0, s).otherwise(F.col("selector"))
 
 
+def _style_block() -> F.Column:
+    """The rule of an element, null without a line to report."""
+    lines = style_lines()
+    return F.when(F.size(lines) > 0, F.concat(rule_selector(), F.lit(" {\n  "), F.array_join(lines, "\n  "), F.lit("\n}")))
+
+
+def _css_block(css) -> F.Column:
+    return F.concat(F.lit("\n\n<style>\n"), css, F.lit("\n</style>"))
+
+
 def declared_styles(els_text: DataFrame, roots: DataFrame, opts: Options = Options(), finalize: bool = True
                     ) -> DataFrame:
     """Style blocks ``selector {\n  prop: value;\n}`` per root (declared inline
@@ -284,11 +294,9 @@ def declared_styles(els_text: DataFrame, roots: DataFrame, opts: Options = Optio
     # the roots stay among the nodes, whatever they declare
     p = pairs(els_text.join(roots.select("page_id", "pos", F.lit(True).alias("is_root")), ["page_id", "pos"], "left")
               .filter(F.col("attr")["style"].isNotNull() | F.col("is_root")).drop("is_root"), roots, opts)
-    lines = style_lines()
-    block = F.concat(rule_selector(), F.lit(" {\n  "), F.array_join(lines, "\n  "), F.lit("\n}"))
-    f = p.filter(_free("n_hid", opts) & _within(opts) & (F.size(lines) > 0)).select(
+    f = p.filter(_free("n_hid", opts) & _within(opts)).select(
         "page_id", "root_pos", F.col("place").alias("k1"), F.lit(0).alias("k2"), F.lit(0).alias("k3"),
-        block.alias("frag"))
+        _style_block().alias("frag")).filter("frag IS NOT NULL")
     return _assemble(f, _root_info(roots, opts), "\\n\\n", opts, "css", finalize)
 
 
@@ -300,35 +308,42 @@ def html_css(nodes_text: DataFrame, els_text: DataFrame, roots: DataFrame, opts:
     if opts.per_root or opts.include_css:
         st = declared_styles(els_text, roots, opts, finalize=False).select("page_id", "pos", F.col("raw").alias("css"))
         h = h.join(st, ["page_id", "pos"], "left")
-        block = F.concat(F.lit("\n\n<style>\n"), F.coalesce("css", F.lit("")), F.lit("\n</style>"))
-        raw = F.concat(raw, F.when(opts.col("include_css"), block).otherwise(F.lit("")))
+        raw = F.concat(raw, F.when(opts.col("include_css"), _css_block(F.coalesce("css", F.lit("")))).otherwise(F.lit("")))
     return h.select("page_id", "pos", F.lit("html-css").alias("format"), finalized(raw, opts).alias("output"))
 
 
 def multi_format(nodes_text: DataFrame, roots: DataFrame, opts: Options = Options()) -> DataFrame:
-    """clean-html, structure and accessibility outputs from ONE pass over the
-    (root, node) pairs: every pair row emits its fragments for all three
-    formats in one ``inline``, and one grouped ``listagg`` per (root, format)
-    assembles them. Same results as the three single-format functions."""
-    is_text = F.col("kind") == "text"
+    """clean-html, structure, accessibility and html-css outputs from ONE pass over
+    the (root, node) pairs: every pair emits its fragments of all formats in one
+    ``inline``, and one grouped ``listagg`` per (root, kind of fragment) assembles
+    them. Same results as the single-format functions."""
+    is_el, is_text = F.col("kind") == "open", F.col("kind") == "text"
     empty = F.array()
 
     def frag(fmt):
         return lambda k1, k2, k3, s: F.struct(F.lit(fmt).alias("format"), k1.alias("k1"), F.lit(k2).alias("k2"), k3.cast("long").alias("k3"), s.alias("frag"))
 
-    def line(fmt, name, text):
-        shown = ~is_text & _listed(opts) & _free(name, opts)
+    def line(fmt, shown, text):
         return F.when(shown, F.array(frag(fmt)(F.col("place"), 0, F.lit(0), text))).otherwise(empty)
 
+    listed = ~is_text & _listed(opts)
+    styled = is_el & F.col("attr")["style"].isNotNull() & _within(opts) & _free("n_hid", opts)
     f = pairs(nodes_text, roots, opts).select("page_id", "root_pos", F.inline(F.concat(
-        _html_frags(opts, frag("clean-html")), line("structure", "n_hsn", _summary_line()), line("accessibility", "n_hid", _line(a11y_line())))))
+        _html_frags(opts, frag("clean-html")), line("structure", listed & _free("n_hsn", opts), _summary_line()),
+        line("accessibility", listed & _free("n_hid", opts), _line(a11y_line())),
+        F.filter(line("css", styled, _style_block()), lambda x: x["frag"].isNotNull()))))
+    order = "WITHIN GROUP (ORDER BY k1, k2, k3)"
     out = f.groupBy("page_id", "root_pos", "format").agg(
-        F.expr("listagg(CASE WHEN format = 'clean-html' THEN frag END, '') "
-               "WITHIN GROUP (ORDER BY k1, k2, k3)").alias("h"),
-        F.expr("listagg(CASE WHEN format <> 'clean-html' THEN frag END, '\\n') "
-               "WITHIN GROUP (ORDER BY k1, k2, k3)").alias("l"))
-    fmts = F.explode(F.array(*[F.lit(x) for x in ("clean-html", "structure", "accessibility")]))
-    ri = _root_info(roots, opts).select("*", fmts.alias("format"))
-    j = ri.join(out.select("page_id", "root_pos", "format", F.coalesce("h", "l").alias("raw_output")),
-                ["page_id", "root_pos", "format"], "left")
-    return j.select("page_id", F.col("root_pos").alias("pos"), "format", finalized(F.coalesce("raw_output", F.lit("")), opts).alias("output"))
+        F.expr(f"listagg(CASE WHEN format = 'clean-html' THEN frag END, '') {order}").alias("h"),
+        F.expr(f"listagg(CASE WHEN format IN ('structure', 'accessibility') THEN frag END, '\\n') {order}").alias("l"),
+        F.expr(f"listagg(CASE WHEN format = 'css' THEN frag END, '\\n\\n') {order}").alias("c"))
+    raw = out.groupBy("page_id", "root_pos").agg(F.map_from_entries(F.collect_list(F.struct("format", F.coalesce("h", "l", "c")))).alias("raw"))
+    j = _root_info(roots, opts).join(raw, ["page_id", "root_pos"], "left")
+
+    def text_of(fmt):
+        return F.coalesce(F.col("raw")[fmt], F.lit(""))
+
+    html_css = F.concat(text_of("clean-html"), F.when(opts.col("include_css"), _css_block(text_of("css"))).otherwise(F.lit("")))
+    formats = [("clean-html", text_of("clean-html")), ("structure", text_of("structure")), ("accessibility", text_of("accessibility")), ("html-css", html_css)]
+    return j.select("page_id", F.col("root_pos").alias("pos"), F.inline(F.array(*[
+        F.struct(F.lit(name).alias("format"), finalized(text, opts).alias("output")) for name, text in formats])))

@@ -662,9 +662,10 @@ def all_outputs(spark, sf, r, view, opts=R.Options()):
     e, nt = C.elements(spark, sf, view), nodes_text(spark, sf, view)
     pages, tt = C.pages(spark, sf, view), titles(spark, sf, view)
     parts = S.page_parts(pages, e, tt)
-    pay = PL.selector_payload(_scope(e).join(r.select("page_id", "pos"), ["page_id", "pos"], "left_semi"), _locators(spark, sf, view))
+    mine = _scope(e).join(r.select("page_id", "pos"), ["page_id", "pos"], "left_semi")
+    pay = PL.selector_payload(mine, LC.locator_matches(els_src(spark, sf, view), first_texts(spark, sf, view), mine))
     docs = PL.selector_document(pay, S.page_title(pages, tt), r, opts)
-    return (R.multi_format(nt, r, opts).unionByName(R.html_css(nt, e, r, opts)).unionByName(S.snapshot_for_roots(parts, r, opts)).unionByName(docs))
+    return R.multi_format(nt, r, opts).unionByName(S.snapshot_for_roots(parts, r, opts)).unionByName(docs)
 
 
 def capture_outputs(spark, sf):
@@ -870,10 +871,10 @@ ORACLE["settings_replay_stream"] = ORACLE["settings_replay"]
 # the fixture view with more markup: ids, ARIA, forms, hidden subtrees, shadow roots
 # ---------------------------------------------------------------------------
 RICH = [
-    "page_counts", "page_snapshot", "headings", "landmarks", "element_tree", "text_nodes", "attributes", "kept_attributes", "nth_of_type", "context_chain",
-    "css_path", "xpath_absolute", "class_selector", "text_content", "direct_text", "hidden_elements", "images_missing_alt", "clean_html", "structure",
-    "a11y_outline", "a11y_findings", "clean_html_depth1", "structure_depth1", "a11y_depth1", "styles_depth1", "html_css", "ranked_selectors",
-    "shortest_unique", "xpath_relative", "xpath_text", "locator_matches", "token_costs",
+    "page_counts", "page_snapshot", "element_tree", "text_nodes", "attributes", "kept_attributes", "nth_of_type", "context_chain", "css_path",
+    "text_content", "direct_text", "hidden_elements", "images_missing_alt", "clean_html", "structure", "a11y_outline", "a11y_findings",
+    "clean_html_depth1", "structure_depth1", "styles_depth1", "html_css", "ranked_selectors", "shortest_unique", "xpath_relative", "xpath_text",
+    "locator_matches",
 ]
 
 
