@@ -17,7 +17,7 @@ def spark():
     from weblens.session import ensure_checkpoint_dir
 
     s = (SparkSession.builder.master("local[*]")
-         .config("spark.driver.memory", "4g")
+         .config("spark.driver.memory", "8g")
          .config("spark.sql.ui.retainedExecutions", "5")
          .config("spark.ui.retainedJobs", "20")
          .config("spark.ui.retainedStages", "20")

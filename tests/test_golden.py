@@ -90,7 +90,7 @@ def test_selectors_first_button(spark):
     assert [(r["score"], r["value"]) for r in ranked] == [
         (100, '[data-testid="go"]'), (80, 'button[aria-label="Submit"]'),
         (60, "html > body > main > form.login.card > button.submit-btn")]
-    src = LC.text_source(e1, direct_text(t.texts))
+    src = LC.text_source(e1, direct_text(t.texts)).cache()
     loc = LC.locator_matches(src, first_text(t.texts)).filter(F.col("pos") == btn).collect()
     got = {r["strategy"]: (r["value"], r["matches"]) for r in loc}
     assert got["css-path"] == ("html > body > main > form > button:nth-of-type(1)", 1)
@@ -278,14 +278,13 @@ def test_needles_meet_texts_by_rare_pieces(spark):
 
 def test_one_plan_serves_roots_with_their_own_options(spark):
     """Each root by its own options gives what a job with those options as constants gives."""
-    import dataclasses
 
     t = tables(spark)
     choices = [R.Options(), R.Options(depth=0, include_context=False), R.Options(depth=1, strip_noise=False), R.Options(include_hidden=True, truncation=3),
                R.Options(include_css=False, keep_test_ids=False)]
     roots = t.elements_text.filter("tag IN ('main', 'form', 'header', 'div', 'article', 'ul')").collect()
     pick = {(r["page_id"], r["pos"]): choices[i % len(choices)] for i, r in enumerate(sorted(roots, key=lambda r: (r["page_id"], r["pos"])))}
-    names = [f.name for f in dataclasses.fields(R.Options) if f.name != "per_root"]
+    names = [c[4:] for c in R.Options(per_root=True).columns()]
     rows = [(k[0], k[1], *[getattr(o, n) for n in names]) for k, o in pick.items()]
     kinds = {"depth": "int", "truncation": "int"}
     opts = spark.createDataFrame(rows, "page_id long, pos long, " + ", ".join(f"opt_{n} {kinds.get(n, 'boolean')}" for n in names))

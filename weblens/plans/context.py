@@ -69,6 +69,9 @@ def configure(spark: SparkSession) -> None:
     sure a reliable checkpoint directory is known (the cluster's
     ``spark.checkpoint.dir``; a local scratch directory only when unset)."""
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    # the session keeps a text of every plan it ran, and a plan over cached tables
+    # spells out the plans of all tables below it
+    spark.conf.set("spark.sql.maxPlanStringLength", "20000")
     ensure_checkpoint_dir(spark)
     ship(spark)
 
@@ -79,7 +82,7 @@ def _write_bucketed(spark: SparkSession, df: DataFrame, name: str, nparts: int)
     reports hash partitioning on ``page_id``, so later per-page windows, aggregates
     and joins still need no shuffle, and a lost executor re-reads files instead
     of recomputing the tokenize + window plan."""
-    table = f"weblens_{name}_{uuid.uuid4().hex[:12]}"
+    table = f"weblens_{name.replace('-', '_')}_{uuid.uuid4().hex[:12]}"
     (df.write.mode("overwrite").bucketBy(nparts, "page_id")
      .option("path", scratch_path(spark, name)).saveAsTable(table))
     _TABLES.append((spark, table))
@@ -148,7 +151,7 @@ def nodes(spark: SparkSession, sf_dir: str, view: str | None = None) -> DataFram
     key = (_input(spark, sf_dir), view, "nodes")
     if key not in _CACHE:
         n = E.build_nodes(E.with_preview(core(spark, sf_dir, view), texts(spark, sf_dir, view)))
-        _CACHE[key] = _keep(n)
+        _CACHE[key] = _keep(_write_bucketed(spark, n, "ancestors", num_partitions(spark, sf_dir)))
     return _CACHE[key]
 
 
@@ -167,11 +170,10 @@ def paths(spark: SparkSession, sf_dir: str, view: str | None = None) -> DataFram
             rounds.append(_keep(df))
             return rounds[-1]
 
-        p = _keep(E.with_paths(elements(spark, sf_dir, view), hold))
-        p.count()
+        p = _write_bucketed(spark, E.with_paths(elements(spark, sf_dir, view), hold), "paths", num_partitions(spark, sf_dir))
         for df in rounds:
             df.unpersist()
-        _CACHE[key] = p
+        _CACHE[key] = _keep(p)
     return _CACHE[key]
 
 
@@ -227,8 +229,9 @@ class Tables:
 def memo(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """Build once per (session, input, view, name) and keep it (MEMORY_AND_DISK):
     shared intermediates used by several queries or several branches of one
-    plan are not recomputed."""
+    plan are not recomputed. They are written bucketed by page, so that a plan on top
+    of them ends at files and does not carry the plans of all tables below."""
     key = (_input(spark, sf_dir), current(), name)
     if key not in _CACHE:
-        _CACHE[key] = _keep(build())
+        _CACHE[key] = _keep(_write_bucketed(spark, build(), name.replace("_", "-"), num_partitions(spark, sf_dir)))
     return _CACHE[key]
