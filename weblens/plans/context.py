@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from weblens.operators import elements as E
 from weblens.operators import tree
 from weblens.operators.replay import selection_replay
-from weblens.session import ensure_checkpoint_dir, scratch_path, ship
+from weblens.session import cut, ensure_checkpoint_dir, scratch_path, ship
 from weblens.sources.log import read_log
 from weblens.sources.pages import read_pages, read_view
 
@@ -210,11 +210,11 @@ class Tables:
 
     def __init__(self, pages_df: DataFrame, num_partitions: int = 2):
         self.pages = pages_df
-        core = E.core_nodes(tree.build(tree.partition_pages(pages_df, num_partitions))).cache()
+        core = cut(E.core_nodes(tree.build(tree.partition_pages(pages_df, num_partitions))), "core")
         self.texts = core.filter(F.col("kind") == "text")
-        self.nodes = E.build_nodes(E.with_preview(core, self.texts)).cache()
+        self.nodes = cut(E.build_nodes(E.with_preview(core, self.texts)), "nodes")
         self.elements = self.nodes.filter(F.col("kind") == "open").drop("text")
-        self.nodes_text = E.with_paths(E.with_text(self.nodes, self.texts)).cache()
+        self.nodes_text = cut(E.with_paths(E.with_text(self.nodes, self.texts)), "nodes-text")
         self.elements_text = self.nodes_text.filter(F.col("kind") == "open")
 
     def element(self, page_id: int, tag: str, nth: int = 1):
