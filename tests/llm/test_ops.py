@@ -279,6 +279,20 @@ def test_pii_held_out(spark):
         want = set(pii.base_spans(t))
         gold, found = gold + len(want), found + len(want & got)
     assert found >= 0.8 * gold
+    # texts it never saw, every span rewritten so that no pattern meets it
+    gold = found = added = right = 0
+    draw = np.random.default_rng(5)
+    for t in pii_texts(120, 7):
+        a, b, k = pii.base_spans(t)[0]
+        v = pii._variant(t[a:b], k, draw)
+        t = t[:a] + v + t[b:]
+        if pii.base_spans(t):
+            continue
+        got = [(x + s, x + e, kind) for (x, y) in pii.regions(t) for s, e, kind in pii.spans_of(model.tag([t[x:y]])[0])]
+        gold, added = gold + 1, added + len(got)
+        found += any(s < a + len(v) and a < e and kind == k for s, e, kind in got)
+        right += sum(s < a + len(v) and a < e for s, e, _ in got)
+    assert gold > 60 and found >= 0.8 * gold and right >= 0.8 * added, (gold, found, added, right)
     for r in pii.find(table(spark, rows), model).collect():
         base = [f"{pii.KINDS[k]}:{a}:{b}" for a, b, k in plain_base(dict(rows)[r.doc_id])]
         assert r.base == base and set(base) <= set(r.spans) and len(r.spans) == len(base) + r.n_added
@@ -288,6 +302,15 @@ def test_pii_held_out(spark):
     assert pii.find(table(spark, []), model).count() == 0
 
 
+def test_pii_variants_keep_the_digits():
+    draw = np.random.default_rng(1)
+    for s, kind in (("ann.lee@mail.example.com", 0), ("10.20.30.40", 1), ("4111 1111 1111 1111", 2), ("4111111111111111", 2), ("+1 (202) 555-0142", 3), ("+49301234567", 3)):
+        assert pii.base_spans(s) == [(0, len(s), kind)]
+        for v in {pii._variant(s, kind, draw) for _ in range(40)}:
+            strip = lambda x: "".join(c for c in x if c.isalnum())
+            assert v != s and strip(v) in (strip(s), "00" + strip(s))
+
+
 def test_pii_training_sees_every_text(spark):
     """Texts full of digits keep no other text and no kind out of the training."""
     r = random.Random(6)
