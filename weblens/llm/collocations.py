@@ -47,8 +47,8 @@ TOP = 2000
 COVERED = 80  # percent of a phrase's occurrences inside one longer phrase
 #: Bytes of a task's slice of text, hash counts held before they are sent, and
 #: counts merged into a summary at a time.
-SLICE = 3 << 20
-HELD = 2 << 20
+SLICE = 3 << 19
+HELD = 1 << 20
 MERGED = 1 << 20
 #: Bytes of text for each hash partition.
 PARTITION_BYTES = 24 << 20
@@ -138,7 +138,7 @@ def _slices(batch: pa.RecordBatch) -> Iterator[Words]:
 class Hashes:
     """64-bit hashes of words and languages, made once for each different one."""
 
-    def __init__(self, bound: int = 400_000):
+    def __init__(self, bound: int = 200_000):
         self.known: dict[bytes, int] = {}
         self.bound = bound
 
