@@ -25,6 +25,9 @@ Defined results: a null text is empty, a null language is ``und``; a text of any
 length is read whole, in slices cut between pieces (working memory is bounded
 by a slice or the longest piece); equal scores and counts rank by the phrase's
 bytes; repeated rows count each time; an empty table gives no rows.
+
+Ranks come from one sort of all languages by ranges, so a language that holds
+most phrases is ranked by many tasks.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weblens.llm.textops import buffers, mix
@@ -52,8 +55,6 @@ HELD = 1 << 20
 MERGED = 1 << 20
 #: Bytes of text for each hash partition.
 PARTITION_BYTES = 24 << 20
-#: Parts of a language that are ranked before they meet.
-SALTS = 32
 #: Largest filter that goes to every task.
 FILTER_BYTES = 64 << 20
 
@@ -380,6 +381,19 @@ def frequent(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     return out
 
 
+def _ranked(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """``rows`` with ``rank``, from 1 within their language. Languages are dealt
+    by ranges of the whole order, so one may lie in many tasks: a row's rank is its
+    place in its range plus the rows of its language in the ranges before."""
+    dealt = cut(
+        cut(rows, "collocation-scores").orderBy(F.asc("lang"), *order)
+        .withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33)), "collocation-order")
+    parts = dealt.groupBy("lang", "part").agg(F.min("at").alias("start"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("lang", "part", "start", before.alias("before"))
+    return dealt.join(parts, ["lang", "part"]).withColumn("rank", F.col("at") - F.col("start") + F.col("before") + 1).drop("at", "part", "start", "before")
+
+
 def mine(docs: DataFrame, top: int = TOP, min_count: int = MIN_COUNT) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first ``top`` of each language."""
     f = frequent(docs, min_count)
@@ -399,10 +413,6 @@ def mine(docs: DataFrame, top: int = TOP, min_count: int = MIN_COUNT) -> DataFra
     around = cand.filter("k >= 3").select("lang", F.explode(inner).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("most"))
     left = scored.join(around, ["lang", "phrase"], "left").filter(
         F.expr(f"most IS NULL OR CAST(100 AS DECIMAL(3, 0)) * CAST(most AS DECIMAL(30, 0)) < CAST({COVERED} AS DECIMAL(3, 0)) * CAST(a AS DECIMAL(30, 0))"))
-    # a language's first ones are among the first of its salts, so no task sorts a whole language
-    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    salted = left.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
-    some = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).filter(F.col("rank") <= top)
-    best = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= top)
+    best = _ranked(left.select("lang", "phrase", "a", "score", "l", "r"), [F.desc("score"), F.desc("a"), F.asc("phrase")]).filter(F.col("rank") <= top)
     n = f.filter("k = 0").select("lang", "n")
     return best.join(n, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
