@@ -44,6 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weblens.llm.joins import spread_join
 from weblens.llm.textops import U, buffers, mix, words
 from weblens.session import cut, ship
 
@@ -388,9 +389,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .groupBy("bucket").applyInArrow(lambda t: _dominated(t.drop(["bucket"])), "id long, chk int").distinct().withColumn("near", F.lit(True))
     )
     firsts = lines.groupBy("id", "chk", "n").agg(F.min(F.struct("doc", "line_no", "dig")).alias("at"), F.count("*").alias("times"))
-    bad = firsts.join(dominated, ["id", "chk"], "left").filter("times > 1 OR near").select("id", "chk", "at", F.coalesce("near", F.lit(False)).alias("near"))
+    bad = cut(firsts.join(dominated, ["id", "chk"], "left").filter("times > 1 OR near").select("id", "chk", "at", "times", F.coalesce("near", F.lit(False)).alias("near")), "bad-lines")
     gone = cut(
-        lines.join(bad, ["id", "chk"])
+        spread_join(lines, bad, ["id", "chk"], "times", lines.count(), buckets)  # the commonest line may hold a third of all places
         .filter(F.col("near") | ~((F.col("at.doc") == F.col("doc")) & (F.col("at.line_no") == F.col("line_no")) & (F.col("at.dig") == F.col("dig"))))
         .groupBy("dig", "doc").agg(F.collect_list("line_no").alias("gone")), "gone")
     hit = spark.sparkContext.broadcast(_bitmaps(_text_bits(gone), 1)[0])
