@@ -50,14 +50,14 @@ def run_page_feed(spark: SparkSession, source_dir: str, sink_dir: str | None = N
     if glob:
         stream = stream.option("pathGlobFilter", glob)
     stream = stream.parquet(source_dir)
-    nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         # one folder per batch, overwritten on retry: a re-run batch replaces
         # its own output instead of appending duplicates (idempotent sink)
         pages = batch.select("page_id", "url", "html")
         pages = enrich(pages) if rich else pages
-        nodes = batch_nodes(pages, nparts).persist(StorageLevel.MEMORY_AND_DISK)  # read seven times below
+        nodes = batch_nodes(pages, tree.partitions_for(pages, least)).persist(StorageLevel.MEMORY_AND_DISK)  # read seven times below
         try:
             snapshot_batch(pages, nodes).write.mode("overwrite").parquet(f"{sink_dir}/batch_id={batch_id}")
         finally:
@@ -70,6 +70,12 @@ def run_page_feed(spark: SparkSession, source_dir: str, sink_dir: str | None = N
 
 
 def stream_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page feed over ``{sf_dir}/pages.parquet``; returns the appended snapshots."""
-    out = run_page_feed(spark, sf_dir, glob="pages.parquet")
+    """Page feed over ``{sf_dir}/pages.parquet``, one file or a folder of files;
+    returns the appended snapshots."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/pages.parquet")
+    if path.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        out = run_page_feed(spark, f"{sf_dir}/pages.parquet")
+    else:
+        out = run_page_feed(spark, sf_dir, glob="pages.parquet")
     return spark.read.parquet(out).select("page_id", "snapshot")
