@@ -41,3 +41,27 @@ def test_texts_ask_for_one_level(spark):
     t = C.Tables(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"))
     text = t.nodes.filter("kind = 'text'").select("parent_tag", "depth", "place").first()
     assert (text["parent_tag"], text["depth"], len(text["place"])) == ("i", 9, 1)
+
+
+def test_captured_pages_move_their_html_once(spark, tmp_path):
+    """The join with the log takes the partitions that the tree is built on."""
+    rows = [(i, f"https://a.test/{i}", "<body><p>a</p></body>") for i in range(40)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    events = [(n, f"2024-01-01 00:00:{n:02}", n % 7, "click", '{"k": 1}') for n in range(20)]
+    df = spark.createDataFrame(events, "event_id long, ts string, user_id long, event_type string, props string")
+    df.selectExpr("event_id", "to_timestamp(ts) AS ts", "user_id", "event_type", "0D AS value", "props").write.parquet(f"{tmp_path}/events.parquet")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = C.captured_pages(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString().split("\n")
+        at = next(i for i, x in enumerate(lines) if "Scan parquet" in x and "html" in x)
+        indent, above = lambda x: len(x) - len(x.lstrip(" :+-")), []
+        for x in reversed(lines[:at]):
+            if indent(x) < indent(lines[at] if not above else above[-1]):
+                above.append(x)
+        moves = [x for x in above if "Exchange" in x]
+        assert len(moves) == 1 and "REPARTITION_BY_NUM" in moves[0]
+        got = C.captured_pages(spark, str(tmp_path))
+        assert sorted(r["page_id"] for r in got.collect()) == sorted({n % 7 for n in range(20) if [m % 7 for m in range(20)].count(n % 7) % 2})
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
