@@ -1,6 +1,7 @@
 """What reading a tag, a reference and a node's ancestors costs, and that it stays right."""
 
 from weblens.functions.text import decode_entities
+from weblens.operators import render as R
 from weblens.operators.attrs import first_wins, parse_attrs
 from weblens.plans import context as C
 
@@ -65,3 +66,20 @@ def test_captured_pages_move_their_html_once(spark, tmp_path):
         assert sorted(r["page_id"] for r in got.collect()) == sorted({n % 7 for n in range(20) if [m % 7 for m in range(20)].count(n % 7) % 2})
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_markup_is_made_once_per_node(spark):
+    """Texts and start tags are cleaned below the windows that give each root its nodes."""
+    html = '<main class="m"><section><p title="a &amp; b">x  &lt;\n y</p></section></main>'
+    t = C.Tables(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"))
+    roots = R.region_roots(t.elements)
+    p = '<p title="a &amp; b">x &lt; y</p>'
+    want = {"main": f'<main class="m"><section>{p}</section></main>', "section": f"<section>{p}</section>"}
+    for out in (R.clean_html(t.nodes, roots, finalize=False).withColumnRenamed("raw", "output"), R.multi_format(t.nodes, roots, R.Options(include_context=False)).filter("format = 'clean-html'")):
+        above = _optimized(out).split("Window [")[0]
+        assert "regexp_replace" not in above and "&quot;" not in above and "WARNING(" not in above
+        tags = t.elements.select("page_id", "pos", "tag")
+        assert {r["tag"]: r["output"] for r in out.join(tags, ["page_id", "pos"]).collect()} == want
+    for out in (R.structure(t.nodes, roots), R.a11y_outline(t.nodes, roots)):
+        above = _optimized(out).split("Window [")[0]
+        assert "preview" not in above and "WARNING(" not in above
