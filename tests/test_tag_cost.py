@@ -1,6 +1,9 @@
 """What reading a tag, a reference and a node's ancestors costs, and that it stays right."""
 
+import re
+
 from weblens.functions.text import decode_entities
+from weblens.operators import locators as LC
 from weblens.operators import render as R
 from weblens.operators.attrs import first_wins, parse_attrs
 from weblens.plans import context as C
@@ -83,3 +86,15 @@ def test_markup_is_made_once_per_node(spark):
     for out in (R.structure(t.nodes, roots), R.a11y_outline(t.nodes, roots)):
         above = _optimized(out).split("Window [")[0]
         assert "preview" not in above and "WARNING(" not in above
+
+
+def test_pieces_do_not_carry_their_text(spark):
+    """A text of n characters has n / 8 pieces: with the text on each they would hold n * n / 8."""
+    long = "".join(f"{i:07} " for i in range(2000))
+    texts = spark.createDataFrame([(1, "p", long, 2), (1, "p", long[8:] + "q", 3), (1, "b", long, 5)], "page_id long, tag string, nt string, n long")
+    needles = spark.createDataFrame([(1, "p", long[:40]), (1, "p", long[8003:8043]), (1, "p", "q" * 40), (2, "p", long[:40])], "page_id long, tag string, needle string")
+    kept = []
+    out = LC.containing(texts, needles, lambda df: kept.append(df) or df)
+    wide = [x for x in _optimized(out).split("\n") if "piece#" in x and re.search(r"\bnt#", x) and "Generate" not in x]
+    assert wide == [] and len(kept) == 1
+    assert {(r["tag"], r["needle"]): r["n_in"] for r in out.collect()} == {("p", long[:40]): 2, ("p", long[8003:8043]): 5}

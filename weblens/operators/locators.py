@@ -15,6 +15,8 @@ partitioning of the element table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -206,28 +208,36 @@ def text_source(els_text: DataFrame, direct: DataFrame, first: DataFrame | None
 PIECE = 8
 
 
-def containing(texts: DataFrame, needles: DataFrame) -> DataFrame:
+def containing(texts: DataFrame, needles: DataFrame, hold: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """How many texts of a (page, tag) hold each needle of ``TEXT_XPATH_EXACT``
     characters: ``(page_id, tag, needle, n_in)`` from texts ``(page_id, tag, nt, n)``.
 
     Texts are indexed by their pieces of ``PIECE`` characters, cut end to end. A
     needle that stands in a text covers, for its alignment, a run of whole pieces:
     of each of the ``PIECE`` possible runs the rarest piece is looked up, unless some
-    piece of the run is nowhere, and what is found is verified."""
-    pieces = texts.filter(F.length("nt") >= L.TEXT_XPATH_EXACT).select(
-        "page_id", "tag", "nt", "n", F.explode(F.array_distinct(F.regexp_extract_all("nt", F.lit("(?s).{%d}" % PIECE), 0))).alias("piece"))
+    piece of the run is nowhere, and what is found is verified. A text has as many
+    pieces as an eighth of its characters, so a piece names its text by a digest and
+    the text itself is met once for each needle; two texts of one digest cost a
+    comparison more and never change a count. ``hold`` may keep the pieces to look up,
+    so that no task holds the sorts of both halves."""
+    t = texts.filter(F.length("nt") >= L.TEXT_XPATH_EXACT).withColumn("digest", F.xxhash64("nt"))
+    # only texts of a tag that some needle of the page asks for
+    t = t.join(needles.select("page_id", "tag").distinct(), ["page_id", "tag"], "left_semi")
+    pieces = t.select("page_id", "tag", "digest", F.explode(F.array_distinct(F.regexp_extract_all("nt", F.lit("(?s).{%d}" % PIECE), 0))).alias("piece"))
     freq = pieces.groupBy("page_id", "tag", "piece").agg(F.count("*").alias("f"))
     starts = range(L.TEXT_XPATH_EXACT - PIECE + 1)
     runs = needles.select("page_id", "tag", "needle", F.inline(F.array(*[
         F.struct(F.lit(i % PIECE).alias("run"), F.substring("needle", i + 1, PIECE).alias("piece")) for i in starts])))
     runs = runs.join(freq, ["page_id", "tag", "piece"], "left").groupBy("page_id", "tag", "needle", "run").agg(
         F.min(F.struct("f", "piece")).alias("best"), F.bool_or(F.col("f").isNull()).alias("absent"))
-    tries = runs.filter("NOT absent").select("page_id", "tag", "needle", F.col("best.piece").alias("piece")).distinct()
-    found = pieces.join(tries, ["page_id", "tag", "piece"]).filter(F.instr("nt", F.col("needle")) > 0)
-    return found.select("page_id", "tag", "needle", "nt", "n").distinct().groupBy("page_id", "tag", "needle").agg(F.sum("n").alias("n_in"))
+    tries = hold(runs.filter("NOT absent").select("page_id", "tag", "needle", F.col("best.piece").alias("piece")).distinct())
+    found = pieces.join(tries, ["page_id", "tag", "piece"]).select("page_id", "tag", "digest", "needle").distinct()
+    hits = found.join(t, ["page_id", "tag", "digest"]).filter(F.instr("nt", F.col("needle")) > 0)
+    return hits.groupBy("page_id", "tag", "needle").agg(F.sum("n").alias("n_in"))
 
 
-def xpath_text(els_src: DataFrame, first: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
+def xpath_text(els_src: DataFrame, first: DataFrame | None = None, targets: DataFrame | None = None,
+               hold: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Text XPath and its match count: ``(page_id, pos, text_selector, matches)``.
     Exact form compares the normalized *first* text node; the contains form
     looks for the first 40 characters inside it."""
@@ -255,7 +265,7 @@ def xpath_text(els_src: DataFrame, first: DataFrame | None = None, targets: Data
     ce = c.filter("exact").join(eq, (c.page_id == eq.page_id) & (c.tag == eq.tag) & (c.needle == eq.nt), "left") \
         .select(c.page_id, c.pos, c.text_selector, F.coalesce(eq.n_eq, F.lit(0)).alias("matches"))
     cc = c.filter(~F.col("exact")).select("page_id", "pos", "tag", "text_selector", "needle")
-    hits = containing(ft.groupBy("page_id", "tag", "nt").agg(F.count("*").alias("n")), cc.select("page_id", "tag", "needle").distinct())
+    hits = containing(ft.groupBy("page_id", "tag", "nt").agg(F.count("*").alias("n")), cc.select("page_id", "tag", "needle").distinct(), hold)
     cc = cc.join(hits, ["page_id", "tag", "needle"], "left").select(
         "page_id", "pos", "text_selector", F.coalesce("n_in", F.lit(0)).alias("matches"))
     return ce.unionByName(cc)
@@ -318,7 +328,8 @@ def path_matches(els: DataFrame, targets: DataFrame | None = None) -> DataFrame:
         .withColumn("xpath_matches", xm).withColumn("css_matches", F.coalesce("css_matches", F.lit(0)).cast("long")).drop("in_svg")
 
 
-def locator_matches(els_src: DataFrame, first: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
+def locator_matches(els_src: DataFrame, first: DataFrame | None = None, targets: DataFrame | None = None,
+                    hold: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """The five fingerprint locators (of ``targets`` only, if given) with match counts and tier:
     ``(page_id, pos, strategy, value, tier, matches, unique)``."""
     su = shortest_unique(els_src, targets).select("page_id", "pos", F.lit("shortest-unique").alias("strategy"),
@@ -327,7 +338,7 @@ def locator_matches(els_src: DataFrame, first: DataFrame | None = None, targets:
     xr = xpath_relative(els_src, targets).select("page_id", "pos", F.lit("xpath-relative").alias("strategy"),
                                         F.col("xpath_relative").alias("value"), F.lit("stable").alias("tier"),
                                         "matches", F.lit(1).alias("o"))
-    xt = xpath_text(els_src, first, targets).select("page_id", "pos", F.lit("xpath-text").alias("strategy"),
+    xt = xpath_text(els_src, first, targets, hold).select("page_id", "pos", F.lit("xpath-text").alias("strategy"),
                                            F.col("text_selector").alias("value"), F.lit("stable").alias("tier"),
                                            "matches", F.lit(2).alias("o"))
     pm = path_matches(els_src, targets)
