@@ -2,7 +2,8 @@
 
 import re
 
-from weblens.functions.text import decode_entities
+from weblens.functions import lists as L
+from weblens.functions.text import clean_text, decode_entities, js_trim
 from weblens.operators import locators as LC
 from weblens.operators import render as R
 from weblens.operators.attrs import first_wins, parse_attrs
@@ -98,3 +99,19 @@ def test_pieces_do_not_carry_their_text(spark):
     wide = [x for x in _optimized(out).split("\n") if "piece#" in x and re.search(r"\bnt#", x) and "Generate" not in x]
     assert wide == [] and len(kept) == 1
     assert {(r["tag"], r["needle"]): r["n_in"] for r in out.collect()} == {("p", long[:40]): 2, ("p", long[8003:8043]): 5}
+
+
+def test_white_space_is_what_it_is_in_the_browser(spark):
+    """Every listed character and no other, and the end of a text is no line end. Members
+    beyond U+00FF are looked at only for a character there."""
+    chars = [*L.JS_WS_CHARS, "\x85", "\u180e", "\u200b", "\u2030", "é", "漢", "\U0001f600", "\x1f"]
+    rows = [(c, f"{c}{c}a{c} b{c}") for c in chars] + [("", None)]
+    df = spark.createDataFrame(rows, "c string, t string").select("c", clean_text("t").alias("clean"), js_trim("t").alias("trim"))
+    ws = set(L.JS_WS_CHARS)
+    for r in df.filter("c <> ''").collect():
+        c = r["c"]
+        assert (r["clean"], r["trim"]) == (("a b", f"a{c} b") if c in ws else (f"{c}{c}a{c} b{c}",) * 2)
+    assert df.filter("c = ''").first()["trim"] is None
+    ends = spark.createDataFrame([("x \x85",)], "t string").select(js_trim("t").alias("t")).first()["t"]
+    assert ends == "x \x85"
+    assert "&&[" in _optimized(df) and "^[" not in _optimized(df)
