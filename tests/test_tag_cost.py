@@ -89,6 +89,25 @@ def test_markup_is_made_once_per_node(spark):
         assert "preview" not in above and "WARNING(" not in above
 
 
+def test_style_rules_are_made_once_per_node(spark):
+    """An inline style is cut into its declarations once, below the windows that give each
+    root its nodes, however many properties are reported and declarations it has."""
+    style = "color: red; margin: 0px; COLOR: blue !important; color: green; background: url(data:a;b); top : 1px; width: 5px;no; :x"
+    html = f'<main style="{style}"><section style="display: none-such"><p style="width:2px; width:3px">x</p><p style="border: none">y</p></section></main>'
+    t = C.Tables(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"))
+    roots = R.region_roots(t.elements)
+    opts = R.Options(include_context=False)
+    p = "p {\n  width: 3px;\n}"
+    out = R.declared_styles(t.elements, roots, opts, finalize=False)
+    got = {r["tag"]: r["raw"] for r in out.join(t.elements.select("page_id", "pos", "tag"), ["page_id", "pos"]).collect()}
+    assert got["section"].endswith(p) and got["main"].endswith(got["section"])
+    rule = got["main"].split("}")[0]
+    assert rule.startswith("main {\n") and "  color: blue;\n" in rule and "  width: 5px;\n" in rule and "red" not in rule and "green" not in rule
+    plan = _optimized(out)
+    assert plan.count("regexp_extract_all") == 1
+    assert "regexp_extract_all" not in plan.split("Window [")[0]
+
+
 def test_pieces_do_not_carry_their_text(spark):
     """A text of n characters has n / 8 pieces: with the text on each they would hold n * n / 8."""
     long = "".join(f"{i:07} " for i in range(2000))
