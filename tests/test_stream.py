@@ -122,3 +122,98 @@ def test_state_per_element_folds_behind_the_watermark(spark):
         shutil.copy(glob.glob(f"{out}/*.parquet")[0], f"{d}/chunk{i}.parquet")
         time.sleep(0.05)
     assert _rows(run_selection_state(spark, d, glob="*.parquet", watermark="1 hour")) == batch
+
+
+class _Value:
+    def __init__(self, calls):
+        self.v, self.calls = None, calls
+
+    def get(self):
+        self.calls.append("get")
+        return self.v
+
+    def update(self, v):
+        self.calls.append("update")
+        self.v = v
+
+
+class _Map(dict):
+    def __init__(self, name, calls):
+        super().__init__()
+        self.name, self.calls = name, calls
+
+    def getValue(self, k):
+        self.calls.append(f"{self.name}.get")
+        return self.get(k)
+
+    def updateValue(self, k, v):
+        self.calls.append(f"{self.name}.put")
+        self[k] = v
+
+    def removeKey(self, k):
+        self.calls.append(f"{self.name}.remove")
+        del self[k]
+
+    def iterator(self):
+        self.calls.append(f"{self.name}.all")
+        return iter(list(self.items()))
+
+    def clear(self):
+        self.calls.append(f"{self.name}.clear")
+        super().clear()
+
+
+class _Handle:
+    def __init__(self):
+        self.calls, self.timers = [], []
+
+    def getValueState(self, name, schema):
+        return _Value(self.calls)
+
+    def getMapState(self, name, key, value):
+        return _Map(name, self.calls)
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+
+class _Time:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+def test_state_calls_follow_the_news(spark):
+    """A tab has one pending timer however many toggles it has, its elements are read only if it
+    has a head, and a timer folds with one look at the new toggles."""
+    from collections import Counter
+
+    from pyspark.sql import Row
+
+    from weblens.streaming.selection_state import Selections
+
+    def row(typ, el, sec, eid):
+        return Row(type=typ, element=el, tsu=sec * 1_000_000, event_id=eid)
+
+    h = _Handle()
+    p = Selections()
+    p.init(h)
+    out = list(p.handleInputRows((7,), iter([row("toggle", i % 20, 100 + i, i) for i in range(60)] + [row("toggle", None, 99, 99)]), _Time(0)))
+    assert [(r.tab, r.element, r.toggles, r.last_id) for r in out] == [(7, i, 3, 40 + i) for i in range(20)]
+    assert h.timers == [100_001] and Counter(h.calls) == {"get": 1, "update": 1, "fresh.put": 20}
+    h.calls.clear()
+    assert list(p.handleExpiredTimer((7,), _Time(150_000), None)) == []
+    # toggles from second 150 on are still new: elements 10 to 19
+    assert h.timers == [100_001, 150_001] and sorted(k for k, in p.fresh) == list(range(10, 20))
+    assert Counter(h.calls) == {"get": 1, "update": 1, "fresh.all": 1, "folded.put": 20, "fresh.put": 10, "fresh.remove": 10}
+    h.calls.clear()
+    out = list(p.handleInputRows((7,), iter([row("toggle", 3, 200, 100), row("toggle", 3, 200, 100), row("toggle", 4, 10, 101)]), _Time(150_000)))
+    assert [tuple(r) for r in out] == [(7, 3, 4, 200_000_000, 100)] and h.timers == [100_001, 150_001]
+    assert Counter(h.calls) == {"get": 1, "folded.get": 1, "fresh.get": 1, "fresh.put": 1}
+    h.calls.clear()
+    out = list(p.handleInputRows((7,), iter([row("clear", 0, 199, 102), row("toggle", 19, 198, 103), row("toggle", 5, 201, 104)]), _Time(150_000)))
+    assert {r.element: r.toggles for r in out} == {i: int(i in (3, 5)) for i in range(20)}
+    assert len(p.folded) == 0 and sorted(p.fresh) == [(3,), (5,)]
+    list(p.handleExpiredTimer((7,), _Time(300_000), None))
+    assert len(p.fresh) == 0 and h.timers == [100_001, 150_001, 200_001][:len(h.timers)]
+    out = list(p.handleInputRows((7,), iter([row("clear", 0, 400, 105)]), _Time(300_000)))
+    assert {(r.element, r.toggles, r.last_ts) for r in out} == {(3, 0, None), (5, 0, None)} and len(p.folded) == 0
