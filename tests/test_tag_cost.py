@@ -112,6 +112,25 @@ def test_style_rules_are_made_once_per_node(spark):
         assert {r["tag"]: r["output"].split("<style>\n")[1] for r in both} == {k: v + "\n</style>" for k, v in got.items()}
 
 
+def test_locator_candidates_are_made_once(spark):
+    """Asked class pairs are read from the classes, not from the candidates made again, and
+    a plain name is escaped by one look at it."""
+    from weblens.functions.text import css_escape
+
+    html = '<div class="a b c">x</div><div class="a b">y</div><div class="b c"><i class="a b">z</i></div><div class="a c d">w</div>'
+    t = C.Tables(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"))
+    out = LC.shortest_unique(t.elements)
+    assert _optimized(out).count("inline(") == 1
+    got = [r["shortest_unique"] for r in out.orderBy("pos").collect()]
+    assert {"i.a", "div.d"} <= set(got)
+    pairs = LC.pair_match_keys(t.elements, t.elements).groupBy("key").count().collect()
+    assert {tuple(r["key"]): r["count"] for r in pairs} == {
+        ("tcc", "div", "a", "b"): 2, ("tcc", "div", "a", "c"): 2, ("tcc", "div", "b", "c"): 2, ("tcc", "i", "a", "b"): 1, ("tcc", "div", "a", "d"): 1, ("tcc", "div", "c", "d"): 1}
+    names = {"a": "a", "-a_1": "-a_1", "_": "_", "-": "\\-", "--x": "--x", "1a": "\\31 a", "-1": "-\\31 ", "a:b": "a\\:b", "a\n": "a\\a ", "é": "é", "": ""}
+    df = spark.createDataFrame([(n,) for n in names], "n string").select("n", css_escape("n").alias("e"))
+    assert {r["n"]: r["e"] for r in df.collect()} == names
+
+
 def test_pieces_do_not_carry_their_text(spark):
     """A text of n characters has n / 8 pieces: with the text on each they would hold n * n / 8."""
     long = "".join(f"{i:07} " for i in range(2000))
